@@ -8,9 +8,10 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from equilens.llm import bpe, sharding
-from equilens.llm.common import table
+from equilens.llm import bpe, exact_dedup, secrets, sharding
+from equilens.llm.common import shared_dir, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -42,9 +43,27 @@ def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), 40)
 
 
+def op5_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.lit(0).alias("version"), "text")
+    found = secrets.BlobLedger(spark, shared_dir(spark, "ledger")).scan(docs, rule_version=2)
+    columns = secrets.digest_columns(F.col("findings"))
+    return found.select(F.col("path").alias("doc_id"), *(c.alias(n) for n, c in columns.items()))
+
+
+def digest_index(spark: SparkSession) -> exact_dedup.DigestIndex:
+    """A new, empty index in the shared folder."""
+    path = shared_dir(spark, "digests")
+    return exact_dedup.DigestIndex(spark, path.rpartition("/")[2].replace("-", "_"), path)
+
+
+def op8_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return exact_dedup.ingest(docs, digest_index(spark), shared_dir(spark, "decisions"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op4_jump_shards": op4_jump_shards}
+    return {"op1_bpe": op1_bpe, "op4_jump_shards": op4_jump_shards, "op5_blob_ledger": op5_blob_ledger, "op8_digest_index": op8_digest_index}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_digest_index": exact_dedup.ORACLE}
