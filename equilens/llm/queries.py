@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equilens.llm import bpe, exact_dedup, secrets, sharding
+from equilens.llm import bpe, exact_dedup, langid, secrets, sharding
 from equilens.llm.common import shared_dir, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -61,8 +61,21 @@ def op8_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.ingest(docs, digest_index(spark), shared_dir(spark, "decisions"))
 
 
+def op10_script_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~langid.held_out()))
+    found = langid.identify(docs.select("doc_id", langid.held_out().alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op4_jump_shards": op4_jump_shards, "op5_blob_ledger": op5_blob_ledger, "op8_digest_index": op8_digest_index}
+    return {
+        "op1_bpe": op1_bpe,
+        "op4_jump_shards": op4_jump_shards,
+        "op5_blob_ledger": op5_blob_ledger,
+        "op8_digest_index": op8_digest_index,
+        "op10_script_viterbi": op10_script_viterbi,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
