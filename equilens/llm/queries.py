@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equilens.llm import bpe, exact_dedup, langid, secrets, sharding
+from equilens.llm import bpe, decontaminate, exact_dedup, langid, lsh_forest, secrets, sharding
 from equilens.llm.common import shared_dir, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -68,11 +68,21 @@ def op10_script_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.similarity_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op4_jump_shards": op4_jump_shards,
         "op5_blob_ledger": op5_blob_ledger,
+        "op6_string_tiling": op6_string_tiling,
+        "op7_lsh_forest": op7_lsh_forest,
         "op8_digest_index": op8_digest_index,
         "op10_script_viterbi": op10_script_viterbi,
     }
