@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equilens.llm import bpe, decontaminate, exact_dedup, langid, lsh_forest, secrets, sharding
+from equilens.llm import bpe, decontaminate, exact_dedup, langid, license_scan, lsh_forest, secrets, sharding, toxicity, url_filter
 from equilens.llm.common import shared_dir, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -76,14 +76,38 @@ def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.similarity_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    host, _ = url_filter.host_and_path(F.col("url"))
+    model = url_filter.fit(pages.select("url", url_filter.seed_label(host).alias("label")))
+    return url_filter.judge(pages, model)
+
+
+def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where("toxic IS NOT NULL").select("doc_id", "toxic")
+    weak = toxicity.weak_labels(F.col("text"), F.col("toxic"))
+    labelled = docs.join(labels, "doc_id").select("doc_id", "text", *(c.alias(n) for n, c in weak.items()))
+    chain = toxicity.fit(labelled, list(weak))
+    scored = toxicity.score(docs, chain)
+    return scored.select("doc_id", *(c for c in scored.columns if c.startswith("p_")), *((F.col(f"p_{n}") >= 0.5).alias(n) for n in weak))
+
+
+def op9_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), license_scan.template_table(spark))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_url_trees": op2_url_trees,
+        "op3_toxicity_chain": op3_toxicity_chain,
         "op4_jump_shards": op4_jump_shards,
         "op5_blob_ledger": op5_blob_ledger,
         "op6_string_tiling": op6_string_tiling,
         "op7_lsh_forest": op7_lsh_forest,
         "op8_digest_index": op8_digest_index,
+        "op9_license_dice": op9_license_dice,
         "op10_script_viterbi": op10_script_viterbi,
     }
 
