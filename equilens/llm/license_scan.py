@@ -1,4 +1,4 @@
-"""License scan: Dice coefficient over word bigrams between pieces of a text and license templates.
+"""License scan: Dice coefficient over word bigrams (with repeats) between pieces of a text and license templates.
 
 DataFrame and SQL functions only.
 """
@@ -44,14 +44,15 @@ def words(piece: Column) -> Column:
 
 
 def bigrams(w: Column) -> Column:
-    """Distinct pairs of neighbouring words; none for fewer than two words."""
+    """Pairs of neighbouring words, repeats included; none for fewer than two words."""
     n = F.greatest(F.size(w) - 1, F.lit(0))
-    return F.array_distinct(F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda x, y: F.concat_ws(" ", x, y)))
+    return F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda x, y: F.concat_ws(" ", x, y))
 
 
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     """(template, license, bigrams, size)."""
-    rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "template int, license string, text string")
+    listed = F.array(*(F.struct(F.lit(i).alias("template"), F.lit(name).alias("license"), F.lit(text).alias("text")) for i, (name, text) in enumerate(templates)))
+    rows = spark.range(1).select(F.inline(listed))
     return rows.select("template", "license", bigrams(words(normalised(F.col("text")))).alias("bigrams")).withColumn("size", F.size("bigrams")).where("size > 0")
 
 
@@ -71,16 +72,20 @@ def scan(docs: DataFrame, templates: DataFrame, key: str = "doc_id", text: str =
     paragraphs = F.transform(F.split("norm", r"\n(?: ?\n)+"), lambda x, i: F.struct(F.lit("paragraph").alias("level"), i.alias("n"), x.alias("piece")))
     several = F.filter(paragraphs, lambda x: x["piece"].contains("\n"))
     whole = F.filter(F.array(F.struct(F.lit("whole").alias("level"), F.lit(0).alias("n"), F.col("norm").alias("piece"))), lambda x: x["piece"].rlike(r"\n ?\n"))
-    pieces = norm.select("id", F.monotonically_increasing_id().alias("row"), F.explode(F.concat(lines, several, whole)).alias("p"))
     bound = templates.agg(F.min("size"), F.max("size")).first()
-    least_size, most_size = (bound[0] * low, bound[1] * high) if bound[0] else (1, 0)
-    split = pieces.select("id", "row", "p.level", "p.n", words(F.col("p.piece")).alias("w")).where((F.size("w") - 1 >= F.lit(least_size)))
-    # a piece has at most one bigram fewer than words, and may repeat them: the upper bound holds for the distinct ones
-    sized = split.select("id", "row", "level", "n", bigrams(F.col("w")).alias("b")).withColumn("a", F.size("b")).where(F.col("a").between(least_size - 1e-9, most_size + 1e-9))
+    least_size, most_size = (bound[0] * low, bound[1] * high) if bound[0] else (1.0, 0.0)
+    # one expression, so that a piece is split once; what size excludes never becomes a row
+    gaps = lambda x: F.length(x) - F.length(F.translate(x, " \n", ""))  # noqa: E731  a third of them at least end a word
+    likely = F.filter(F.concat(lines, several, whole), lambda x: gaps(x["piece"]).between(F.lit(least_size - 1), F.lit(3 * most_size + 6)))
+    split = F.transform(likely, lambda x: F.struct(x["level"].alias("level"), x["n"].alias("n"), words(x["piece"]).alias("w")))
+    fit = F.filter(split, lambda x: (F.size(x["w"]) - 1).between(least_size - 1e-9, most_size + 1e-9))
+    paired = F.transform(fit, lambda x: F.struct(x["level"].alias("level"), x["n"].alias("n"), bigrams(x["w"]).alias("b")))
+    sized = norm.select("id", F.monotonically_increasing_id().alias("row"), F.inline(paired)).withColumn("a", F.size("b"))
     each = sized.select("id", "row", "level", "n", "a", F.explode("b").alias("bigram"))
-    index = templates.select("template", "license", "size", F.explode("bigrams").alias("bigram"))
+    index = templates.select("template", "license", "size", F.explode("bigrams").alias("bigram")).groupBy("template", "license", "size", "bigram").agg(F.count("*").alias("here"))
     met = each.join(F.broadcast(index), "bigram").where((F.col("a") >= F.col("size") * low - 1e-9) & (F.col("a") <= F.col("size") * high + 1e-9))  # the templates are a parameter: a few hundred texts
-    common = met.groupBy("id", "row", "level", "n", "a", "template", "license", "size").agg(F.count("*").alias("c"))
+    counted = met.groupBy("id", "row", "level", "n", "a", "template", "license", "size", "bigram", "here").agg(F.count("*").alias("there"))
+    common = counted.groupBy("id", "row", "level", "n", "a", "template", "license", "size").agg(F.sum(F.least("here", "there")).alias("c"))
     dice = common.withColumn("dice", 2.0 * F.col("c") / (F.col("a") + F.col("size"))).where(F.col("dice") >= least)
     per_piece = dice.groupBy("id", "row", "level", "n", "license").agg(F.max("dice").alias("dice"))
     return per_piece.groupBy("id", "license").agg(F.max("dice").alias("dice"), F.count("*").alias("pieces")).withColumnRenamed("id", key)
