@@ -75,12 +75,12 @@ def scan(docs: DataFrame, templates: DataFrame, key: str = "doc_id", text: str =
     bound = templates.agg(F.min("size"), F.max("size")).first()
     least_size, most_size = (bound[0] * low, bound[1] * high) if bound[0] else (1.0, 0.0)
     # one expression, so that a piece is split once; what size excludes never becomes a row
-    gaps = lambda x: F.length(x) - F.length(F.translate(x, " \n", ""))  # noqa: E731  a third of them at least end a word
+    gaps = lambda x: F.length(x) - F.length(F.replace(F.replace(x, F.lit(" "), F.lit("")), F.lit("\n"), F.lit("")))  # noqa: E731  a third of them at least end a word
     likely = F.filter(F.concat(lines, several, whole), lambda x: gaps(x["piece"]).between(F.lit(least_size - 1), F.lit(3 * most_size + 6)))
     split = F.transform(likely, lambda x: F.struct(x["level"].alias("level"), x["n"].alias("n"), words(x["piece"]).alias("w")))
     fit = F.filter(split, lambda x: (F.size(x["w"]) - 1).between(least_size - 1e-9, most_size + 1e-9))
     paired = F.transform(fit, lambda x: F.struct(x["level"].alias("level"), x["n"].alias("n"), bigrams(x["w"]).alias("b")))
-    sized = norm.select("id", F.monotonically_increasing_id().alias("row"), F.inline(paired)).withColumn("a", F.size("b"))
+    sized = norm.select("id", F.monotonically_increasing_id().alias("row"), F.inline_outer(paired)).where("b IS NOT NULL").withColumn("a", F.size("b"))  # the inner form would build the pieces again to filter empty ones
     each = sized.select("id", "row", "level", "n", "a", F.explode("b").alias("bigram"))
     index = templates.select("template", "license", "size", F.explode("bigrams").alias("bigram")).groupBy("template", "license", "size", "bigram").agg(F.count("*").alias("here"))
     met = each.join(F.broadcast(index), "bigram").where((F.col("a") >= F.col("size") * low - 1e-9) & (F.col("a") <= F.col("size") * high + 1e-9))  # the templates are a parameter: a few hundred texts
