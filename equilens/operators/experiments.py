@@ -59,10 +59,10 @@ def metric_deltas_long(df: DataFrame) -> DataFrame:
 def pareto_front(df: DataFrame) -> DataFrame:
     """Per dataset the experiments that none beats in score (more) and gap (less); ties stay. One sort instead of a join of all pairs."""
     s = composite_score(df)
-    better = Window.partitionBy("dataset").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, -0.0000001)
-    same = Window.partitionBy("dataset", "score")
-    s = s.withColumns({"_above": F.min("gap").over(better), "_here": F.min("gap").over(same)})
-    return s.where((F.col("_above").isNull() | (F.col("gap") < F.col("_above"))) & (F.col("gap") == F.col("_here"))).select("dataset", "experiment_id", "score", "gap")
+    best = s.groupBy("dataset", "score").agg(F.min("gap").alias("_here"))
+    above = Window.partitionBy("dataset").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    best = best.withColumn("_above", F.min("_here").over(above)).where("_above IS NULL OR _here < _above")
+    return s.join(best, ["dataset", "score"]).where("gap = _here").select("dataset", "experiment_id", "score", "gap")
 
 
 def topk_tiered(df: DataFrame, k: int = 3) -> DataFrame:

@@ -48,11 +48,11 @@ def impute_fit_apply(df: DataFrame, numeric: list[str], other: list[str], train:
 
 def reweight(df: DataFrame, target: str, attr: str) -> DataFrame:
     """Adds `weight` = n / (cells x rows of the cell of target and group). The counts are joined back, so no cell meets in one task."""
-    cells = df.groupBy(target, attr).agg(F.count("*").alias("_c"))
+    cells = df.groupBy(F.col(target).alias("_t"), F.col(attr).alias("_a")).agg(F.count("*").alias("_c"))
     w = Window.partitionBy()
-    cells = cells.withColumn("weight", F.sum("_c").over(w) / (F.count("*").over(w) * F.col("_c")))  # a row for each cell
-    on = df[target].eqNullSafe(cells[target]) & df[attr].eqNullSafe(cells[attr])
-    return df.join(F.broadcast(cells), on).select(*(df[c] for c in df.columns), "weight")
+    cells = cells.select("_t", "_a", (F.sum("_c").over(w) / (F.count("*").over(w) * F.col("_c"))).alias("weight"))  # a row for each cell
+    on = F.col(target).eqNullSafe(F.col("_t")) & F.col(attr).eqNullSafe(F.col("_a"))
+    return df.join(F.broadcast(cells), on).drop("_t", "_a")
 
 
 def undersample(df: DataFrame, key: str, target: str, seed: int = 42) -> DataFrame:
