@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: A piece of more bytes than this is merged with a heap (n log n) instead of a matrix row (n rounds of n).
 LONG_PIECE = 256
 #: Distinct pieces that a worker remembers; on overflow it starts anew.
-CACHE = 800_000
+CACHE = 300_000
 #: Matrix cells of one bucket.
 CELLS = 2_000_000
 NONE = np.int32(2**31 - 1)
@@ -202,7 +202,7 @@ class Bpe:
 
 
 #: Characters of text that are encoded at once; a longer text is a step of its own.
-STEP = 4_000_000
+STEP = 1_500_000
 
 
 def _steps(texts: list[str]) -> Iterator[list[str]]:
@@ -253,6 +253,14 @@ def rows_of_ids(column: pa.ListArray) -> Iterator[list[int]]:
         at += n
 
 
+def token_table(ranks: dict[bytes, int]) -> list[bytes]:
+    """The bytes of each id."""
+    token = [b""] * (max(ranks.values()) + 1)
+    for t, i in ranks.items():
+        token[i] = t
+    return token
+
+
 def decode(encoded: DataFrame, ranks: dict[bytes, int], pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds `out` (binary), the bytes of the ids. Null ids give no bytes."""
     shared = encoded.sparkSession.sparkContext.broadcast(ranks)
@@ -260,9 +268,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], pattern: str, ids: str =
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields), f"`{out}` binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = [b""] * (max(shared.value.values()) + 1)
-        for t, i in shared.value.items():
-            token[i] = t
+        token = token_table(shared.value)
         for batch in batches:
             made = pa.array([b"".join(map(token.__getitem__, r)) for r in rows_of_ids(batch.column(batch.schema.get_field_index(ids)))], pa.binary())
             yield from pa.Table.from_batches([batch]).append_column(out, made).to_batches()

@@ -19,24 +19,18 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 def op1_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     ranks = bpe.read_ranks(path or public_tokenizers.path(VOCABULARY))
     ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    decoded = bpe.decode(ids, ranks, public_tokenizers.PATTERN)
+    shared = spark.sparkContext.broadcast(ranks)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: list[str] = [str(i) for i in range(max(ranks.values()) + 1)]
+        token = bpe.token_table(shared.value)
+        digits = [str(i) for i in range(len(token))]
         for b in batches:
             rows = b.column("ids")
-            joined = [",".join(map(names.__getitem__, x)) for x in bpe.rows_of_ids(rows)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("doc_id"),
-                    rows.value_lengths().cast(pa.int64()),
-                    pa.array([hashlib.sha256(j.encode()).hexdigest() for j in joined]),
-                    pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in b.column("decoded")]),
-                ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return decoded.mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            hashes = [[hashlib.sha256(",".join(map(digits.__getitem__, x)).encode()).hexdigest(), hashlib.sha256(b"".join(map(token.__getitem__, x))).hexdigest()] for x in bpe.rows_of_ids(rows)]
+            columns = [b.column("doc_id"), rows.value_lengths().cast(pa.int64()), *(pa.array([h[i] for h in hashes], pa.string()) for i in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return ids.mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
