@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equilens.llm import bpe, decontaminate, exact_dedup, langid, license_scan, lsh_forest, secrets, sharding, toxicity, url_filter
-from equilens.llm.common import shared_dir, table
+from equilens.llm.common import shared_dir, table, written
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -80,8 +80,9 @@ def op2_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where("toxic IS NOT NULL").select("doc_id", "toxic")
+    drawn = docs.join(F.broadcast(toxicity.draw(labels)), "doc_id")  # toxicity.TRAIN_DOCS rows, about
     weak = toxicity.weak_labels(F.col("text"), F.col("toxic"))
-    labelled = docs.join(labels, "doc_id").select("doc_id", "text", *(c.alias(n) for n, c in weak.items()))
+    labelled = written(drawn.select("doc_id", "text", *(c.alias(n) for n, c in weak.items())), "labelled")
     chain = toxicity.fit(labelled, list(weak))
     scored = toxicity.score(docs, chain)
     return scored.select("doc_id", *(c for c in scored.columns if c.startswith("p_")), *((F.col(f"p_{n}") >= 0.5).alias(n) for n in weak))

@@ -105,6 +105,12 @@ def weak_labels(text: Column, toxic: Column) -> dict[str, Column]:
     return found
 
 
+def draw(labels: DataFrame, key: str = "doc_id", rows: int = TRAIN_DOCS) -> DataFrame:
+    """At most about `rows` rows, by a hash of the key; all rows if there are no more."""
+    n = labels.count()
+    return labels.where(F.pmod(F.xxhash64(F.lit("toxicity"), key), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, rows / max(n, 1)))))
+
+
 def fit(labelled: DataFrame, categories: list[str], key: str = "doc_id", text: str = "text", docs: int = TRAIN_DOCS) -> Chain:
     """Fits the chain on whole texts of at most about `docs` rows, drawn by a hash of the key.
 
@@ -113,9 +119,7 @@ def fit(labelled: DataFrame, categories: list[str], key: str = "doc_id", text: s
     class only gets a constant model.
     """
     rows = labelled.where(" AND ".join(f"`{c}` IS NOT NULL" for c in categories)).select(key, F.col(text).alias("text"), *categories)
-    n = rows.count()
-    share = min(1.0, docs / n) if n else 0.0
-    drawn = rows.where(F.pmod(F.xxhash64(F.lit("toxicity"), key), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    drawn = draw(rows, key, docs)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
