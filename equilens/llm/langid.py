@@ -38,7 +38,9 @@ GRAMS = 200_000
 SWITCH = 6.0
 #: A word weighs its mean n-gram score times the root of its length, up to this.
 LONGEST = 4.0
-CACHE = 500_000
+CACHE = 200_000
+#: New words that are scored at once.
+CHUNK = 10_000
 UNKNOWN = "und"
 
 
@@ -135,7 +137,7 @@ class Labeller:
 
     def reset(self) -> None:
         self.known: dict[str, int] = {}
-        self.scores = np.empty((0, len(self.m.langs)), np.float32)
+        self.scores, self.used = np.empty((0, len(self.m.langs)), np.float32), 0
 
     def learn(self, words: list[str]) -> None:
         """Scores of new words: a row of `scores` each, with -inf for languages that aren't candidates."""
@@ -153,9 +155,12 @@ class Labeller:
             mask = m.scripts.get(script_of(w))
             if mask is not None and not mask.all():
                 mean[k, ~mask] = -1e6
-        base = len(self.scores)
-        self.scores = np.concatenate([self.scores, mean.astype(np.float32)])
-        self.known.update(zip(words, range(base, base + len(words))))
+        base = self.used
+        if base + len(words) > len(self.scores):  # grows by doubling
+            self.scores = np.concatenate([self.scores[:base], np.empty((max(base, len(words)) + CHUNK, len(m.langs)), np.float32)])
+        self.scores[base : base + len(words)] = mean
+        self.used = base + len(words)
+        self.known.update(zip(words, range(base, self.used)))
 
     def words(self, texts: list[str]) -> list[np.ndarray]:
         """For each text, the rows of `scores` of its words."""
@@ -170,8 +175,10 @@ class Labeller:
                 k[i] = -2 - new.setdefault(found[i], len(new))
             out.append(k)
         if new:
-            base = len(self.scores)
-            self.learn(list(new))
+            base = self.used
+            fresh = list(new)
+            for first in range(0, len(fresh), CHUNK):
+                self.learn(fresh[first : first + CHUNK])
             out = [np.where(k < 0, base - 2 - k, k) for k in out]
         return out
 
@@ -215,7 +222,7 @@ class Labeller:
 
 
 #: Words that step on together; texts of many words are cut off into steps of their own.
-WORDS = 3_000_000
+WORDS = 1_000_000
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", switch: float = SWITCH) -> DataFrame:
