@@ -116,3 +116,33 @@ def overfit_gap(train: DataFrame, test: DataFrame, keys: list[str]) -> DataFrame
     gf, ga = F.col("train_f1") - F.col("test_f1"), F.col("train_acc") - F.col("test_acc")
     risk = F.when((F.col("train_f1") >= 0.98) | (gf >= 0.15) | (F.col("train_acc") >= 0.99), "high").when((gf >= 0.08) | (ga >= 0.08), "medium").otherwise("low")
     return t.select(*keys, F.round(gf, 4).alias("f1_gap"), F.round(ga, 4).alias("acc_gap"), risk.alias("risk"))
+
+
+def mode_scores(df: DataFrame) -> DataFrame:
+    """Mean score of each variant and model, with its place within the model; for information only."""
+    t = composite_score(df).groupBy("variant", "model_type").agg(F.round(F.avg("score"), 6).alias("mean_score"), F.count("*").alias("n"))
+    return t.withColumn("place", F.rank().over(Window.partitionBy("model_type").orderBy(F.desc("mean_score"))))
+
+
+def stage_gap_deltas(df: DataFrame, stage: str = "binning") -> DataFrame:
+    """Change of the mean gap from one stage to the next, by dataset."""
+    t = df.groupBy("dataset", F.col(stage).alias("stage")).agg(F.round(F.avg("gap"), 6).alias("mean_gap"))
+    before = F.lag("mean_gap").over(Window.partitionBy("dataset").orderBy("stage"))
+    return t.withColumn("change", F.round(F.col("mean_gap") - before, 6))
+
+
+def before_after_best(df: DataFrame, metrics: tuple[str, ...] = ("f1", "recall", "gap")) -> DataFrame:
+    """Each metric of a dataset's first baseline and of its mitigated experiment with the least gap."""
+    row, base = F.struct(*metrics), F.col("mitigation") == "baseline"
+    t = df.groupBy("dataset").agg(F.min_by(row, F.when(base, F.col("experiment_id"))).alias("b"), F.min_by(row, F.when(~base, F.struct("gap", "experiment_id"))).alias("a"))
+    long = t.where("a IS NOT NULL AND b IS NOT NULL").select("dataset", F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"b.{m}").alias("before"), F.col(f"a.{m}").alias("after")) for m in metrics))))
+    return long.withColumn("change", F.round(F.col("after") - F.col("before"), 6))
+
+
+def experiment_summary(df: DataFrame) -> DataFrame:
+    names = {"dataset": "datasets", "model_type": "models", "binning": "binnings", "mitigation": "mitigations"}
+    return df.agg(F.count("*").alias("experiments"), *(F.countDistinct(c).alias(n) for c, n in names.items()))
+
+
+def mitigation_gap_matrix(df: DataFrame, datasets: tuple[str, ...] = ("A", "N", "R")) -> DataFrame:
+    return df.groupBy("mitigation").agg(*(F.round(F.avg(F.when(F.col("dataset") == d, F.col("gap"))), 6).alias(f"gap_{d.lower()}") for d in datasets))

@@ -11,6 +11,7 @@ VIEWS = {
     "v_pred_gated": "SELECT o_orderkey AS row_id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y_true, CAST(o_totalprice AS DOUBLE) / 500000.0 AS y_proba, CASE WHEN CAST(o_totalprice AS DOUBLE) / 500000.0 >= 0.5 THEN 1 ELSE 0 END AS y_pred, c_mktsegment AS segment, CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'unknown' ELSE o_orderpriority END AS priority FROM orders JOIN customer ON o_custkey = c_custkey",
     "v_doc": "SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic, CASE WHEN d.n_chars >= 500 THEN 1 ELSE 0 END AS y_pred FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     "v_age": "SELECT o_orderkey AS row_id, CAST(c_acctbal AS DOUBLE) AS age_raw, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS target, c_mktsegment AS sex FROM customer JOIN orders ON c_custkey = o_custkey",
+    "v_knn": "SELECT o_orderkey AS row_id, CAST(o_totalprice AS DOUBLE) AS f1, CAST(c_acctbal AS DOUBLE) AS f2, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS target, CASE WHEN o_totalprice >= 250000 THEN 1 ELSE 0 END AS y_pred, c_mktsegment AS segment FROM customer JOIN orders ON c_custkey = o_custkey",
     "v_exp": "SELECT l_returnflag || '/' || l_linestatus || '/' || CAST(l_linenumber % 3 AS STRING) || '/' || CAST(l_suppkey % 4 AS STRING) || '/' || CAST(l_partkey % 2 AS STRING) AS experiment_id, l_returnflag AS dataset, l_linestatus AS model_type, CAST(l_linenumber % 3 AS STRING) AS binning, CASE WHEN l_suppkey % 4 = 0 THEN 'baseline' ELSE 'm' || CAST(l_suppkey % 4 AS STRING) END AS mitigation, CAST(l_partkey % 2 AS STRING) AS variant, round(avg(CAST(l_quantity AS DOUBLE)) / 50, 4) AS f1, round(avg(CAST(l_discount AS DOUBLE)) * 10, 4) AS recall, round(avg(CAST(l_tax AS DOUBLE)) * 10, 4) AS gap, round(avg(CAST(l_quantity AS DOUBLE)) / 60, 4) AS accuracy, round(avg(CAST(l_discount AS DOUBLE)) * 12, 4) AS auc FROM lineitem GROUP BY 1, 2, 3, 4, 5, 6",
     "v_lineage_a": "SELECT l_partkey % 100 AS k1, l_linenumber AS k2, nullif(l_suppkey % 5, 0) AS k3 FROM lineitem WHERE l_returnflag = 'R'",
     "v_lineage_b": "SELECT l_partkey % 100 AS k1, l_linenumber AS k2, nullif(l_suppkey % 5, 0) AS k3 FROM lineitem WHERE l_returnflag = 'A'",
