@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -149,6 +150,7 @@ def fit(labelled: DataFrame, categories: list[str], key: str = "doc_id", text: s
     best = sums.withColumn("score", F.greatest(F.lit(0.0), *scores)).where("score > 6").orderBy(F.desc("score"), "feature").limit(FEATURES)
     index = {r[0]: i for i, r in enumerate(best.select("feature").collect())}
     made = _vectors(drawn, index, "text").withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), key), F.lit(FOLDS))).select(key, "fold", "x", *categories).persist()
+    made.count()
     weights, earlier = [], []
     try:
         for c in categories:
@@ -163,12 +165,15 @@ def fit(labelled: DataFrame, categories: list[str], key: str = "doc_id", text: s
                 m = LogisticRegression(featuresCol="v", labelCol=c, predictionCol="_p", rawPredictionCol="_r", probabilityCol="_q", regParam=1e-3, maxIter=25, standardization=False).fit(part)
                 return m, np.concatenate([m.coefficients.toArray(), [m.intercept]])
 
-            weights.append(learn(input_)[1])
-            if c == categories[-1]:
+            # a fit is many small jobs, so the fits of a category run side by side
+            folds = [] if c == categories[-1] else [input_.where(F.col("fold") != k) for k in range(FOLDS)]
+            with ThreadPoolExecutor(1 + FOLDS) as pool:
+                (_, whole_weights), *by_fold = pool.map(learn, [input_, *folds])
+            weights.append(whole_weights)
+            if not folds:
                 break
             parts = []
-            for k in range(FOLDS):
-                m, w = learn(input_.where(F.col("fold") != k))
+            for k, (m, w) in enumerate(by_fold):
                 own = input_.where(F.col("fold") == k)
                 p = F.lit(float(1 / (1 + np.exp(-w[-1]))))
                 parts.append(m.transform(own).withColumn(f"p_{c}", vector_to_array("_q")[1]).drop("_p", "_r", "_q") if m else own.withColumn(f"p_{c}", p))
