@@ -81,19 +81,21 @@ def performance(df: DataFrame, label: str, keys: list[str] = ()) -> DataFrame:
     )
 
 
-def exponentiated_gradient(df: DataFrame, features: list[str], label: str, group: str, constraint: str = "demographic_parity", eps: float = 0.05, steps: int = 10, rate: float = 2.0, bound: float = 20.0, fit: Fit = train_logistic) -> list:
+def exponentiated_gradient(df: DataFrame, features: list[str], label: str, group: str, constraint: str = "demographic_parity", eps: float = 0.05, steps: int = 50, rate: float = 2.0, fit: Fit = train_logistic) -> list:
     """The models of a reduction to weighted classification; `predict_mixture` averages them.
 
     A multiplier for each group (and label, for equalized_odds) and sign grows with that side's violation. In each
     step the rows get the cost of being selected, and a model is fitted on the cheaper label weighted by the cost. Only
-    the groups' rates come to the driver. Ends early where no rate is off by more than `eps`.
+    the groups' rates come to the driver. Ends early where no rate of the mixture is off by more than `eps`. The
+    multipliers sum to 1 / eps at most, and their logarithms move by `rate` x eps x violation.
     """
+    bound = 1 / eps
     by = [group] + ([label] if constraint == "equalized_odds" else [])
     sizes = {tuple(r[:-1]): r[-1] for r in df.where(F.col(label).isNotNull()).groupBy(*by).agg(F.count("*")).collect()}
     n = max(sum(sizes.values()), 1)
     within = {cell: sum(s for other, s in sizes.items() if other[1:] == cell[1:]) for cell in sizes}
     theta = {(cell, sign): 0.0 for cell in sizes for sign in (1, -1)}
-    models = []
+    models, mixed = [], dict.fromkeys(sizes, 0.0)
     for _ in range(steps):
         total = 1 + sum(math.exp(t) for t in theta.values())
         push = {cell: bound * (math.exp(theta[cell, 1]) - math.exp(theta[cell, -1])) / total for cell in sizes}
@@ -113,22 +115,23 @@ def exponentiated_gradient(df: DataFrame, features: list[str], label: str, group
         rates = {tuple(r[:-1]): r[-1] for r in rates}
         overall = {cell[1:]: sum(rates.get(o, 0.0) * s for o, s in sizes.items() if o[1:] == cell[1:]) / within[cell] for cell in sizes}
         off = {cell: rates.get(cell, 0.0) - overall[cell[1:]] for cell in sizes}
-        if max((abs(v) for v in off.values()), default=0.0) <= eps:
+        mixed = {cell: v + off[cell] for cell, v in mixed.items()}
+        if max((abs(v) for v in mixed.values()), default=0.0) <= eps * len(models):
             break
         for cell, sign in theta:
-            theta[cell, sign] += rate * (sign * off[cell] - eps)
+            theta[cell, sign] += rate / bound * (sign * off[cell] - eps)
     return models
 
 
 def predict_mixture(models: list, df: DataFrame, features: list[str]) -> DataFrame:
-    """y_proba: the share of the models that select the row; y_pred: more than half, or half."""
+    """y_proba: the share of the models that select the row; y_pred: 1 with that chance, drawn by a hash of the features."""
     kept = [c for c in df.columns if c not in ("y_pred", "y_proba")]
     out, votes = df.select(*kept), F.lit(0.0)
     for i, m in enumerate(models):
         out = predict(m, out, features).withColumnRenamed("y_pred", f"_v{i}").drop("y_proba")
         votes = votes + F.col(f"_v{i}")
     p = votes / len(models)
-    return out.select(*kept, p.alias("y_proba"), (p >= 0.5).cast("int").alias("y_pred"))
+    return out.select(*kept, p.alias("y_proba"), (F.pmod(F.xxhash64(*features), F.lit(1_000_000)) / 1_000_000 < p).cast("int").alias("y_pred"))
 
 
 def before_after(before: DataFrame, after: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
