@@ -11,6 +11,7 @@ from equilens.operators import models as M
 from equilens.operators import neighbours as N
 from equilens.operators import preparation as P
 from equilens.operators import synthesis as Y
+from equilens.operators import thresholds as H
 from equilens.sources.tables import view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +90,7 @@ def queries() -> dict[str, Query]:
         "mit_exp_gradient": on(_constrained),
         "mit_smote": on(_grown(Y.smote)),
         "mit_adasyn": on(_grown(Y.adasyn)),
+        **{f"mit_threshold_{c}": (lambda spark, sf_dir, c=c: H.fit_thresholds(view(spark, sf_dir, "v_pred"), "grp_b", "y_true", "y_proba", c)) for c in H.CONSTRAINTS},
         "pca_2d": on(lambda d: M.pca_2d(d, FEATURES)[1].withColumn("explained", F.round("explained", 4))),
         "cx_l1_l2_l3": on(lambda d: M.complexity_l(_z(d), "row_id", FEATURES, "target")),
         "cx_n4": on(lambda d: Y.n4(_z(d), "row_id", FEATURES, "target", ASKED)),
@@ -104,12 +106,27 @@ def _share(salt: str) -> str:
     return f"(CAST('0x' || substr(md5('{salt}:' || CAST(row_id AS VARCHAR)), 1, 7) AS BIGINT) / 268435456.0)"
 
 
+def _thresholds(tp: str, n: str) -> str:
+    x = {k: f"CAST({tp.format(k)} AS DOUBLE) / ({n}) * 100" for k in (0, 1)}
+    return (
+        "WITH c AS (SELECT grp_b, y_proba AS s, sum(y_true) AS p, sum(1 - y_true) AS q FROM v_pred GROUP BY 1, 2),"
+        " w AS (SELECT *, sum(p) OVER (PARTITION BY grp_b) AS pn, sum(q) OVER (PARTITION BY grp_b) AS qn, sum(p) OVER d AS tp1, sum(q) OVER d AS fp1, lag(s) OVER d AS upper_s FROM c WINDOW d AS (PARTITION BY grp_b ORDER BY s DESC)),"
+        f" x AS (SELECT *, {x[0]} AS x0, {x[1]} AS x1 FROM (SELECT *, tp1 - p AS tp0, fp1 - q AS fp0 FROM w WHERE pn > 0 AND qn > 0) w0),"
+        " m AS (SELECT x.*, g, (g - x0) / (x1 - x0) AS mix FROM x JOIN range(101) r(g) ON g >= x0 AND (g < x1 OR g = 100 AND x1 = 100) WHERE x1 > x0),"
+        " o AS (SELECT g, round(sum(tp0 + mix * p) / sum(pn) - sum(fp0 + mix * q) / sum(qn), 9) AS gain FROM m GROUP BY 1)"
+        " SELECT grp_b, g / 100.0 AS rate, upper_s AS \"upper\", s AS \"lower\", round(mix, 6) AS mix FROM m WHERE g = (SELECT g FROM o ORDER BY gain DESC, g LIMIT 1)"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     nexts = ", ".join(f"a * f{i} + (1 - a) * coalesce(lead(f{i}) OVER w, first_value(f{i}) OVER w) AS f{i}" for i in (1, 2))
     pairs = f"b AS (SELECT *, floor({_share('bucket')} * ceil((SELECT count(*) FROM z) / 10000.0)) AS bucket, {_share('pair')} AS u, {_share('mix')} AS a FROM z), mixed AS (SELECT row_id, target, {nexts} FROM b WINDOW w AS (PARTITION BY target, bucket ORDER BY u, row_id))"
     near = f"near AS (SELECT q.row_id, r.target, row_number() OVER (PARTITION BY q.row_id ORDER BY {_D}, r.row_id) AS k FROM z q JOIN z r ON q.row_id % {ASKED} = 0 AND q.target = 1 AND q.row_id <> r.row_id)"
     wide = "count(*) FILTER (WHERE k <= 5 AND target = 1)"
     return {
+        "mit_threshold_demographic_parity": _thresholds("(tp{0} + fp{0})", "pn + qn"),
+        "mit_threshold_true_positive_rate": _thresholds("tp{0}", "pn"),
+        "mit_threshold_false_positive_rate": _thresholds("fp{0}", "qn"),
         "pca_2d": "SELECT component, round((1 + side * r) / 2, 4) AS explained FROM (SELECT abs(corr(f1, f2)) AS r FROM v_knn) c, (VALUES (1, 1), (2, -1)) v(component, side)",
         "cx_n4": f"WITH {_Z}, {pairs}, n AS (SELECT q.row_id, q.target, r.target AS o, row_number() OVER (PARTITION BY q.row_id ORDER BY {_D}, r.row_id) AS k FROM mixed q JOIN z r ON q.row_id % {ASKED} = 0) SELECT round(CASE WHEN count(*) = 2 THEN avg(e) END, 6) AS n4 FROM (SELECT target, avg(CASE WHEN target <> o THEN 1.0 ELSE 0.0 END) AS e FROM n WHERE k = 1 GROUP BY 1) t",
         "cx_bayes": f"WITH {_Z}, {near}, p AS (SELECT row_id, {wide} AS hits, coalesce(min(k) FILTER (WHERE target = 0) - 2, 100) AS far FROM near WHERE k <= 99 GROUP BY 1), s AS (SELECT CASE WHEN hits = 5 THEN far ELSE hits END AS m, CASE WHEN hits = 5 THEN far + 1 ELSE 5 END AS size FROM p),"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from equilens.operators import models as M
 from equilens.operators import synthesis as Y
+from equilens.operators import thresholds as H
 from equilens.sources import results as R
 
 
@@ -82,3 +83,14 @@ def test_sinks_and_listing(spark, biased, tmp_path):
     listed, twice = R.image_listing(spark, str(tmp_path / "i"))
     assert {r["name"]: r.path.split("/")[-2] for r in listed.collect()} == {"p.png": "b", "q.jpg": "a"}
     assert [tuple(r) for r in twice.collect()] == [("p.png", 2)]
+
+
+def test_thresholds_level_the_groups(biased):
+    f = ["x", "u"]
+    scored = M.predict(M.train_forest(biased, f, "y"), biased, f)
+    assert scored.where(F.col("y_pred") == F.col("y")).count() > 0.75 * 600
+    fitted = H.fit_thresholds(scored, "g", "y", "y_proba")
+    assert gap(H.apply_thresholds(scored, fitted, "g", "y_proba", "id")) < 0.05 < gap(scored)
+    one = scored.where("g = 'a' OR y = 1")
+    assert [r.g for r in H.fit_thresholds(one, "g", "y", "y_proba").collect()] == ["a"]
+    assert H.apply_thresholds(one, H.fit_thresholds(one, "g", "y", "y_proba"), "g", "y_proba", "id").where("g = 'b'").exceptAll(one.where("g = 'b'")).count() == 0
