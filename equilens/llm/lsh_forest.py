@@ -2,15 +2,21 @@
 
 1. Every text becomes a set of word shingles; equal sets form one class and go
    on as one representative with its number of copies.
-2. A tree of the forest is a sorted prefix trie over its own part of the
-   signature. Matched prefixes start at full depth and are shortened until a
-   pair at the threshold is met in some tree with the target recall.
+2. A tree of the forest is a sorted trie over its own part of the signature,
+   DEPTH levels of one byte. Subtries below a prefix meet in a task, sorted.
+   There matched prefixes start at full depth and are shortened level by level.
 3. Members of a matched prefix are compared by the rest of their signatures;
-   what can't be excluded at that accuracy is tied together. A prefix with many
-   members is dealt to several tasks as pairs of blocks.
+   what can't be excluded at that accuracy is tied together. Pairs that a longer
+   prefix has compared or tied aren't compared again. A prefix with many members
+   is dealt to several tasks as pairs of blocks.
 4. Tied groups gather their shingles once, again in pairs of blocks, and every
    pair is verified exactly. A block pair returns each text's number of links
-   and a spanning forest of them, never the pairs.
+   and a spanning forest of them, never the pairs, and counts the links by the
+   number of trees in which they met.
+5. The first walk ends at the depth at which a pair at the threshold meets in
+   some tree with the target recall: a shallower end can't be excused by easy
+   pairs. From the counts the links that no tree has met are estimated; while
+   the recall is below the target, prefixes are shortened further.
 """
 
 from __future__ import annotations
@@ -35,15 +41,15 @@ SLACK = 4.5
 
 
 def prefix_depth(threshold: float, trees: int, deepest: int, recall: float) -> int:
-    """Shortens the prefix from `deepest` until 1 - (1 - s^d)^trees reaches the recall at s = threshold."""
+    """The longest prefix for which 1 - (1 - s^d)^trees reaches the recall at s = threshold: no walk may end above it."""
     for d in range(deepest, 0, -1):
         if 1 - (1 - threshold**d) ** trees >= recall:
             return d
     raise ValueError("no prefix reaches this recall: use more trees")
 
 
-def signatures(docs: DataFrame, key: str, text: str, size: int, trees: int, depth: int) -> DataFrame:
-    """(id, fp, n, prefixes array<long>, bits binary); null fp, prefixes and bits for a text without words."""
+def signatures(docs: DataFrame, key: str, text: str, size: int, trees: int) -> DataFrame:
+    """(id, fp, n, bits binary): DEPTH bytes for each tree, its key in sorted order; null fp and bits for a text without words."""
     kept = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     id_type = kept.schema["id"].dataType.simpleString()
 
@@ -52,22 +58,36 @@ def signatures(docs: DataFrame, key: str, text: str, size: int, trees: int, dept
         for b in batches:
             sets = [shingle(t) for t in b.column("text").to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
-            fps, prefixes, bits = [None] * len(sets), [None] * len(sets), [None] * len(sets)
+            fps, bits = [None] * len(sets), [None] * len(sets)
             if full:
-                sig = minhash([sets[i] for i in full], trees * depth)
-                low = (sig & np.uint64(255)).astype(np.uint8)
-                h = np.broadcast_to(np.arange(trees, dtype=np.uint64), (len(full), trees)).copy()
-                for d in range(depth):
-                    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + sig[:, d::depth]
-                h = (h ^ (h >> np.uint64(31))).view(np.int64)
+                low = (minhash([sets[i] for i in full], trees * DEPTH) & np.uint64(255)).astype(np.uint8)
                 for k, i in enumerate(full):
-                    fps[i], prefixes[i], bits[i] = fingerprint(sets[i]), h[k], low[k].tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(fps, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                ["id", "fp", "n", "prefixes", "bits"],
-            )
+                    fps[i], bits[i] = fingerprint(sets[i]), low[k].tobytes()
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fps, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(bits, pa.binary())], ["id", "fp", "n", "bits"])
 
-    return kept.mapInArrow(run, f"id {id_type}, fp binary, n int, prefixes array<long>, bits binary")
+    return kept.mapInArrow(run, f"id {id_type}, fp binary, n int, bits binary")
+
+
+def prefixes(hashes: DataFrame, trees: int, depth: int) -> DataFrame:
+    """(id, tree, bucket): the roots at `depth` of the subtries in which a text lies, by a hash."""
+    each = (F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.substring("bits", t * DEPTH + 1, depth)).alias("bucket")) for t in range(trees))
+    return hashes.select("id", F.inline(F.array(*each)))
+
+
+def tree_keys(bits: np.ndarray) -> np.ndarray:
+    """The key in each tree, one column for a tree; keys with a common prefix follow each other in their order."""
+    return np.ascontiguousarray(bits).view(">u8").astype(np.uint64)
+
+
+def recall_of(met: dict[int, int], trees: int) -> float:
+    """Estimated share of the links that some tree has met, from the numbers of links met in 0, 1, 2 and more trees.
+
+    Links met in no tree are those verified by way of others, or as many as
+    Chao's estimator expects from those met once and twice, if that is more.
+    """
+    n = [met.get(i, 0) for i in range(4)]
+    unseen = max(n[0], (trees - 1) / trees * n[1] * (n[1] - 1) / (2 * (n[2] + 1)))
+    return sum(n[1:]) / (sum(n[1:]) + unseen) if sum(n) else 1.0
 
 
 def in_blocks(rows: DataFrame, group: str, size: str, block: int = BLOCK) -> DataFrame:
@@ -130,10 +150,39 @@ def _forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         root = least
 
 
-def tie(members: DataFrame, threshold: float, perms: int) -> DataFrame:
+def walk(bits: np.ndarray, key: np.ndarray, depth: int, floor: int) -> np.ndarray:
+    """For each member of a subtrie the first one that it is tied with, prefixes being shortened from DEPTH to `depth`.
+
+    Two members are compared once, at their longest common prefix, and only if they aren't tied by then.
+    """
+    order = np.argsort(key, kind="stable")
+    x, k = bits[order], key[order]
+    comp, longer = np.arange(len(k)), None
+    for d in range(DEPTH, depth - 1, -1):
+        prefix = k >> np.uint64(8 * (DEPTH - d))
+        for s, e in _runs(prefix[:, None]):
+            if e - s < 2 or (longer is not None and longer[s] == longer[e - 1]):
+                continue
+            for i in range(s, e - 1):
+                new = comp[i + 1 : e] != comp[i]
+                if longer is not None:
+                    new &= longer[i + 1 : e] != longer[i]
+                at = np.flatnonzero(new) + i + 1
+                hit = at[(x[at] == x[i]).sum(1) >= floor]
+                if len(hit):
+                    comp[np.isin(comp, comp[hit])] = comp[i]
+        longer = prefix
+    root = np.empty(len(k), np.int64)
+    least = np.full(len(k), len(k))
+    np.minimum.at(least, comp, order)
+    root[order] = least[comp]
+    return root
+
+
+def tie(members: DataFrame, threshold: float, perms: int, depth: int) -> DataFrame:
     """(a, b): spanning edges between members of a prefix whose signatures may belong to a pair at the threshold.
 
-    `members` has (bucket, _i, _j, _block, id, bits).
+    `members` has (bucket, tree, _i, _j, _block, id, bits).
     """
     chance = threshold + (1 - threshold) / 256
     floor = int(np.floor(perms * chance - SLACK * np.sqrt(perms * chance * (1 - chance))))
@@ -144,6 +193,7 @@ def tie(members: DataFrame, threshold: float, perms: int) -> DataFrame:
         for t in _by_group(batches, ("bucket", "_i", "_j")):
             keys = np.stack([t.column(c).to_numpy() for c in ("bucket", "_i", "_j")], 1)
             bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint8).reshape(-1, perms)
+            tree = t.column("tree").to_numpy()
             ids, out_a, out_b = t.column("id").to_pylist(), [], []
             for s, e in _runs(keys):
                 if e - s < 2:
@@ -152,12 +202,7 @@ def tie(members: DataFrame, threshold: float, perms: int) -> DataFrame:
                     if int((bits[s] == bits[s + 1]).sum()) >= floor:
                         out_a.append(ids[s]), out_b.append(ids[s + 1])
                     continue
-                x = bits[s:e]
-                left, right = [], []
-                for i in range(e - s - 1):
-                    hit = np.flatnonzero((x[i + 1 :] == x[i]).sum(1) >= floor) + i + 1
-                    left.append(np.full(len(hit), i)), right.append(hit)
-                root = _forest(e - s, np.concatenate(left), np.concatenate(right))
+                root = walk(bits[s:e], tree_keys(bits[s:e, DEPTH * tree[s] : DEPTH * (tree[s] + 1)])[:, 0], depth, floor)
                 for i in np.flatnonzero(root != np.arange(e - s)).tolist():
                     out_a.append(ids[s + i]), out_b.append(ids[s + root[i]])
             yield pa.RecordBatch.from_arrays([pa.array(out_a, t.schema.field("id").type), pa.array(out_b, t.schema.field("id").type)], ["a", "b"])
@@ -195,10 +240,11 @@ def _common(sets: list[np.ndarray], rows: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def verify(members: DataFrame, threshold: float, size: int) -> DataFrame:
-    """(a, b, links): rows (a, root, 0) are spanning edges, rows (a, null, links) a text's links in this block pair.
+def verify(members: DataFrame, threshold: float, size: int, depth: int) -> DataFrame:
+    """(a, b, links, met): rows (a, root, 0) are spanning edges, rows (a, null, links) a text's links in this block pair.
 
-    `members` has (comp, _i, _j, _block, id, copies, text).
+    Rows (null, null, links, met) count the links by the number of trees (3: or more) in which they share a prefix of
+    `depth`. `members` has (comp, _i, _j, _block, id, copies, bits, text).
     """
     id_type = members.schema["id"].dataType.simpleString()
     dealt = members.repartition(F.col("comp"), F.col("_i"), F.col("_j")).sortWithinPartitions("comp", "_i", "_j", "_block", "id")
@@ -209,7 +255,8 @@ def verify(members: DataFrame, threshold: float, size: int) -> DataFrame:
             keys = np.stack([t.column(c).to_numpy() for c in ("comp", "_i", "_j")], 1)
             blocks, copies = t.column("_block").to_numpy(), t.column("copies").to_numpy()
             ids, texts = t.column("id"), t.column("text")
-            a, b, links = [], [], []
+            bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+            a, b, links, seen = [], [], [], np.zeros(4, np.int64)
             for s, e in _runs(keys):
                 if e - s < 2:
                     continue
@@ -230,14 +277,19 @@ def verify(members: DataFrame, threshold: float, size: int) -> DataFrame:
                     got += near.T @ c[:twin]
                 left, right = np.nonzero(near)
                 root = _forest(e - s, left, right)
+                if len(left):
+                    key = tree_keys(bits[s:e]) >> np.uint64(8 * (DEPTH - depth))
+                    once = left < right  # a single block has each pair twice
+                    seen += np.bincount(np.minimum((key[left[once]] == key[right[once]]).sum(1), 3), minlength=4)
                 for i in np.flatnonzero(got).tolist():
                     a.append(own[i]), b.append(None), links.append(int(got[i]))
                 for i in np.flatnonzero(root != np.arange(e - s)).tolist():
                     a.append(own[i]), b.append(own[root[i]]), links.append(0)
-            kind = t.schema.field("id").type
-            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind), pa.array(links, pa.int64())], ["a", "b", "links"])
+            kind, met = t.schema.field("id").type, [None] * len(a) + [0, 1, 2, 3]
+            a, b, links = a + [None] * 4, b + [None] * 4, links + seen.tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind), pa.array(links, pa.int64()), pa.array(met, pa.int32())], ["a", "b", "links", "met"])
 
-    return dealt.mapInArrow(run, f"a {id_type}, b {id_type}, links long")
+    return dealt.mapInArrow(run, f"a {id_type}, b {id_type}, links long, met int")
 
 
 def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, size: int = 5, trees: int = TREES, recall: float = RECALL) -> DataFrame:
@@ -251,23 +303,27 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     `key` must be a bigint that is unique and not null.
     """
     depth = prefix_depth(threshold, trees, DEPTH, recall)
-    perms = trees * depth
-    sig = written(signatures(docs, key, text, size, trees, depth), "signatures")
+    perms = trees * DEPTH
+    sig = written(signatures(docs, key, text, size, trees), "signatures")
     worded = sig.where("fp is not null")
     classes = worded.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     hashes = sig.join(classes.select(F.col("rep").alias("id"), "copies"), "id")
-    hashes = written(hashes.select("id", "copies", "n", "prefixes", "bits"), "representatives")
-    prefixes = hashes.select("id", F.explode("prefixes").alias("bucket"))
-    shared = prefixes.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    members = in_blocks(prefixes.join(shared, "bucket"), "bucket", "members").join(hashes.select("id", "bits"), "id")
-    tied = tie(members, threshold, perms)
-    comps = connected_components(tied)
-    sizes = comps.groupBy("component").agg(F.count("*").alias("members"))
-    grouped = in_blocks(comps.select("id", F.col("component").alias("comp")).join(sizes.withColumnRenamed("component", "comp"), "comp"), "comp", "members")
-    known = grouped.join(hashes.select("id", "copies"), "id")
+    hashes = written(hashes.select("id", "copies", "bits"), "representatives")
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    checked = written(verify(known.join(texts, "id"), threshold, size), "verified")
-    links = checked.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+    while True:
+        roots = prefixes(hashes, trees, depth)
+        shared = roots.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+        members = in_blocks(roots.join(shared, "bucket"), "bucket", "members").join(hashes.select("id", "bits"), "id")
+        comps = connected_components(tie(members, threshold, perms, depth))
+        sizes = comps.groupBy("component").agg(F.count("*").alias("members"))
+        grouped = in_blocks(comps.select("id", F.col("component").alias("comp")).join(sizes.withColumnRenamed("component", "comp"), "comp"), "comp", "members")
+        known = grouped.join(hashes, "id")
+        checked = written(verify(known.join(texts, "id"), threshold, size, depth), "verified")
+        met = {r.met: r.links for r in checked.where("met is not null").groupBy("met").agg(F.sum("links").alias("links")).collect()}  # four rows
+        if depth == 1 or recall_of(met, trees) >= recall:
+            break
+        depth -= 1
+    links = checked.where("a is not null and b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     linked = connected_components(checked.where("b is not null").select("a", "b"))
     per_rep = classes.join(links, "rep", "left").join(linked.select(F.col("id").alias("rep"), "component"), "rep", "left")
     per_rep = per_rep.select("fp", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))

@@ -182,6 +182,29 @@ def test_forest(spark, odd, empty, monkeypatch):
     assert lsh_forest.similarity_classes(empty).count() == 0
 
 
+def test_forest_shortens_prefixes(spark, monkeypatch):
+    # 3 trees of 8 levels miss pairs in this cluster; the links met in no tree show it
+    rnd = random.Random(7)
+    rows = [(i, " ".join(f"z{i}-{k}" if k in cut else f"v{k}" for k in range(150))) for i in range(60) for cut in [rnd.sample(range(150), rnd.randint(0, 3))]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    monkeypatch.setattr(lsh_forest, "prefix_depth", lambda *_: 8)
+    used, prefixes = [], lsh_forest.prefixes
+    monkeypatch.setattr(lsh_forest, "prefixes", lambda h, t, d: used.append(d) or prefixes(h, t, d))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in lsh_forest.similarity_classes(df, trees=3).collect()}
+    assert got == classes_by_brute_force(rows) and used == list(range(8, 8 - len(used), -1)) and len(used) > 1
+
+
+def test_forest_walks_all_levels():
+    rng = np.random.default_rng(2)
+    bits = rng.integers(0, 3, (200, 24), dtype=np.uint8)
+    key = lsh_forest.tree_keys(bits[:, :8])[:, 0]
+    for depth in (1, 3, 5):
+        root = lsh_forest.walk(bits, key, depth, 12)
+        left, right = np.nonzero(((bits[:, None] == bits[None]).sum(2) >= 12) & (key[:, None] >> np.uint64(8 * (8 - depth)) == key[None] >> np.uint64(8 * (8 - depth))))
+        assert (root == lsh_forest._forest(200, left, right)).all()
+    assert lsh_forest.recall_of({}, 24) == 1 and lsh_forest.recall_of({0: 1, 3: 99}, 24) == 0.99 and lsh_forest.recall_of({1: 10, 2: 4, 3: 50}, 24) < 0.9
+
+
 def test_exact(spark, odd, empty, texts):
     def norm(t):
         return re.sub("[\x20\x09-\x0d]", "", t or "")
