@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,6 +66,62 @@ def knn_join(queries: DataFrame, rows: DataFrame, key: str, features: list[str],
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("id").alias(key), "own", "rank", "neighbour", "other", "distance")
 
 
+def _nearest(asked: pd.DataFrame, rows: pd.DataFrame, k: int, features: int) -> pd.DataFrame:
+    """(id, own, neighbour, other, distance): the k nearest of `rows` to each of `asked`; both are id, label and features."""
+    found = [np.empty((0, 5))]
+    rows = rows.sort_values(rows.columns[0], kind="stable")
+    ids, labels = rows.iloc[:, 0].to_numpy(), rows.iloc[:, 1].to_numpy()
+    for s in range(0, len(asked) if len(ids) else 0, STEP):
+        a = asked.iloc[s : s + STEP]
+        far = np.zeros((len(a), len(ids)))
+        for f in range(features):
+            far += (a.iloc[:, f + 2].to_numpy()[:, None] - rows.iloc[:, f + 2].to_numpy()[None]) ** 2
+        far = np.round(np.sqrt(far), 9)
+        far[a.iloc[:, 0].to_numpy()[:, None] == ids[None]] = np.inf
+        worst = np.partition(far, k - 1, axis=1)[:, k - 1] if k < len(ids) else np.full(len(a), np.inf)
+        q, r = np.nonzero((far <= worst[:, None]) & np.isfinite(far))
+        order = np.lexsort((r, far[q, r], q))  # rows are in the order of their ids
+        q, r = q[order], r[order]
+        kept = np.arange(len(q)) - np.searchsorted(q, np.arange(len(a)))[q] < k
+        q, r = q[kept], r[kept]
+        found.append(np.column_stack([a.iloc[:, 0].to_numpy()[q], a.iloc[:, 1].to_numpy()[q], ids[r], labels[r], far[q, r]]))
+    out = pd.DataFrame(np.concatenate(found), columns=["id", "own", "neighbour", "other", "distance"])
+    return out.astype({c: "int64" for c in ("id", "own", "neighbour", "other")})
+
+
+def knn_strips(queries: DataFrame, rows: DataFrame, key: str, features: list[str], k: int, label: str, strip_rows: int = 5000) -> DataFrame:
+    """The same as `knn_join`, for query sets as large as the rows.
+
+    Rows are dealt to strips of about `strip_rows` along the first feature. A query takes the k best of its own strip;
+    with the k-th distance it then visits the strips within reach, all of them if its own has fewer than k rows.
+    """
+    usable, x = [key, label, *features], features[0]
+    tidy = lambda d: d.select(F.col(key).cast("long"), F.col(label).cast("long"), *(F.col(f).cast("double") for f in features)).dropna(subset=usable)
+    asked, rows = tidy(queries), tidy(rows)
+    n = max(1, rows.count() // strip_rows)
+    cuts = np.unique(np.array(rows.agg(F.percentile_approx(x, [i / n for i in range(1, n)], 100 * n)).first()[0] or [], float)) if n > 1 else np.empty(0)  # one number a strip
+    strip = F.pandas_udf(lambda v: pd.Series(np.searchsorted(cuts, v.to_numpy(), side="right")), "int")
+    schema = "id long, own long, neighbour long, other long, distance double"
+    parts = rows.withColumn("_strip", strip(x))
+
+    def meet(some: DataFrame) -> DataFrame:
+        def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+            return _nearest(q[usable], r[usable], k, len(features))
+
+        return some.groupBy("_strip").cogroup(parts.groupBy("_strip")).applyInPandas(run, schema)
+
+    own = asked.withColumn("_strip", strip(x))
+    first = meet(own).persist()
+    reach = first.groupBy(F.col("id").alias(key)).agg(F.when(F.count("*") == k, F.max("distance") + 1e-8).alias("_r"))
+    wide = own.join(reach, key, "left")
+    low, high = (F.coalesce(strip(F.col(x) + s * F.col("_r")), F.lit(e)) for s, e in ((-1, 0), (1, len(cuts))))
+    ends = wide.withColumns({"_low": F.when(F.col("_r").isNull(), 0).otherwise(low), "_high": F.when(F.col("_r").isNull(), len(cuts)).otherwise(high)})
+    visits = ends.withColumn("_to", F.explode(F.sequence("_low", "_high"))).where("_to <> _strip").select(*usable, F.col("_to").alias("_strip"))
+    out = first.union(meet(visits))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("id").alias(key), "own", "rank", "neighbour", "other", "distance")
+
+
 def standardized(df: DataFrame, features: list[str], places: int = 6) -> DataFrame:
     """`features` as z-scores (population deviation, constant: 0), rounded; the row of statistics is broadcast."""
     stats = df.agg(*(F.avg(f).alias(f"{f}__m") for f in features), *(F.stddev_pop(f).alias(f"{f}__s") for f in features))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from equilens.operators.models import interpolations
-from equilens.operators.neighbours import knn_join
+from equilens.operators.neighbours import knn_join, knn_strips
 from equilens.operators.perturbation import share_of
 
 
@@ -29,24 +29,25 @@ def _mixed(bases: DataFrame, near: DataFrame, rows: DataFrame, key: str, feature
 def smote(df: DataFrame, bases: DataFrame, key: str, features: list[str], label: str, k: int = 5) -> DataFrame:
     """(base, copy, features, label): about as many new rows as the smaller class lacks, each between a base and one of its k neighbours of that class.
 
-    `bases` is the stated query set; those of the smaller class share the new rows evenly, up to a draw by a hash.
+    Every row of `bases` of the smaller class is a base; they share the new rows evenly, up to a draw by a hash.
     """
     small, lacking = _missing(df, label)
     own, asked = df.where(F.col(label) == small), bases.where(F.col(label) == small)
     each = lacking / max(asked.count(), 1)
     copies = F.floor(F.lit(each)) + (share_of(key, "copies") < each % 1).cast("int")
     asked = asked.withColumn("_copies", copies.cast("int"))
-    return _mixed(asked.where("_copies > 0"), knn_join(asked, own, key, features, k, label), own, key, features, label, small)
+    return _mixed(asked.where("_copies > 0"), knn_strips(asked, own, key, features, k, label), own, key, features, label, small)
 
 
 def adasyn(df: DataFrame, bases: DataFrame, key: str, features: list[str], label: str, k: int = 5) -> DataFrame:
-    """As `smote`, but a base makes new rows in proportion to the share of the other class among its k neighbours of any class."""
+    """As `smote`, but a base makes new rows in proportion to the share of the other class among its k neighbours of any class, up to a draw by a hash."""
     small, lacking = _missing(df, label)
     own, asked = df.where(F.col(label) == small), bases.where(F.col(label) == small)
-    hard = knn_join(asked, df, key, features, k, label).groupBy(key).agg(F.avg((F.col("other") != small).cast("int")).alias("_r"))
+    hard = knn_strips(asked, df, key, features, k, label).groupBy(key).agg(F.avg((F.col("other") != small).cast("int")).alias("_r"))
     total = hard.agg(F.sum("_r")).first()[0] or 0.0
-    asked = asked.join(hard.withColumn("_copies", F.round(F.col("_r") / max(total, 1e-12) * lacking).cast("int")), key)
-    return _mixed(asked.where("_copies > 0"), knn_join(asked, own, key, features, k, label), own, key, features, label, small)
+    hard = hard.withColumn("_each", F.col("_r") / max(total, 1e-12) * lacking)
+    asked = asked.join(hard.withColumn("_copies", (F.floor("_each") + (share_of(key, "copies") < F.col("_each") % 1).cast("int")).cast("int")), key)
+    return _mixed(asked.where("_copies > 0"), knn_strips(asked, own, key, features, k, label), own, key, features, label, small)
 
 
 def n4(df: DataFrame, key: str, features: list[str], label: str, every: int) -> DataFrame:

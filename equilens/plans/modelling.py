@@ -75,6 +75,14 @@ def _grown(op: Callable[..., DataFrame]) -> Callable[[DataFrame], DataFrame]:
     return run
 
 
+def _made(op: Callable[..., DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    def run(df: DataFrame) -> DataFrame:
+        z = _z(df)
+        return op(z, z, "row_id", FEATURES, "target")
+
+    return run
+
+
 def queries() -> dict[str, Query]:
     def on(op: Callable[[DataFrame], DataFrame]) -> Query:
         return lambda spark, sf_dir: op(view(spark, sf_dir, "v_knn"))
@@ -88,8 +96,8 @@ def queries() -> dict[str, Query]:
         "cv_out_of_fold": on(_out_of_fold),
         "mit_before_after": on(_reweighted),
         "mit_exp_gradient": on(_constrained),
-        "mit_smote": on(_grown(Y.smote)),
-        "mit_adasyn": on(_grown(Y.adasyn)),
+        "mit_smote": on(_made(Y.smote)),
+        "mit_adasyn": on(_made(Y.adasyn)),
         **{f"mit_threshold_{c}": (lambda spark, sf_dir, c=c: H.fit_thresholds(view(spark, sf_dir, "v_pred"), "grp_b", "y_true", "y_proba", c)) for c in H.CONSTRAINTS},
         "pca_2d": on(lambda d: M.pca_2d(d, FEATURES)[1].withColumn("explained", F.round("explained", 4))),
         "cx_l1_l2_l3": on(lambda d: M.complexity_l(_z(d), "row_id", FEATURES, "target")),

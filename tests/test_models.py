@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from equilens.operators import models as M
+from equilens.operators import neighbours as N
 from equilens.operators import synthesis as Y
 from equilens.operators import thresholds as H
+from equilens.plans import modelling
 from equilens.sources import results as R
 
 
@@ -54,6 +56,23 @@ def test_new_rows_lie_within_the_smaller_class(biased, op):
     assert all(own[0] - 1e-9 <= r.x <= own[1] + 1e-9 and own[2] - 1e-9 <= r.u <= own[3] + 1e-9 and r.y == 1 for r in made)
 
 
+@pytest.mark.parametrize("name", ["mit_smote", "mit_adasyn"])
+def test_every_row_of_the_smaller_class_is_a_base(spark, tmp_path, name):
+    # odd ids only: none is divisible by 50
+    rows = [(2 * i + 1, i % 7, "F" if i % 4 == 0 else "O", float(i * 37 % 1000)) for i in range(400)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(i, i * 100.0, "s") for i in range(7)], "c_custkey long, c_acctbal double, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    made = modelling.queries()[name](spark, str(tmp_path)).collect()
+    assert 160 <= len(made) <= 240 and len({r.base for r in made}) > (95 if name == "mit_smote" else 60)
+    assert {r.base for r in made} <= {2 * i + 1 for i in range(0, 400, 4)}
+
+
+def test_strips_agree_with_the_join(biased):
+    for k, size in ((5, 40), (5, 3), (1, 10**6)):
+        a, b = (sorted(map(tuple, d.collect())) for d in (N.knn_strips(biased, biased, "id", ["x", "u"], k, "y", size), N.knn_join(biased, biased, "id", ["x", "u"], k, "y")))
+        assert a == b and len(a) == 600 * k
+
+
 def test_results_and_pairs(spark, tmp_path):
     (tmp_path / "r").mkdir()
     base = {"dataset": "d", "status": "ok", "fairness_metrics": {"sex": {"dp": 0.2}}}
