@@ -5,6 +5,8 @@ DataFrame and SQL functions only.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,15 +58,57 @@ def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     return rows.select("template", "license", bigrams(words(normalised(F.col("text")))).alias("bigrams")).withColumn("size", F.size("bigrams")).where("size > 0")
 
 
+def anchors(templates: DataFrame, low: float) -> list[str]:
+    """Bigrams of which a text must have one to hold a window that reaches the bound: more of each template than the window may lack."""
+    found = set()
+    for t in templates.select("bigrams").collect():  # a few hundred texts
+        spare = len(t.bigrams) - math.ceil(low * len(t.bigrams) - 1e-9)
+        for b in sorted(set(t.bigrams), key=lambda b: (-len(b), b)):
+            if spare < 0:
+                break
+            found.add(b)
+            spare -= t.bigrams.count(b)
+    return sorted(found)
+
+
+def best_windows(hits: Column, size: Column, low: float, high: float) -> Column:
+    """For each hit with enough others near by, the best window that starts there: array of (start, end, dice).
+
+    `hits` has (pos, lag) in order; a hit counts in a window that starts after `lag`, the place of the occurrence that it repeats too often.
+    """
+    need = F.ceil(size * low - 1e-9).cast("int")
+
+    def grow(first: Column, rest: Column) -> Column:
+        start = F.struct(F.lit(0).alias("c"), F.lit(-1).alias("end"), F.lit(0.0).alias("dice"))
+
+        def add(acc: Column, k: Column) -> Column:
+            c = acc["c"] + (k["lag"] < first["pos"]).cast("int")
+            dice = 2.0 * c / (k["pos"] - first["pos"] + 1 + size)
+            better = dice > acc["dice"]
+            return F.struct(c.alias("c"), F.when(better, k["pos"]).otherwise(acc["end"]).alias("end"), F.when(better, dice).otherwise(acc["dice"]).alias("dice"))
+
+        return F.aggregate(rest, start, add, lambda a: F.struct(first["pos"].alias("start"), a["end"].alias("end"), a["dice"].alias("dice")))
+
+    dense = lambda h, x: F.get(hits, x + need - 1)["pos"] - h["pos"] + 1 <= size * high + 1e-9  # noqa: E731  null beyond the last hit
+    each = F.transform(hits, lambda h, x: F.when(dense(h, x), grow(h, F.slice(hits, x + 1, F.floor(size * high).cast("int") + 1))))
+    return F.filter(each, lambda w: w.isNotNull())
+
+
 def scan(docs: DataFrame, templates: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """(key, license, dice, pieces): licenses found in a text, the best coefficient, and how many of its pieces have it.
 
-    The pieces of a text are its lines, its paragraphs of several lines, and
-    the whole text. A piece of a bigrams can reach `least` only with templates
-    of b bigrams for which least / (2 - least) <= a / b <= (2 - least) / least;
-    all others are pruned before the bigrams meet in an equi-join, which counts
-    the common ones. A null text counts as empty; a piece of fewer than two
-    words matches nothing. Repeated rows of one key count together.
+    The pieces of a text are its lines, its paragraphs of several lines, the
+    whole text, and windows that start and end at any word. A piece of a bigrams
+    can reach `least` only with templates of b bigrams for which
+    least / (2 - least) <= a / b <= (2 - least) / least; all others are pruned
+    before the bigrams meet in an equi-join, which counts the common ones.
+    Windows are grown from each hit of a template that has enough other hits
+    within that size; of windows that overlap, the best one counts. Lines,
+    paragraphs and the whole text come first: where one of them has a license,
+    `dice` is theirs, and `pieces` the larger of their number and that of the
+    windows (which lie within them too). A null text counts as empty; a piece
+    of fewer than two words matches nothing. Repeated rows of one key count
+    together.
     """
     low, high = least / (2 - least), (2 - least) / least
     norm = docs.select(F.col(key).alias("id"), normalised(F.col(text)).alias("norm"))
@@ -80,12 +124,25 @@ def scan(docs: DataFrame, templates: DataFrame, key: str = "doc_id", text: str =
     split = F.transform(likely, lambda x: F.struct(x["level"].alias("level"), x["n"].alias("n"), words(x["piece"]).alias("w")))
     fit = F.filter(split, lambda x: (F.size(x["w"]) - 1).between(least_size - 1e-9, most_size + 1e-9))
     paired = F.transform(fit, lambda x: F.struct(x["level"].alias("level"), x["n"].alias("n"), bigrams(x["w"]).alias("b")))
+    anywhere = F.array(F.struct(F.lit("window").alias("level"), F.lit(0).alias("n"), bigrams(words(F.col("norm"))).alias("b")))
+    some = F.array(*map(F.lit, anchors(templates, low))).cast("array<string>")
+    paired = F.concat(paired, F.filter(anywhere, lambda x: F.arrays_overlap(x["b"], some)))
     sized = norm.select("id", F.monotonically_increasing_id().alias("row"), F.inline_outer(paired)).where("b IS NOT NULL").withColumn("a", F.size("b"))  # the inner form would build the pieces again to filter empty ones
-    each = sized.select("id", "row", "level", "n", "a", F.explode("b").alias("bigram"))
+    each = sized.select("id", "row", "level", "n", "a", F.posexplode("b").alias("pos", "bigram"))
     index = templates.select("template", "license", "size", F.explode("bigrams").alias("bigram")).groupBy("template", "license", "size", "bigram").agg(F.count("*").alias("here"))
-    met = each.join(F.broadcast(index), "bigram").where((F.col("a") >= F.col("size") * low - 1e-9) & (F.col("a") <= F.col("size") * high + 1e-9))  # the templates are a parameter: a few hundred texts
-    counted = met.groupBy("id", "row", "level", "n", "a", "template", "license", "size", "bigram", "here").agg(F.count("*").alias("there"))
-    common = counted.groupBy("id", "row", "level", "n", "a", "template", "license", "size").agg(F.sum(F.least("here", "there")).alias("c"))
-    dice = common.withColumn("dice", 2.0 * F.col("c") / (F.col("a") + F.col("size"))).where(F.col("dice") >= least)
-    per_piece = dice.groupBy("id", "row", "level", "n", "license").agg(F.max("dice").alias("dice"))
-    return per_piece.groupBy("id", "license").agg(F.max("dice").alias("dice"), F.count("*").alias("pieces")).withColumnRenamed("id", key)
+    window = F.col("level") == "window"
+    met = each.join(F.broadcast(index), "bigram").where(window | (F.col("a") >= F.col("size") * low - 1e-9) & (F.col("a") <= F.col("size") * high + 1e-9))  # the templates are a parameter: a few hundred texts
+    counted = met.groupBy("id", "row", "level", "n", "a", "template", "license", "size", "bigram", "here").agg(F.count("*").alias("there"), F.sort_array(F.collect_list("pos")).alias("at"))
+    here = F.col("here").cast("int")
+    placed = F.when(window, F.transform("at", lambda p, x: F.struct(p.alias("pos"), F.when(x >= here, F.get(F.col("at"), x - here)).otherwise(-1).alias("lag"))))
+    common = counted.groupBy("id", "row", "level", "n", "a", "template", "license", "size").agg(F.sum(F.least("here", "there")).alias("c"), F.array_sort(F.flatten(F.collect_list(placed))).alias("hits"))
+    hold = common.where(F.col("c") >= F.col("size") * low - 1e-9)
+    one = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), (2.0 * F.col("c") / (F.col("a") + F.col("size"))).alias("dice")))
+    found = hold.select("id", "row", "level", "n", "template", "license", F.inline(F.when(window, best_windows(F.col("hits"), F.col("size"), low, high)).otherwise(one)))
+    per_piece = found.where(F.col("dice") >= least).groupBy("id", "row", "level", "n", "license").agg(F.max("dice").alias("dice"), F.collect_list(F.struct("dice", "start", "end", "template")).alias("ws"))
+    before = lambda v, w: (v["dice"] > w["dice"]) | (v["dice"] == w["dice"]) & (F.struct(v["start"], v["end"], v["template"]) < F.struct(w["start"], w["end"], w["template"]))
+    unbeaten = F.filter("ws", lambda w: ~F.exists("ws", lambda v: (v["start"] <= w["end"]) & (v["end"] >= w["start"]) & before(v, w)))
+    pieces = per_piece.select("id", "license", window.alias("window"), "dice", F.when(window, F.size(unbeaten)).otherwise(1).alias("k"))
+    of = lambda f, c, w: f(F.when(F.col("window") == w, F.col(c)))
+    t = pieces.groupBy("id", "license").agg(F.coalesce(of(F.max, "dice", False), F.max("dice")).alias("dice"), F.greatest(of(F.sum, "k", False), of(F.sum, "k", True)).cast("long").alias("pieces"))
+    return t.withColumnRenamed("id", key)

@@ -242,6 +242,41 @@ def test_license(spark, odd, empty):
     assert license_scan.scan(empty, license_scan.template_table(spark)).count() == 0 and license_scan.scan(odd, license_scan.template_table(spark)).count() == 0
 
 
+def test_license_anywhere(spark):
+    mit, apache = license_scan.TEMPLATES[3][1], license_scan.TEMPLATES[2][1]
+    w = [f"w{i}" for i in range(60)]
+    docs = [
+        " ".join([*w, mit, *w]),
+        " ".join([*w, mit, mit, *w, mit.replace("Released", "released  UNDER\n").replace("under ", "", 1)]),
+        "\n".join([" ".join(w), *apache.replace(" You may", "\n\nYou may").replace(" Unless", "\n\nUnless").split("\n"), " ".join(w)]),
+        " ".join([*w, "released the license under mit", *w]),
+        "Foo.\n" + mit + "\n" + " ".join([*w, mit]),
+    ]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {(r.doc_id, r.license): (round(r.dice, 6), r.pieces) for r in license_scan.scan(df, license_scan.template_table(spark)).collect()}
+    assert got == {(0, "MIT"): (1.0, 1), (1, "MIT"): (1.0, 3), (2, "Apache-2.0"): (1.0, 1), (4, "MIT"): (1.0, 2)}
+
+    def pairs(t):
+        x = re.findall(r"[^\W_]+", t.lower())
+        return [" ".join(p) for p in zip(x, x[1:])]
+
+    rnd = random.Random(4)
+    templates = [("A", "a b c d e"), ("B", "a b a b c a b d"), ("C", "d e d e d e a")]
+    noise = lambda n: [rnd.choice("abcdexyz") for _ in range(rnd.randint(0, n))]
+    many = [" ".join([*noise(12), *(w for w in rnd.choice(templates)[1].split() if rnd.random() < 0.95), *noise(12), "x"]) for _ in range(120)]
+    table = spark.range(1).selectExpr("inline(array(" + ", ".join(f"struct({i} AS template, '{n}' AS license, array({', '.join(map(repr, pairs(t)))}) AS bigrams)" for i, (n, t) in enumerate(templates)) + "))").selectExpr("*", "size(bigrams) AS size")
+    got = {(r.doc_id, r.license): r.dice for r in license_scan.scan(spark.createDataFrame(list(enumerate(many)), "doc_id long, text string"), table).collect()}
+    want = {}
+    for i, t in enumerate(many):
+        for name, text in templates:
+            a, b = pairs(t), pairs(text)
+            dice = lambda p: 2 * sum(min(p.count(x), b.count(x)) for x in set(p)) / (len(p) + len(b))
+            best = dice(a) if a and dice(a) >= 0.8 else max((dice(a[x:y]) for x in range(len(a)) for y in range(x + 1, len(a) + 1)), default=0)
+            if best >= 0.8:
+                want[i, name] = best
+    assert len(want) > 20 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_language(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(docs.where(~langid.held_out()))
