@@ -116,6 +116,7 @@ def scan(docs: DataFrame, templates: DataFrame, key: str = "doc_id", text: str =
     paragraphs = F.transform(F.split("norm", r"\n(?: ?\n)+"), lambda x, i: F.struct(F.lit("paragraph").alias("level"), i.alias("n"), x.alias("piece")))
     several = F.filter(paragraphs, lambda x: x["piece"].contains("\n"))
     whole = F.filter(F.array(F.struct(F.lit("whole").alias("level"), F.lit(0).alias("n"), F.col("norm").alias("piece"))), lambda x: x["piece"].rlike(r"\n ?\n"))
+    whole = F.transform(whole, lambda x: F.struct(x["level"].alias("level"), x["n"].alias("n"), F.regexp_replace(x["piece"], r"[ \n]+", " ").alias("piece")))  # runs of blank lines are one gap
     bound = templates.agg(F.min("size"), F.max("size")).first()
     least_size, most_size = (bound[0] * low, bound[1] * high) if bound[0] else (1.0, 0.0)
     # one expression, so that a piece is split once; what size excludes never becomes a row

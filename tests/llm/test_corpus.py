@@ -251,10 +251,11 @@ def test_license_anywhere(spark):
         "\n".join([" ".join(w), *apache.replace(" You may", "\n\nYou may").replace(" Unless", "\n\nUnless").split("\n"), " ".join(w)]),
         " ".join([*w, "released the license under mit", *w]),
         "Foo.\n" + mit + "\n" + " ".join([*w, mit]),
+        apache.replace(" Unless", "\n" * 700 + "Unless"),
     ]
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     got = {(r.doc_id, r.license): (round(r.dice, 6), r.pieces) for r in license_scan.scan(df, license_scan.template_table(spark)).collect()}
-    assert got == {(0, "MIT"): (1.0, 1), (1, "MIT"): (1.0, 3), (2, "Apache-2.0"): (1.0, 1), (4, "MIT"): (1.0, 2)}
+    assert got == {(0, "MIT"): (1.0, 1), (1, "MIT"): (1.0, 3), (2, "Apache-2.0"): (1.0, 1), (4, "MIT"): (1.0, 2), (5, "Apache-2.0"): (1.0, 1)}
 
     def pairs(t):
         x = re.findall(r"[^\W_]+", t.lower())
