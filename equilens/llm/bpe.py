@@ -3,13 +3,13 @@
 A batch's distinct pieces are sorted into buckets by length and laid out as
 padded integer matrices, a row for each piece. In every round each row merges
 its leftmost pair of least rank, looked up in an open-addressing hash table of
-pairs; the rows are then compacted and finished rows leave the matrix.
+pairs; the rows are then compacted and finished rows leave the matrix. A piece
+longer than a row is a matrix of its own.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -19,8 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A piece of more bytes than this is merged with a heap (n log n) instead of a matrix row (n rounds of n).
-LONG_PIECE = 256
+#: Cells of a matrix row; a longer piece is a matrix of its own.
+WIDE = 1024
 #: Distinct pieces that a worker remembers; on overflow it starts anew.
 CACHE = 300_000
 #: Matrix cells of one bucket.
@@ -41,10 +41,8 @@ class Bpe:
         self.token = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
             self.token[i] = token
-        self.digits = [str(i) for i in range(len(self.token))]
         self.of_byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-        self.pairs = pairs
         keys = np.array([a << 32 | b for a, b in pairs], np.int64)
         values = np.fromiter(pairs.values(), np.int32, len(pairs))
         self.bits = max(4, int(len(keys) * 3).bit_length())
@@ -122,25 +120,59 @@ class Bpe:
             rank[every[last], at[last]] = NONE
         return out[np.arange(out.shape[1]) < ends[:, None]], ends
 
-    def _heap(self, piece: bytes) -> tuple[int, ...]:
-        """The same merges for one very long piece, by a heap over a linked list."""
-        ids = self.of_byte[np.frombuffer(piece, np.uint8)].tolist()
-        n, pairs = len(ids), self.pairs
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := pairs.get((ids[i], ids[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i] if ids[i] == a else n
-            if j >= n or ids[j] != b:
-                continue
-            ids[i], ids[j], after[i] = r, -1, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for p, q in ((before[i], i), (i, after[i])):
-                if p >= 0 and q < n and (s := pairs.get((ids[p], ids[q]))) is not None:
-                    heapq.heappush(heap, (s, p, ids[p], ids[q]))
-        return tuple(i for i in ids if i >= 0)
+    def _wide(self, piece: bytes) -> np.ndarray:
+        """The ids of one long piece, laid out as a matrix of many rows that are one chain of cells.
+
+        A round takes the pairs of least rank of the whole chain from the left
+        and merges them, up to the first merge that makes a pair of lesser rank:
+        the same merges, in the same order, as one leftmost pair a round. Only
+        rows that hold such a pair are looked at; when half of all cells have
+        been merged away the chain is compacted.
+        """
+        ids = self.of_byte[np.frombuffer(piece, np.uint8)]
+        while True:
+            n = len(ids)
+            rows = -(-(n + 1) // WIDE)
+            cells = np.full(rows * WIDE, -1, np.int32)
+            cells[:n] = ids
+            rank = np.full(rows * WIDE, NONE, np.int32)
+            rank[: n - 1] = self.rank_of_pairs(ids[:-1], ids[1:])
+            after, before, alive = np.arange(1, n + 2), np.arange(-1, n), n
+            after[n - 1 :] = n  # cell n stands for the end
+            table = rank.reshape(rows, WIDE)
+            least = table.min(1)
+            while 2 * alive > n or alive < WIDE:
+                r = least.min()
+                if r == NONE:
+                    return cells[:n][cells[:n] >= 0]
+                hit = np.flatnonzero(least == r)
+                i, j = np.nonzero(table[hit] == r)
+                at = hit[i] * WIDE + j
+                # of pairs that share a token every second one counts, from the left
+                chained = np.concatenate([[False], after[at[:-1]] == at[1:]])
+                first = np.maximum.accumulate(np.where(chained, 0, np.arange(len(at))))
+                at = at[(np.arange(len(at)) - first) % 2 == 0]
+                right = after[at]
+                left, beyond = before[at], after[right]
+                # what a merge meets: the merge before it on the left, the token as it is on the right
+                merged = np.concatenate([[False], (left[1:] == right[:-1])])
+                left_id = np.where(merged, r, np.where(left >= 0, cells[left], -1))
+                made_left = np.where(left >= 0, self.rank_of_pairs(left_id, np.full(len(at), r)), NONE)
+                made_right = np.where(beyond < n, self.rank_of_pairs(np.full(len(at), r), cells[beyond]), NONE)
+                lesser = np.flatnonzero((made_left < r) | (made_right < r))
+                if len(lesser):
+                    k = int(lesser[0]) + 1
+                    at, right, left, beyond = at[:k], right[:k], left[:k], beyond[:k]
+                cells[at], cells[right], rank[right] = r, -1, NONE
+                after[at], before[beyond] = beyond, at
+                alive -= len(at)
+                left = before[at]
+                touched = np.concatenate([at, left[left >= 0]])
+                end = after[touched]
+                rank[touched] = np.where(end < n, self.rank_of_pairs(cells[touched], cells[end]), NONE)
+                stale = np.unique(np.concatenate([touched, right]) // WIDE)
+                least[stale] = table[stale].min(1)
+            ids = cells[:n][cells[:n] >= 0]
 
     def learn(self, pieces: set[str]) -> None:
         """Encodes pieces that are new."""
@@ -149,14 +181,14 @@ class Bpe:
         flat, length = [], []
         for p in pieces:
             raw = p.encode("utf-8", "surrogatepass")
-            if (whole := self.ranks.get(raw)) is not None or len(raw) > LONG_PIECE:
-                ids = (whole,) if whole is not None else self._heap(raw)
+            if (whole := self.ranks.get(raw)) is not None or len(raw) > WIDE:
+                ids = np.array([whole], np.int32) if whole is not None else self._wide(raw)
                 names.append(p)
                 flat.append(ids)
                 length.append(len(ids))
             else:
                 todo.append((len(raw), p, raw))
-        flat, length = [np.array([i for ids in flat for i in ids], np.int32)], [np.array(length, np.int64)]
+        length = [np.array(length, np.int64)]
         todo.sort(key=lambda x: x[0])
         first = 0
         while first < len(todo):
@@ -261,8 +293,11 @@ def token_table(ranks: dict[bytes, int]) -> list[bytes]:
     return token
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int], pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds `out` (binary), the bytes of the ids. Null ids give no bytes."""
+def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """Adds `out` (binary), the bytes of the ids, in the place of a column of that name.
+
+    Null and empty lists of ids give no bytes; repeated rows are decoded one by one.
+    """
     shared = encoded.sparkSession.sparkContext.broadcast(ranks)
     rest = encoded.drop(out)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields), f"`{out}` binary"])

@@ -38,11 +38,40 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+def written_at(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """`df` as a Parquet table in the shared folder, and its path: cuts the lineage and survives lost executors."""
     path = shared_dir(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    return written_at(df, what)[0]
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders below the shared folder that no later step reads."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: A key is hot if it has more than one row in so many; there are fewer such keys than this.
+HOT = 1000
+
+
+def hot_join(many: DataFrame, one: DataFrame, on: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """`many` joined to `one`, which has a row for each key and the key's number of rows in `many` (`size`).
+
+    Keys with more than a thousandth of all `total` rows meet their partner by
+    broadcast (at most a thousand rows of `one`), so that none of them is
+    gathered in a task; all other keys are shuffled. `how` is inner or left.
+    """
+    is_hot = F.col(size) * HOT > total
+    hot = F.broadcast(one.where(is_hot).withColumn("_hot", F.lit(True)))
+    met = many.join(hot, on, "left")
+    rest = many.join(F.broadcast(one.where(is_hot).select(on)), on, "left_anti").join(one.where(~is_hot), on, how)
+    return met.where("_hot").drop("_hot").unionByName(rest)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -51,21 +80,25 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Alternating large-star and small-star steps: every round is two groupings
     and two joins over the edges, whose number never grows; the number of
     rounds is logarithmic in the longest chain. Each round is written to the
-    shared folder, so a lost executor costs one round at most. Nothing but the
-    count of changed edges comes to the driver.
+    shared folder, so a lost executor costs one round at most, and the round
+    before is deleted. A node with many neighbours meets them by `hot_join`.
+    Nothing but counts of edges comes to the driver.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = written(e, "cc")
+    spark = edges.sparkSession
+    e, path = written_at(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "cc")
     while True:
+        n = e.count()
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("_n"))
+        large = hot_join(both.where("v > u"), least, "u", "_n", n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # large-star links a node's larger neighbours to its least neighbour; small-star the smaller ones and itself
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("s")).select("s.*").where("u <> v").distinct()
-        small = written(small, "cc")
-        same = small.exceptAll(e).isEmpty() and e.exceptAll(small).isEmpty()
-        e = small
+        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
+        star = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        small = hot_join(large, down, "u", "_n", n).select(F.explode(star).alias("s")).select("s.*").where("u <> v").distinct()
+        small, new_path = written_at(small, "cc")
+        same = small.count() == n and small.exceptAll(e).isEmpty()
+        removed(spark, path)
+        e, path = small, new_path
         if same:
             break
     nodes = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
