@@ -48,7 +48,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's ids, and whether they decode to its text."""
     ranks = bpe.read_ranks(public_tokenizers.path(VOCABULARY))
     ids = bpe.encode(docs.select("doc_id", text_or_empty().alias("text"), F.sha2(text_or_empty().cast("binary"), 256).alias("sha")), ranks, public_tokenizers.PATTERN)
-    decoded = bpe.decode(ids, ranks, public_tokenizers.PATTERN)
+    decoded = bpe.decode(ids, ranks)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("sha")).alias("round_trip"))
 
 
