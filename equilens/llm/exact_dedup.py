@@ -6,28 +6,34 @@ DataFrame and SQL functions only.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from equilens.llm.common import hot_join, written
+
 #: What the comparison ignores: space, and tab to carriage return.
-BLANKS = "[\\x20\\x09-\\x0D]+"
+BLANKS = " \t\n\v\f\r"
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_points, digest) of each row; a null text counts as empty.
 
-    `n_points` are the code points of the text as it is, `digest` the SHA-256 of its UTF-8 without blanks.
+    `n_points` are the code points of the text as it is, `digest` the 32 bytes of the SHA-256 of its UTF-8 without blanks.
     """
     raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(key, F.length(raw).cast("long").alias("n_points"), F.sha2(F.regexp_replace(raw, BLANKS, "").cast("binary"), 256).alias("digest"))
+    dense = reduce(lambda c, blank: F.replace(c, F.lit(blank), F.lit("")), BLANKS, raw)
+    return docs.select(key, F.length(raw).cast("long").alias("n_points"), F.unhex(F.sha2(dense.cast("binary"), 256)).alias("digest"))
 
 
 class DigestIndex:
     """One row for each digest ever seen: the row that stays for it, and its code points.
 
     A table of the session's catalog at `path`, clustered and sorted by digest
-    into `buckets`: a lookup reads the index side without a shuffle.
+    into `buckets`: a lookup reads the index side without a shuffle. Choose
+    `buckets` by the rows that the index is to hold (`buckets_for`). Appends add
+    a file to each bucket, which is then sorted again when it is read.
     """
 
     def __init__(self, spark: SparkSession, name: str, path: str, key_type: str = "bigint", buckets: int = 64):
@@ -35,7 +41,7 @@ class DigestIndex:
             raise ValueError("the index's name must be a plain identifier")
         self.spark, self.name, self.buckets = spark, name, buckets
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {name} (digest string, keep_id {key_type}, keep_points bigint) USING parquet "
+            f"CREATE TABLE IF NOT EXISTS {name} (digest binary, keep_id {key_type}, keep_points bigint) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
 
@@ -48,6 +54,15 @@ class DigestIndex:
         new = groups.select("digest", "keep_id", "keep_points").join(known, "digest", "left_anti")
         new.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.name)
 
+    def forget(self) -> None:
+        """Takes the table out of the catalog; its files stay at `path`."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
+def buckets_for(rows: int) -> int:
+    """Buckets of about two million digests, 64 at least."""
+    return max(64, -(-rows // 2_000_000))
+
 
 def groups_of(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row for each digest: its size, and the row of most code points, then least key.
@@ -59,35 +74,32 @@ def groups_of(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.groupBy("digest").agg(best, F.count("*").alias("group_size")).select("digest", F.col("best.id").alias("keep_id"), (-F.col("best.less")).alias("keep_points"), "group_size")
 
 
-def dedup(docs: DataFrame, index: DigestIndex, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, keep_id, group_size, kept, text_sha256), one row for each row of `docs`.
-
-    Texts are equal if they are without blanks. Of the new equal texts the
-    longest stays, then the least key; where the index has the text from an
-    earlier call, its row stays and none of the new ones does. Rows that share
-    key and text are both kept if theirs is the key that stays. `group_size`
-    counts the rows of this call. Texts are never shuffled, only digests; a
-    hot digest is split by the skew join of AQE.
-    """
-    rows = digests(docs, key, text)
-    groups = groups_of(rows, key)
-    earlier = index.read().select("digest", F.col("keep_id").alias("old_id")).hint("merge")
-    merged = groups.join(earlier, "digest", "left").select("digest", F.coalesce("old_id", "keep_id").alias("keep_id"), "group_size", F.col("old_id").isNull().alias("new"))
-    result = rows.join(merged, "digest").select(key, "keep_id", "group_size", (F.col("new") & F.col("keep_id").eqNullSafe(F.col(key))).alias("kept"), F.col("digest").alias("text_sha256"))
-    return result
-
+def ingest(docs: DataFrame, index: DigestIndex, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Decides on `docs` against the index, then appends the new digests to it.
 
-def ingest(docs: DataFrame, index: DigestIndex, out: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Decides on `docs` against the index, writes the decisions to `out`, then appends the new digests.
+    Returns (key, keep_id, group_size, kept, text_sha256), one row for each row
+    of `docs`. Texts are equal if they are without blanks; a null text counts as
+    empty. Of the new equal texts the longest stays, then the least key (a null
+    key before all others); where the index has the text from an earlier call,
+    its row stays and none of the new ones does. Rows that share key and text
+    are both kept if theirs is the key that stays. `group_size` counts the rows
+    of this call. No documents give no rows.
 
-    The decisions are written before the index changes, so that a call which
-    breaks off between the two can be repeated: the anti-join adds nothing twice.
+    Every text is hashed once; the digests are written to the shared folder, and
+    so are the groups that were decided, before the index changes: a call that
+    breaks off can be repeated, as the anti-join adds nothing twice. The result
+    reads both. Texts are never shuffled, and a digest that many rows share
+    meets them by `hot_join`.
     """
-    spark = docs.sparkSession
-    rows = digests(docs, key, text)
-    dedup(docs, index, key, text).write.mode("overwrite").parquet(out)
-    index.add(groups_of(rows, key))
-    return spark.read.parquet(out)
+    rows = written(digests(docs, key, text), "digests-of-rows")
+    earlier = index.read().select("digest", F.col("keep_id").alias("old_id"), F.lit(True).alias("old")).hint("merge")
+    decided = groups_of(rows, key).join(earlier, "digest", "left")
+    keep = F.when(F.col("old"), F.col("old_id")).otherwise(F.col("keep_id"))
+    groups = written(decided.select("digest", keep.alias("keep_id"), "keep_points", "group_size", F.col("old").isNull().alias("new")), "digest-groups")
+    index.add(groups.where("new"))
+    met = hot_join(rows, groups, "digest", "group_size", rows.count())
+    kept = F.col("new") & F.col("keep_id").eqNullSafe(F.col(key))
+    return met.select(key, "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 ORACLE = r"""

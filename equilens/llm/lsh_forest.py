@@ -9,10 +9,11 @@
    what can't be excluded at that accuracy is tied together. Pairs that a longer
    prefix has compared or tied aren't compared again. A prefix with many members
    is dealt to several tasks as pairs of blocks.
-4. Tied groups gather their shingles once, again in pairs of blocks, and every
-   pair is verified exactly. A block pair returns each text's number of links
-   and a spanning forest of them, never the pairs, and counts the links by the
-   number of trees in which they met.
+4. The texts of tied representatives are read once for their shingles, which
+   tied groups gather, again in pairs of blocks; every pair is verified exactly.
+   A block pair returns each text's number of links and a spanning forest of
+   them, never the pairs, and counts the links by the number of trees in which
+   they met.
 5. The first walk ends at the depth at which a pair at the threshold meets in
    some tree with the target recall: a shallower end can't be excused by easy
    pairs. From the counts the links that no tree has met are estimated; while
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equilens.llm.common import connected_components, written
+from equilens.llm.common import connected_components, hot_join, written
 from equilens.llm.shingles import Shingler, fingerprint, minhash
 
 TREES = 24
@@ -49,9 +50,9 @@ def prefix_depth(threshold: float, trees: int, deepest: int, recall: float) -> i
 
 
 def signatures(docs: DataFrame, key: str, text: str, size: int, trees: int) -> DataFrame:
-    """(id, fp, n, bits binary): DEPTH bytes for each tree, its key in sorted order; null fp and bits for a text without words."""
-    kept = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    id_type = kept.schema["id"].dataType.simpleString()
+    """(key, fp, bits binary): DEPTH bytes for each tree, its key in sorted order; null fp and bits for a text without words."""
+    kept = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    key_type = kept.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(size)
@@ -63,9 +64,26 @@ def signatures(docs: DataFrame, key: str, text: str, size: int, trees: int) -> D
                 low = (minhash([sets[i] for i in full], trees * DEPTH) & np.uint64(255)).astype(np.uint8)
                 for k, i in enumerate(full):
                     fps[i], bits[i] = fingerprint(sets[i]), low[k].tobytes()
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fps, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(bits, pa.binary())], ["id", "fp", "n", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(fps, pa.binary()), pa.array(bits, pa.binary())], ["key", "fp", "bits"])
 
-    return kept.mapInArrow(run, f"id {id_type}, fp binary, n int, bits binary")
+    return kept.mapInArrow(run, f"key {key_type}, fp binary, bits binary")
+
+
+def shingled(texts: DataFrame, size: int) -> DataFrame:
+    """`texts` with `shingles` (sorted 64-bit hashes) instead of `text`, and only those whose shingles have the fingerprint `fp`."""
+    rest = [f for f in texts.schema.fields if f.name not in ("text", "fp")]
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rest), "shingles binary"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(size)
+        for b in batches:
+            sets = [shingle(t) for t in b.column("text").to_pylist()]
+            same = np.flatnonzero([fingerprint(s) == fp for s, fp in zip(sets, b.column("fp").to_pylist())])
+            part = b.select([f.name for f in rest]).take(pa.array(same, pa.int64()))
+            made = pa.array([sets[i].tobytes() for i in same.tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, "shingles"])
+
+    return texts.mapInArrow(run, schema)
 
 
 def prefixes(hashes: DataFrame, trees: int, depth: int) -> DataFrame:
@@ -240,27 +258,30 @@ def _common(sets: list[np.ndarray], rows: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def verify(members: DataFrame, threshold: float, size: int, depth: int) -> DataFrame:
+def verify(members: DataFrame, threshold: float, depth: int) -> DataFrame:
     """(a, b, links, met): rows (a, root, 0) are spanning edges, rows (a, null, links) a text's links in this block pair.
 
     Rows (null, null, links, met) count the links by the number of trees (3: or more) in which they share a prefix of
-    `depth`. `members` has (comp, _i, _j, _block, id, copies, bits, text).
+    `depth`. `members` has (comp, _i, _j, _block, id, copies, bits, shingles); an id that is repeated counts once.
     """
     id_type = members.schema["id"].dataType.simpleString()
     dealt = members.repartition(F.col("comp"), F.col("_i"), F.col("_j")).sortWithinPartitions("comp", "_i", "_j", "_block", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(size)
         for t in _by_group(batches, ("comp", "_i", "_j")):
-            keys = np.stack([t.column(c).to_numpy() for c in ("comp", "_i", "_j")], 1)
+            keys = np.stack([t.column(c).to_numpy() for c in ("comp", "_i", "_j", "id")], 1)
+            once = np.concatenate([[True], np.any(keys[1:] != keys[:-1], axis=1)])
+            if not once.all():
+                t, keys = t.filter(pa.array(once)), keys[once]
+            keys = keys[:, :3]
             blocks, copies = t.column("_block").to_numpy(), t.column("copies").to_numpy()
-            ids, texts = t.column("id"), t.column("text")
+            ids, shingles = t.column("id"), t.column("shingles")
             bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint8).reshape(t.num_rows, -1)
             a, b, links, seen = [], [], [], np.zeros(4, np.int64)
             for s, e in _runs(keys):
                 if e - s < 2:
                     continue
-                sets = [shingle(x) for x in texts.slice(s, e - s).to_pylist()]
+                sets = [np.frombuffer(x, np.uint64) for x in shingles.slice(s, e - s).to_pylist()]
                 own = ids.slice(s, e - s).to_pylist()
                 n = np.array([len(x) for x in sets])
                 twin = int((blocks[s:e] == keys[s, 1]).sum()) if keys[s, 1] != keys[s, 2] else e - s
@@ -300,37 +321,42 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     with, copies included, and `class_id` is the least key that links lead to
     (its own key without any). A null text counts as empty; a text without
     words links with nothing, one of fewer than `size` words is one shingle.
-    `key` must be a bigint that is unique and not null.
+    `key` may be of any type that has an order; rows that share a key are rows
+    of their own, and a null key is less than none: a class of null keys only
+    has the id null. An empty table gives no rows.
     """
     depth = prefix_depth(threshold, trees, DEPTH, recall)
     perms = trees * DEPTH
     sig = written(signatures(docs, key, text, size, trees), "signatures")
-    worded = sig.where("fp is not null")
-    classes = worded.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    hashes = sig.join(classes.select(F.col("rep").alias("id"), "copies"), "id")
-    hashes = written(hashes.select("id", "copies", "bits"), "representatives")
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    sets = sig.where("fp IS NOT NULL").groupBy("fp").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.first("bits").alias("bits"))
+    reps = written(sets.withColumn("id", F.monotonically_increasing_id()), "representatives")  # ids are those of the written rows
+    hashes, rows, n_reps = reps.select("id", "bits"), sig.count(), reps.count()
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
     while True:
         roots = prefixes(hashes, trees, depth)
         shared = roots.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-        members = in_blocks(roots.join(shared, "bucket"), "bucket", "members").join(hashes.select("id", "bits"), "id")
-        comps = connected_components(tie(members, threshold, perms, depth))
-        sizes = comps.groupBy("component").agg(F.count("*").alias("members"))
-        grouped = in_blocks(comps.select("id", F.col("component").alias("comp")).join(sizes.withColumnRenamed("component", "comp"), "comp"), "comp", "members")
-        known = grouped.join(hashes, "id")
-        checked = written(verify(known.join(texts, "id"), threshold, size, depth), "verified")
-        met = {r.met: r.links for r in checked.where("met is not null").groupBy("met").agg(F.sum("links").alias("links")).collect()}  # four rows
-        if depth == 1 or recall_of(met, trees) >= recall:
+        met = hot_join(roots, shared, "bucket", "members", trees * n_reps)
+        comps = connected_components(tie(in_blocks(met, "bucket", "members").join(hashes, "id"), threshold, perms, depth))
+        comps = comps.select("id", F.col("component").alias("comp"))
+        sizes = comps.groupBy("comp").agg(F.count("*").alias("members"))
+        known = hot_join(comps, sizes, "comp", "members", comps.count()).join(reps, "id")
+        read = shingled(known.join(texts, F.col("key").eqNullSafe(F.col("_key"))).drop("key", "_key"), size)
+        checked = written(verify(in_blocks(read, "comp", "members"), threshold, depth), "verified")
+        seen = {r.met: r.links for r in checked.where("met IS NOT NULL").groupBy("met").agg(F.sum("links").alias("links")).collect()}  # four rows
+        if depth == 1 or recall_of(seen, trees) >= recall:
             break
         depth -= 1
-    links = checked.where("a is not null and b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    linked = connected_components(checked.where("b is not null").select("a", "b"))
-    per_rep = classes.join(links, "rep", "left").join(linked.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    per_rep = per_rep.select("fp", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
-    joined = sig.select("id", "fp").join(per_rep, "fp", "left")
-    return joined.select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    links = checked.where("a IS NOT NULL AND b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
+    linked = connected_components(checked.where("b IS NOT NULL").select("a", "b"))
+    classes = linked.join(reps.select("id", "key"), "id").groupBy("component").agg(F.min("key").alias("class_id"), F.count("*").alias("members"))
+    named = hot_join(linked, classes, "component", "members", linked.count()).select("id", "class_id")
+    per_rep = reps.select("id", "fp", "key", "copies").join(links, "id", "left").join(named, "id", "left")
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long")
+    per_rep = written(per_rep.select("fp", F.coalesce("class_id", "key").alias("class_id"), n_links.alias("n_links"), "copies"), "classes")
+    joined = hot_join(sig.select("key", "fp"), per_rep, "fp", "copies", rows, "left")
+    return joined.select(F.col("key").alias(key), F.coalesce("class_id", "key").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, classes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of `docs` whose class bears their own key."""
+    """The rows of `docs` whose class bears their own key; rows that share this key all stay, those with a null key go."""
     return docs.join(classes.where(F.col("class_id") == F.col(key)).select(key), key, "left_semi").select(*docs.columns)

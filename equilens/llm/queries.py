@@ -44,15 +44,22 @@ def op5_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("path").alias("doc_id"), *(c.alias(n) for n, c in columns.items()))
 
 
-def digest_index(spark: SparkSession) -> exact_dedup.DigestIndex:
+def digest_index(spark: SparkSession, rows: int) -> exact_dedup.DigestIndex:
     """A new, empty index in the shared folder."""
     path = shared_dir(spark, "digests")
-    return exact_dedup.DigestIndex(spark, path.rpartition("/")[2].replace("-", "_"), path)
+    return exact_dedup.DigestIndex(spark, path.rpartition("/")[2].replace("-", "_"), path, buckets=exact_dedup.buckets_for(rows))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The decisions of a first ingest; the index stays in the shared folder, its name leaves the catalog."""
+    index = digest_index(docs.sparkSession, docs.count())
+    decided = exact_dedup.ingest(docs, index)
+    index.forget()
+    return decided
 
 
 def op8_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return exact_dedup.ingest(docs, digest_index(spark), shared_dir(spark, "decisions"))
+    return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_script_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:

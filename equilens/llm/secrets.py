@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from equilens.llm.common import hot_join, written
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -40,29 +42,40 @@ MORE = (
 RULES = {1: BASE, 2: BASE + MORE}
 
 
+#: Matches of a text whose places are added up together.
+PART = 32
+FOUND = "array<struct<kind:string,start:int,end:int>>"
+
+
 def spans_of(text: Column, rule: Rule) -> Column:
-    """array<struct<start,end,match>> of a rule's leftmost matches that don't overlap; code points, end exclusive.
+    """array<struct<kind,start,end>> of a rule's leftmost matches that don't overlap; code points, end exclusive.
 
     `split` and `regexp_extract_all` walk over the same matches, so a match
-    starts after all pieces and matches before it.
+    starts after all pieces and matches before it. Matches are placed in parts
+    of PART: first within a part, then each part after those before it.
     """
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     value = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
-    pieces = F.split(text, rule.pattern, -1)
-    zipped = F.arrays_zip(F.transform(F.slice(pieces, 1, F.size(whole)), F.length).alias("gap"), whole.alias("match"), value.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string,n:int>>").alias("found"))
+    gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
+    zipped = F.zip_with(whole, value, lambda m, v: F.struct(F.length(m).alias("size"), F.length(v).alias("n")))
+    zipped = F.zip_with(F.slice(gaps, 1, F.size(whole)), zipped, lambda g, m: F.struct(g.alias("gap"), m["size"].alias("size"), m["n"].alias("n")))
+    parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(whole) / PART).cast("int") - 1), lambda k: F.slice(zipped, k * PART + 1, F.lit(PART)))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,n:int>>").alias("found"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["match"])
-        one = F.struct(begin.cast("int").alias("start"), end.cast("int").alias("end"), x["match"].alias("match"), F.length(x["value"]).alias("n"))
-        return F.struct(end.cast("int").alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
+        one = F.struct(begin.alias("start"), (begin + x["size"]).alias("end"), x["n"].alias("n"))
+        return F.struct((begin + x["size"]).alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
+
+    placed = F.transform(parts, lambda p: F.aggregate(p, start, step))
 
-    found = F.aggregate(zipped, start, step, lambda acc: acc["found"])
-    fit = F.filter(found, lambda x: x["n"] >= rule.least) if rule.least else found
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,match:string>>")
-    return F.when(F.regexp_like(text, pattern), F.transform(fit, lambda x: F.struct(F.lit(rule.kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match")))).otherwise(none)
+    def moved(part: Column, k: Column) -> Column:
+        before = F.aggregate(F.slice(placed, 1, k), F.lit(0), lambda acc, p: acc + p["at"])
+        fit = F.filter(part["found"], lambda x: x["n"] >= rule.least) if rule.least else part["found"]
+        return F.transform(fit, lambda x: F.struct(F.lit(rule.kind).alias("kind"), (before + x["start"]).alias("start"), (before + x["end"]).alias("end")))
+
+    return F.when(F.regexp_like(text, pattern), F.flatten(F.transform(placed, moved))).otherwise(F.array().cast(FOUND))
 
 
 def findings_of(text: Column, rules: tuple[Rule, ...]) -> Column:
@@ -70,39 +83,51 @@ def findings_of(text: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 class BlobLedger:
-    """Two Parquet folders below `path`: scanned (blob, rule_version) pairs with their findings."""
+    """Scanned (blob, rule_version) pairs with the places of their findings, in folders rule_version=N below `path`.
+
+    The ledger holds no text of a secret, only its kind and place.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    SCHEMA = "blob string, rule_version int, findings array<struct<kind:string,start:int,end:int,match:string>>"
+    SCHEMA = f"blob binary, findings {FOUND}"
 
-    def read(self) -> DataFrame:
-        """Empty before the first scan. A pair that a repeated scan has written twice counts once."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+    def read(self, rule_version: int) -> DataFrame:
+        """What one rule version has found; empty before its first scan. A blob that a repeated scan has written twice is there twice."""
+        folder = f"{self.path}/rule_version={rule_version}"
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
             return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        return self.spark.read.schema(self.SCHEMA).parquet(folder)
 
     def scan(self, versions: DataFrame, rule_version: int, path: str = "path", version: str = "version", text: str = "text") -> DataFrame:
         """Scans the blobs of `versions` that this rule version hasn't seen, and returns (path, version, blob, findings) for all of them.
 
-        A null text is an empty blob. Only one row of each new blob sends its
-        text through the shuffle's join; which one is decided on digests alone,
-        which are aggregated before they are shuffled.
+        A null text is an empty blob; null paths and versions are values like
+        others, and repeated rows are answered one by one. No versions give no
+        rows. Texts are hashed once, and the addresses written to the shared
+        folder. Only one row of each new blob sends its text through the
+        shuffle; which one is decided on addresses alone. Findings go back to
+        their rows by `hot_join`, as many rows may share a blob.
         """
         raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
-        blobs = versions.select(path, version, F.sha2(raw.cast("binary"), 256).alias("blob"))
-        first = blobs.groupBy("blob").agg(F.min(F.struct(path, version)).alias("at"))
-        seen = self.read().where(F.col("rule_version") == rule_version).select("blob")
-        unseen = first.join(seen, "blob", "left_anti").select(F.col(f"at.{path}").alias("_path"), F.col(f"at.{version}").alias("_version"))
-        todo = versions.select(path, version, raw.alias("_text")).join(unseen.hint("shuffle_hash"), F.col(path).eqNullSafe(F.col("_path")) & F.col(version).eqNullSafe(F.col("_version")), "left_semi")
-        found = todo.select(F.sha2(F.col("_text").cast("binary"), 256).alias("blob"), F.lit(rule_version).alias("rule_version"), findings_of(F.col("_text"), RULES[rule_version]).alias("findings"))
-        found.write.mode("append").parquet(self.path)
+        address = F.unhex(F.sha2(raw.cast("binary"), 256))
+        blobs = written(versions.select(path, version, address.alias("blob")), "addresses")
+        first = blobs.groupBy("blob").agg(F.min(F.struct(path, version)).alias("at"), F.count("*").alias("rows"))
+        unseen = first.join(self.read(rule_version).select("blob"), "blob", "left_anti")
+        unseen = unseen.select(F.col(f"at.{path}").alias("_path"), F.col(f"at.{version}").alias("_version"), F.col("blob").alias("_blob"))
+        same = F.col(path).eqNullSafe(F.col("_path")) & F.col(version).eqNullSafe(F.col("_version"))
+        todo = versions.select(path, version, raw.alias("_text")).join(unseen.hint("shuffle_hash"), same)
+        # several rows may have the same path and version, with the blob or without it
+        own = todo.where(F.unhex(F.sha2(F.col("_text").cast("binary"), 256)) == F.col("_blob"))
+        found = own.select(F.col("_blob").alias("blob"), findings_of(F.col("_text"), RULES[rule_version]).alias("findings"))
+        found.write.mode("append").parquet(f"{self.path}/rule_version={rule_version}")
         # blobs without a finding need no partner: only the others are joined back
-        hits = self.read().where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).groupBy("blob").agg(F.first("findings").alias("findings"))
-        none = F.array().cast("array<struct<kind:string,start:int,end:int,match:string>>")
-        return blobs.join(hits, "blob", "left").select(path, version, "blob", F.coalesce("findings", none).alias("findings"))
+        hits = self.read(rule_version).where(F.size("findings") > 0).groupBy("blob").agg(F.first("findings").alias("findings"))
+        sized = hits.join(blobs.groupBy("blob").agg(F.count("*").alias("rows")), "blob")
+        met = hot_join(blobs, sized, "blob", "rows", blobs.count(), "left")
+        return met.select(path, version, F.lower(F.hex("blob")).alias("blob"), F.coalesce("findings", F.array().cast(FOUND)).alias("findings"))
 
 
 def digest_columns(findings: Column) -> dict[str, Column]:

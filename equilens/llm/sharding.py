@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Rows that one task numbers, about.
@@ -33,15 +31,20 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
     return shard
 
 
-def shard_column(key, shards: int):
-    """An int column: the shard of a key column. Keys of any type are hashed to 64 bits first; null is a key of its own."""
+def shard_columns(key: Column, shards: int) -> Column:
+    """struct<shard,grown_shard> of a key column, for `shards` and one more.
 
-    @F.pandas_udf(T.IntegerType())
-    def place(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    Keys of any type are hashed to 64 bits first; null is a key of its own.
+    """
+
+    @F.pandas_udf("shard int, grown_shard int")
+    def place(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for keys in batches:
-            yield pd.Series(jump_hash(keys.to_numpy(np.int64).view(np.uint64), shards).astype(np.int32))
+            hashes = keys.to_numpy(np.int64).view(np.uint64)
+            now, grown = jump_hash(hashes, shards), jump_hash(hashes, shards + 1)
+            yield pd.DataFrame({"shard": now.astype(np.int32), "grown_shard": grown.astype(np.int32)})
 
-    return place(F.xxhash64(key))
+    return place.asNondeterministic()(F.xxhash64(key))  # so that it is evaluated once
 
 
 def assign(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -55,9 +58,10 @@ def assign(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text"
     shuffled, never texts.
     """
     raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(key, (F.octet_length(raw) + F.lit(16)).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"))
     slices = max(8, -(-docs.select(key).count() // SLICE))
-    placed = rows.select("*", F.lit("key").alias("law"), shard_column(F.col(key), shards).alias("shard"), shard_column(F.col(key), shards + 1).alias("grown_shard"), F.pmod(F.xxhash64(key, "text_crc32"), F.lit(slices)).alias("_slice"))
+    size, crc = (F.octet_length(raw) + F.lit(16)).cast("long"), F.crc32(raw.cast("binary"))
+    rows = docs.select(key, size.alias("size"), crc.alias("text_crc32"), shard_columns(F.col(key), shards).alias("_to"))
+    placed = rows.select(key, "size", "text_crc32", F.lit("key").alias("law"), "_to.*", F.pmod(F.xxhash64(key, "text_crc32"), F.lit(slices)).alias("_slice"))
     within = Window.partitionBy("shard", "_slice").orderBy(F.col(key).asc_nulls_first(), "text_crc32", "size")
     sizes = placed.groupBy("shard", "_slice").agg(F.count("*").alias("_n"))
     start = sizes.select("shard", "_slice", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_slice")) - F.col("_n")).alias("_start"))
@@ -68,19 +72,5 @@ def assign(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text"
 def write_shards(docs: DataFrame, path: str, shards: int, key: str = "doc_id", rows_per_file: int = 500_000) -> None:
     """Writes `docs` to `path`/shard=N/; a shard of many rows is written by several tasks."""
     parts = max(1, -(-docs.count() // (shards * rows_per_file)))
-    placed = docs.withColumn("shard", shard_column(F.col(key), shards)).withColumn("_part", F.pmod(F.xxhash64(F.lit("part"), key), F.lit(parts)))
+    placed = docs.withColumn("shard", shard_columns(F.col(key), shards)["shard"]).withColumn("_part", F.pmod(F.xxhash64(F.lit("part"), key), F.lit(parts)))
     placed.repartition(shards * parts, "shard", "_part").drop("_part").write.mode("overwrite").partitionBy("shard").parquet(path)
-
-
-def brute_force_jump(key: int, shards: int) -> int:
-    """One key at a time in plain Python, for tests."""
-    at, nxt = -1, 0
-    while nxt < shards:
-        at = nxt
-        key = (key * 2862933555777941757 + 1) & (2**64 - 1)
-        nxt = int((at + 1) * ((1 << 31) / ((key >> 33) + 1)))
-    return at
-
-
-def crc(text: str | None) -> int:
-    return zlib.crc32((text or "").encode())
