@@ -10,9 +10,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equilens.llm import bpe, decontaminate, exact_dedup, langid, lsh_forest
+from equilens.llm import bpe, decontaminate, langid, lsh_forest
 from equilens.llm.common import shared_dir, table, text_or_empty
-from equilens.llm.queries import VOCABULARY, digest_index
+from equilens.llm.queries import VOCABULARY, deduplicated
 
 #: Share of a document's letters in its main language below which it is rejected.
 LEAST_SCORE = 0.5
@@ -28,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the longest, then first, of the documents that are equal without blanks."""
-    decided = exact_dedup.ingest(docs.select("doc_id", "text"), digest_index(spark), shared_dir(spark, "decisions"))
+    decided = deduplicated(docs.select("doc_id", "text"))
     return docs.select(*COLUMNS).join(decided.where("kept").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
 
 
