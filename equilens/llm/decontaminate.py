@@ -15,9 +15,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from equilens.llm.common import shared_dir
 from equilens.llm.shingles import words_of
 
 #: Tokens of a seed, and so of the shortest tile.
@@ -53,6 +55,14 @@ def mixed(ids: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
+def equal_windows(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, size: int) -> np.ndarray:
+    """Whether the windows of `a` at i and of `b` at j have the same tokens: equal hashes alone don't count."""
+    same = np.ones(len(i), bool)
+    for k in range(size if len(i) else 0):
+        same &= a[i + k] == b[j + k]
+    return same
+
+
 def greedy_tiles(item: np.ndarray, text: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
     """Tiles (length, start in item, start in text) of two arrays of token ids, longest first; ids below 0 match nothing."""
     free_i, free_t = np.ones(len(item), bool), text >= 0
@@ -69,6 +79,8 @@ def greedy_tiles(item: np.ndarray, text: np.ndarray, least: int = SEED) -> list[
         n = up - lo
         j = np.repeat(at_t, n)
         i = at_i[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())] if n.sum() else np.empty(0, np.int64)
+        same = equal_windows(item, text, i, j, size)
+        i, j = i[same], j[same]
         order = np.lexsort((i, j - i))
         i, j = i[order], j[order]
         cut = np.flatnonzero((np.diff(i) != 1) | (np.diff(j) != 1)) + 1 if len(i) else []
@@ -108,6 +120,8 @@ class Tiler:
             if tokens:
                 self.names.append(name)
                 self.items.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in tokens], np.int64))
+        self.flat = np.concatenate([*self.items, np.empty(0, np.int64)])
+        self.begin = np.cumsum([0, *map(len, self.items)])
         self.seeds = {}
         for size in {min(least, len(x)) for x in self.items}:
             own = [k for k, x in enumerate(self.items) if min(least, len(x)) == size]
@@ -139,6 +153,8 @@ class Tiler:
             n = np.searchsorted(keys, h[hit], "right") - lo
             at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
             where, item, place = np.repeat(full, n), items[at], places[at]
+            same = equal_windows(ids, self.flat, where, self.begin[item] + place, size)
+            where, item, place = where[same], item[same], place[same]
             for k in np.unique(item).tolist():
                 own = item == k
                 under = np.zeros(len(self.items[k]) + 1, np.int64)
@@ -162,38 +178,48 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     """(key, item, coverage, tiles, longest): pairs whose tiles cover at least `coverage` of the item's tokens.
 
     Tokens are words in lower case. Null and empty texts and items without a
-    word match nothing; an item shorter than a seed must occur whole. The
-    benchmark is the stated query set: it is cut into blocks of about
-    `block_bytes`, each is broadcast and met by all documents where they are
-    read, without a shuffle. Repeated items or documents give repeated pairs.
+    word match nothing; an item shorter than a seed must occur whole. Keys and
+    items may be of any type; null ones are values like others. Repeated items
+    or documents give repeated pairs, and of equally long tiles the first in
+    the document counts first. Without items or documents there are no pairs.
+
+    The benchmark is the stated query set: it is cut into blocks of about
+    `block_bytes`, and each is broadcast and met by all documents where they
+    are read, without a shuffle. The pairs of each block but a single one are
+    written to the shared folder before the next block is read, so that the
+    driver never holds more than one.
     """
     spark = docs.sparkSession
-    rows = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("item_text"))
+    rows = benchmark.select(F.col(item).alias("item"), F.col(item_text).cast("string").alias("item_text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
-    kept = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    kept = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
     id_type, item_type = kept.schema["id"].dataType.simpleString(), rows.schema["item"].dataType.simpleString()
-    out = None
-    for n in range(blocks):
-        own = rows.where(F.pmod(F.xxhash64("item", "item_text"), F.lit(blocks)) == n).collect()  # about block_bytes
-        shared = spark.sparkContext.broadcast([tuple(r) for r in own])
+    schema = f"id {id_type}, item {item_type}, coverage double, tiles int, longest int"
+
+    def pairs(n: int) -> tuple[DataFrame, Broadcast]:
+        own = rows.where(F.pmod(F.xxhash64("item", "item_text"), F.lit(blocks)) == n).toArrow()  # about block_bytes
+        shared = spark.sparkContext.broadcast((own.column("item").combine_chunks(), own.column("item_text").to_pylist()))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            tiler = Tiler(shared.value, least, coverage)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, texts = shared.value
+            tiler = Tiler(list(enumerate(texts)), least, coverage)
             for b in batches:
-                ids, found = b.column("id"), []
-                for k, t in enumerate(b.column("text").to_pylist()):
-                    found += [(k, *x) for x in tiler(t)]
+                found = [(k, *x) for k, t in enumerate(b.column("text").to_pylist()) for x in tiler(t)]
                 cells = list(zip(*found)) or [()] * 5
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(cells[0], pa.int64())), pa.array(cells[1], None if cells[1] else pa.null()).cast(kind(item_type)), pa.array(cells[2], pa.float64()), pa.array(cells[3], pa.int32()), pa.array(cells[4], pa.int32())],
-                    ["id", "item", "coverage", "tiles", "longest"],
-                )
-
-        part = kept.mapInArrow(run, f"id {id_type}, item {item_type}, coverage double, tiles int, longest int")
-        out = part if out is None else out.union(part)
+                at, which = (pa.array(cells[i], pa.int64()) for i in (0, 1))
+                measures = [pa.array(cells[i], kind) for i, kind in ((2, pa.float64()), (3, pa.int32()), (4, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([b.column("id").take(at), names.take(which), *measures], ["id", "item", "coverage", "tiles", "longest"])
+
+        return kept.mapInArrow(run, schema), shared
+
+    if blocks == 1:
+        out, _ = pairs(0)
+    else:
+        path = shared_dir(spark, "contaminated")
+        for n in range(blocks):
+            part, shared = pairs(n)
+            part.write.parquet(f"{path}/block={n}")
+            shared.destroy()
+        out = spark.read.schema(part.schema).parquet(*(f"{path}/block={n}" for n in range(blocks)))
     return out.select(F.col("id").alias(key), F.col("item").alias(item), "coverage", "tiles", "longest")
-
-
-def kind(name: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]

@@ -10,6 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from equilens.llm.common import written
+
 #: Dice coefficient from which a piece counts as a license text.
 LEAST = 0.8
 #: License ids and public notices.
@@ -24,9 +26,15 @@ TEMPLATES = (
     ("GPL-3.0", "Released under the GNU General Public License, version 3."),
     ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -108,7 +116,8 @@ def scan(docs: DataFrame, templates: DataFrame, key: str = "doc_id", text: str =
     `dice` is theirs, and `pieces` the larger of their number and that of the
     windows (which lie within them too). A null text counts as empty; a piece
     of fewer than two words matches nothing. Repeated rows of one key count
-    together.
+    together, a null key is one of them, and of equally good windows the first
+    counts. Without texts or templates nothing is found.
     """
     low, high = least / (2 - least), (2 - least) / least
     norm = docs.select(F.col(key).alias("id"), normalised(F.col(text)).alias("norm"))
@@ -128,7 +137,8 @@ def scan(docs: DataFrame, templates: DataFrame, key: str = "doc_id", text: str =
     anywhere = F.array(F.struct(F.lit("window").alias("level"), F.lit(0).alias("n"), bigrams(words(F.col("norm"))).alias("b")))
     some = F.array(*map(F.lit, anchors(templates, low))).cast("array<string>")
     paired = F.concat(paired, F.filter(anywhere, lambda x: F.arrays_overlap(x["b"], some)))
-    sized = norm.select("id", F.monotonically_increasing_id().alias("row"), F.inline_outer(paired)).where("b IS NOT NULL").withColumn("a", F.size("b"))  # the inner form would build the pieces again to filter empty ones
+    # the inner form would build the pieces again to filter empty ones; numbers are those of the written rows
+    sized = written(norm.select("id", F.monotonically_increasing_id().alias("row"), F.inline_outer(paired)).where("b IS NOT NULL"), "license-pieces").withColumn("a", F.size("b"))
     each = sized.select("id", "row", "level", "n", "a", F.posexplode("b").alias("pos", "bigram"))
     index = templates.select("template", "license", "size", F.explode("bigrams").alias("bigram")).groupBy("template", "license", "size", "bigram").agg(F.count("*").alias("here"))
     window = F.col("level") == "window"

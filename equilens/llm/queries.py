@@ -79,20 +79,19 @@ def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    host, _ = url_filter.host_and_path(F.col("url"))
-    model = url_filter.fit(pages.select("url", url_filter.seed_label(host).alias("label")))
+    model = url_filter.fit(pages.select("url", url_filter.seed_label(*url_filter.host_and_path(F.col("url"))).alias("label")))
     return url_filter.judge(pages, model)
 
 
 def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").where("toxic IS NOT NULL").select("doc_id", "toxic")
-    drawn = docs.join(F.broadcast(toxicity.draw(labels)), "doc_id")  # toxicity.TRAIN_DOCS rows, about
-    weak = toxicity.weak_labels(F.col("text"), F.col("toxic"))
-    labelled = written(drawn.select("doc_id", "text", *(c.alias(n) for n, c in weak.items())), "labelled")
-    chain = toxicity.fit(labelled, list(weak))
+    categories = toxicity.categories_of(F.col("toxic"), F.col("quality"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", *(c.alias(n) for n, c in categories.items())).dropna()
+    drawn = toxicity.draw(labels)  # toxicity.TRAIN_DOCS rows, about
+    labelled = written(docs.join(F.broadcast(drawn), "doc_id"), "labelled")
+    chain = toxicity.fit(labelled, list(categories))
     scored = toxicity.score(docs, chain)
-    return scored.select("doc_id", *(c for c in scored.columns if c.startswith("p_")), *((F.col(f"p_{n}") >= 0.5).alias(n) for n in weak))
+    return scored.select("doc_id", *(f"p_{n}" for n in categories), *((F.col(f"p_{n}") >= 0.5).alias(n) for n in categories))
 
 
 def op9_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,17 +24,16 @@ from pyspark.sql import functions as F
 #: Labelled documents that the chain is fitted on, at most about.
 TRAIN_DOCS = 20_000
 FOLDS = 3
-#: Features: the words and word beginnings that tell most about any category.
+#: Features of a chain, at most: the words and word beginnings that tell most about any category.
 FEATURES = 600
 #: Documents of a category that must have a feature before it is considered.
 SUPPORT = 5
 #: Lengths of word beginnings, which catch one stem with many endings.
 STEMS = (4, 5, 6)
-#: Terms that label the finer categories within toxic documents.
-TERMS = {
-    "insult": ("idiot", "moron", "loser", "clown", "scum", "trash", "stupid"),
-    "demeaning": ("worthless", "pathetic", "disgusting", "useless", "inferior"),
-}
+#: One labelled row in so many chooses the features and isn't fitted on.
+CHOOSING = 2
+#: Standard deviations by which a feature must be more frequent in a category.
+DEVIATIONS = 6.0
 _WORDS = re.compile(r"[^\W\d_]+")
 CACHE = 500_000
 
@@ -98,12 +97,13 @@ class Finder:
         return sorted(has)
 
 
-def weak_labels(text: Column, toxic: Column) -> dict[str, Column]:
-    """The labelled category, then those that terms tell apart within it."""
-    found = {"toxic": toxic.cast("double")}
-    for name, terms in TERMS.items():
-        found[name] = ((toxic == 1) & F.lower(text).rlike(rf"\b(?:{'|'.join(terms)})\b")).cast("double")
-    return found
+def categories_of(toxic: Column, quality: Column) -> dict[str, Column]:
+    """The categories that the given labels tell apart: toxic documents, and those of them that are of low quality.
+
+    Null where the labels don't decide.
+    """
+    poor = F.when(toxic == 0, 0.0).when(toxic == 1, 1.0 - quality)
+    return {"toxic": toxic.cast("double"), "toxic_poor": poor.cast("double")}
 
 
 def draw(labels: DataFrame, key: str = "doc_id", rows: int = TRAIN_DOCS) -> DataFrame:
@@ -116,11 +116,16 @@ def fit(labelled: DataFrame, categories: list[str], key: str = "doc_id", text: s
     """Fits the chain on whole texts of at most about `docs` rows, drawn by a hash of the key.
 
     `labelled` has a column of 0 and 1 for each category; rows with a null in
-    one of them are left out, a null text has no words. A category with one
-    class only gets a constant model.
+    one of them are left out, a null text has no words, repeated rows count as
+    often as they occur. One row in CHOOSING chooses the features and the others
+    are fitted on, so that out-of-fold probabilities are out of fold in this as
+    well. A category with one class only gets a constant model, and without
+    rows the model of every category says one half.
     """
     rows = labelled.where(" AND ".join(f"`{c}` IS NOT NULL" for c in categories)).select(key, F.col(text).alias("text"), *categories)
-    drawn = draw(rows, key, docs)
+    both = draw(rows, key, docs)
+    chooses = F.pmod(F.xxhash64(F.lit("choose"), key), F.lit(CHOOSING)) == 0
+    drawn = both.where(chooses)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
@@ -147,9 +152,9 @@ def fit(labelled: DataFrame, categories: list[str], key: str = "doc_id", text: s
         p = F.col("n") / max(whole["n"], 1)
         z = (a / max(pos, 1) - b / max(neg, 1)) / F.sqrt(p * (1 - p) * (1 / max(pos, 1) + 1 / max(neg, 1)) + 1e-9)
         scores.append(F.when(a >= SUPPORT, z).otherwise(0.0))
-    best = sums.withColumn("score", F.greatest(F.lit(0.0), *scores)).where("score > 6").orderBy(F.desc("score"), "feature").limit(FEATURES)
+    best = sums.withColumn("score", F.greatest(F.lit(0.0), *scores)).where(F.col("score") > DEVIATIONS).orderBy(F.desc("score"), "feature").limit(FEATURES)
     index = {r[0]: i for i, r in enumerate(best.select("feature").collect())}
-    made = _vectors(drawn, index, "text").withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), key), F.lit(FOLDS))).select(key, "fold", "x", *categories).persist()
+    made = _vectors(both.where(~chooses), index, "text").withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), key), F.lit(FOLDS))).select(key, "fold", "x", *categories).persist()
     made.count()
     weights, earlier = [], []
     try:
@@ -191,7 +196,12 @@ def fit(labelled: DataFrame, categories: list[str], key: str = "doc_id", text: s
 
 
 def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
-    """`docs` without `text`, with p_<category> for each category of the chain. A null text has no words."""
+    """`docs` without `text`, with p_<category> for each category of the chain.
+
+    A null text has no words, and so gets the chain's intercepts. Columns named
+    p_<category> are replaced. Repeated rows are answered one by one; an empty
+    table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # FEATURES weights for each category
     names = [f"p_{c}" for c in chain.categories]
     kept = docs.drop(*names)
