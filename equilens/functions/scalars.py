@@ -49,7 +49,8 @@ def clip(c: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
 
 
 def bmi(weight: Column, height: Column) -> Column:
-    return F.when(height > 0, weight / (height / 100) ** 2)
+    metres = height / 100
+    return F.round(F.when(height > 0, weight / (metres * metres)), 6)
 
 
 def minmax_scale(c: Column) -> Column:
@@ -59,3 +60,31 @@ def minmax_scale(c: Column) -> Column:
 
 def normalize_attr_name(c: Column) -> Column:
     return F.regexp_replace(c, "_cat$", "")
+
+
+def display_label(c: Column, labels: dict[str, str]) -> Column:
+    """The label of a code; codes without one as they are."""
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in labels.items() for x in pair))[c], c)
+
+
+def display_rank(c: Column, order: list[str]) -> Column:
+    """The place of a value in the order in which values are shown; those that aren't listed come last."""
+    place = F.array_position(F.array(*map(F.lit, order)), c)
+    return F.when(place > 0, place - 1).otherwise(len(order)).cast("int")
+
+
+def bin_label(low: Column, high: Column, observed_low: Column, observed_high: Column, whole: bool) -> Column:
+    """How a bin is shown: the observed range where values are whole numbers, else its edges with two decimals."""
+    if whole:
+        a, b = observed_low.cast("long").cast("string"), observed_high.cast("long").cast("string")
+        return F.when(observed_low == observed_high, a).otherwise(F.concat(a, F.lit("-"), b))
+    return F.concat(F.lit("("), F.format_string("%.2f", low), F.lit(", "), F.format_string("%.2f", high), F.lit("]"))
+
+
+def percentile_position(c: Column, quantiles: list[float]) -> Column:
+    """Where a value stands among minimum, quartiles and maximum, 0 to 100, linear between them."""
+    steps = 100.0 / (len(quantiles) - 1)
+    out = F.when(c <= quantiles[0], 0.0)
+    for i, (a, b) in enumerate(zip(quantiles, quantiles[1:])):
+        out = out.when(c <= b, steps * i + (steps * (c - a) / (b - a) if b > a else 0.0))
+    return F.round(out.when(c.isNotNull(), 100.0), 6)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,22 +17,57 @@ VIEWS = {
     "v_exp": "SELECT l_returnflag || '/' || l_linestatus || '/' || CAST(l_linenumber % 3 AS STRING) || '/' || CAST(l_suppkey % 4 AS STRING) || '/' || CAST(l_partkey % 2 AS STRING) AS experiment_id, l_returnflag AS dataset, l_linestatus AS model_type, CAST(l_linenumber % 3 AS STRING) AS binning, CASE WHEN l_suppkey % 4 = 0 THEN 'baseline' ELSE 'm' || CAST(l_suppkey % 4 AS STRING) END AS mitigation, CAST(l_partkey % 2 AS STRING) AS variant, round(avg(CAST(l_quantity AS DOUBLE)) / 50, 4) AS f1, round(avg(CAST(l_discount AS DOUBLE)) * 10, 4) AS recall, round(avg(CAST(l_tax AS DOUBLE)) * 10, 4) AS gap, round(avg(CAST(l_quantity AS DOUBLE)) / 60, 4) AS accuracy, round(avg(CAST(l_discount AS DOUBLE)) * 12, 4) AS auc FROM lineitem GROUP BY 1, 2, 3, 4, 5, 6",
     "v_lineage_a": "SELECT l_partkey % 100 AS k1, l_linenumber AS k2, nullif(l_suppkey % 5, 0) AS k3 FROM lineitem WHERE l_returnflag = 'R'",
     "v_lineage_b": "SELECT l_partkey % 100 AS k1, l_linenumber AS k2, nullif(l_suppkey % 5, 0) AS k3 FROM lineitem WHERE l_returnflag = 'A'",
+    "v_clinic": """
+SELECT c_custkey AS row_id,
+  CASE WHEN c_custkey % 17 = 0 THEN 'n/a' ELSE CAST(CAST(floor(c_acctbal / 70) AS BIGINT) AS STRING) END AS age,
+  CASE WHEN c_custkey % 11 > 0 THEN c_nationkey % 4 END AS sex,
+  CASE c_custkey % 5 WHEN 0 THEN ' F' WHEN 1 THEN 'Male' WHEN 2 THEN 'M ' WHEN 3 THEN 'x' END AS gender,
+  CASE c_mktsegment WHEN 'BUILDING' THEN 'yes' WHEN 'MACHINERY' THEN 'no' WHEN 'FURNITURE' THEN '1' ELSE '0' END AS diagnosis,
+  CASE WHEN c_custkey % 3 = 0 THEN c_nationkey * 10 END AS chol,
+  CASE WHEN c_custkey % 2 = 0 THEN c_nationkey * 10 + 1 END AS cholesterol,
+  CASE c_nationkey % 5 WHEN 0 THEN 'ATA' WHEN 1 THEN 'NAP ' WHEN 2 THEN 'ASY' WHEN 3 THEN 'TA' END AS pain,
+  c_nationkey % 4 + 1 AS cp, CASE c_nationkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 6 WHEN 2 THEN 7 END AS thal,
+  c_nationkey % 3 AS trestbps, round(c_acctbal / 1000, 3) AS oldpeak, c_nationkey AS site, c_mktsegment AS segment
+FROM customer""",
+    "v_image": """
+SELECT c_custkey AS row_id, CAST(c_nationkey AS STRING) AS patient_id, 'img' || CAST(c_custkey AS STRING) || '.png' AS img_id,
+  CASE c_mktsegment WHEN 'BUILDING' THEN 'bcc' WHEN 'MACHINERY' THEN ' NEV' WHEN 'FURNITURE' THEN 'MEL' WHEN 'AUTOMOBILE' THEN 'ack' ELSE 'other' END AS diagnostic,
+  CASE WHEN c_custkey % 13 > 0 THEN CAST(CAST(floor(c_acctbal / 100) AS BIGINT) AS STRING) END AS age,
+  CASE c_custkey % 4 WHEN 0 THEN 'FEMALE' WHEN 1 THEN ' male' WHEN 2 THEN 'none' END AS gender,
+  CASE WHEN c_nationkey % 7 > 0 THEN CAST(c_nationkey % 7 AS STRING) END AS fitspatrick
+FROM customer""",
+    "v_listing": """
+SELECT 'img' || CAST(c_custkey AS STRING) || '.png' AS name, '/images/' || c_mktsegment || '/img' || CAST(c_custkey AS STRING) || '.png' AS path
+FROM customer WHERE c_custkey % 9 > 0""",
+    "v_cases": """
+SELECT c_custkey AS case_id, 'AGE_' || CAST(c_nationkey % 5 * 10 AS STRING) || '_TO_' || CAST(c_nationkey % 5 * 10 + 9 AS STRING) AS age_group,
+  CASE c_custkey % 3 WHEN 0 THEN 'FEMALE' WHEN 1 THEN 'MALE' END AS sex_at_birth, 'FST' || CAST(c_nationkey % 6 + 1 AS STRING) AS skin_type,
+  CASE c_nationkey % 4 WHEN 0 THEN 'BLACK_OR_AFRICAN' WHEN 1 THEN 'ASIAN, WHITE' WHEN 2 THEN 'WHITE' END AS race,
+  CASE WHEN c_custkey % 2 = 0 THEN 'a/img' || CAST(c_custkey AS STRING) || '.png' END AS image_1,
+  'b/img' || CAST(c_custkey + 1 AS STRING) || '.png' AS image_2, 'b/img' || CAST(c_custkey + 2 AS STRING) || '.png' AS image_3
+FROM customer""",
+    "v_case_labels": """
+SELECT c_custkey AS case_id, CASE c_mktsegment WHEN 'BUILDING' THEN '{"Eczema": 0.3, "Melanoma": 0.7}' WHEN 'MACHINERY' THEN '{"Acne": 0.5, "Basal Cell": 0.5}'
+  WHEN 'FURNITURE' THEN '{"Psoriasis": 1.0}' WHEN 'AUTOMOBILE' THEN '{"Basal Cell": 0.9}' ELSE '{}' END AS weights
+FROM customer WHERE c_custkey % 10 > 0""",
     "v_drift": "SELECT event_type, CAST(value AS DOUBLE) AS value FROM events",
 }
 
 
+TABLES = ("lineitem", "orders", "customer", "documents", "labels", "events", "embeddings")
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view's DataFrame. Only the tables that it names are registered, as views of this session."""
+    """A view's DataFrame over the tables that it names; nothing is registered in the session."""
     sql = VIEWS[name]
-    for t in ("lineitem", "orders", "customer", "documents", "labels", "events"):
-        if f" {t}" in sql:
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(sql)
+    named = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", sql)}
+    plain = sql.replace("{", "{{").replace("}", "}}")
+    return spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(named)})\b", r"\1 {\2}", plain), **named)
 
 
 def twin(sql: str) -> str:
     """`sql` with the views that it names in front, for another SQL engine."""
-    used = [f"{n} AS ({q.replace('AS STRING', 'AS VARCHAR')})" for n, q in VIEWS.items() if n in sql.replace(n + "_", "")]
+    used = [f"{n} AS ({q.replace('AS STRING', 'AS VARCHAR')})" for n, q in VIEWS.items() if re.search(rf"\b{n}\b", sql)]
     head = ", ".join(used)
     return f"WITH {head}, {sql.strip()[4:].lstrip()}" if sql.strip()[:5].upper() == "WITH " else f"WITH {head} {sql}"
 

@@ -5,9 +5,9 @@ import pandas as pd
 import pytest
 
 from equilens.plans import registry
+from equilens.sources.tables import TABLES
 
 DIR = "/root/testdata/sf0.01"
-TABLES = ("lineitem", "orders", "customer", "documents", "labels", "events")
 
 
 def tidy(df: pd.DataFrame) -> pd.DataFrame:
