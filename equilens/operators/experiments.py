@@ -118,6 +118,11 @@ def overfit_gap(train: DataFrame, test: DataFrame, keys: list[str]) -> DataFrame
     return t.select(*keys, F.round(gf, 4).alias("f1_gap"), F.round(ga, 4).alias("acc_gap"), risk.alias("risk"))
 
 
+def join_overfit_risk(table: DataFrame, risk: DataFrame, keys: list[str]) -> DataFrame:
+    """`table` with the risk of each of its rows, null where none is known; a repeated risk counts once."""
+    return table.join(risk.dropDuplicates(keys), keys, "left")
+
+
 def mode_scores(df: DataFrame) -> DataFrame:
     """Mean score of each variant and model, with its place within the model; for information only."""
     t = composite_score(df).groupBy("variant", "model_type").agg(F.round(F.avg("score"), 6).alias("mean_score"), F.count("*").alias("n"))

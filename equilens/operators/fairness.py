@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from equilens.operators.harmonize import is_unknown_label
+
 FAIR = 0.1
 
 
@@ -76,28 +78,44 @@ def roc_auc(df: DataFrame, keys: list[str]) -> DataFrame:
     return sums.select(*keys, F.round(F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("won") / (F.col("pos") * F.col("neg"))), 6).alias("auc"))
 
 
-def group_performance(df: DataFrame, attrs: list[str]) -> DataFrame:
+def group_performance(df: DataFrame, attrs: list[str], extra: list[str] = ()) -> DataFrame:
     """accuracy, precision, recall, f1, prevalence and AUC of each group; null where undefined."""
     c = F.col
-    table = group_counts(df, attrs)
+    table = group_counts(df, attrs, extra)
     null = lambda a, b: F.round(F.when(b > 0, a / b), 6)
     perf = table.select(
-        "attr", "grp", "n", null(c("tp") + c("tn"), c("n")).alias("accuracy"), null(c("tp"), c("tp") + c("fp")).alias("precision"), null(c("tp"), c("tp") + c("fn")).alias("recall"),
+        *extra, "attr", "grp", "n", null(c("tp") + c("tn"), c("n")).alias("accuracy"), null(c("tp"), c("tp") + c("fp")).alias("precision"), null(c("tp"), c("tp") + c("fn")).alias("recall"),
         null(2 * c("tp"), 2 * c("tp") + c("fp") + c("fn")).alias("f1"), null(c("tp") + c("fn"), c("n")).alias("prevalence"),
     )
-    return perf.join(roc_auc(by_attribute(df, attrs, ["y_true", "y_proba"]), ["attr", "grp"]), ["attr", "grp"])
+    keys = [*extra, "attr", "grp"]
+    return perf.join(roc_auc(by_attribute(df, attrs, ["y_true", "y_proba", *extra]), keys), keys)
+
 
+#: Rows that a group must have, and a group of an intersection.
+LEAST_ROWS, LEAST_CELL_ROWS = 50, 30
 
-def gated_report(df: DataFrame, attrs: list[str], least: int = 50) -> DataFrame:
-    """Rates of each group with a status; only groups that are neither unknown, undersized nor degenerate count for the gaps."""
+
+def group_status(df: DataFrame, attrs: list[str], least: int | dict[str, int] = LEAST_ROWS, extra: list[str] = ()) -> DataFrame:
+    """Counts and rates of each group with its status: undersized, degenerate, unknown or compared; the first that holds."""
     c = F.col
-    unknown = F.exists(F.split(F.lower("grp"), " x "), lambda p: F.trim(p).isin("unknown", "nan", "none", ""))
-    status = F.when(c("n") < least, "undersized").when((c("tp") + c("fn") == 0) | (c("fp") + c("tn") == 0), "degenerate").when(unknown, "unknown").otherwise("compared")
-    table = rates(group_counts(df, attrs)).withColumn("status", status)
-    w = Window.partitionBy("attr")
-    used = c("status") == "compared"
-    gap = lambda m: F.when(F.sum(used.cast("int")).over(w) >= 2, F.round(F.max(F.when(used, c(m))).over(w) - F.min(F.when(used, c(m))).over(w), 6))
-    return table.select("attr", "grp", "n", "status", *(F.round(m, 6).alias(m) for m in ("positive_rate", "tpr", "fpr")), gap("positive_rate").alias("dp_gap"), gap("tpr").alias("tpr_gap"), gap("fpr").alias("fpr_gap"))
+    need = F.lit(least) if isinstance(least, int) else F.create_map(*(F.lit(x) for pair in least.items() for x in pair))[c("attr")]
+    one_class = (c("tp") + c("fn") == 0) | (c("fp") + c("tn") == 0)
+    status = F.when(c("n") < need, "undersized").when(one_class, "degenerate").when(is_unknown_label(c("grp")), "unknown").otherwise("compared")
+    return rates(group_counts(df, attrs, extra)).withColumn("status", status)
+
+
+def gated_report(df: DataFrame, attrs: list[str], least: int | dict[str, int] = LEAST_ROWS, extra: list[str] = ()) -> DataFrame:
+    """Rates of each group with a status; only compared groups count for the gaps, which are null for fewer than two."""
+    w = Window.partitionBy(*extra, "attr")  # a row for each group
+    used = F.col("status") == "compared"
+
+    def gap(m: str) -> Column:
+        value = F.when(used, F.col(m))
+        return F.when(F.sum(used.cast("int")).over(w) >= 2, F.round(F.max(value).over(w) - F.min(value).over(w), 6))
+
+    shown = [F.round(m, 6).alias(m) for m in ("positive_rate", "tpr", "fpr")]
+    gaps = [gap(m).alias(n) for n, m in (("dp_gap", "positive_rate"), ("tpr_gap", "tpr"), ("fpr_gap", "fpr"))]
+    return group_status(df, attrs, least, extra).select(*extra, "attr", "grp", "n", "status", *shown, *gaps)
 
 
 def confusion_metrics(df: DataFrame, keys: list[str] = ()) -> DataFrame:

@@ -120,7 +120,7 @@ g AS (
 _TOP = """
 w AS (
   SELECT case_id, regexp_extract_all(weights, '[''"]([^''"]+)[''"]\\s*:\\s*([0-9.eE+-]+)', 1) AS k,
-    list_transform(regexp_extract_all(weights, '[''"]([^''"]+)[''"]\\s*:\\s*([0-9.eE+-]+)', 2), x -> CAST(x AS DOUBLE)) AS v
+    [CAST(x AS DOUBLE) FOR x IN regexp_extract_all(weights, '[''"]([^''"]+)[''"]\\s*:\\s*([0-9.eE+-]+)', 2)] AS v
   FROM v_case_labels),
 t AS (SELECT case_id, k[list_position(v, list_max(v))] AS top FROM w)"""
 

@@ -7,6 +7,14 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_GROUPED = """
+SELECT l_returnflag || '/' || l_linestatus || '/' || CAST(l_linenumber % 3 AS STRING) || '/' || CAST(l_suppkey % 4 AS STRING) || '/' || CAST(l_partkey % 2 AS STRING) AS experiment_id,
+  l_returnflag AS dataset, l_linestatus AS model_type, CAST(l_linenumber % 3 AS STRING) AS binning, CAST(l_partkey % 2 AS STRING) AS variant,
+  CASE WHEN l_suppkey % 4 = 0 THEN 'baseline' ELSE 'm' || CAST(l_suppkey % 4 AS STRING) END AS mitigation,
+  'shift_cat' AS attr, CAST(l_orderkey % 4 AS STRING) AS grp, '{metric}' AS metric, round(avg({value}) {scale}, 4) AS value, count(*) AS n
+FROM lineitem GROUP BY 1, 2, 3, 4, 5, 6, 8"""
+_METRICS = (("tpr", "l_discount", "* 10"), ("fpr", "l_tax", "* 10"), ("demographic_parity_rate", "l_quantity", "/ 50"))
+
 #: The same SELECT runs in Spark and in the SQL twin of a query.
 VIEWS = {
     "v_pred": "SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS row_id, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y_true, CAST(l_quantity AS DOUBLE) / 50.0 AS y_proba, CASE WHEN CAST(l_quantity AS DOUBLE) / 50.0 >= 0.5 THEN 1 ELSE 0 END AS y_pred, l_linestatus AS grp_a, CAST(l_linenumber AS STRING) AS grp_b FROM lineitem",
@@ -50,6 +58,12 @@ FROM customer""",
 SELECT c_custkey AS case_id, CASE c_mktsegment WHEN 'BUILDING' THEN '{"Eczema": 0.3, "Melanoma": 0.7}' WHEN 'MACHINERY' THEN '{"Acne": 0.5, "Basal Cell": 0.5}'
   WHEN 'FURNITURE' THEN '{"Psoriasis": 1.0}' WHEN 'AUTOMOBILE' THEN '{"Basal Cell": 0.9}' ELSE '{}' END AS weights
 FROM customer WHERE c_custkey % 10 > 0""",
+    "v_group_values": "SELECT *, round(avg(value) OVER (PARTITION BY experiment_id, attr, metric), 6) AS overall FROM (" + " UNION ALL ".join(_GROUPED.format(metric=m, value=v, scale=s) for m, v, s in _METRICS) + ") g",
+    "v_runs": """
+SELECT l_returnflag AS dataset, l_linestatus AS model, CASE WHEN l_suppkey % 3 = 0 THEN 'test' ELSE 'train' END AS split, l_suppkey % 6 AS cluster,
+  CASE WHEN l_discount >= 0.05 THEN 1 ELSE 0 END AS y_true, l_quantity / 50.0 AS y_proba, CASE WHEN l_quantity >= 25 THEN 1 ELSE 0 END AS y_pred,
+  CAST(l_linenumber AS STRING) AS line, CASE WHEN l_partkey % 5 = 0 THEN 'unknown' ELSE CAST(l_partkey % 5 AS STRING) END AS part, l_partkey % 97 AS small
+FROM lineitem""",
     "v_drift": "SELECT event_type, CAST(value AS DOUBLE) AS value FROM events",
 }
 
