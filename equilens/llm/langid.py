@@ -119,6 +119,7 @@ def script_of(word: str) -> str:
 
 
 def grams_of(word: str) -> list[str]:
+    """All runs of two and three characters of a word between blanks."""
     w = f" {word} "
     return [w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1)]
 
@@ -212,6 +213,12 @@ class Labeller:
 
     def __init__(self, model: Model, switch: float = SWITCH):
         self.m, self.switch = model, np.float32(switch)
+        # an n-gram's code points, 21 bits each, are its key
+        keys = np.array([sum(ord(x) << 21 * i for i, x in enumerate(reversed(g))) for g in model.grams], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.log_p = keys[order], model.log_p[order] if len(keys) else model.log_p
+        none = np.zeros(len(model.langs), bool)
+        self.script = np.array([model.scripts.get(name, none) for _, name in SCRIPTS]).reshape(len(SCRIPTS), len(none))
         self.reset()
 
     def reset(self) -> None:
@@ -219,24 +226,29 @@ class Labeller:
         self.known: dict[str, int] = {}
         self.scores, self.seen, self.used = np.zeros((1, len(self.m.langs)), np.float32), np.zeros(1, bool), 1
 
+    def values_of(self, keys: np.ndarray) -> np.ndarray:
+        """The log-probabilities of n-grams."""
+        if not len(self.keys):
+            return np.tile(self.m.floor, (len(keys), 1))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where((self.keys[at] == keys)[:, None], self.log_p[at], self.m.floor)
+
     def learn(self, words: list[str]) -> None:
         """Scores of new words: a row of `scores` each, very low for languages that aren't candidates."""
-        m, ids, ends = self.m, [], []
-        for w in words:
-            g = grams_of(w.lower())
-            ids += [m.grams.get(x, -1) for x in g]
-            ends.append(len(ids))
-        ids, ends = np.array(ids, np.int64), np.array(ends, np.int64)
-        n = np.diff(ends, prepend=0)
-        each = np.where((ids >= 0)[:, None], m.log_p[ids] if len(m.log_p) else 0.0, m.floor)
-        total = np.add.reduceat(each, ends - n)
-        mean = total / n[:, None] * np.minimum(np.sqrt(n)[:, None], LONGEST)
-        seen = np.zeros(len(words), bool)
-        for k, w in enumerate(words):
-            mask = m.scripts.get(script_of(w))
-            seen[k] = mask is not None
-            if mask is not None and not mask.all():
-                mean[k, ~mask] = -1e6
+        m, lower = self.m, [w.lower() for w in words]
+        length = np.fromiter(map(len, lower), np.int64, len(words))
+        c = code_points(" " + " ".join(lower) + " ").astype(np.int64)
+        pairs = c[:-1] << 21 | c[1:]
+        triples = np.flatnonzero(c[1:-1] != 32)  # a blank in the middle joins two words
+        starts = np.cumsum(length + 1) - length - 1
+        each = self.values_of(pairs)
+        each[triples] += self.values_of(pairs[triples] << 21 | c[triples + 2])
+        n = 2 * length + 1
+        mean = np.add.reduceat(each, starts) / n[:, None] * np.minimum(np.sqrt(n)[:, None], LONGEST)
+        first = np.fromiter((ord(w[0]) for w in words), np.int64, len(words))
+        script = self.script[np.searchsorted(_FIRST, first, "right") - 1]
+        seen = script.any(1)
+        mean[seen[:, None] & ~script] = -1e6
         base = self.used
         if base + len(words) > len(self.scores):  # grows by doubling
             more = max(base, len(words)) + CHUNK
