@@ -10,13 +10,19 @@ from pyspark.sql.window import Window
 WEIGHTS = {"f1": 0.4, "recall": 0.3, "accuracy": 0.2, "auc": 0.1}
 
 
+def exact_mean(column: str, places: int = 4) -> Column:
+    """The mean of values that have `places` decimals, by whole numbers: the same in whatever order they are added up."""
+    scale = 10**places
+    return F.sum(F.round(F.col(column) * scale).cast("long")) / (F.count(column) * scale)
+
+
 def composite_score(df: DataFrame) -> DataFrame:
     score = sum((F.col(m) * w for m, w in WEIGHTS.items()), F.lit(0.0))
     return df.withColumn("score", F.round(score, 6))
 
 
-def gate_recall(recall: Column) -> Column:
-    return F.when(recall.isNull() | (recall < 0.6), "fail").when(recall < 0.7, "lower_tier").otherwise("full_pass")
+def gate_recall(recall: Column, floor: float = 0.6, least: float = 0.7) -> Column:
+    return F.when(recall.isNull() | (recall < floor), "fail").when(recall < least, "lower_tier").otherwise("full_pass")
 
 
 def gate_fairness(gap: Column) -> Column:
@@ -131,9 +137,9 @@ def mode_scores(df: DataFrame) -> DataFrame:
 
 def stage_gap_deltas(df: DataFrame, stage: str = "binning") -> DataFrame:
     """Change of the mean gap from one stage to the next, by dataset."""
-    t = df.groupBy("dataset", F.col(stage).alias("stage")).agg(F.round(F.avg("gap"), 6).alias("mean_gap"))
+    t = df.groupBy("dataset", F.col(stage).alias("stage")).agg(F.round(exact_mean("gap"), 9).alias("mean_gap"))
     before = F.lag("mean_gap").over(Window.partitionBy("dataset").orderBy("stage"))
-    return t.withColumn("change", F.round(F.col("mean_gap") - before, 6))
+    return t.withColumn("change", F.round(F.col("mean_gap") - before, 9))
 
 
 def before_after_best(df: DataFrame, metrics: tuple[str, ...] = ("f1", "recall", "gap")) -> DataFrame:

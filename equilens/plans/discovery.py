@@ -141,7 +141,9 @@ def oracle_sql() -> dict[str, str]:
         "inject_missing_mar": f"WITH w AS (SELECT *, CASE WHEN lang = 'en' THEN 2.0 ELSE 1.0 END AS w FROM v_doc) SELECT doc_id, lang, CASE WHEN {_hash('n_chars')} >= least(1.0, 0.2 * w / (SELECT avg(w) FROM w)) THEN n_chars END AS n_chars FROM w",
         "inject_duplicates": f"SELECT doc_id, lang, copy_no FROM v_doc, (VALUES (1), (2)) c(copy_no) WHERE copy_no = 1 OR {_hash('copy')} < 0.1",
         "mode_scores": f"SELECT *, CAST(rank() OVER (PARTITION BY model_type ORDER BY mean_score DESC) AS INTEGER) AS place FROM (SELECT variant, model_type, round(avg({score}), 6) AS mean_score, count(*) AS n FROM v_exp GROUP BY 1, 2) q",
-        "stage_gap_deltas": "SELECT dataset, binning AS stage, mean_gap, round(mean_gap - lag(mean_gap) OVER (PARTITION BY dataset ORDER BY binning), 6) AS change FROM (SELECT dataset, binning, round(avg(gap), 6) AS mean_gap FROM v_exp GROUP BY 1, 2) q",
+        "stage_gap_deltas": """
+SELECT dataset, binning AS stage, mean_gap, round(mean_gap - lag(mean_gap) OVER (PARTITION BY dataset ORDER BY binning), 9) AS change
+FROM (SELECT dataset, binning, round(CAST(sum(CAST(round(gap * 10000) AS BIGINT)) AS DOUBLE) / (count(gap) * 10000), 9) AS mean_gap FROM v_exp GROUP BY 1, 2) q""",
         "before_after_best": "SELECT dataset, metric, b AS \"before\", a AS \"after\", round(a - b, 6) AS change FROM (" + " UNION ALL ".join(f"SELECT x.dataset, '{m}' AS metric, x.{m} AS a, y.{m} AS b FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY gap, experiment_id) AS r FROM v_exp WHERE mitigation <> 'baseline') x JOIN (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY experiment_id) AS r FROM v_exp WHERE mitigation = 'baseline') y ON x.dataset = y.dataset AND x.r = 1 AND y.r = 1" for m in ("f1", "recall", "gap")) + ") q",
         "experiment_summary": "SELECT count(*) AS experiments, count(DISTINCT dataset) AS datasets, count(DISTINCT model_type) AS models, count(DISTINCT binning) AS binnings, count(DISTINCT mitigation) AS mitigations FROM v_exp",
         "mitigation_gap_matrix": "SELECT mitigation, " + ", ".join(f"round(avg(CASE WHEN dataset = '{d}' THEN gap END), 6) AS gap_{d.lower()}" for d in "ANR") + " FROM v_exp GROUP BY 1",
