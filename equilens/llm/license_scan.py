@@ -6,14 +6,15 @@ DataFrame and SQL functions only.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equilens.llm.common import written
-
 #: Dice coefficient from which a piece counts as a license text.
 LEAST = 0.8
+#: Letters from which a word is rare enough to tell that a license may follow.
+LONG_WORD = 7
 #: License ids and public notices.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -67,16 +68,28 @@ def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
 
 
 def anchors(templates: DataFrame, low: float) -> list[str]:
-    """Bigrams of which a text must have one to hold a window that reaches the bound: more of each template than the window may lack."""
-    found = set()
+    """Strings of which a text must hold one to have a window that reaches the bound.
+
+    A window may lack some bigrams of its template, but not all those that a
+    few long words are in. Words, and bigrams where words are short, are chosen
+    for all templates at once, in each step the one that is in most bigrams
+    still to be touched; as a text without "license" has no "licensed" either,
+    parts of words count.
+    """
+    todo = []
     for t in templates.select("bigrams").collect():  # a few hundred texts
-        spare = len(t.bigrams) - math.ceil(low * len(t.bigrams) - 1e-9)
-        for b in sorted(set(t.bigrams), key=lambda b: (-len(b), b)):
-            if spare < 0:
-                break
-            found.add(b)
-            spare -= t.bigrams.count(b)
-    return sorted(found)
+        todo.append([list(t.bigrams), len(t.bigrams) - math.ceil(low * len(t.bigrams) - 1e-9) + 1])
+    strings = {b for own, _ in todo for b in own} | {w for own, _ in todo for b in own for w in b.split(" ") if len(w) >= LONG_WORD}
+    found = []
+    while any(n > 0 for _, n in todo):
+        gain = lambda w: sum(min(n, sum(w in b for b in own)) for own, n in todo if n > 0)
+        rare = lambda w: gain(w) > 0 and (len(w) >= LONG_WORD and " " not in w or len(w) >= LONG_WORD + 3)
+        best = max(strings, key=lambda w: (rare(w), gain(w), len(w), w))
+        found.append(best)
+        for t in todo:
+            left = [b for b in t[0] if best not in b]
+            t[:] = left, t[1] - (len(t[0]) - len(left))
+    return [w for w in found if not any(o != w and o in w for o in found)]
 
 
 def best_windows(hits: Column, size: Column, low: float, high: float) -> Column:
@@ -115,35 +128,41 @@ def scan(docs: DataFrame, templates: DataFrame, key: str = "doc_id", text: str =
     paragraphs and the whole text come first: where one of them has a license,
     `dice` is theirs, and `pieces` the larger of their number and that of the
     windows (which lie within them too). A null text counts as empty; a piece
-    of fewer than two words matches nothing. Repeated rows of one key count
-    together, a null key is one of them, and of equally good windows the first
-    counts. Without texts or templates nothing is found.
+    of fewer than two words matches nothing. Rows that are equal but for blanks
+    and signs count once, other rows of one key together; a null key is a key
+    like others. Of equally good windows the first counts. Without texts or
+    templates nothing is found.
     """
     low, high = least / (2 - least), (2 - least) / least
     norm = docs.select(F.col(key).alias("id"), normalised(F.col(text)).alias("norm"))
-    lines = F.transform(F.split("norm", "\n"), lambda x, i: F.struct(F.lit("line").alias("level"), i.alias("n"), x.alias("piece")))
-    paragraphs = F.transform(F.split("norm", r"\n(?: ?\n)+"), lambda x, i: F.struct(F.lit("paragraph").alias("level"), i.alias("n"), x.alias("piece")))
-    several = F.filter(paragraphs, lambda x: x["piece"].contains("\n"))
-    whole = F.filter(F.array(F.struct(F.lit("whole").alias("level"), F.lit(0).alias("n"), F.col("norm").alias("piece"))), lambda x: x["piece"].rlike(r"\n ?\n"))
-    whole = F.transform(whole, lambda x: F.struct(x["level"].alias("level"), x["n"].alias("n"), F.regexp_replace(x["piece"], r"[ \n]+", " ").alias("piece")))  # runs of blank lines are one gap
     bound = templates.agg(F.min("size"), F.max("size")).first()
     least_size, most_size = (bound[0] * low, bound[1] * high) if bound[0] else (1.0, 0.0)
-    # one expression, so that a piece is split once; what size excludes never becomes a row
-    gaps = lambda x: F.length(x) - F.length(F.replace(F.replace(x, F.lit(" "), F.lit("")), F.lit("\n"), F.lit("")))  # noqa: E731  a third of them at least end a word
-    likely = F.filter(F.concat(lines, several, whole), lambda x: gaps(x["piece"]).between(F.lit(least_size - 1), F.lit(3 * most_size + 6)))
-    split = F.transform(likely, lambda x: F.struct(x["level"].alias("level"), x["n"].alias("n"), words(x["piece"]).alias("w")))
-    fit = F.filter(split, lambda x: (F.size(x["w"]) - 1).between(least_size - 1e-9, most_size + 1e-9))
-    paired = F.transform(fit, lambda x: F.struct(x["level"].alias("level"), x["n"].alias("n"), bigrams(x["w"]).alias("b")))
-    anywhere = F.array(F.struct(F.lit("window").alias("level"), F.lit(0).alias("n"), bigrams(words(F.col("norm"))).alias("b")))
-    some = F.array(*map(F.lit, anchors(templates, low))).cast("array<string>")
-    paired = F.concat(paired, F.filter(anywhere, lambda x: F.arrays_overlap(x["b"], some)))
-    # the inner form would build the pieces again to filter empty ones; numbers are those of the written rows
-    sized = written(norm.select("id", F.monotonically_increasing_id().alias("row"), F.inline_outer(paired)).where("b IS NOT NULL"), "license-pieces").withColumn("a", F.size("b"))
+    some = anchors(templates, low)
+    flat = lambda t: F.regexp_replace(t, r" ?\n[ \n]*", " ")  # noqa: E731  runs of blank lines are one gap
+    holds = lambda t: reduce(lambda p, q: p | q, (t.contains(a) for a in some), F.lit(False))
+
+    def pieces(t: Column) -> Column:
+        """The pieces of a text that hold an anchor, each as bigrams, and the whole text for windows."""
+        piece = lambda level: lambda x, i: F.struct(F.lit(level).alias("level"), i.alias("n"), x.alias("piece"))
+        lines = F.transform(F.split(t, "\n"), piece("line"))
+        several = F.filter(F.split(t, r"\n(?: ?\n)+"), lambda x: x.contains("\n"))
+        paragraphs = F.transform(F.transform(several, flat), piece("paragraph"))
+        whole = F.transform(F.filter(F.array(t), lambda x: x.rlike(r"\n ?\n")), lambda x, i: piece("whole")(flat(x), i))
+        split = F.transform(F.filter(F.concat(lines, paragraphs, whole), lambda x: holds(x["piece"])), lambda x: F.struct(x["level"].alias("level"), x["n"].alias("n"), words(x["piece"]).alias("w")))
+        fit = F.filter(split, lambda x: (F.size(x["w"]) - 1).between(least_size - 1e-9, most_size + 1e-9))
+        window = F.array(F.struct(F.lit("window").alias("level"), F.lit(0).alias("n"), words(t).alias("w")))
+        return F.transform(F.concat(fit, window), lambda x: F.struct(x["level"].alias("level"), x["n"].alias("n"), bigrams(x["w"]).alias("b")))
+
+    # a text without an anchor is never split; the inner form would build the pieces again to filter empty ones
+    both = F.array(F.struct(F.col("norm").alias("t"), flat(F.col("norm")).alias("flat")))
+    likely = F.transform(F.filter(both, lambda x: holds(x["flat"])), lambda x: x["t"])
+    sized = norm.select("id", F.xxhash64("norm").alias("row"), F.inline_outer(F.flatten(F.transform(likely, pieces)))).where("b IS NOT NULL").withColumn("a", F.size("b"))
     each = sized.select("id", "row", "level", "n", "a", F.posexplode("b").alias("pos", "bigram"))
     index = templates.select("template", "license", "size", F.explode("bigrams").alias("bigram")).groupBy("template", "license", "size", "bigram").agg(F.count("*").alias("here"))
     window = F.col("level") == "window"
     met = each.join(F.broadcast(index), "bigram").where(window | (F.col("a") >= F.col("size") * low - 1e-9) & (F.col("a") <= F.col("size") * high + 1e-9))  # the templates are a parameter: a few hundred texts
-    counted = met.groupBy("id", "row", "level", "n", "a", "template", "license", "size", "bigram", "here").agg(F.count("*").alias("there"), F.sort_array(F.collect_list("pos")).alias("at"))
+    places = F.sort_array(F.collect_set("pos"))  # equal rows have equal places
+    counted = met.groupBy("id", "row", "level", "n", "a", "template", "license", "size", "bigram", "here").agg(places.alias("at")).withColumn("there", F.size("at"))
     here = F.col("here").cast("int")
     placed = F.when(window, F.transform("at", lambda p, x: F.struct(p.alias("pos"), F.when(x >= here, F.get(F.col("at"), x - here)).otherwise(-1).alias("lag"))))
     common = counted.groupBy("id", "row", "level", "n", "a", "template", "license", "size").agg(F.sum(F.least("here", "there")).alias("c"), F.array_sort(F.flatten(F.collect_list(placed))).alias("hits"))
