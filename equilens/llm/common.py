@@ -65,8 +65,17 @@ def hot_join(many: DataFrame, one: DataFrame, on: str, size: str, total: int, ho
 
     Keys with more than a thousandth of all `total` rows meet their partner by
     broadcast (at most a thousand rows of `one`), so that none of them is
-    gathered in a task; all other keys are shuffled. `how` is inner or left.
+    gathered in a task; all other keys are shuffled. `how` is inner or left;
+    rows with a null key find no partner and aren't shuffled at all.
     """
+    if how == "left":
+        none = {f.name: F.lit(None).cast(f.dataType) for f in one.schema.fields if f.name != on}
+        lone = many.where(F.col(on).isNull()).withColumns(none)
+        return lone.unionByName(_hot_join(many.where(F.col(on).isNotNull()), one, on, size, total, how))
+    return _hot_join(many, one, on, size, total, how)
+
+
+def _hot_join(many: DataFrame, one: DataFrame, on: str, size: str, total: int, how: str) -> DataFrame:
     is_hot = F.col(size) * HOT > total
     hot = F.broadcast(one.where(is_hot).withColumn("_hot", F.lit(True)))
     met = many.join(hot, on, "left")

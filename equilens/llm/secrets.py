@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equilens.llm.common import hot_join, written
+from equilens.llm.common import HOT, hot_join, written
 
 
 @dataclass(frozen=True)
@@ -125,8 +125,9 @@ class BlobLedger:
         found.write.mode("append").parquet(f"{self.path}/rule_version={rule_version}")
         # blobs without a finding need no partner: only the others are joined back
         hits = self.read(rule_version).where(F.size("findings") > 0).groupBy("blob").agg(F.first("findings").alias("findings"))
-        sized = hits.join(blobs.groupBy("blob").agg(F.count("*").alias("rows")), "blob")
-        met = hot_join(blobs, sized, "blob", "rows", blobs.count(), "left")
+        total = blobs.count()
+        sized = blobs.groupBy("blob").agg(F.count("*").alias("rows")).join(hits, "blob", "left")
+        met = hot_join(blobs, sized.where(F.col("findings").isNotNull() | (F.col("rows") * HOT > total)), "blob", "rows", total, "left")
         return met.select(path, version, F.lower(F.hex("blob")).alias("blob"), F.coalesce("findings", F.array().cast(FOUND)).alias("findings"))
 
 
