@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from equilens.operators.harmonize import is_unknown_label
+from equilens.operators.statistics import running
 
 FAIR = 0.1
 
@@ -73,8 +74,8 @@ def calibration_by_group(df: DataFrame, attrs: list[str], bins: int = 10) -> Dat
 def roc_auc(df: DataFrame, keys: list[str]) -> DataFrame:
     """Exact AUC by mid-ranks over distinct scores, ties halved; null for a single class."""
     scores = df.groupBy(*keys, "y_proba").agg(F.sum("y_true").alias("pos"), F.sum(1 - F.col("y_true")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*keys).orderBy("y_proba").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = scores.withColumn("won", F.col("pos") * (below + F.col("neg") / 2)).groupBy(*keys).agg(F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    upto = running(scores, keys, "y_proba", {"neg": "_neg"})
+    sums = upto.withColumn("won", F.col("pos") * (F.col("_neg") - F.col("neg") / 2)).groupBy(*keys).agg(F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return sums.select(*keys, F.round(F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("won") / (F.col("pos") * F.col("neg"))), 6).alias("auc"))
 
 

@@ -7,11 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def _long(row: DataFrame, columns: list[str], fields: dict[str, str]) -> DataFrame:
-    """One wide row of aggregates as a row for each column."""
-    return row.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), *(F.col(f"{c}__{f}").cast(t).alias(f) for f, t in fields.items())) for c in columns))))
-
-
 def missing_by_column(df: DataFrame) -> DataFrame:
     """Nulls of every column, all counted in one aggregation."""
     row = df.agg(F.count("*").alias("_n"), *(F.count_if(F.col(c).isNull()).alias(f"{c}__missing") for c in df.columns))
@@ -44,8 +39,8 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def duplicate_index_values(df: DataFrame, columns: list[str]) -> DataFrame:
-    row = df.agg(*(x for c in columns for x in ((F.count(c) - F.count_distinct(F.col(c))).alias(f"{c}__repeated"), F.count_distinct(F.col(c)).alias(f"{c}__distinct"))))
-    return _long(row, columns, {"repeated": "long", "distinct": "long"})
+    t = value_counts(df.select(*columns)).where("value IS NOT NULL").groupBy("column").agg(F.sum(F.col("n") - 1).alias("repeated"), F.count("*").alias("distinct"))
+    return t.select("column", "repeated", "distinct")
 
 
 def sensitive_distribution(df: DataFrame, attrs: list[str]) -> DataFrame:
@@ -79,15 +74,22 @@ def label_imbalance(df: DataFrame, attrs: list[str], target: str) -> DataFrame:
     return t.select("attr", F.round(F.col("hi") - F.col("lo"), 6).alias("max_difference"), F.round(F.when(F.col("lo") > 0, F.col("hi") / F.col("lo")), 6).alias("max_ratio"))
 
 
+def value_counts(df: DataFrame) -> DataFrame:
+    """(column, value, n): how often each value of each column occurs, null being one; counted where the rows are first."""
+    each = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in df.columns))
+    return df.select(F.inline(each)).groupBy("column", "value").agg(F.count("*").alias("n"))
+
+
 def column_profile(df: DataFrame) -> DataFrame:
-    """Distinct and missing values of every column in one aggregation."""
-    row = df.agg(F.count("*").alias("_n"), *(x for c in df.columns for x in (F.count_distinct(F.col(c)).alias(f"{c}__n_unique"), F.count(c).alias(f"{c}__present"))))
-    listed = F.array(*(F.struct(F.lit(c).alias("column"), F.lit(_kind(t)).alias("kind"), F.col(f"{c}__n_unique").alias("n_unique"), F.col(f"{c}__present").alias("present")) for c, t in df.dtypes))
-    t = row.select("_n", F.inline(listed))
-    return t.select("column", "kind", "n_unique", (F.col("_n") - F.col("present")).alias("n_missing"), F.round(F.when(F.col("present") > 0, F.col("n_unique") / F.col("present")).otherwise(0.0), 6).alias("distinct_ratio"), (F.col("n_unique") == F.col("_n")).alias("all_unique"))
+    """Distinct and missing values of every column, by one grouping of (column, value)."""
+    kinds = F.create_map(*(F.lit(x) for c, t in df.dtypes for x in (c, kind_of(t))))
+    known = F.col("value").isNotNull()
+    t = value_counts(df).groupBy("column").agg(F.count_if(known).alias("n_unique"), F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("present"), F.sum("n").alias("_n"))
+    ratio = F.round(F.when(F.col("present") > 0, F.col("n_unique") / F.col("present")).otherwise(0.0), 6)
+    return t.select("column", kinds[F.col("column")].alias("kind"), "n_unique", "present", (F.col("_n") - F.col("present")).alias("n_missing"), ratio.alias("distinct_ratio"), (F.col("n_unique") == F.col("_n")).alias("all_unique"))
 
 
-def _kind(dtype: str) -> str:
+def kind_of(dtype: str) -> str:
     if dtype in ("tinyint", "smallint", "int", "bigint"):
         return "integer"
     if dtype in ("float", "double") or dtype.startswith("decimal"):

@@ -2,11 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Values of one slice of `running`.
+SLICE = 100_000
+
+
+def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, str], slice_rows: int = SLICE) -> DataFrame:
+    """`df` with running sums of columns in the order of a numeric column within `keys`, without a task for each key.
+
+    Rows are cut into ranges of the order, sums run within a range, and each range starts with the totals of those
+    before it. Ranges come from approximate quantiles over all keys; ties must be one row, as counts of values are.
+    """
+    n = df.count()
+    slices = max(1, n // slice_rows)
+    cuts = df.agg(F.percentile_approx(order, [i / slices for i in range(1, slices)], 10 * slices)).first()[0] if slices > 1 else []
+    at = F.lit(0)
+    if cuts:  # one number for each slice
+        edges = np.unique(np.array(cuts, float))
+        place = F.pandas_udf(lambda v: pd.Series(np.searchsorted(edges, v.to_numpy(), side="left").astype(np.int32)), "int")
+        at = place(F.col(order).cast("double"))
+    part = df.withColumn("_slice", at.cast("int"))
+    totals = part.groupBy(*keys, "_slice").agg(*(F.sum(c).alias(f"{c}__t") for c in sums))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*keys, "_slice", *(F.coalesce(F.sum(f"{c}__t").over(before), F.lit(0)).alias(f"{c}__s") for c in sums))
+    within = Window.partitionBy(*keys, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    own = part.withColumns({out: F.sum(c).over(within) for c, out in sums.items()})
+    t = own.join(starts, [*keys, "_slice"])
+    return t.withColumns({out: F.col(out) + F.col(f"{c}__s") for c, out in sums.items()}).drop("_slice", *(f"{c}__s" for c in sums))
+
+
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     """Statistic (Yates-corrected for 2 x 2), degrees of freedom and Cramér's V, from the contingency table."""
     t = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("o"))
@@ -22,20 +52,37 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     return s.select(F.round("chi2", 4).alias("chi2"), ((F.col("k") - 1) * (F.col("m") - 1)).cast("long").alias("dof"), F.round(F.least(v, F.lit(1.0)), 6).alias("cramers_v"), "n")
 
 
+#: Terms of the series of Kolmogorov's distribution.
+TERMS = 30
+
+
+def ks_long(df: DataFrame, keys: list[str], first: Column, value: str) -> DataFrame:
+    """(keys, ks, p, n_a, n_b): the two-sample statistic and its asymptotic p for each key.
+
+    The largest distance of the two distribution functions, over the counts of distinct values.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count_if(first).alias("x"), F.count_if(~first).alias("y"))
+    t = running(counted, keys, "v", {"x": "fx", "y": "fy"})
+    whole = counted.groupBy(*keys).agg(F.sum("x").alias("n_a"), F.sum("y").alias("n_b")).where("n_a > 0 AND n_b > 0")
+    joined = t.join(F.broadcast(whole), keys) if keys else t.crossJoin(F.broadcast(whole))  # a row for each key
+    d = F.abs(F.col("fx") / F.col("n_a") - F.col("fy") / F.col("n_b"))
+    k = joined.groupBy(*keys).agg(F.max(d).alias("d"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
+    root = F.sqrt(F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b"))) * F.col("d")
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), F.lit(0.0), lambda acc, i: acc + F.when(i % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * i * i * root * root))
+    p = F.when(root < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * series)))
+    return k.select(*keys, F.round("d", 6).alias("ks"), F.round(p, 6).alias("p"), "n_a", "n_b")
+
+
 def ks(df: DataFrame, group: str, value: str, a: str, b: str) -> DataFrame:
-    """Two-sample statistic: the largest distance of the two distribution functions, over counts of distinct values."""
-    t = df.where(F.col(value).isNotNull() & F.col(group).isin(a, b)).groupBy(F.col(value).alias("v")).agg(F.count_if(F.col(group) == a).alias("x"), F.count_if(F.col(group) == b).alias("y"))
-    up = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
-    f = t.select(F.abs(F.sum("x").over(up) / F.sum("x").over(whole) - F.sum("y").over(up) / F.sum("y").over(whole)).alias("d"), F.sum("x").over(whole).alias("nx"), F.sum("y").over(whole).alias("ny"))
-    return f.agg(F.round(F.max("d"), 6).alias("ks"), F.max("nx").alias("n_a"), F.max("ny").alias("n_b"))
+    """Kolmogorov-Smirnov statistic of two groups."""
+    return ks_long(df.where(F.col(group).isin(a, b)), [], F.col(group) == a, value).select("ks", "n_a", "n_b")
 
 
 def mann_whitney(df: DataFrame, group: str, value: str, a: str, b: str) -> DataFrame:
     """U of group a over b, by mid-ranks of value counts."""
     t = df.where(F.col(value).isNotNull() & F.col(group).isin(a, b)).groupBy(F.col(value).alias("v")).agg(F.count_if(F.col(group) == a).alias("x"), F.count_if(F.col(group) == b).alias("y"))
-    below = F.coalesce(F.sum("y").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    u = t.withColumn("u", F.col("x") * (below + F.col("y") / 2)).agg(F.sum("u").alias("u"), F.sum("x").alias("n_a"), F.sum("y").alias("n_b"))
+    below = F.col("fy") - F.col("y")
+    u = running(t, [], "v", {"y": "fy"}).withColumn("u", F.col("x") * (below + F.col("y") / 2)).agg(F.sum("u").alias("u"), F.sum("x").alias("n_a"), F.sum("y").alias("n_b"))
     return u.select(F.round("u", 1).alias("u"), "n_a", "n_b", F.round(F.col("u") / (F.col("n_a") * F.col("n_b")), 6).alias("effect"))
 
 

@@ -15,7 +15,7 @@ from equilens.operators import lineage as L
 from equilens.operators import preparation as P
 from equilens.operators import profiling as D
 from equilens.operators import statistics as S
-from equilens.plans import auditing, discovery, evidencing, harmonizing, modelling
+from equilens.plans import auditing, describing, discovery, evidencing, harmonizing, modelling
 from equilens.sources.tables import twin, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,7 +128,7 @@ def queries() -> dict[str, Query]:
         "mit_ros": pred(lambda d: P.oversample(d, "row_id", "y_true").groupBy("y_true").agg(F.count("*").alias("n"))),
         "validity_constraints": doc(lambda d: P.validity_constraints(d, {"n_chars": {"least": 100, "most": 5000}, "quality": {"allow_null": False}}).select("doc_id", "n_chars", "quality")),
         "scalar_functions": doc(_scalar_table),
-    } | discovery.queries() | modelling.queries() | harmonizing.queries() | auditing.queries() | evidencing.queries()
+    } | discovery.queries() | modelling.queries() | harmonizing.queries() | auditing.queries() | evidencing.queries() | describing.queries()
 
 
 def _rates(where: str) -> str:
@@ -227,4 +227,4 @@ def oracle_sql() -> dict[str, str]:
         "mit_ros": "WITH c AS (SELECT y_true, count(*) AS n FROM v_pred GROUP BY 1) SELECT y_true, (SELECT max(n) FROM c) AS n FROM c",
         "validity_constraints": "SELECT doc_id, n_chars, quality FROM v_doc WHERE NOT coalesce(n_chars < 100 OR n_chars > 5000, false) AND quality IS NOT NULL",
     }
-    return {k: twin(v) for k, v in (found | discovery.oracle_sql() | modelling.oracle_sql() | harmonizing.oracle_sql() | auditing.oracle_sql() | evidencing.oracle_sql()).items()}
+    return {k: twin(v) for k, v in (found | discovery.oracle_sql() | modelling.oracle_sql() | harmonizing.oracle_sql() | auditing.oracle_sql() | evidencing.oracle_sql() | describing.oracle_sql()).items()}
