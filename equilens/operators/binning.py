@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from equilens.operators.statistics import quantiles
+
 
 def bin_index(value: Column, edges: list[float]) -> Column:
     """Ordinal of the right-closed interval, the lowest edge included; null outside."""
@@ -24,8 +26,8 @@ def bin_apply(df: DataFrame, column: str, edges: list[float], labels: list[str]
 
 def quantile_edges(df: DataFrame, column: str, n: int) -> list[float]:
     """Exact quantiles; equal edges are merged."""
-    q = df.agg(F.percentile(F.col(column), F.array(*(F.lit(i / n) for i in range(n + 1))))).first()[0]
-    return sorted(set(q or []))
+    q = quantiles(df, [], column, [i / n for i in range(n + 1)]).first()
+    return sorted(set(q[0])) if q and q[0][0] is not None else []
 
 
 def equal_width_edges(df: DataFrame, column: str, n: int) -> list[float]:
@@ -78,7 +80,8 @@ def natural_breaks(v: np.ndarray, w: np.ndarray, n: int) -> list[float]:
 def jenks_edges(df: DataFrame, keys: list[str], column: str, n: int) -> DataFrame:
     """(keys, edges): natural breaks of each group over its distinct values and their counts; groups run in parallel.
 
-    The first and last edge are the group's extremes, widened by 0.001.
+    The first and last edge are the group's extremes, widened by 0.001. A group of fewer than `n` distinct values has
+    as many bins as values.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("value")).agg(F.count("*").alias("n"))
 
@@ -96,8 +99,11 @@ def jenks_edges(df: DataFrame, keys: list[str], column: str, n: int) -> DataFram
 def bin_repair(df: DataFrame, column: str, edges: list[float], least: int) -> list[float]:
     """Merges the smallest bin below `least` rows into its smaller neighbour (the right one on a tie) until none is left.
 
-    The rows are counted once; only the counts are merged.
+    The outer edges are clipped to the range of the data first. The rows are counted once; only the counts are merged.
     """
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    if low is not None:
+        edges = [max(edges[0], low), *(e for e in edges[1:-1] if low < e < high), min(edges[-1], high)]
     index = bin_index(F.col(column), edges)
     found = {r["b"]: r["count"] for r in df.groupBy(index.alias("b")).count().where("b IS NOT NULL").collect()}
     counts, edges = [found.get(i, 0) for i in range(len(edges) - 1)], list(edges)

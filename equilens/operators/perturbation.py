@@ -11,6 +11,11 @@ def share_of(key: str, salt: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(salt), F.col(key).cast("string"))), 1, 7), 16, 10).cast("double") / 2**28
 
 
+def order_of(key: str, salt: str) -> Column:
+    """As `share_of`, from 52 bits: an order in which ties are hardly ever met."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(salt), F.col(key).cast("string"))), 1, 13), 16, 10).cast("double") / 2**52
+
+
 def inject_missing_mcar(df: DataFrame, key: str, column: str, p: float) -> DataFrame:
     return df.withColumn(column, F.when(share_of(key, column) >= p, F.col(column)))
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from equilens.operators.statistics import quantiles
+
 
 def missing_by_column(df: DataFrame) -> DataFrame:
     """Nulls of every column, all counted in one aggregation."""
@@ -115,7 +117,8 @@ def semantic_type(profile: DataFrame) -> DataFrame:
 def numeric_distribution(df: DataFrame, columns: list[str]) -> DataFrame:
     """Minimum, exact quartiles, maximum, mean and standard deviation (of the population)."""
     long = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns)))).where("v IS NOT NULL")
-    q = long.groupBy("column").agg(F.count("*").alias("n"), F.min("v").alias("min"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    q = long.groupBy("column").agg(F.count("*").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    q = q.join(quantiles(long, ["column"], "v", [0.25, 0.5, 0.75]), "column")
     return q.select("column", "n", "min", *(F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("q1", "median", "q3"))), "max", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
 
 
@@ -139,8 +142,9 @@ def categorical_distribution(df: DataFrame, column: str, top: int = 12) -> DataF
 def outlier_counts(df: DataFrame, group: str, column: str) -> DataFrame:
     """Values beyond 1.5 interquartile ranges, and beyond 3 standard deviations, of their group."""
     v = F.col(column).cast("double")
-    b = df.groupBy(group).agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.avg(v).alias("m"), F.stddev_pop(v).alias("s"))
-    t = df.select(group, v.alias("v")).join(b, group)
+    rows = df.where(F.col(group).isNotNull()).select(group, v.alias("v"))
+    b = rows.groupBy(group).agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).join(quantiles(rows, [group], "v", [0.25, 0.75]), group)
+    t = rows.join(F.broadcast(b), group)  # a row for each group
     iqr = F.col("q")[1] - F.col("q")[0]
     out = (F.col("v") < F.col("q")[0] - 1.5 * iqr) | (F.col("v") > F.col("q")[1] + 1.5 * iqr)
     return t.groupBy(group).agg(F.count("v").alias("n"), F.count_if(out).alias("iqr_outliers"), F.count_if(F.abs(F.col("v") - F.col("m")) > 3 * F.col("s")).alias("z_outliers"))

@@ -37,6 +37,24 @@ def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, str], sl
     return t.withColumns({out: F.col(out) + F.col(f"{c}__s") for c, out in sums.items()}).drop("_slice", *(f"{c}__s" for c in sums))
 
 
+def quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float]) -> DataFrame:
+    """(keys, q): exact quantiles, linear between neighbours, as an array for each key; over the counts of distinct values.
+
+    Null values don't count. No buffer holds the values of a key: they are found by their running counts.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_m"))
+    whole = counts.groupBy(*keys).agg(F.sum("_m").alias("_all"))
+    t = running(counts, keys, "_v", {"_m": "_to"})
+    t = t.join(F.broadcast(whole), keys) if keys else t.crossJoin(F.broadcast(whole))  # a row for each key
+    found = []
+    for q in qs:
+        at = (F.col("_all") - 1) * q
+        value_at = lambda i: F.max(F.when((F.col("_to") - F.col("_m") <= i) & (i < F.col("_to")), F.col("_v")))
+        low, high = value_at(F.floor(at)), value_at(F.ceil(at))
+        found.append(low + (high - low) * F.max(at - F.floor(at)))
+    return t.groupBy(*keys).agg(F.array(*found).alias("q"))
+
+
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     """Statistic (Yates-corrected for 2 x 2), degrees of freedom and Cramér's V, from the contingency table."""
     t = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("o"))

@@ -15,6 +15,7 @@ from equilens.operators import lineage as L
 from equilens.operators import preparation as P
 from equilens.operators import profiling as D
 from equilens.operators import statistics as S
+from equilens.plans import twins as W
 from equilens.plans import auditing, describing, discovery, evidencing, harmonizing, modelling
 from equilens.sources.tables import twin, view
 
@@ -59,7 +60,7 @@ def queries() -> dict[str, Query]:
         "confusion_metrics": pred(lambda d: A.confusion_metrics(d, ["grp_a"])),
         "threshold_sweep": pred(A.threshold_sweep),
         "prediction_table": pred(lambda d: A.prediction_table(d).select("row_id", "y_pred", "confidence", "near_threshold")),
-        "outcome_class": pred(lambda d: A.outcome_class(d).groupBy("grp_a", "outcome").agg(F.count("*").alias("n"))),
+        "outcome_class": pred(lambda d: A.outcome_class(d).select("row_id", "outcome")),
         "missing_by_column": doc(D.missing_by_column),
         "missing_by_group": doc(lambda d: D.missing_by_group(d, "lang", ["quality", "toxic"])),
         "missing_rows": doc(D.missing_rows),
@@ -81,7 +82,7 @@ def queries() -> dict[str, Query]:
         "crosstab_group": doc(lambda d: D.crosstab(d, "lang", "y_pred")),
         "dominant_category": doc(lambda d: D.dominant_category(d, ["lang", "source"])),
         "issue_flags": age(lambda d: D.issue_flags(d, ["sex"], "target")),
-        "bin_fixed": age(lambda d: _binned(d).groupBy("bin").agg(F.count("*").alias("n"))),
+        "bin_fixed": age(lambda d: _binned(d).select("row_id", "bin")),
         "bin_stats": age(lambda d: B.bin_stats(_binned(d), "age_raw", "target")),
         "bin_fairness": age(lambda d: B.bin_fairness(_binned(d), "target")),
         "bin_disparity": age(lambda d: B.bin_disparity(_binned(d), "target")),
@@ -118,14 +119,23 @@ def queries() -> dict[str, Query]:
         "test_ks": _on("v_drift", lambda d: S.ks(d, "event_type", "value", "click", "view")),
         "test_mann_whitney": _on("v_drift", lambda d: S.mann_whitney(d, "event_type", "value", "click", "view")),
         "cx_f2_f3_f4": age(lambda d: S.complexity_f(d, ["age_raw"], "target")),
-        "split_stratified": age(lambda d: P.split_stratified(d, "row_id", ["target", "sex"]).groupBy("target", "sex").agg(F.count("*").alias("n"), F.count_if(F.col("split") == "test").alias("n_test"))),
-        "split_grouped": age(lambda d: P.split_grouped(d, "sex")),
-        "folds_stratified": age(lambda d: P.folds_stratified(d, "row_id", ["target"]).groupBy("target", "fold").agg(F.count("*").alias("n"))),
+        "split_stratified": age(lambda d: P.split_stratified(d, "row_id", ["target", "sex"]).select("row_id", "split")),
+        "split_grouped": _on("v_group", lambda d: P.split_grouped(d, "patient", "target").select("row_id", "split")),
+        "split_group_stratified": _on("v_group", lambda d: P.split_group_stratified(d, "patient", "target").select("row_id", "split")),
+        "folds_stratified": age(lambda d: P.folds_stratified(d, "row_id", ["target"]).select("row_id", "fold")),
         "scale_fit_apply": pred(lambda d: P.scale_fit_apply(d.select("row_id", "grp_a", "y_proba"), ["y_proba"], F.col("grp_a") == "F").select("row_id", F.round("y_proba", 6).alias("z"))),
         "impute_fit_apply": doc(lambda d: P.impute_fit_apply(d.select("doc_id", F.col("quality").cast("double").alias("quality"), "lang"), ["quality"], ["lang"], F.col("doc_id") % 2 == 0)),
+        "sample_stable": age(lambda d: P.sample_stable(d, "row_id", 200).select("row_id", "target")),
+        "sample_stratified": age(lambda d: P.sample_stratified(d, "row_id", "sex", 500).select("row_id", "sex")),
+        "sample_near_threshold": pred(lambda d: P.sample_near_threshold(A.prediction_table(d), "row_id", 50).select("row_id", "y_proba")),
+        "sample_cells": pred(lambda d: P.sample_cells(A.outcome_class(d), "row_id", GROUPS, 4, 100)),
+        "mit_extend_sensitive": age(lambda d: P.extend_sensitive(d.where("row_id % 10 = 0").select("row_id"), d, "row_id", ["sex"]).select("row_id", "sex")),
+        "encode_labels": doc(lambda d: P.encode_labels(d, d.where("lang IS NOT NULL").select("doc_id", "lang"), "lang")[1]),
+        "impute_profile": doc(lambda d: P.impute_profile(d.select("doc_id", F.col("quality").cast("double").alias("quality"), "lang"), ["quality"], ["lang"])),
+        "fold_preprocess": doc(lambda d: P.fold_preprocess(d.select("doc_id", "n_chars", "quality", (F.col("doc_id") % 3).alias("fold")), ["n_chars", "quality"], "fold", 3).select("fold_no", "side", "doc_id", F.round("n_chars", 6).alias("n_chars"), F.round("quality", 6).alias("quality"))),
         "mit_reweight": pred(lambda d: P.reweight(d, "y_true", "grp_b").groupBy("y_true", "grp_b").agg(F.count("*").alias("n"), F.round(F.max("weight"), 6).alias("weight"))),
-        "mit_rus": pred(lambda d: P.undersample(d, "row_id", "y_true").groupBy("y_true").agg(F.count("*").alias("n"))),
-        "mit_ros": pred(lambda d: P.oversample(d, "row_id", "y_true").groupBy("y_true").agg(F.count("*").alias("n"))),
+        "mit_rus": age(lambda d: P.undersample(d, "row_id", "target").select("row_id", "target")),
+        "mit_ros": age(lambda d: P.oversample(d, "row_id", "target").select("row_id", "target", "_copy")),
         "validity_constraints": doc(lambda d: P.validity_constraints(d, {"n_chars": {"least": 100, "most": 5000}, "quality": {"allow_null": False}}).select("doc_id", "n_chars", "quality")),
         "scalar_functions": doc(_scalar_table),
     } | discovery.queries() | modelling.queries() | harmonizing.queries() | auditing.queries() | evidencing.queries() | describing.queries()
@@ -186,7 +196,7 @@ def oracle_sql() -> dict[str, str]:
         "confusion_metrics": f"SELECT grp_a, {_CONFUSION} FROM (SELECT grp_a, {_COUNTS} FROM v_pred GROUP BY 1) q",
         "threshold_sweep": f"SELECT threshold, {_CONFUSION} FROM (SELECT threshold, {_COUNTS} FROM (SELECT y_true, threshold, CASE WHEN y_proba >= threshold THEN 1 ELSE 0 END AS y_pred FROM v_pred, (VALUES (0.3::DOUBLE), (0.4::DOUBLE), (0.5::DOUBLE), (0.6::DOUBLE), (0.7::DOUBLE)) t(threshold)) p GROUP BY 1) q",
         "prediction_table": "SELECT row_id, y_pred, round(abs(y_proba - 0.5), 6) AS confidence, round(abs(y_proba - 0.5), 9) < 0.1 AS near_threshold FROM v_pred",
-        "outcome_class": "SELECT grp_a, CASE WHEN y_true = 1 AND y_pred = 1 THEN 'TP' WHEN y_pred = 1 THEN 'FP' WHEN y_true = 0 THEN 'TN' ELSE 'FN' END AS outcome, count(*) AS n FROM v_pred GROUP BY 1, 2",
+        "outcome_class": "SELECT row_id, CASE WHEN y_true = 1 AND y_pred = 1 THEN 'TP' WHEN y_pred = 1 THEN 'FP' WHEN y_true = 0 THEN 'TN' ELSE 'FN' END AS outcome FROM v_pred",
         "missing_by_column": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing, round((count(*) - count({c})) / CAST(count(*) AS DOUBLE), 6) AS share FROM v_doc" for c in doc_columns),
         "missing_by_group": " UNION ALL ".join(f"SELECT lang AS grp, '{c}' AS \"column\", count(*) - count({c}) AS missing FROM v_doc GROUP BY 1" for c in ("quality", "toxic")),
         "missing_cooccurrence": " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) FILTER (WHERE {a} IS NULL AND {b} IS NULL) AS \"both\", round(count(*) FILTER (WHERE {a} IS NULL AND {b} IS NULL) / CAST(count(*) AS DOUBLE), 6) AS share FROM v_doc" for a, b in (("quality", "toxic"), ("quality", "lang"), ("toxic", "lang"))),
@@ -197,7 +207,7 @@ def oracle_sql() -> dict[str, str]:
         "group_statistics": "SELECT sex AS grp, count(*) AS n, round(avg(target), 6) AS prevalence, count(*) FILTER (WHERE target = 1) AS positives, count(*) FILTER (WHERE target = 0) AS negatives, round(count(*) / CAST((SELECT count(*) FROM v_age) AS DOUBLE), 6) AS share FROM v_age WHERE sex IS NOT NULL GROUP BY 1",
         "label_imbalance": "SELECT 'sex' AS attr, round(max(r) - min(r), 6) AS max_difference, round(CASE WHEN min(r) > 0 THEN max(r) / min(r) END, 6) AS max_ratio FROM (SELECT sex, avg(target) AS r FROM v_age WHERE sex IS NOT NULL GROUP BY 1) q",
         "crosstab_group": "SELECT lang AS a, y_pred AS b, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY lang) AS BIGINT) AS total, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY lang) AS DOUBLE), 6) AS share FROM v_doc GROUP BY 1, 2",
-        "bin_fixed": f"WITH {_BINNED} SELECT bin, count(*) AS n FROM b GROUP BY 1",
+        "bin_fixed": f"WITH {_BINNED} SELECT row_id, bin FROM b",
         "bin_stats": f"WITH {_BINNED} SELECT bin, count(*) AS n, round(avg(target), 6) AS rate, min(age_raw) AS low, max(age_raw) AS high, round(count(*) / CAST((SELECT count(*) FROM v_age) AS DOUBLE), 6) AS share FROM b WHERE bin IS NOT NULL GROUP BY 1",
         "bin_sensitive_mix": f"WITH {_BINNED} SELECT bin, sex AS value, count(*) AS n, round(100 * count(*) / CAST(sum(count(*)) OVER (PARTITION BY bin) AS DOUBLE), 4) AS pct FROM b WHERE bin IS NOT NULL GROUP BY 1, 2",
         "bin_ordinal": f"WITH {_BINNED}, m AS (SELECT bin, avg(age_raw) AS mean FROM b WHERE bin IS NOT NULL GROUP BY 1) SELECT bin, CAST(dense_rank() OVER (ORDER BY mean) AS INTEGER) AS ordinal FROM m",
@@ -220,11 +230,8 @@ def oracle_sql() -> dict[str, str]:
         "union_lineage_audit": f"WITH {_SIDES} SELECT count(*) AS n_union, count(*) FILTER (WHERE a.n IS NOT NULL AND b.n IS NOT NULL) AS n_both, count(*) FILTER (WHERE b.n IS NULL) AS only_a, count(*) FILTER (WHERE a.n IS NULL) AS only_b FROM a FULL OUTER JOIN b ON {_KEYS}",
         "join_occurrence": f"WITH {_SIDES}, d AS (SELECT coalesce(a.n, 0) AS x, coalesce(b.n, 0) AS y FROM a FULL OUTER JOIN b ON {_KEYS}) SELECT side, CAST(n AS BIGINT) AS n FROM (SELECT 'both' AS side, sum(least(x, y)) AS n FROM d UNION ALL SELECT 'left_only', sum(greatest(x - y, 0)) FROM d UNION ALL SELECT 'right_only', sum(greatest(y - x, 0)) FROM d) q WHERE n > 0",
         "dedup_keep_first": "SELECT min(doc_id) AS doc_id, lang, source FROM v_doc GROUP BY lang, source",
-        "split_stratified": "SELECT target, sex, count(*) AS n, CAST(round(count(*) * 0.2) AS BIGINT) AS n_test FROM v_age GROUP BY 1, 2",
         "scale_fit_apply": "SELECT row_id, round((y_proba - m) / s, 6) AS z FROM v_pred, (SELECT avg(y_proba) AS m, stddev_pop(y_proba) AS s FROM v_pred WHERE grp_a = 'F') q",
         "mit_reweight": "WITH c AS (SELECT y_true, grp_b, count(*) AS n FROM v_pred GROUP BY 1, 2) SELECT y_true, grp_b, n, round((SELECT sum(n) FROM c) / CAST((SELECT count(*) FROM c) * n AS DOUBLE), 6) AS weight FROM c",
-        "mit_rus": "WITH c AS (SELECT y_true, count(*) AS n FROM v_pred GROUP BY 1) SELECT y_true, (SELECT min(n) FROM c) AS n FROM c",
-        "mit_ros": "WITH c AS (SELECT y_true, count(*) AS n FROM v_pred GROUP BY 1) SELECT y_true, (SELECT max(n) FROM c) AS n FROM c",
         "validity_constraints": "SELECT doc_id, n_chars, quality FROM v_doc WHERE NOT coalesce(n_chars < 100 OR n_chars > 5000, false) AND quality IS NOT NULL",
     }
-    return {k: twin(v) for k, v in (found | discovery.oracle_sql() | modelling.oracle_sql() | harmonizing.oracle_sql() | auditing.oracle_sql() | evidencing.oracle_sql() | describing.oracle_sql()).items()}
+    return {k: twin(v) for k, v in (found | W.oracle_sql() | discovery.oracle_sql() | modelling.oracle_sql() | harmonizing.oracle_sql() | auditing.oracle_sql() | evidencing.oracle_sql() | describing.oracle_sql()).items()}

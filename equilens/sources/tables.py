@@ -64,6 +64,7 @@ SELECT l_returnflag AS dataset, l_linestatus AS model, CASE WHEN l_suppkey % 3 =
   CASE WHEN l_discount >= 0.05 THEN 1 ELSE 0 END AS y_true, l_quantity / 50.0 AS y_proba, CASE WHEN l_quantity >= 25 THEN 1 ELSE 0 END AS y_pred,
   CAST(l_linenumber AS STRING) AS line, CASE WHEN l_partkey % 5 = 0 THEN 'unknown' ELSE CAST(l_partkey % 5 AS STRING) END AS part, l_partkey % 97 AS small
 FROM lineitem""",
+    "v_group": "SELECT o_orderkey AS row_id, o_custkey AS patient, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS target, o_totalprice AS price FROM orders",
     "v_drift": "SELECT event_type, CAST(value AS DOUBLE) AS value FROM events",
 }
 
