@@ -42,12 +42,66 @@ def set_overlap_matrix(df: DataFrame, source: str, keys: list[str]) -> DataFrame
 
 
 def occurrence_match(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One-to-one matches of equal rows: counts of both, left_only and right_only."""
-    w = Window.partitionBy(*a.columns).orderBy(F.lit(1))
-    x, y = a.withColumn("_k", F.row_number().over(w)), b.withColumn("_k", F.row_number().over(w))
-    on = reduce(lambda p, q: p & q, (x[c].eqNullSafe(y[c]) for c in [*a.columns, "_k"]))
-    side = F.when(y["_k"].isNull(), "left_only").when(x["_k"].isNull(), "right_only").otherwise("both")
-    return x.join(y, on, "full_outer").groupBy(side.alias("side")).agg(F.count("*").alias("n"))
+    """One-to-one matches of equal rows: counts of both, left_only and right_only; by counts of each key, rows aren't numbered."""
+    both = a.withColumn("_a", F.lit(1)).unionByName(b.withColumn("_a", F.lit(0)))
+    t = both.groupBy(*a.columns).agg(F.sum("_a").alias("na"), F.sum(1 - F.col("_a")).alias("nb"))
+    sides = {"both": F.least("na", "nb"), "left_only": F.greatest(F.col("na") - F.col("nb"), F.lit(0)), "right_only": F.greatest(F.col("nb") - F.col("na"), F.lit(0))}
+    s = t.agg(*(F.sum(c).alias(n) for n, c in sides.items()))
+    return s.select(F.inline(F.array(*(F.struct(F.lit(n).alias("side"), F.col(n).alias("n")) for n in sides)))).where("n > 0")
+
+
+def union_splits(parts: dict[str, DataFrame], name: str = "split") -> DataFrame:
+    """The rows of all parts, each with its part's name; columns that one lacks are null."""
+    named = [df.withColumn(name, F.lit(k)) for k, df in parts.items()]
+    return reduce(lambda p, q: p.unionByName(q, allowMissingColumns=True), named)
+
+
+def join_on_rows(left: DataFrame, right: DataFrame, key: str, columns: list[str], how: str = "left") -> DataFrame:
+    """`left` with `columns` of the row of `right` that has the same key: cluster labels, raw values, features of a fold."""
+    return left.join(right.select(key, *columns), key, how)
+
+
+def join_raw_meta(scaled: DataFrame, raw: DataFrame, key: str, columns: list[str], target: str) -> DataFrame:
+    """Scaled rows with the raw values of their row as <column>_raw. An error if keys or targets of the two don't agree."""
+    t = scaled.join(raw.select(key, F.col(target).alias("_t"), *(F.col(c).alias(f"{c}_raw") for c in columns)), key, "left")
+    same = F.col("_t").eqNullSafe(F.col(target))
+    checked = F.when(same, F.col(target)).otherwise(F.raise_error(F.concat(F.lit("targets differ at row "), F.col(key).cast("string"))))
+    return t.withColumn(target, checked).drop("_t")
+
+
+def join_patient_split(rows: DataFrame, chosen: DataFrame, group: str) -> DataFrame:
+    """The rows of the chosen groups."""
+    return rows.join(chosen.select(group).distinct(), group, "left_semi")
+
+
+def leaked_groups(a: DataFrame, b: DataFrame, group: str) -> DataFrame:
+    """Groups that are on both sides of a split: there should be none."""
+    return a.select(group).intersect(b.select(group))
+
+
+def cohort_build(sites: dict[str, DataFrame], keys: list[str], order: list[str], expected: int | None = None) -> DataFrame:
+    """The rows of all sites, tagged, without repeated keys: the first site wins, then `order`.
+
+    If the number of rows isn't the expected one the cohort isn't built: an error is raised before anything is written.
+    """
+    place = {name: i for i, name in enumerate(sites)}
+    tagged = union_splits({n: df.withColumn("_site_order", F.lit(i)) for (n, df), i in zip(sites.items(), place.values())}, "source_site")
+    cohort = dedup_keep_first(tagged, keys, ["_site_order", *order]).drop("_site_order")
+    if expected is not None and (n := cohort.count()) != expected:
+        raise ValueError(f"the cohort has {n} rows, not {expected}")
+    return cohort
+
+
+def provenance_report(raw: DataFrame, cohort: DataFrame, key: str, required: list[str], ranges: dict[str, tuple[float, float]], target: str) -> DataFrame:
+    """(check, value, holds): dropped rows are just those that lack a required value, ranges hold, and the balance of the target."""
+    lacks = reduce(lambda p, q: p | q, (F.col(c).isNull() for c in required))
+    sides = raw.withColumn("_lacks", lacks).join(cohort.select(key, F.lit(True).alias("_in")), key, "left")
+    wrong = sides.agg(F.count_if(F.col("_lacks") == F.coalesce("_in", F.lit(False))).alias("n"))
+    parts = [wrong.select(F.lit("dropped_are_incomplete").alias("check"), F.col("n").cast("double").alias("value"), (F.col("n") == 0).alias("holds"))]
+    outside = cohort.agg(*(F.count_if(~F.col(c).between(lo, hi)).alias(c) for c, (lo, hi) in ranges.items()))
+    parts.append(outside.select(F.inline(F.array(*(F.struct(F.concat(F.lit("range_"), F.lit(c)).alias("check"), F.col(c).cast("double").alias("value"), (F.col(c) == 0).alias("holds")) for c in ranges)))))
+    parts.append(cohort.agg(F.lit("positive_share").alias("check"), F.round(F.avg(target), 6).alias("value"), F.avg(target).between(0.2, 0.8).alias("holds")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def dedup_keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

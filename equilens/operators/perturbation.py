@@ -33,3 +33,25 @@ def inject_missing_mar(df: DataFrame, key: str, column: str, by: str, weights: d
 def inject_duplicates(df: DataFrame, key: str, p: float) -> DataFrame:
     """`df` with a second copy of about a share `p` of its rows."""
     return df.withColumn("_n", F.when(share_of(key, "copy") < p, 2).otherwise(1)).select(*df.columns, F.explode(F.sequence(F.lit(1), "_n")).alias("copy_no"))
+
+
+def join_truth(profile: DataFrame, truth: dict[str, str], observed: str) -> DataFrame:
+    """(column, expected, observed, hit) of the columns whose type is known."""
+    listed = F.array(*(F.struct(F.lit(c).alias("column"), F.lit(t).alias("expected")) for c, t in truth.items()))
+    known = profile.sparkSession.range(1).select(F.inline(listed))
+    t = known.join(profile.select("column", F.col(observed).alias("observed")), "column", "left")
+    return t.withColumn("hit", F.col("expected").eqNullSafe(F.col("observed")))
+
+
+def score_profiler(joined: dict[float, DataFrame]) -> DataFrame:
+    """(knob, columns, accuracy): how well types are told at each strength of the damage."""
+    parts = [df.agg(F.lit(float(k)).alias("knob"), F.count("*").alias("columns"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("accuracy")) for k, df in joined.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def type_confusion(joined: DataFrame) -> DataFrame:
+    """(expected, observed, n): how often each type is taken for each other."""
+    return joined.groupBy("expected", "observed").agg(F.count("*").alias("n"))

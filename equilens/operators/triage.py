@@ -78,3 +78,36 @@ def readiness(recommendations: DataFrame) -> DataFrame:
     """Any P0: not ready; any P1: with caveats; else ready."""
     t = recommendations.agg(F.count_if(F.col("priority") == "P0").alias("p0"), F.count_if(F.col("priority") == "P1").alias("p1"))
     return t.select(F.when(F.col("p0") > 0, "not_ready").when(F.col("p1") > 0, "with_caveats").otherwise("ready").alias("status"), "p0", "p1")
+
+
+#: Support of a class, complexity that counts as high, divergence of a group, and the measures that the rules read.
+CLASS_SUPPORT, HIGH, DIVERGENCE = 20, 0.5, 0.2
+OVERLAP_MEASURES, LINEAR_MEASURES = ("F2", "N3", "N4", "T1"), ("L1", "L2", "L3", "T1")
+
+
+def rule_task_framing(df: DataFrame, attrs: list[str], target: str, complexity: DataFrame) -> DataFrame:
+    """For more than two classes: P1 if a group has few rows of a class, else P2 if a measure of `complexity` is high; none for two."""
+    long = df.where(F.col(target).isNotNull()).select(F.col(target).alias("_y"), F.inline(F.array(*(F.struct(F.lit(a).alias("attr"), F.col(a).cast("string").alias("grp")) for a in attrs)))).where("grp IS NOT NULL")
+    few = long.groupBy("attr", "grp", "_y").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") < CLASS_SUPPORT).alias("few"))
+    high = complexity.agg(F.count_if(F.col("value") > HIGH).alias("high"))
+    t = df.agg(F.count_distinct(target).alias("classes")).crossJoin(few).crossJoin(high).where("classes > 2")  # one row each
+    rules = [("framing", "P1", "low_support", F.col("few") > 0, F.col("few")), ("framing", "P2", "high_complexity", (F.col("few") == 0) & (F.col("high") > 0), F.col("high"))]
+    return _rows(t, rules, F.lit(target))
+
+
+def rule_overlap(complexity: DataFrame, groups: DataFrame, reference: DataFrame) -> DataFrame:
+    """P1 for measures above the upper quartile of the reference, or above a half without one; P2 for groups that differ from the whole.
+
+    `complexity` has (metric, value), `groups` (attr, grp, metric, value), `reference` (metric, p75).
+    """
+    known = complexity.where(F.col("metric").isin(*OVERLAP_MEASURES)).join(F.broadcast(reference.select("metric", "p75")), "metric", "left")  # a row for each measure
+    elevated = _rows(known, [("overlap", "P1", "elevated", F.col("value") > F.coalesce("p75", F.lit(HIGH)), F.col("value"))], F.col("metric"))
+    whole = complexity.where("value <> 0").select("metric", F.col("value").alias("_whole"))
+    apart = groups.join(F.broadcast(whole), "metric").withColumn("d", F.abs(F.col("value") - F.col("_whole")) / F.abs("_whole"))
+    return elevated.unionByName(_rows(apart, [("overlap", "P2", "group_differs", F.round("d", 9) > DIVERGENCE, F.col("d"))], F.concat_ws("=", "attr", "grp")))
+
+
+def rule_explainability(complexity: DataFrame) -> DataFrame:
+    """P2 for each measure of linearity or structure above a half."""
+    t = complexity.where(F.col("metric").isin(*LINEAR_MEASURES))
+    return _rows(t, [("explainability", "P2", "hard_to_explain", F.col("value") > HIGH, F.col("value"))], F.col("metric"))
