@@ -48,7 +48,7 @@ CACHE = 200_000
 #: New words that are scored at once.
 CHUNK = 10_000
 #: Characters of text that are labelled at once; a longer text is a step of its own.
-STEP = 2_000_000
+STEP = 500_000
 #: Words of a piece: all pieces of a step walk on together.
 PIECE = 128
 UNKNOWN = "und"
@@ -74,8 +74,9 @@ def words_in(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     # a mark belongs to a word if there are only letters and marks back to a letter
     run = letter | (kind == _MARK)
     before = np.concatenate([[False], run[:-1]])
-    start_of_run = np.maximum.accumulate(np.where(run & ~before, np.arange(len(run)), 0))
-    last_letter = np.maximum.accumulate(np.where(letter, np.arange(len(run)), -1))
+    place = np.arange(len(run), dtype=np.int32)
+    start_of_run = np.maximum.accumulate(np.where(run & ~before, place, 0))
+    last_letter = np.maximum.accumulate(np.where(letter, place, -1))
     inside = run & (last_letter >= start_of_run)
     single = kind == _SINGLE
     begins = inside & ~np.concatenate([[False], inside[:-1]])
@@ -124,12 +125,17 @@ def grams_of(word: str) -> list[str]:
     return [w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1)]
 
 
+def key_of(gram: str) -> int:
+    """An n-gram's code points, 21 bits each."""
+    return sum(ord(x) << 21 * i for i, x in enumerate(reversed(gram)))
+
+
 @dataclass
 class Model:
-    """log_p[gram] has a value for each language; scripts[name] is the mask of its candidates."""
+    """log_p has a value for each language and each n-gram of `keys`, which are sorted; scripts[name] is the mask of its candidates."""
 
     langs: list[str]
-    grams: dict[str, int]
+    keys: np.ndarray
     log_p: np.ndarray
     floor: np.ndarray
     scripts: dict[str, np.ndarray]
@@ -180,7 +186,7 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str =
     if len(sizes) > LANGUAGES:
         raise ValueError(f"{lang} has more than {LANGUAGES} values: not a language column")
     if not sizes:
-        return Model([], {}, np.zeros((0, 0)), np.zeros(0), {})
+        return Model([], np.empty(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0, np.float32), {})
     share = F.create_map(*(x for l, n in sizes.items() for x in (F.lit(l), F.lit(min(1.0, per_language / n)))))
     drawn = rows.where(F.pmod(F.xxhash64(F.lit("langid"), key), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
     counts = drawn.select("lang", "text").mapInArrow(_counted, "lang string, gram string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
@@ -191,7 +197,7 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str =
     top = wide.orderBy(F.desc("share"), "gram").limit(most_grams).select("gram", "by").collect()
     langs = sorted(sizes)
     at = {l: i for i, l in enumerate(langs)}
-    grams, scripts, table = {}, {}, []
+    grams, scripts, table = [], {}, []
     for r in top:
         row = np.zeros(len(langs))
         for l, n in r["by"].items():
@@ -199,13 +205,16 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str =
         if r["gram"].startswith("\0"):
             scripts[r["gram"][1:]] = row
         else:
-            grams[r["gram"]] = len(table)
+            grams.append(key_of(r["gram"]))
             table.append(row)
     seen = sum(scripts.values(), np.zeros(len(langs)))
     scripts = {k: (v / np.maximum(seen, 1) > 1e-3) for k, v in scripts.items()}
     n = np.array(table).reshape(len(table), len(langs))
     whole = n.sum(0) + 0.5 * (len(table) + 1)
-    return Model(langs, grams, np.log((n + 0.5) / whole), np.log(0.5 / whole), {k: v for k, v in scripts.items() if v.any()})
+    keys = np.array(grams, np.int64)
+    order = np.argsort(keys)
+    log_p, floor = np.log((n + 0.5) / whole).astype(np.float32), np.log(0.5 / whole).astype(np.float32)
+    return Model(langs, keys[order], log_p[order], floor, {k: v for k, v in scripts.items() if v.any()})
 
 
 class Labeller:
@@ -213,10 +222,6 @@ class Labeller:
 
     def __init__(self, model: Model, switch: float = SWITCH):
         self.m, self.switch = model, np.float32(switch)
-        # an n-gram's code points, 21 bits each, are its key
-        keys = np.array([sum(ord(x) << 21 * i for i, x in enumerate(reversed(g))) for g in model.grams], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.log_p = keys[order], model.log_p[order] if len(keys) else model.log_p
         none = np.zeros(len(model.langs), bool)
         self.script = np.array([model.scripts.get(name, none) for _, name in SCRIPTS]).reshape(len(SCRIPTS), len(none))
         self.reset()
@@ -228,10 +233,11 @@ class Labeller:
 
     def values_of(self, keys: np.ndarray) -> np.ndarray:
         """The log-probabilities of n-grams."""
-        if not len(self.keys):
-            return np.tile(self.m.floor, (len(keys), 1))
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where((self.keys[at] == keys)[:, None], self.log_p[at], self.m.floor)
+        m = self.m
+        if not len(m.keys):
+            return np.tile(m.floor, (len(keys), 1))
+        at = np.minimum(np.searchsorted(m.keys, keys), len(m.keys) - 1)
+        return np.where((m.keys[at] == keys)[:, None], m.log_p[at], m.floor)
 
     def learn(self, words: list[str]) -> None:
         """Scores of new words: a row of `scores` each, very low for languages that aren't candidates."""

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equilens.llm.common import connected_components, hot_join, written
+from equilens.llm.common import FEW, connected_components, hot_join, written
 from equilens.llm.shingles import Shingler, fingerprint, minhash
 
 TREES = 24
@@ -335,11 +335,11 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     while True:
         roots = prefixes(hashes, trees, depth)
         shared = roots.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-        met = hot_join(roots, shared, "bucket", "members", trees * n_reps)
+        met = hot_join(roots, shared, "bucket", "members", trees * n_reps, few=FEW)
         comps = connected_components(tie(in_blocks(met, "bucket", "members").join(hashes, "id"), threshold, perms, depth))
         comps = comps.select("id", F.col("component").alias("comp"))
         sizes = comps.groupBy("comp").agg(F.count("*").alias("members"))
-        known = hot_join(comps, sizes, "comp", "members", comps.count()).join(reps, "id")
+        known = hot_join(comps, sizes, "comp", "members", comps.count(), few=FEW).join(reps, "id")
         read = shingled(known.join(texts, F.col("key").eqNullSafe(F.col("_key"))).drop("key", "_key"), size)
         checked = written(verify(in_blocks(read, "comp", "members"), threshold, depth), "verified")
         seen = {r.met: r.links for r in checked.where("met IS NOT NULL").groupBy("met").agg(F.sum("links").alias("links")).collect()}  # four rows
@@ -349,7 +349,7 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     links = checked.where("a IS NOT NULL AND b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     linked = connected_components(checked.where("b IS NOT NULL").select("a", "b"))
     classes = linked.join(reps.select("id", "key"), "id").groupBy("component").agg(F.min("key").alias("class_id"), F.count("*").alias("members"))
-    named = hot_join(linked, classes, "component", "members", linked.count()).select("id", "class_id")
+    named = hot_join(linked, classes, "component", "members", linked.count(), few=FEW).select("id", "class_id")
     per_rep = reps.select("id", "fp", "key", "copies").join(links, "id", "left").join(named, "id", "left")
     n_links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long")
     per_rep = written(per_rep.select("fp", F.coalesce("class_id", "key").alias("class_id"), n_links.alias("n_links"), "copies"), "classes")

@@ -10,7 +10,8 @@ import numpy as np
 #: Words are runs of letters, digits and underscores in lower case.
 _WORDS = re.compile(r"\w+")
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-CACHE = 1_000_000
+#: Words whose hashes a worker remembers; on overflow it starts anew.
+CACHE = 300_000
 
 
 def words_of(text: str) -> list[str]:

@@ -413,7 +413,7 @@ def test_language_words_and_best_paths(monkeypatch):
         t = "".join(rnd.choice("ab e\u0301\u0947\u0915日ู๑〇㌀ 1_ß") for _ in range(n))
         assert langid.words_of(t) == regex.findall(word, t)
     assert list(map(len, langid.words_of("x" * 200 + "\u0301" * 80))) == [64, 64, 64, 64]
-    lab = langid.Labeller(langid.Model(["a", "b", "c"], {}, np.zeros((0, 3)), np.zeros(3), {}), 1.5)
+    lab = langid.Labeller(langid.Model(["a", "b", "c"], np.empty(0, np.int64), np.zeros((0, 3)), np.zeros(3), {}), 1.5)
     for trial in range(120):
         monkeypatch.setattr(langid, "PIECE", rnd.choice([2, 3, 5]))
         lab.scores, lab.used = np.vstack([np.zeros(3), np.random.default_rng(trial).normal(0, 1.5, (8, 3))]).astype(np.float32), 9
