@@ -16,7 +16,7 @@ from equilens.operators import preparation as P
 from equilens.operators import profiling as D
 from equilens.operators import statistics as S
 from equilens.plans import twins as W
-from equilens.plans import auditing, describing, discovery, evidencing, grouping, harmonizing, modelling
+from equilens.plans import auditing, describing, discovery, evidencing, grouping, harmonizing, modelling, searching
 from equilens.sources.tables import twin, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,7 +138,7 @@ def queries() -> dict[str, Query]:
         "mit_ros": age(lambda d: P.oversample(d, "row_id", "target").select("row_id", "target", "_copy")),
         "validity_constraints": doc(lambda d: P.validity_constraints(d, {"n_chars": {"least": 100, "most": 5000}, "quality": {"allow_null": False}}).select("doc_id", "n_chars", "quality")),
         "scalar_functions": doc(_scalar_table),
-    } | discovery.queries() | modelling.queries() | harmonizing.queries() | auditing.queries() | evidencing.queries() | describing.queries() | grouping.queries()
+    } | discovery.queries() | modelling.queries() | harmonizing.queries() | auditing.queries() | evidencing.queries() | describing.queries() | grouping.queries() | searching.queries()
 
 
 def _rates(where: str) -> str:
@@ -234,4 +234,4 @@ def oracle_sql() -> dict[str, str]:
         "mit_reweight": "WITH c AS (SELECT y_true, grp_b, count(*) AS n FROM v_pred GROUP BY 1, 2) SELECT y_true, grp_b, n, round((SELECT sum(n) FROM c) / CAST((SELECT count(*) FROM c) * n AS DOUBLE), 6) AS weight FROM c",
         "validity_constraints": "SELECT doc_id, n_chars, quality FROM v_doc WHERE NOT coalesce(n_chars < 100 OR n_chars > 5000, false) AND quality IS NOT NULL",
     }
-    return {k: twin(v) for k, v in (found | W.oracle_sql() | discovery.oracle_sql() | modelling.oracle_sql() | harmonizing.oracle_sql() | auditing.oracle_sql() | evidencing.oracle_sql() | describing.oracle_sql() | grouping.oracle_sql()).items()}
+    return {k: twin(v) for k, v in (found | W.oracle_sql() | discovery.oracle_sql() | modelling.oracle_sql() | harmonizing.oracle_sql() | auditing.oracle_sql() | evidencing.oracle_sql() | describing.oracle_sql() | grouping.oracle_sql() | searching.oracle_sql()).items()}
