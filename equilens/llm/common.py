@@ -104,7 +104,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         n = e.count()
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("_n"))
-        large = hot_join(both.where("v > u"), least, "u", "_n", n, few=FEW).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = hot_join(both.where("v > u"), least, "u", "_n", 2 * n, few=FEW).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # large-star links a node's larger neighbours to its least neighbour; small-star the smaller ones and itself
         down = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
         star = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))

@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from equilens.llm.common import written
+
 #: Scripts that are written without spaces: each of their letters counts as a word.
 ALONE = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
 #: Characters of a word at most; a longer run of letters is several words.
@@ -190,6 +192,7 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str =
     share = F.create_map(*(x for l, n in sizes.items() for x in (F.lit(l), F.lit(min(1.0, per_language / n)))))
     drawn = rows.where(F.pmod(F.xxhash64(F.lit("langid"), key), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
     counts = drawn.select("lang", "text").mapInArrow(_counted, "lang string, gram string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    counts = written(counts, "n-grams")  # read twice
     is_script = F.col("gram").startswith("\0")
     totals = counts.where(~is_script).groupBy("lang").agg(F.sum("n").alias("all"))  # a row for each language
     shared = counts.join(F.broadcast(totals), "lang", "left").withColumn("share", F.when(is_script, 2.0).otherwise(F.col("n") / F.col("all")))

@@ -273,6 +273,13 @@ def test_forest(spark, odd, empty, monkeypatch):
     assert lsh_forest.similarity_classes(empty).count() == 0
 
 
+def test_forest_on_the_documents(spark, texts):
+    want = classes_by_brute_force(list(texts.items()))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in queries.op7_lsh_forest(spark, DIR).collect()}
+    found, all_ = sum(n for _, n in got.values()), sum(n for _, n in want.values())
+    assert all_ and found / all_ >= lsh_forest.RECALL and all(got[i][1] <= want[i][1] for i in want)
+
+
 def test_forest_shortens_prefixes(spark, monkeypatch):
     # 3 trees of 8 levels miss pairs in this cluster; the links met in no tree show it
     rnd = random.Random(7)
@@ -296,6 +303,17 @@ def test_forest_walks_all_levels():
     assert lsh_forest.recall_of({}, 24) == 1 and lsh_forest.recall_of({0: 1, 3: 99}, 24) == 0.99 and lsh_forest.recall_of({1: 10, 2: 4, 3: 50}, 24) < 0.9
 
 
+def test_pairs_that_no_seed_shares(spark):
+    # equal hashes alone are no match: all windows have one hash here
+    assert decontaminate.equal_windows(np.array([1, 2, 3]), np.array([1, 2, 4]), np.array([0, 0]), np.array([0, 1]), 2).tolist() == [True, False]
+
+
+def test_shards_are_written(spark, odd, tmp_path):
+    sharding.write_shards(odd, str(tmp_path / "shards"), 3, rows_per_file=2)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert {(r.doc_id, r.shard) for r in back.collect()} == {(r.doc_id, r.shard) for r in sharding.assign(odd, 3).collect()}
+
+
 def test_exact(spark, odd, empty, texts):
     def norm(t):
         return re.sub("[\x20\x09-\x0d]", "", t or "")
