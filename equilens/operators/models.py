@@ -90,6 +90,7 @@ def exponentiated_gradient(df: DataFrame, features: list[str], label: str, group
     multipliers sum to 1 / eps at most, and their logarithms move by `rate` x eps x violation.
     """
     bound = 1 / eps
+    df = df.persist()  # each step reads all rows twice
     by = [group] + ([label] if constraint == "equalized_odds" else [])
     sizes = {tuple(r[:-1]): r[-1] for r in df.where(F.col(label).isNotNull()).groupBy(*by).agg(F.count("*")).collect()}
     n = max(sum(sizes.values()), 1)
@@ -120,6 +121,7 @@ def exponentiated_gradient(df: DataFrame, features: list[str], label: str, group
             break
         for cell, sign in theta:
             theta[cell, sign] += rate / bound * (sign * off[cell] - eps)
+    df.unpersist()
     return models
 
 
