@@ -106,8 +106,8 @@ def test_files(spark, tmp_path):
     assert files.sniffed(["a;b", "1;2", "3;4"]) == (";", True) and files.sniffed(["1\t2", "3\t4"]) == ("\t", False) and files.sniffed(["x|y", "u|v"])[0] == "|"
     (tmp_path / "d.csv").write_text("a|b\n1|x\n2|y\n")
     assert [tuple(r) for r in files.read_csv_sniffed(spark, str(tmp_path / "d.csv")).collect()] == [(1, "x"), (2, "y")]
-    (tmp_path / "semi.csv").write_text("a;b,c\n1;2\n")
-    assert tables.read_csv_autosep(spark, str(tmp_path / "semi.csv")).columns == ["a", "b,c"]
+    (tmp_path / "semi.csv").write_text("a;b;c,d\n1;2;3\n")
+    assert tables.read_csv_autosep(spark, str(tmp_path / "semi.csv")).columns == ["a", "b", "c,d"]
     (tmp_path / "site.csv").write_text("1,?\n2,3\n")
     assert [tuple(r) for r in tables.read_csv_headerless(spark, str(tmp_path / "site.csv"), "a int, b int", "s").collect()] == [(1, None, "s"), (2, 3, "s")]
     tagged = tables.tag_provenance(spark.read.csv(str(tmp_path / "d.csv"), sep="|", header=True), "set").first()
