@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equilens.llm import bpe, decontaminate, exact_dedup, langid, license_scan, lsh_forest, secrets, sharding, toxicity, url_filter
+from equilens.llm import bpe, centroids, decontaminate, exact_dedup, langid, license_scan, lsh_forest, secrets, sharding, toxicity, url_filter, whitening
 from equilens.llm.common import shared_dir, table, written
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -98,6 +98,25 @@ def op9_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), license_scan.template_table(spark))
 
 
+def op12_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    made = whitening.whiten(vectors)
+    columns = "vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"
+    if made is None:
+        return vectors.limit(0).selectExpr("vec_id", "1 AS component", "0L AS n", "0L AS deviation", "0D AS whitened", "0D AS explained", "0D AS identity_error")
+    return whitening.components_of(made).withColumns({"n": F.lit(made.n).cast("long"), "identity_error": F.lit(made.identity_error)}).select(*columns)
+
+
+def op13_bisectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    made = centroids.fit(vectors)
+    sha = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in made.centroids]
+    by_cluster = {"cluster_inertia": (made.inertia, "array<long>"), "centroid_sha256": (sha, "array<string>")}
+    found = centroids.assign(vectors, made)
+    looked_up = {name: F.get(F.array(*map(F.lit, cells)).cast(kind), F.col("cluster")) for name, (cells, kind) in by_cluster.items()}
+    return found.withColumns(looked_up | {"inertia": F.lit(sum(made.inertia)).cast("long")}).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -110,6 +129,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_digest_index": op8_digest_index,
         "op9_license_dice": op9_license_dice,
         "op10_script_viterbi": op10_script_viterbi,
+        "op12_block_whitening": op12_block_whitening,
+        "op13_bisectors": op13_bisectors,
     }
 
 
