@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equilens.llm import bpe, centroids, decontaminate, exact_dedup, langid, license_scan, lsh_forest, secrets, sharding, toxicity, url_filter, whitening
+from equilens.llm import bpe, centroids, decontaminate, exact_dedup, langid, license_scan, lsh_forest, passages, secrets, sharding, toxicity, url_filter, whitening
 from equilens.llm.common import shared_dir, table, written
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -98,6 +98,16 @@ def op9_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), license_scan.template_table(spark))
 
 
+def op11_passage_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").dropna()
+    drawn = passages.draw(labels.where(~held_out), "doc_id")  # passages.TRAIN_DOCS rows, about
+    model = passages.fit(docs.join(F.broadcast(drawn), "doc_id"), "quality")
+    found = passages.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "passages", "attention")
+
+
 def op12_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     made = whitening.whiten(vectors)
@@ -129,6 +139,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_digest_index": op8_digest_index,
         "op9_license_dice": op9_license_dice,
         "op10_script_viterbi": op10_script_viterbi,
+        "op11_passage_attention": op11_passage_attention,
         "op12_block_whitening": op12_block_whitening,
         "op13_bisectors": op13_bisectors,
     }
