@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,11 +24,23 @@ def _ready(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip").transform(df)
 
 
+def without_summary(model):
+    """`model` without the summary of its training.
+
+    A model is shipped with the rows' function, and its summary would take the
+    training table and the session along, which can't be shipped once a query
+    of the session was observed.
+    """
+    if getattr(model, "hasSummary", False):
+        model._java_obj.setSummary(SparkSession.getActiveSession()._jvm.scala.Option.empty())
+    return model
+
+
 def _fit(estimator, df: DataFrame, features: list[str], label: str, weight: str | None):
     estimator.setFeaturesCol("_x").setLabelCol(label)
     if weight:
         estimator.setWeightCol(weight)
-    return estimator.fit(_ready(df.where(F.col(label).isNotNull()), features))
+    return without_summary(estimator.fit(_ready(df.where(F.col(label).isNotNull()), features)))
 
 
 def train_logistic(df: DataFrame, features: list[str], label: str, weight: str | None = None, c: float = 1.0):

@@ -153,8 +153,9 @@ FROM s JOIN x USING ({_RUN}, attr, grp)""",
         "assess_run": f"{run} SELECT {_RUN}, attr, metric, round(gap, 6) AS max_difference, round(gap, 9) < 0.1 AS is_fair FROM l",
         "train_test_gap": f"""
 {run}
-SELECT a.dataset, a.model, a.attr, a.metric, round(a.gap, 6) AS train_difference, round(b.gap, 6) AS test_difference, round(round(b.gap, 6) - round(a.gap, 6), 6) AS delta
-FROM l a JOIN l b ON a.dataset = b.dataset AND a.model = b.model AND a.attr = b.attr AND a.metric = b.metric AND a.split = 'train' AND b.split = 'test'""",
+SELECT dataset, model, attr, metric, train_difference, test_difference, round(test_difference - train_difference, 6) AS delta
+FROM (SELECT dataset, model, attr, metric, round(max(gap) FILTER (WHERE split = 'train'), 6) AS train_difference, round(max(gap) FILTER (WHERE split = 'test'), 6) AS test_difference FROM l GROUP BY ALL) g
+WHERE train_difference IS NOT NULL AND test_difference IS NOT NULL""",
         "fairness_by_cluster": f"""
 WITH {_table("cluster")}, g AS (SELECT cluster, attr, max(positive_rate) - min(positive_rate) AS dp, max(tpr) - min(tpr) AS tpr, max(fpr) - min(fpr) AS fpr FROM r GROUP BY ALL)
 SELECT cluster, attr, round_even(dp, 4) AS dp_max_diff, round_even(tpr, 4) AS eo_tpr_diff, round_even(fpr, 4) AS eo_fpr_diff, n_samples, round(greatest(dp, tpr, fpr), 9) <= 0.1 AS is_fair

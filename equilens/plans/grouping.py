@@ -95,7 +95,7 @@ def _damaged(df: DataFrame, p: float) -> DataFrame:
 
 
 def _raw_meta(df: DataFrame) -> DataFrame:
-    return L.join_raw_meta(N.standardized(df.drop("y_pred"), FEATURES), df, "row_id", ["f2"], "target").select("row_id", "target", "f2", "f2_raw")
+    return L.join_raw_meta(N.standardized(df.drop("y_pred"), FEATURES, 4), df, "row_id", ["f2"], "target").select("row_id", "target", "f2", "f2_raw")
 
 
 def queries() -> dict[str, Query]:
@@ -136,7 +136,7 @@ def queries() -> dict[str, Query]:
         "union_splits": lambda s, d: L.union_splits({"train": _site(s, d, 0), "test": _site(s, d, 1).drop("chol")}),
         "join_labels": lambda s, d: L.join_on_rows(view(s, d, "v_cases").select("case_id", "race"), view(s, d, "v_case_labels"), "case_id", ["weights"], "inner"),
         "join_cluster_labels": knn(lambda d: L.join_on_rows(d.select("row_id", "y_pred"), _clustered(d).where("row_id % 7 > 0"), "row_id", ["cluster"])),
-        "join_raw_meta": knn(lambda d: _raw_meta(d).withColumn("f2", F.round("f2", 5))),
+        "join_raw_meta": knn(_raw_meta),
         "join_cv_features": knn(lambda d: L.join_on_rows(d.where("row_id % 3 = 0").select("row_id", "target"), d, "row_id", FEATURES)),
         "join_patient_split": on("v_group", lambda d: L.join_patient_split(d, d.where("patient % 4 = 0"), "patient").select("row_id")),
         "cohort_build": _cohort,
@@ -278,7 +278,7 @@ UNION ALL SELECT 'overlap', 'P2', 'group_differs', 'dataset=' || dataset, round(
         "union_splits": f"SELECT *, 'train' AS split FROM ({site} 0) a UNION ALL SELECT row_id, site, segment, NULL, cp, 'test' FROM ({site} 1) b",
         "join_labels": "SELECT case_id, race, weights FROM v_cases JOIN v_case_labels USING (case_id)",
         "join_cluster_labels": "SELECT row_id, y_pred, CASE WHEN row_id % 7 > 0 THEN row_id % 4 END AS cluster FROM v_knn",
-        "join_raw_meta": "SELECT row_id, target, round(round((f2 - avg(f2) OVER ()) / stddev_pop(f2) OVER (), 6), 5) AS f2, f2 AS f2_raw FROM v_knn",
+        "join_raw_meta": "SELECT row_id, target, round((f2 - avg(f2) OVER ()) / stddev_pop(f2) OVER (), 4) AS f2, f2 AS f2_raw FROM v_knn",
         "join_cv_features": "SELECT row_id, target, f1, f2 FROM v_knn WHERE row_id % 3 = 0",
         "join_patient_split": "SELECT row_id FROM v_group WHERE patient % 4 = 0",
         "cohort_build": f"""

@@ -7,7 +7,7 @@ import logging
 from collections.abc import Callable
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equilens.sources.results import write_partitioned
@@ -106,13 +106,11 @@ def write_predictions(df: DataFrame, path: str) -> None:
 
 
 def write_comparison_tables(tables: dict[str, DataFrame], path: str, run_id: str) -> DataFrame:
-    """Writes each table below `path`, and a manifest of their row counts, which it returns; rows are counted as they are written."""
-    counts = {}
+    """Writes each table below `path`, and a manifest of their row counts, which it returns; rows are counted from the footers of what is written."""
+    spark, counts = next(iter(tables.values())).sparkSession, {}
     for name, df in tables.items():
-        seen = Observation(name)
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{path}/{name}")
-        counts[name] = seen.get["rows"]
-    spark = next(iter(tables.values())).sparkSession
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        counts[name] = spark.read.schema(df.schema).parquet(f"{path}/{name}").count()
     manifest = spark.createDataFrame([(run_id, n, c) for n, c in counts.items()], "run_id string, table string, rows long")  # a row for each table
     manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
     return manifest

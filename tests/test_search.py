@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from equilens.operators import density, harmonize, preparation, search, statistics, subgroups
@@ -132,6 +133,16 @@ def test_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "splits")).where("split = 'test'").first().x == 2
 
 
+def test_models_predict_after_a_query_was_observed(spark, tmp_path):
+    files.write_comparison_tables({"a": spark.range(3).toDF("x")}, str(tmp_path / "out"), "run")
+    seen = Observation("mine")
+    spark.range(4).observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    assert seen.get["n"] == 4
+    df = spark.createDataFrame([(float(i % 7), float(i % 3), int(i % 7 > 3)) for i in range(100)], "a double, b double, y int")
+    for fit in (M.train_logistic, M.train_forest, M.train_boosted, M.train_svm):
+        assert M.predict(fit(df, ["a", "b"], "y"), df, ["a", "b"]).where("y_pred = y").count() > 90
+
+
 def test_policies_and_feature_sets(spark):
     df = spark.createDataFrame([(1, None), (2, "a")], "i int, t string")
     assert harmonize.missing_policy(df, "keep").count() == 2 and harmonize.missing_policy(df, "drop_rows").count() == 1
