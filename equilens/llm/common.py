@@ -58,21 +58,16 @@ def removed(spark: SparkSession, *paths: str) -> None:
 
 #: A key is hot if it has more than one row in so many; there are fewer such keys than this.
 HOT = 1000
-#: Rows of numbers that any task can hold: below them no key needs a way of its own.
-FEW = 1_000_000
 
 
-def hot_join(many: DataFrame, one: DataFrame, on: str, size: str, total: int, how: str = "inner", few: int = 0) -> DataFrame:
+def hot_join(many: DataFrame, one: DataFrame, on: str, size: str, total: int, how: str = "inner") -> DataFrame:
     """`many` joined to `one`, which has a row for each key and the key's number of rows in `many` (`size`).
 
     Keys with more than a thousandth of all `total` rows meet their partner by
     broadcast (at most a thousand rows of `one`), so that none of them is
     gathered in a task; all other keys are shuffled. `how` is inner or left;
-    rows with a null key find no partner and aren't shuffled at all. A total of
-    `few` rows or less is joined as it is.
+    rows with a null key find no partner and aren't shuffled at all.
     """
-    if total <= few:
-        return many.join(one, on, how)
     if how == "left":
         none = {f.name: F.lit(None).cast(f.dataType) for f in one.schema.fields if f.name != on}
         lone = many.where(F.col(on).isNull()).withColumns(none)
@@ -88,8 +83,8 @@ def _hot_join(many: DataFrame, one: DataFrame, on: str, size: str, total: int, h
     return met.where("_hot").drop("_hot").unionByName(rest)
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component): the least id that can be reached over the undirected edges.
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> tuple[DataFrame, str]:
+    """(id, component): the least id that can be reached over the undirected edges; and the folder that it is read from.
 
     Alternating large-star and small-star steps: every round is two groupings
     and two joins over the edges, whose number never grows; the number of
@@ -104,11 +99,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         n = e.count()
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("_n"))
-        large = hot_join(both.where("v > u"), least, "u", "_n", 2 * n, few=FEW).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = hot_join(both.where("v > u"), least, "u", "_n", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # large-star links a node's larger neighbours to its least neighbour; small-star the smaller ones and itself
         down = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
         star = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
-        small = hot_join(large, down, "u", "_n", n, few=FEW).select(F.explode(star).alias("s")).select("s.*").where("u <> v").distinct()
+        small = hot_join(large, down, "u", "_n", n).select(F.explode(star).alias("s")).select("s.*").where("u <> v").distinct()
         small, new_path = written_at(small, "cc")
         same = small.count() == n and small.exceptAll(e).isEmpty()
         removed(spark, path)
@@ -116,4 +111,4 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if same:
             break
     nodes = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return nodes.union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    return nodes.union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), path

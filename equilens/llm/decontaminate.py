@@ -9,8 +9,8 @@ so a reordered passage is caught too.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -26,27 +26,29 @@ from equilens.llm.shingles import words_of
 SEED = 5
 #: Share of an item's tokens under tiles from which a document counts as contaminated.
 COVERAGE = 0.6
-#: Search length at which the tiling starts.
-START = 32
 #: Bytes of benchmark text that are broadcast at once; a larger benchmark takes several passes over the documents.
 BLOCK_BYTES = 32_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def window_hashes(tokens: np.ndarray, size: int) -> np.ndarray:
-    """Karp-Rabin hashes of all windows, by prefix sums of powers (modulo 2^64).
+class Windows:
+    """Karp-Rabin hashes of all windows of a sequence, of any size, from prefix sums of powers (modulo 2^64).
 
-    `tokens` are mixed 64-bit values; windows are compared after division by
-    their first power, which an odd base makes possible.
+    Windows are compared after division by their first power, which an odd base
+    makes possible; a size costs one subtraction and one product a window.
     """
-    n = len(tokens)
-    if n < size:
-        return np.empty(0, np.uint64)
-    power = np.cumprod(np.full(n, _BASE, np.uint64))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens * power)])
-    inverse = np.cumprod(np.full(n - size + 1, np.uint64(pow(int(_BASE), -1, 2**64)), np.uint64))
-    return (total[size:] - total[:-size]) * inverse
+
+    def __init__(self, ids: np.ndarray):
+        self.n = len(ids)
+        power = np.cumprod(np.full(self.n, _BASE, np.uint64))
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(ids) * power)])
+        self.inverse = np.cumprod(np.full(self.n, np.uint64(pow(int(_BASE), -1, 2**64)), np.uint64))
+
+    def of(self, size: int) -> np.ndarray:
+        if self.n < size:
+            return np.empty(0, np.uint64)
+        return (self.total[size:] - self.total[:-size]) * self.inverse[: self.n - size + 1]
 
 
 def mixed(ids: np.ndarray) -> np.ndarray:
@@ -63,52 +65,76 @@ def equal_windows(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, si
     return same
 
 
+def _free(open_: np.ndarray, size: int) -> np.ndarray:
+    """Places of the windows without a marked token."""
+    upto = np.concatenate([[0], np.cumsum(open_)])
+    return np.flatnonzero(upto[size:] - upto[:-size] == size)
+
+
 def greedy_tiles(item: np.ndarray, text: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
-    """Tiles (length, start in item, start in text) of two arrays of token ids, longest first; ids below 0 match nothing."""
+    """Tiles (length, start in item, start in text) of two arrays of token ids, longest first; ids below 0 match nothing.
+
+    The length of the longest match that is left is found by bisection, as a
+    match has matches of all smaller lengths in it. At this length the text is
+    walked from its start: a window takes the first free one of the item that
+    equals it, both are marked, and afterwards only shorter matches are left.
+    Memory is linear in item and text however often they repeat their words:
+    pairs of equal windows are never listed.
+    """
     free_i, free_t = np.ones(len(item), bool), text >= 0
-    mi, mt = mixed(item), mixed(text)
-    size = max(least, min(START, len(item), len(text)))
+    windows_i, windows_t = Windows(item), Windows(text)
     tiles: list[tuple[int, int, int]] = []
-    while len(item) >= least and len(text) >= least:
-        hi, ht = window_hashes(mi, size), window_hashes(mt, size)
-        at_i = np.flatnonzero(np.convolve(free_i, np.ones(size, int), "valid") == size) if len(hi) else np.empty(0, np.int64)
-        at_t = np.flatnonzero(np.convolve(free_t, np.ones(size, int), "valid") == size) if len(ht) else np.empty(0, np.int64)
-        at_i = at_i[np.argsort(hi[at_i], kind="stable")]
-        keys = hi[at_i]
-        lo, up = np.searchsorted(keys, ht[at_t], "left"), np.searchsorted(keys, ht[at_t], "right")
-        n = up - lo
-        j = np.repeat(at_t, n)
-        i = at_i[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())] if n.sum() else np.empty(0, np.int64)
-        same = equal_windows(item, text, i, j, size)
-        i, j = i[same], j[same]
-        order = np.lexsort((i, j - i))
-        i, j = i[order], j[order]
-        cut = np.flatnonzero((np.diff(i) != 1) | (np.diff(j) != 1)) + 1 if len(i) else []
-        first = np.concatenate([[0], cut]).astype(int) if len(i) else np.empty(0, int)
-        length = np.diff(np.concatenate([first, [len(i)]])) + size - 1 if len(i) else np.empty(0, int)
-        if len(length) and length.max() > 2 * size:
-            size = int(length.max())
-            continue
-        heap = [(-int(n_), int(j[f]), int(i[f])) for n_, f in zip(length, first)]
-        heapq.heapify(heap)
-        while heap:
-            less, b, a = heapq.heappop(heap)
-            m = -less
-            open_ = free_i[a : a + m] & free_t[b : b + m]
-            if open_.all():
-                free_i[a : a + m] = free_t[b : b + m] = False
-                tiles.append((m, a, b))
-                continue
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], open_.astype(np.int8), [0]])))
-            for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):  # what a longer tile has left over
-                if e - s >= size:
-                    heapq.heappush(heap, (s - e, b + s, a + s))
-        if size == least:
+
+    def shared(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Free windows of the item in the order of their hashes, with these, and free windows of the text that have one of them."""
+        at_i, at_t = _free(free_i, size), _free(free_t, size)
+        hi, ht = windows_i.of(size)[at_i], windows_t.of(size)[at_t]
+        order = np.argsort(hi, kind="stable")
+        at_i, hi = at_i[order], hi[order]
+        place = np.minimum(np.searchsorted(hi, ht), max(len(hi) - 1, 0))
+        hit = hi[place] == ht if len(hi) else np.zeros(len(ht), bool)
+        return at_i, hi, at_t[hit], place[hit]
+
+    top = min(len(item), len(text))
+    while top >= least:
+        low, high = least - 1, top  # matches of `low` are there, or none at all
+        while low < high:
+            middle = (low + high + 1) // 2
+            if len(shared(middle)[2]):
+                low = middle
+            else:
+                high = middle - 1
+        if low < least:
             break
-        size = max(least, size // 2)
+        at_i, hi, at_t, place = shared(low)
+        ends = np.searchsorted(hi, hi, "right")
+        nexts: dict[int, int] = {}
+        until = 0
+        for j, first in zip(at_t.tolist(), place.tolist()):
+            if j < until:
+                continue
+            k, end = nexts.get(first, first), int(ends[first])
+            while k < end and not free_i[at_i[k] : at_i[k] + low].all():
+                k += 1  # what is marked stays marked
+            nexts[first] = k
+            if k < end and free_t[j : j + low].all() and (item[at_i[k] : at_i[k] + low] == text[j : j + low]).all():
+                i, until = int(at_i[k]), j + low
+                free_i[i : i + low] = free_t[j:until] = False
+                tiles.append((low, i, j))
+        top = low - 1
     return tiles
 
 
+@dataclass
+class Seeds:
+    """Windows of one size of all items of this size: `keys` are their distinct hashes; windows of key k are `item` and `place` from begin[k] to begin[k + 1]."""
+
+    keys: np.ndarray
+    begin: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
+
+
 class Tiler:
     """Finds the items of one block of the benchmark in texts."""
 
@@ -121,59 +147,72 @@ class Tiler:
                 self.names.append(name)
                 self.items.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in tokens], np.int64))
         self.flat = np.concatenate([*self.items, np.empty(0, np.int64)])
-        self.begin = np.cumsum([0, *map(len, self.items)])
+        self.starts = np.cumsum([0, *map(len, self.items)])
         self.seeds = {}
         for size in {min(least, len(x)) for x in self.items}:
             own = [k for k, x in enumerate(self.items) if min(least, len(x)) == size]
-            h = [window_hashes(mixed(self.items[k]), size) for k in own]
+            h = [Windows(self.items[k]).of(size) for k in own]
             flat, item = np.concatenate(h), np.repeat(own, [len(x) for x in h])
             place = np.concatenate([np.arange(len(x)) for x in h])
             order = np.argsort(flat, kind="stable")
-            self.seeds[size] = flat[order], item[order], place[order]
+            keys, begin = np.unique(flat[order], return_index=True)
+            seeds = Seeds(keys, np.append(begin, len(flat)), item[order], place[order])
+            heads = np.repeat(seeds.begin[:-1], np.diff(seeds.begin))
+            at, head = (self.starts[seeds.item[k]] + seeds.place[k] for k in (slice(None), heads))
+            if not equal_windows(self.flat, self.flat, at, head, size).all():
+                raise ValueError("two different seeds of the benchmark have the same hash")
+            self.seeds[size] = seeds
 
     def __call__(self, text: str | None) -> list[tuple[object, float, int, int]]:
-        """(item, coverage, tiles, longest tile) of the items that reach the threshold."""
+        """(item, coverage, tiles, longest tile) of the items that reach the threshold; linear in the text and the seeds that it has."""
         words = words_of(text or "")
         ids = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
         if not (ids >= 0).any():
             return []
         found = []
-        hashes = mixed(ids)
-        for size, (keys, items, places) in self.seeds.items():
-            known = np.cumsum(np.concatenate([[0], ids >= 0]))
-            full = np.flatnonzero(known[size:] - known[:-size] == size)
+        windows = Windows(ids)
+        for size, seeds in self.seeds.items():
+            full = _free(ids >= 0, size)
             if not len(full):
                 continue
-            h = window_hashes(hashes, size)[full]
-            lo = np.searchsorted(keys, h, "left")
-            hit = keys[np.minimum(lo, len(keys) - 1)] == h
-            if not hit.any():
-                continue
-            full, lo = full[hit], lo[hit]
-            n = np.searchsorted(keys, h[hit], "right") - lo
-            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            where, item, place = np.repeat(full, n), items[at], places[at]
-            same = equal_windows(ids, self.flat, where, self.begin[item] + place, size)
-            where, item, place = where[same], item[same], place[same]
-            for k in np.unique(item).tolist():
-                own = item == k
-                under = np.zeros(len(self.items[k]) + 1, np.int64)
-                np.add.at(under, place[own], 1)
-                np.add.at(under, place[own] + size, -1)
-                if (np.cumsum(under)[:-1] > 0).sum() < self.coverage * len(self.items[k]):
+            h = windows.of(size)[full]
+            key = np.minimum(np.searchsorted(seeds.keys, h), len(seeds.keys) - 1)
+            hit = seeds.keys[key] == h
+            full, key = full[hit], key[hit]
+            head = seeds.begin[key]
+            same = equal_windows(ids, self.flat, full, self.starts[seeds.item[head]] + seeds.place[head], size)
+            full, key = full[same], key[same]
+            present = np.unique(key)  # each seed counts once, however often the text has it
+            n = seeds.begin[present + 1] - seeds.begin[present]
+            at = np.repeat(seeds.begin[present] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            item, place, of_key = seeds.item[at], seeds.place[at], np.repeat(present, n)
+            order = np.argsort(item, kind="stable")
+            item, place, of_key = item[order], place[order], of_key[order]
+            cuts = np.flatnonzero(np.diff(item)) + 1
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(item)]):
+                if s == e:
+                    continue
+                k = int(item[s])
+                own = self.items[k]
+                if _under(place[s:e], size, len(own)).sum() < self.coverage * len(own):
                     continue
-                keep = np.zeros(len(ids) + 1, np.int64)
-                np.add.at(keep, where[own], 1)
-                np.add.at(keep, where[own] + size, -1)
-                inside = np.flatnonzero(np.cumsum(keep)[:-1] > 0)
+                inside = np.flatnonzero(_under(full[np.isin(key, of_key[s:e])], size, len(ids)))
                 gaps = np.flatnonzero(np.diff(inside) > 1) + 1
-                tiles = greedy_tiles(self.items[k], np.insert(ids[inside], gaps, -1), size)
-                share = sum(t[0] for t in tiles) / len(self.items[k])
+                tiles = greedy_tiles(own, np.insert(ids[inside], gaps, -1), size)
+                share = sum(t[0] for t in tiles) / len(own)
                 if share >= self.coverage:
                     found.append((self.names[k], share, len(tiles), max(t[0] for t in tiles)))
         return found
 
 
+def _under(starts: np.ndarray, size: int, n: int) -> np.ndarray:
+    """Which of n places lie in a window of `size` from one of `starts`."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + size, -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = SEED, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(key, item, coverage, tiles, longest): pairs whose tiles cover at least `coverage` of the item's tokens.
 

@@ -22,6 +22,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equilens.llm.common import FEW, connected_components, hot_join, written
+from equilens.llm.common import connected_components, hot_join, removed, written, written_at
 from equilens.llm.shingles import Shingler, fingerprint, minhash
 
+log = logging.getLogger(__name__)
 TREES = 24
 DEPTH = 8
 RECALL = 0.9995
@@ -259,10 +261,11 @@ def _common(sets: list[np.ndarray], rows: int) -> np.ndarray:
 
 
 def verify(members: DataFrame, threshold: float, depth: int) -> DataFrame:
-    """(a, b, links, met): rows (a, root, 0) are spanning edges, rows (a, null, links) a text's links in this block pair.
+    """(a, b, links, met, depth): rows (a, root, 0) are spanning edges, rows (a, null, links) a text's links in this block pair.
 
-    Rows (null, null, links, met) count the links by the number of trees (3: or more) in which they share a prefix of
-    `depth`. `members` has (comp, _i, _j, _block, id, copies, bits, shingles); an id that is repeated counts once.
+    Rows (null, null, links, met, d) count the links by the number of trees (3: or more) in which they share a prefix of
+    d, for all d up to `depth`. `members` has (comp, _i, _j, _block, id, copies, prev, bits, shingles); an id that is
+    repeated counts once, and pairs with the same `prev` (but -1) were verified before.
     """
     id_type = members.schema["id"].dataType.simpleString()
     dealt = members.repartition(F.col("comp"), F.col("_i"), F.col("_j")).sortWithinPartitions("comp", "_i", "_j", "_block", "id")
@@ -274,10 +277,10 @@ def verify(members: DataFrame, threshold: float, depth: int) -> DataFrame:
             if not once.all():
                 t, keys = t.filter(pa.array(once)), keys[once]
             keys = keys[:, :3]
-            blocks, copies = t.column("_block").to_numpy(), t.column("copies").to_numpy()
+            blocks, copies, prev = (t.column(c).to_numpy() for c in ("_block", "copies", "prev"))
             ids, shingles = t.column("id"), t.column("shingles")
             bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint8).reshape(t.num_rows, -1)
-            a, b, links, seen = [], [], [], np.zeros(4, np.int64)
+            a, b, links, seen = [], [], [], np.zeros((depth, 4), np.int64)
             for s, e in _runs(keys):
                 if e - s < 2:
                     continue
@@ -291,6 +294,8 @@ def verify(members: DataFrame, threshold: float, depth: int) -> DataFrame:
                     near[:, :twin] = False
                 else:
                     near[np.arange(twin), np.arange(twin)] = False
+                before = prev[s:e]
+                near &= (before[:twin, None] != before[None, :]) | (before[None, :] < 0)
                 c = copies[s:e]
                 got = np.zeros(e - s, np.int64)
                 got[:twin] += near @ c
@@ -299,22 +304,30 @@ def verify(members: DataFrame, threshold: float, depth: int) -> DataFrame:
                 left, right = np.nonzero(near)
                 root = _forest(e - s, left, right)
                 if len(left):
-                    key = tree_keys(bits[s:e]) >> np.uint64(8 * (DEPTH - depth))
+                    key = tree_keys(bits[s:e])
                     once = left < right  # a single block has each pair twice
-                    seen += np.bincount(np.minimum((key[left[once]] == key[right[once]]).sum(1), 3), minlength=4)
+                    for d in range(depth):
+                        prefix = key >> np.uint64(8 * (DEPTH - d - 1))
+                        seen[d] += np.bincount(np.minimum((prefix[left[once]] == prefix[right[once]]).sum(1), 3), minlength=4)
                 for i in np.flatnonzero(got).tolist():
                     a.append(own[i]), b.append(None), links.append(int(got[i]))
                 for i in np.flatnonzero(root != np.arange(e - s)).tolist():
                     a.append(own[i]), b.append(own[root[i]]), links.append(0)
-            kind, met = t.schema.field("id").type, [None] * len(a) + [0, 1, 2, 3]
-            a, b, links = a + [None] * 4, b + [None] * 4, links + seen.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind), pa.array(links, pa.int64()), pa.array(met, pa.int32())], ["a", "b", "links", "met"])
+            kind, counts = t.schema.field("id").type, list(np.ndindex(depth, 4))
+            met, at = [None] * len(a) + [m for _, m in counts], [None] * len(a) + [d + 1 for d, _ in counts]
+            a, b, links = a + [None] * len(counts), b + [None] * len(counts), links + seen.ravel().tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind), pa.array(links, pa.int64()), pa.array(met, pa.int32()), pa.array(at, pa.int32())], ["a", "b", "links", "met", "depth"])
 
-    return dealt.mapInArrow(run, f"a {id_type}, b {id_type}, links long, met int")
+    return dealt.mapInArrow(run, f"a {id_type}, b {id_type}, links long, met int, depth int")
 
 
 def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, size: int = 5, trees: int = TREES, recall: float = RECALL) -> DataFrame:
-    """(key, class_id, n_links), one row for each row of `docs`.
+    """The classes of `classes_and_recall`; a recall that stays below the target is logged."""
+    return classes_and_recall(docs, key, text, threshold, size, trees, recall)[0]
+
+
+def classes_and_recall(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, size: int = 5, trees: int = TREES, recall: float = RECALL) -> tuple[DataFrame, float]:
+    """(key, class_id, n_links), one row for each row of `docs`, and the estimated recall.
 
     Two rows are linked if the Jaccard similarity of their shingle sets is at
     least `threshold`; `n_links` counts the other rows that a row is linked
@@ -324,37 +337,53 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     `key` may be of any type that has an order; rows that share a key are rows
     of their own, and a null key is less than none: a class of null keys only
     has the id null. An empty table gives no rows.
+
+    Prefixes are shortened until the estimated recall reaches `recall`, at most
+    to one level; if it is lower then, the figure that is returned says so.
+    After a shortening only pairs that were never in one component before are
+    verified, and only texts of components that have grown are read again.
     """
+    spark = docs.sparkSession
     depth = prefix_depth(threshold, trees, DEPTH, recall)
     perms = trees * DEPTH
     sig = written(signatures(docs, key, text, size, trees), "signatures")
     sets = sig.where("fp IS NOT NULL").groupBy("fp").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.first("bits").alias("bits"))
-    reps = written(sets.withColumn("id", F.monotonically_increasing_id()), "representatives")  # ids are those of the written rows
+    reps, reps_at = written_at(sets.withColumn("id", F.monotonically_increasing_id()), "representatives")  # ids are those of the written rows
     hashes, rows, n_reps = reps.select("id", "bits"), sig.count(), reps.count()
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
+    prev, spent, checked = None, [reps_at], None
     while True:
         roots = prefixes(hashes, trees, depth)
         shared = roots.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-        met = hot_join(roots, shared, "bucket", "members", trees * n_reps, few=FEW)
-        comps = connected_components(tie(in_blocks(met, "bucket", "members").join(hashes, "id"), threshold, perms, depth))
-        comps = comps.select("id", F.col("component").alias("comp"))
-        sizes = comps.groupBy("comp").agg(F.count("*").alias("members"))
-        known = hot_join(comps, sizes, "comp", "members", comps.count(), few=FEW).join(reps, "id")
-        read = shingled(known.join(texts, F.col("key").eqNullSafe(F.col("_key"))).drop("key", "_key"), size)
-        checked = written(verify(in_blocks(read, "comp", "members"), threshold, depth), "verified")
-        seen = {r.met: r.links for r in checked.where("met IS NOT NULL").groupBy("met").agg(F.sum("links").alias("links")).collect()}  # four rows
-        if depth == 1 or recall_of(seen, trees) >= recall:
+        met = hot_join(roots, shared, "bucket", "members", trees * n_reps)
+        found, found_at = connected_components(tie(in_blocks(met, "bucket", "members").join(hashes, "id"), threshold, perms, depth))
+        comps = found.select("id", F.col("component").alias("comp"))
+        known = comps.join(prev, "id", "left") if prev is not None else comps.withColumn("prev", F.lit(None).cast("long"))
+        known = known.withColumn("prev", F.coalesce("prev", F.lit(-1)))
+        grown = (F.min("prev") < 0) | (F.min("prev") < F.max("prev"))
+        sizes = known.groupBy("comp").agg(F.count("*").alias("members"), grown.alias("grown")).where("grown").drop("grown")
+        own = hot_join(known, sizes, "comp", "members", comps.count()).join(reps, "id")
+        read = shingled(own.join(texts, F.col("key").eqNullSafe(F.col("_key"))).drop("key", "_key"), size)
+        part, part_at = written_at(verify(in_blocks(read, "comp", "members"), threshold, depth), "verified")
+        checked = part if checked is None else checked.unionByName(part)
+        spent += [found_at, part_at]
+        seen = {r.met: r.links for r in checked.where(F.col("depth") == depth).groupBy("met").agg(F.sum("links").alias("links")).collect()}  # four rows
+        reached = recall_of(seen, trees)
+        if depth == 1 or reached >= recall:
             break
-        depth -= 1
+        depth, prev = depth - 1, comps.select("id", F.col("comp").alias("prev"))
+    if reached < recall:
+        log.warning("the estimated recall is %.4f, below the target of %.4f", reached, recall)
     links = checked.where("a IS NOT NULL AND b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
-    linked = connected_components(checked.where("b IS NOT NULL").select("a", "b"))
+    linked, linked_at = connected_components(checked.where("b IS NOT NULL").select("a", "b"))
     classes = linked.join(reps.select("id", "key"), "id").groupBy("component").agg(F.min("key").alias("class_id"), F.count("*").alias("members"))
-    named = hot_join(linked, classes, "component", "members", linked.count(), few=FEW).select("id", "class_id")
+    named = hot_join(linked, classes, "component", "members", linked.count()).select("id", "class_id")
     per_rep = reps.select("id", "fp", "key", "copies").join(links, "id", "left").join(named, "id", "left")
     n_links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long")
     per_rep = written(per_rep.select("fp", F.coalesce("class_id", "key").alias("class_id"), n_links.alias("n_links"), "copies"), "classes")
+    removed(spark, *spent, linked_at)  # the result reads signatures and classes alone
     joined = hot_join(sig.select("key", "fp"), per_rep, "fp", "copies", rows, "left")
-    return joined.select(F.col("key").alias(key), F.coalesce("class_id", "key").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return joined.select(F.col("key").alias(key), F.coalesce("class_id", "key").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), reached
 
 
 def one_of_each(docs: DataFrame, classes: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from equilens.llm.common import HOT, hot_join, written
 
@@ -42,44 +43,42 @@ MORE = (
 RULES = {1: BASE, 2: BASE + MORE}
 
 
-#: Matches of a text whose places are added up together.
-PART = 32
 FOUND = "array<struct<kind:string,start:int,end:int>>"
 
 
-def spans_of(text: Column, rule: Rule) -> Column:
-    """array<struct<kind,start,end>> of a rule's leftmost matches that don't overlap; code points, end exclusive.
+def matches_of(text: Column, rule: Rule, rank: int) -> Column:
+    """(rank, found) of a rule with a match in the text, else null; `found` has each match's gap, the characters between it and the one before, and the lengths of match and group.
 
-    `split` and `regexp_extract_all` walk over the same matches, so a match
-    starts after all pieces and matches before it. Matches are placed in parts
-    of PART: first within a part, then each part after those before it.
+    `split` and `regexp_extract_all` walk over the same matches: the leftmost ones that don't overlap.
     """
     pattern = F.lit(rule.pattern)
-    whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    value = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
-    gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
-    zipped = F.zip_with(whole, value, lambda m, v: F.struct(F.length(m).alias("size"), F.length(v).alias("n")))
-    zipped = F.zip_with(F.slice(gaps, 1, F.size(whole)), zipped, lambda g, m: F.struct(g.alias("gap"), m["size"].alias("size"), m["n"].alias("n")))
-    parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(whole) / PART).cast("int") - 1), lambda k: F.slice(zipped, k * PART + 1, F.lit(PART)))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,n:int>>").alias("found"))
+    whole = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
+    value = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length) if rule.group else whole
+    gaps = F.transform(F.split(text, rule.pattern, -1), F.length)  # one more than matches
+    found = F.struct(F.lit(rank).alias("rank"), gaps.alias("gaps"), whole.alias("sizes"), value.alias("lengths"))
+    return F.when(F.regexp_like(text, pattern), found)
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        one = F.struct(begin.alias("start"), (begin + x["size"]).alias("end"), x["n"].alias("n"))
-        return F.struct((begin + x["size"]).alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
 
-    placed = F.transform(parts, lambda p: F.aggregate(p, start, step))
+def findings(texts: DataFrame, key: str, text: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """(key, findings), a row for each key; places in code points, end exclusive, by start and then rule.
 
-    def moved(part: Column, k: Column) -> Column:
-        before = F.aggregate(F.slice(placed, 1, k), F.lit(0), lambda acc, p: acc + p["at"])
-        fit = F.filter(part["found"], lambda x: x["n"] >= rule.least) if rule.least else part["found"]
-        return F.transform(fit, lambda x: F.struct(F.lit(rule.kind).alias("kind"), (before + x["start"]).alias("start"), (before + x["end"]).alias("end")))
-
-    return F.when(F.regexp_like(text, pattern), F.flatten(F.transform(placed, moved))).otherwise(F.array().cast(FOUND))
-
-
-def findings_of(text: Column, rules: tuple[Rule, ...]) -> Column:
-    return F.concat(*(spans_of(text, r) for r in rules))
+    A key stands for a text: rows with equal keys have equal texts and are
+    answered once. Every rule reads a text once. Its matches become rows of
+    three numbers, which a running sum over the rows of a text and rule puts
+    in their places, so the work is linear in the texts and their matches.
+    Only matches are shuffled, by key; texts without any are a row each.
+    """
+    none = F.lit(None).cast("struct<rank:int,gaps:array<int>,sizes:array<int>,lengths:array<int>>")
+    per_rule = texts.select(F.col(key).alias("key"), F.explode(F.array(none, *(matches_of(F.col(text), r, i) for i, r in enumerate(rules)))).alias("m"))
+    cells = F.arrays_zip(F.slice("m.gaps", 1, F.size("m.sizes")).alias("gap"), F.col("m.sizes").alias("size"), F.col("m.lengths").alias("length"))
+    rows = per_rule.select("key", F.col("m.rank").alias("rank"), F.posexplode_outer(cells).alias("at", "c")).select("key", "rank", "at", "c.gap", "c.size", "c.length")
+    once = rows.repartition("key").groupBy("key", "rank", "at").agg(*(F.first(c).alias(c) for c in ("gap", "size", "length")))
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("key", "rank").orderBy("at")).cast("int")
+    fits = F.col("length") >= F.get(F.array(*(F.lit(r.least) for r in rules)), F.col("rank"))
+    placed = once.withColumn("end", end).select("key", F.when(fits, F.struct((F.col("end") - F.col("size")).alias("start"), "rank", "end")).alias("f"))
+    kinds = F.array(*(F.lit(r.kind) for r in rules))
+    named = F.transform(F.sort_array(F.collect_list("f")), lambda x: F.struct(F.get(kinds, x["rank"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    return placed.groupBy("key").agg(named.cast(FOUND).alias("findings")).withColumnRenamed("key", key)
 
 
 class BlobLedger:
@@ -121,7 +120,7 @@ class BlobLedger:
         todo = versions.select(path, version, raw.alias("_text")).join(unseen.hint("shuffle_hash"), same)
         # several rows may have the same path and version, with the blob or without it
         own = todo.where(F.unhex(F.sha2(F.col("_text").cast("binary"), 256)) == F.col("_blob"))
-        found = own.select(F.col("_blob").alias("blob"), findings_of(F.col("_text"), RULES[rule_version]).alias("findings"))
+        found = findings(own.select(F.col("_blob").alias("blob"), "_text"), "blob", "_text", RULES[rule_version])
         found.write.mode("append").parquet(f"{self.path}/rule_version={rule_version}")
         # blobs without a finding need no partner: only the others are joined back
         hits = self.read(rule_version).where(F.size("findings") > 0).groupBy("blob").agg(F.first("findings").alias("findings"))

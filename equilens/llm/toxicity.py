@@ -21,6 +21,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from equilens.operators.models import without_summary
+
 #: Labelled documents that the chain is fitted on, at most about.
 TRAIN_DOCS = 20_000
 FOLDS = 3
@@ -168,6 +170,7 @@ def fit(labelled: DataFrame, categories: list[str], key: str = "doc_id", text: s
                     odds = 0.5 if mean is None else min(max(mean, 1e-3), 1 - 1e-3)
                     return None, np.concatenate([np.zeros(size), [np.log(odds / (1 - odds))]])
                 m = LogisticRegression(featuresCol="v", labelCol=c, predictionCol="_p", rawPredictionCol="_r", probabilityCol="_q", regParam=1e-3, maxIter=25, standardization=False).fit(part)
+                m = without_summary(m)
                 return m, np.concatenate([m.coefficients.toArray(), [m.intercept]])
 
             # a fit is many small jobs, so the fits of a category run side by side

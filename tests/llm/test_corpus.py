@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import time
+import tracemalloc
 import zlib
 
 import duckdb
@@ -173,9 +175,9 @@ def test_secrets(spark, odd, empty, texts, tmp_path):
 
     assert all(r.base_sha256 == base(texts[r.doc_id]) for r in queries.op5_blob_ledger(spark, DIR).collect())
     many = [(i, " ".join(random.Random(i).choice(["deadbeefdeadbeef01", "x é", "token=abcdefabcdefab123", "AKIA" + "B" * 20, "\U0001f600"]) for _ in range(i * 7))) for i in range(30)]
-    df = spark.createDataFrame(many, "doc_id long, text string").select("doc_id", secrets.findings_of(F.col("text"), secrets.BASE).alias("f"))
-    for r in df.collect():  # texts of hundreds of matches
-        assert sorted(map(tuple, r.f)) == sorted((name, m.start(), m.end()) for name, p, g, n in RULES for m in p.finditer(many[r.doc_id][1]) if len(m[g]) >= n)
+    df = spark.createDataFrame(many, "doc_id long, text string")
+    for r in secrets.findings(df.unionAll(df), "doc_id", "text", secrets.BASE).collect():  # texts of hundreds of matches; repeated rows
+        assert sorted(map(tuple, r.findings)) == sorted((name, m.start(), m.end()) for name, p, g, n in RULES for m in p.finditer(many[r.doc_id][1]) if len(m[g]) >= n)
     ledger = secrets.BlobLedger(spark, str(tmp_path / "ledger"))
     versions = odd.selectExpr("doc_id AS path", "0 AS version", "text")
     first = ledger.scan(versions, 1).collect()
@@ -191,6 +193,28 @@ def test_secrets(spark, odd, empty, texts, tmp_path):
     assert secrets.BlobLedger(spark, str(tmp_path / "none")).scan(empty.selectExpr("doc_id AS path", "0 AS version", "text"), 1).count() == 0
 
 
+def test_secrets_of_a_text_with_many_matches(spark):
+    text = " ".join(f"{i:016x} é" for i in range(100_000))
+    began = time.time()
+    got = secrets.findings(spark.createDataFrame([(1, text), (2, "none"), (3, None)], "doc_id long, text string"), "doc_id", "text", secrets.RULES[2]).collect()
+    assert time.time() - began < 30
+    found = {r.doc_id: [tuple(f) for f in r.findings] for r in got}
+    assert found == {1: [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]{16,}", text)], 2: [], 3: []}
+
+
+def test_secrets_of_the_added_kinds(spark):
+    added = [(r.kind, re.compile(r.pattern)) for r in secrets.MORE]
+    parts = ["-----BEGIN PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN EC KEY-----", "ghp_" + "aB3" * 8, "xghp_" + "aB3" * 8, "glpat-" + "z9_-" * 5, "sk_live_short", "sk_live_" + "q" * 16, "eyJabcdefgh.ijklmnopq.rstuvwxyz", "eyJab.c.d", "AKIA" + "Z" * 16, "é", "\U0001f600", "password: 'abcdefghijkl'"]
+    rnd = random.Random(5)
+    texts = {i: " ".join(rnd.choices(parts, k=i)) for i in range(60)}
+    got = secrets.findings(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "doc_id", "text", secrets.RULES[2]).collect()
+    for r in got:
+        own = [tuple(f) for f in r.findings]
+        assert [f for f in own if f[0] in dict(added)] == sorted(((k, m.start(), m.end()) for k, p in added for m in p.finditer(texts[r.doc_id])), key=lambda f: (f[1], [k for k, _ in added].index(f[0])))
+        assert sorted(f for f in own if f[0] not in dict(added)) == sorted((name, m.start(), m.end()) for name, p, g, n in RULES for m in p.finditer(texts[r.doc_id]) if len(m[g]) >= n)
+    assert {f.kind for r in got for f in r.findings} == {r.kind for r in secrets.RULES[2]} - {"hex"} and len(got) == 60
+
+
 def test_tiling(spark, odd, empty):
     words = [f"w{i}" for i in range(60)]
     item = " ".join(words[:30])
@@ -223,6 +247,16 @@ def test_tiling(spark, odd, empty):
         assert sum(x[0] for x in decontaminate.greedy_tiles(p, t, 3)) == total
 
 
+def test_tiling_of_repeated_words():
+    words = {0: ["same"] * 400, 1: [f"a{i % 7}" for i in range(300)]}
+    tiler = decontaminate.Tiler([(k, " ".join(w)) for k, w in words.items()], 5, 0.6)
+    tracemalloc.start()
+    began = time.time()
+    assert tiler(" ".join(["same"] * 200_000)) == [(0, 1.0, 1, 400)] and tiler(" ".join(f"a{i % 7}" for i in range(200_000))) == [(1, 1.0, 1, 300)]
+    assert tracemalloc.get_traced_memory()[1] < 200e6 and time.time() - began < 30
+    tracemalloc.stop()
+
+
 def classes_by_brute_force(rows):
     shingle, sets = Shingler(), {}
     for i, t in rows:
@@ -288,10 +322,23 @@ def test_forest_shortens_prefixes(spark, monkeypatch):
     monkeypatch.setattr(lsh_forest, "prefix_depth", lambda *_: 8)
     used, prefixes = [], lsh_forest.prefixes
     monkeypatch.setattr(lsh_forest, "prefixes", lambda h, t, d: used.append(d) or prefixes(h, t, d))
-    got = {r.doc_id: (r.class_id, r.n_links) for r in lsh_forest.similarity_classes(df, trees=3).collect()}
+    read, shingled = [], lsh_forest.shingled
+    monkeypatch.setattr(lsh_forest, "shingled", lambda t, n: read.append(t.count()) or shingled(t, n))
+    classes, reached = lsh_forest.classes_and_recall(df, trees=3)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in classes.collect()}
+    assert 0.9 < reached <= 1 and len(read) == len(used)
     assert got == classes_by_brute_force(rows) and used == list(range(8, 8 - len(used), -1)) and len(used) > 1
 
 
+def test_forest_says_what_recall_it_reached(spark, monkeypatch, caplog):
+    rnd = random.Random(8)
+    rows = [(i, " ".join(f"z{i}-{k}" if k in cut else f"v{k}" for k in range(150))) for i in range(40) for cut in [rnd.sample(range(150), 3)]]
+    monkeypatch.setattr(lsh_forest, "prefix_depth", lambda *_: 1)
+    monkeypatch.setattr(lsh_forest, "recall_of", lambda met, trees: 0.5)
+    classes, reached = lsh_forest.classes_and_recall(spark.createDataFrame(rows, "doc_id long, text string"), trees=3)
+    assert reached == 0.5 and classes.count() == 40 and "below the target" in caplog.text
+
+
 def test_forest_walks_all_levels():
     rng = np.random.default_rng(2)
     bits = rng.integers(0, 3, (200, 24), dtype=np.uint8)
