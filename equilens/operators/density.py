@@ -6,32 +6,85 @@ import itertools
 import math
 from functools import reduce
 
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from equilens.operators.graph import checkpointed, components
+
 #: The cluster of rows that are near no dense place.
 NOISE = -1
+#: Pairs of rows that two pieces may have to be compared row by row.
+SMALL = 10_000
+#: Share of noise above which a setting is rejected.
+MOST_NOISE = 0.3
 
 
 def _cells(features: list[str], side: float) -> Column:
     return F.array(*(F.floor(F.col(f) / side).cast("long") for f in features))
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, component): the least id that edges lead to. Labels are passed on and then jump to their label's label; each round is checkpointed."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = nodes.select("id", F.col("id").alias("component")).checkpoint()
-    for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("_near"))
-        passed = labels.join(near, "id", "left").select("id", F.least("component", F.coalesce("_near", "component")).alias("component"))
-        jump = passed.select(F.col("id").alias("component"), F.col("component").alias("_to"))
-        new = passed.join(jump, "component", "left").select("id", F.coalesce("_to", "component").alias("component")).checkpoint()
-        changed = new.join(labels.withColumnRenamed("component", "_old"), "id").where("component <> _old").isEmpty()
-        labels = new
-        if changed:
-            return labels
-    raise RuntimeError("the components did not settle")
+def _pieces(cores: DataFrame, features: list[str], side: float, level: int) -> DataFrame:
+    """(head, sub, n, lo, hi, ends): for each piece of a cell, cut in halves `level` times along each feature, its rows, bounds and outermost rows."""
+    sub = cores.withColumn("sub", _cells(features, side / 2**level))
+    at = F.array(*features)
+    ends = F.array(*(f(at, F.col(x)) for x in features for f in (F.min_by, F.max_by)))
+    return sub.groupBy("head", "sub").agg(F.count("*").alias("n"), F.array(*(F.min(f) for f in features)).alias("lo"), F.array(*(F.max(f) for f in features)).alias("hi"), ends.alias("ends"))
+
+
+def _length(parts: Column) -> Column:
+    return F.round(F.sqrt(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x * x)), 9)
+
+
+def _decided(pairs: DataFrame, eps: float) -> DataFrame:
+    """Pairs (p, q) of pieces that may be linked, with `linked` where their bounds or outermost rows show it."""
+    gap = F.zip_with(F.zip_with("p.lo", "q.hi", lambda a, b: a - b), F.zip_with("q.lo", "p.hi", lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0)))
+    span = F.zip_with(F.zip_with("p.hi", "q.lo", lambda a, b: a - b), F.zip_with("q.hi", "p.lo", lambda a, b: a - b), lambda a, b: F.greatest(a, b))
+    met = F.exists("p.ends", lambda a: F.exists("q.ends", lambda b: _length(F.zip_with(a, b, lambda x, y: x - y)) <= eps))
+    return pairs.where(_length(gap) <= eps).withColumn("linked", (_length(span) <= eps) | met)
+
+
+def links(cores: DataFrame, features: list[str], eps: float, side: float, offsets: Column) -> DataFrame:
+    """(a, b): heads of neighbouring cells with core rows within `eps` of each other; of pairs that others connect anyway some are left out.
+
+    `cores` has (id, features, cell, head). The closest rows of two cells are not searched among all pairs: the bounds
+    of cells and their outermost rows decide most pairs of cells, and those that are connected by others need no
+    decision. What is left is cut into halves along each feature, round after round; pieces too far apart go, the first
+    close one settles the pair of cells, and pieces of few rows are compared. So the work follows the rows near the
+    edge of reach, and no task holds more than the rows of small pieces, at most SMALL pairs for two of them.
+    """
+    points = cores.select("head", *features).distinct()
+    boxes = _pieces(points, features, side, 0)
+    around = boxes.select(F.struct(*boxes.columns).alias("p"), F.explode(F.transform(offsets, lambda o: F.zip_with("sub", o, lambda a, b: a + b))).alias("sub"))
+    pairs = around.join(boxes.select(F.struct(*boxes.columns).alias("q"), "sub"), "sub").drop("sub").where("p.head < q.head")
+    pairs = checkpointed(_decided(pairs, eps))
+    named = lambda d: d.select(F.col("p.head").alias("a"), F.col("q.head").alias("b"))
+    found = checkpointed(named(pairs.where("linked")).distinct())
+    component = components(found, boxes.select(F.col("head").alias("id")))
+    side_of = lambda c: component.select(F.col("id").alias(c), F.col("component").alias(f"_{c}"))
+    apart = named(pairs.where("NOT linked")).join(side_of("a"), "a").join(side_of("b"), "b").where("_a <> _b").select("a", "b")
+    left = pairs.where("NOT linked").select("p", "q", F.col("p.head").alias("a"), F.col("q.head").alias("b")).join(apart, ["a", "b"]).drop("a", "b")
+    left = checkpointed(left.select("p", "q"))
+    level = 0
+    while not left.isEmpty():
+        few = F.col("p.n") * F.col("q.n") <= SMALL
+        own = points.withColumn("sub", _cells(features, side / 2**level)).select("head", "sub", F.array(*features).alias("x"))
+        ask = left.where(few).select(F.col("p.head").alias("a"), F.col("q.head").alias("b"), F.col("p.sub").alias("_p"), F.col("q.sub").alias("_q"))
+        ends = [own.select(F.col("head").alias(h), F.col("sub").alias(s), F.col("x").alias(x)) for h, s, x in (("a", "_p", "_x"), ("b", "_q", "_y"))]
+        near = ask.join(ends[0], ["a", "_p"]).join(ends[1], ["b", "_q"]).where(_length(F.zip_with("_x", "_y", lambda x, y: x - y)) <= eps).select("a", "b")
+        level += 1
+        boxes = _pieces(points, features, side, level)
+        parent = boxes.select(F.struct(*boxes.columns).alias("c"), "head", F.transform("sub", lambda x: F.shiftright(x, 1)).alias("sub"))
+        child = lambda d, side: d.join(parent.select(F.col("head").alias("_h"), F.col("sub").alias("_s"), F.col("c").alias(f"_{side}")), (F.col(f"{side}.head") == F.col("_h")) & (F.col(f"{side}.sub") == F.col("_s"))).drop("_h", "_s")
+        finer = child(child(left.where(~few), "p"), "q").select(F.col("_p").alias("p"), F.col("_q").alias("q"))
+        finer = checkpointed(_decided(finer, eps))
+        new = checkpointed(near.union(named(finer.where("linked"))).distinct())
+        found = found.union(new)
+        open_ = finer.where("NOT linked").join(new.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("p.head") == F.col("_a")) & (F.col("q.head") == F.col("_b")), "left_anti")
+        left = checkpointed(open_.select("p", "q"))
+    return found
 
 
 def dbscan(df: DataFrame, key: str, features: list[str], eps: float, least: int) -> DataFrame:
@@ -41,16 +94,14 @@ def dbscan(df: DataFrame, key: str, features: list[str], eps: float, least: int)
     `least` rows or more is dense as a whole and no pair of it is compared. Only the rows of other cells are compared
     with those of the cells around. Clusters are components of cells; a cluster is numbered by its least core key. A row
     near several clusters goes to the one of its nearest core row. Rows with a null are noise. `key` is a whole number.
-
-    Whether two neighbouring cells are linked is decided by the distances of their core rows, so that the work grows
-    with the product of two cells' rows: choose `eps` for cells of thousands of rows, not millions.
+    Whether two neighbouring cells are linked is decided by `links`, without comparing all of their rows. A row of a cell
+    with fewer than `least` rows is compared with the rows of the cells around, so a row meets at most `least` times as
+    many such rows as there are cells around.
     """
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        raise RuntimeError("set a checkpoint folder that all executors share")
     side = eps / math.sqrt(len(features))
     usable = df.dropna(subset=features)
-    rows = usable.select(F.col(key).alias("id"), *(F.col(f).cast("double").alias(f) for f in features)).withColumn("cell", _cells(features, side)).checkpoint()
+    rows = usable.select(F.col(key).alias("id"), *(F.col(f).cast("double").alias(f) for f in features)).withColumn("cell", _cells(features, side))
+    rows = checkpointed(rows)
     reach = math.ceil(math.sqrt(len(features)))
     offsets = F.array(*(F.array(*(F.lit(o).cast("long") for o in offset)) for offset in itertools.product(range(-reach, reach + 1), repeat=len(features))))
     sizes = rows.groupBy("cell").agg(F.count("*").alias("n"))
@@ -63,14 +114,38 @@ def dbscan(df: DataFrame, key: str, features: list[str], eps: float, least: int)
 
     sparse = rows.join(sizes.where(F.col("n") < least), "cell")
     counts = around(sparse.drop("n"), rows).groupBy(F.col("p.id").alias("id")).agg(F.count("*").alias("m"))
-    cores = rows.join(sizes.where(F.col("n") >= least).select("cell"), "cell", "left_semi").unionByName(rows.join(counts.where(F.col("m") >= least).select("id"), "id", "left_semi")).checkpoint()
+    dense = rows.join(sizes.where(F.col("n") >= least).select("cell"), "cell", "left_semi")
+    cores = checkpointed(dense.unionByName(rows.join(counts.where(F.col("m") >= least).select("id"), "id", "left_semi")))
     # one core row stands for its cell; cells are linked by any pair of their core rows
     heads = cores.groupBy("cell").agg(F.min("id").alias("head"))
     headed = cores.join(heads, "cell")
-    links = around(headed, headed).where("p.head <> q.head").select(F.col("p.head").alias("a"), F.col("q.head").alias("b")).distinct()
-    found = components(links, heads.select(F.col("head").alias("id")))
+    found = components(links(headed, features, eps, side, offsets), heads.select(F.col("head").alias("id")))
     clustered = headed.join(found.withColumnRenamed("id", "head"), "head").select("id", *features, "cell", "component")
     rest = rows.join(cores.select("id"), "id", "left_anti")
     near = around(rest, clustered).groupBy(F.col("p.id").alias("id")).agg(F.min_by(F.col("q.component"), F.struct("d", F.col("q.id"))).alias("component"))
     label = clustered.select("id", "component").unionByName(near).withColumnRenamed("id", key)
     return df.join(label, key, "left").withColumn("cluster", F.coalesce("component", F.lit(NOISE)).cast(T.LongType())).drop("component")
+
+
+def dbscan_grid(df: DataFrame, key: str, features: list[str], eps: list[float], least: list[int], most_noise: float = MOST_NOISE) -> tuple[DataFrame, DataFrame | None]:
+    """(eps, least, clusters, noise, silhouette, note, chosen) of every setting, and `df` with `cluster` of the chosen one, or None.
+
+    The silhouette is over the rows that aren't noise. Settings with fewer than two clusters or more than `most_noise`
+    are rejected; of the others the best silhouette is chosen, the first on ties. Noise is a cluster of its own (-1).
+    """
+    found, made = [], {}
+    for e, m in itertools.product(eps, least):
+        own = checkpointed(dbscan(df, key, features, e, m))
+        t = own.agg(F.count_distinct(F.when(F.col("cluster") != NOISE, F.col("cluster"))).alias("clusters"), F.count_if(F.col("cluster") == NOISE).alias("noise"), F.count("*").alias("n")).first()
+        share = t.noise / t.n if t.n else 1.0
+        silhouette = None
+        if t.clusters > 1:
+            vectors = VectorAssembler(inputCols=features, outputCol="_v", handleInvalid="skip").transform(own.where(F.col("cluster") != NOISE))
+            silhouette = round(float(ClusteringEvaluator(featuresCol="_v", predictionCol="cluster").evaluate(vectors)), 6)
+        note = "fewer than two clusters" if t.clusters < 2 else "too much noise" if share > most_noise else "noise is a cluster" if t.noise else "no noise"
+        made[e, m] = own
+        found.append((e, m, t.clusters, t.noise, silhouette, note))
+    valid = [r for r in found if r[5].startswith("no")]
+    best = max(valid, key=lambda r: r[4])[:2] if valid else None
+    schema = "eps double, least int, clusters long, noise long, silhouette double, note string, chosen boolean"
+    return df.sparkSession.createDataFrame([(*r, r[:2] == best) for r in found], schema), made.get(best)  # a row for each setting

@@ -13,11 +13,12 @@ from pyspark.sql.window import Window
 SLICE = 100_000
 
 
-def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, str], slice_rows: int = SLICE) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, str], slice_rows: int = SLICE, previous: str | None = None) -> DataFrame:
     """`df` with running sums of columns in the order of a numeric column within `keys`, without a task for each key.
 
     Rows are cut into ranges of the order, sums run within a range, and each range starts with the totals of those
     before it. Ranges come from approximate quantiles over all keys; ties must be one row, as counts of values are.
+    `previous` names a column for the order of the row before, null at a key's first row.
     """
     n = df.count()
     slices = max(1, n // slice_rows)
@@ -28,13 +29,15 @@ def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, str], sl
         place = F.pandas_udf(lambda v: pd.Series(np.searchsorted(edges, v.to_numpy(), side="left").astype(np.int32)), "int")
         at = place(F.col(order).cast("double"))
     part = df.withColumn("_slice", at.cast("int"))
-    totals = part.groupBy(*keys, "_slice").agg(*(F.sum(c).alias(f"{c}__t") for c in sums))
+    totals = part.groupBy(*keys, "_slice").agg(*(F.sum(c).alias(f"{c}__t") for c in sums), F.max(order).alias("_last"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*keys, "_slice", *(F.coalesce(F.sum(f"{c}__t").over(before), F.lit(0)).alias(f"{c}__s") for c in sums))
-    within = Window.partitionBy(*keys, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    own = part.withColumns({out: F.sum(c).over(within) for c, out in sums.items()})
+    starts = totals.select(*keys, "_slice", *(F.coalesce(F.sum(f"{c}__t").over(before), F.lit(0)).alias(f"{c}__s") for c in sums), F.max("_last").over(before).alias("_last"))
+    by_order = Window.partitionBy(*keys, "_slice").orderBy(order)
+    within = by_order.rowsBetween(Window.unboundedPreceding, 0)
+    own = part.withColumns({out: F.sum(c).over(within) for c, out in sums.items()} | ({previous: F.lag(order).over(by_order)} if previous else {}))
     t = own.join(starts, [*keys, "_slice"])
-    return t.withColumns({out: F.col(out) + F.col(f"{c}__s") for c, out in sums.items()}).drop("_slice", *(f"{c}__s" for c in sums))
+    t = t.withColumn(previous, F.coalesce(previous, "_last")) if previous else t
+    return t.withColumns({out: F.col(out) + F.col(f"{c}__s") for c, out in sums.items()}).drop("_slice", "_last", *(f"{c}__s" for c in sums))
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float]) -> DataFrame:

@@ -98,7 +98,8 @@ def queries() -> dict[str, Query]:
         "mit_exp_gradient": on(_constrained),
         "mit_smote": on(_made(Y.smote)),
         "mit_adasyn": on(_made(Y.adasyn)),
-        **{f"mit_threshold_{c}": (lambda spark, sf_dir, c=c: H.fit_thresholds(view(spark, sf_dir, "v_pred"), "grp_b", "y_true", "y_proba", c)) for c in H.CONSTRAINTS},
+        **{f"mit_threshold_{c}": (lambda spark, sf_dir, c=c: H.fit_thresholds(view(spark, sf_dir, "v_pred"), "grp_b", "y_true", "y_proba", c)) for c in (*H.CONSTRAINTS, H.BOTH_RATES)},
+        "roc_hull": lambda spark, sf_dir: H.roc_hull(view(spark, sf_dir, "v_pred"), "grp_b", "y_true", "y_proba").withColumnRenamed("grp", "grp_b"),
         "pca_2d": on(lambda d: M.pca_2d(d, FEATURES)[1].withColumn("explained", F.round("explained", 4))),
         "cx_l1_l2_l3": on(lambda d: M.complexity_l(_z(d), "row_id", FEATURES, "target")),
         "cx_n4": on(lambda d: Y.n4(_z(d), "row_id", FEATURES, "target", ASKED)),
@@ -126,6 +127,25 @@ def _thresholds(tp: str, n: str) -> str:
     )
 
 
+#: A point of a curve is a vertex of its upper hull if no pair of points to both sides of it reaches as high; the hull starts with the highest point of the least x.
+_HULL = (
+    "c AS (SELECT grp_b, y_proba AS s, sum(y_true) AS p, sum(1 - y_true) AS q FROM v_pred GROUP BY 1, 2),"
+    " u AS (SELECT grp_b, CAST(sum(q) OVER d AS BIGINT) AS x, CAST(sum(p) OVER d AS BIGINT) AS y, s, CAST(sum(p) OVER w AS BIGINT) AS pn, CAST(sum(q) OVER w AS BIGINT) AS qn FROM c WINDOW d AS (PARTITION BY grp_b ORDER BY s DESC), w AS (PARTITION BY grp_b)),"
+    " pts AS (SELECT * FROM (SELECT * FROM u UNION ALL SELECT DISTINCT grp_b, 0, 0, NULL, pn, qn FROM u) z WHERE pn > 0 AND qn > 0 QUALIFY row_number() OVER (PARTITION BY grp_b, x ORDER BY y DESC) = 1),"
+    " hull AS (SELECT * FROM pts b WHERE NOT EXISTS (SELECT 1 FROM pts a JOIN pts c ON a.grp_b = c.grp_b WHERE a.grp_b = b.grp_b AND a.x < b.x AND c.x > b.x AND (b.x - a.x) * (c.y - a.y) >= (b.y - a.y) * (c.x - a.x)))"
+)
+
+
+def _equalized_odds() -> str:
+    return (
+        f"WITH {_HULL}, e AS (SELECT *, lead(x) OVER w AS xn, lead(y) OVER w AS yn, lead(s) OVER w AS lower_s FROM hull WINDOW w AS (PARTITION BY grp_b ORDER BY x)),"
+        " f AS (SELECT *, CAST(x AS DOUBLE) / qn * 100 AS x0, CAST(xn AS DOUBLE) / qn * 100 AS x1 FROM e WHERE xn IS NOT NULL),"
+        " m AS (SELECT *, (y + mix * (yn - y)) / pn AS own FROM (SELECT f.*, g, (g - x0) / (x1 - x0) AS mix FROM f JOIN range(101) r(g) ON g >= x0 AND (g < x1 OR g = x1 AND xn = qn)) z),"
+        " b AS (SELECT g, min(own) AS tpr FROM m GROUP BY 1 ORDER BY round(min(own) - g / 100.0, 9) DESC, g LIMIT 1)"
+        ' SELECT grp_b, g / 100.0 AS rate, round(tpr, 6) AS tpr, s AS "upper", lower_s AS "lower", round(mix, 6) AS mix, CASE WHEN own > g / 100.0 THEN round((own - tpr) / (own - g / 100.0), 6) ELSE 0 END AS "ignore" FROM m JOIN b USING (g)'
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     nexts = ", ".join(f"a * f{i} + (1 - a) * coalesce(lead(f{i}) OVER w, first_value(f{i}) OVER w) AS f{i}" for i in (1, 2))
     pairs = f"b AS (SELECT *, floor({_share('bucket')} * ceil((SELECT count(*) FROM z) / 10000.0)) AS bucket, {_share('pair')} AS u, {_share('mix')} AS a FROM z), mixed AS (SELECT row_id, target, {nexts} FROM b WINDOW w AS (PARTITION BY target, bucket ORDER BY u, row_id))"
@@ -135,6 +155,8 @@ def oracle_sql() -> dict[str, str]:
         "mit_threshold_demographic_parity": _thresholds("(tp{0} + fp{0})", "pn + qn"),
         "mit_threshold_true_positive_rate": _thresholds("tp{0}", "pn"),
         "mit_threshold_false_positive_rate": _thresholds("fp{0}", "qn"),
+        "mit_threshold_equalized_odds": _equalized_odds(),
+        "roc_hull": f"WITH {_HULL} SELECT grp_b, x, y, s, pn, qn FROM hull",
         "pca_2d": "SELECT component, round((1 + side * r) / 2, 4) AS explained FROM (SELECT abs(corr(f1, f2)) AS r FROM v_knn) c, (VALUES (1, 1), (2, -1)) v(component, side)",
         "cx_n4": f"WITH {_Z}, {pairs}, n AS (SELECT q.row_id, q.target, r.target AS o, row_number() OVER (PARTITION BY q.row_id ORDER BY {_D}, r.row_id) AS k FROM mixed q JOIN z r ON q.row_id % {ASKED} = 0) SELECT round(CASE WHEN count(*) = 2 THEN avg(e) END, 6) AS n4 FROM (SELECT target, avg(CASE WHEN target <> o THEN 1.0 ELSE 0.0 END) AS e FROM n WHERE k = 1 GROUP BY 1) t",
         "cx_bayes": f"WITH {_Z}, {near}, p AS (SELECT row_id, {wide} AS hits, coalesce(min(k) FILTER (WHERE target = 0) - 2, 100) AS far FROM near WHERE k <= 99 GROUP BY 1), s AS (SELECT CASE WHEN hits = 5 THEN far ELSE hits END AS m, CASE WHEN hits = 5 THEN far + 1 ELSE 5 END AS size FROM p),"

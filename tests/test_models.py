@@ -113,3 +113,41 @@ def test_thresholds_level_the_groups(biased):
     one = scored.where("g = 'a' OR y = 1")
     assert [r.g for r in H.fit_thresholds(one, "g", "y", "y_proba").collect()] == ["a"]
     assert H.apply_thresholds(one, H.fit_thresholds(one, "g", "y", "y_proba"), "g", "y_proba", "id").where("g = 'b'").exceptAll(one.where("g = 'b'")).count() == 0
+
+
+def test_hull_in_pieces(spark):
+    r = np.random.default_rng(4)
+    rows = [(int(g), float(s), int(r.random() < s ** (g + 1))) for g in range(3) for s in np.round(r.random(300), 2)]
+    df = spark.createDataFrame(rows, "g int, s double, y int")
+    want = {}
+    for g in range(3):
+        own = [(s, y) for k, s, y in rows if k == g]
+        pts = {(0, 0)} | {(sum(1 - y for s, y in own if s >= t), sum(y for s, y in own if s >= t)) for t in {s for s, _ in own}}
+        on = lambda p: not any(a[0] < p[0] < c[0] and (p[0] - a[0]) * (c[1] - a[1]) >= (p[1] - a[1]) * (c[0] - a[0]) for a in pts for c in pts)  # noqa: B023, E731
+        want[g] = sorted(p for p in pts if on(p) and p[1] == max(q[1] for q in pts if q[0] == p[0]))
+    for size in (7, 60, 10**6):  # in many pieces, in rounds, and at once
+        hull = H.roc_hull(df, "g", "y", "s", size).collect()
+        assert {g: sorted((v.x, v.y) for v in hull if v.grp == g) for g in range(3)} == want
+        same = sorted(map(tuple, H.curve(df, "g", "y", "s", size).collect()), key=str)
+        assert same == sorted(map(tuple, H.curve(df, "g", "y", "s").collect()), key=str)
+    # by brute force: the best rate of the grid at which all hulls reach as high
+    reach = lambda g, x: max(a[1] + (c[1] - a[1]) * (x - a[0]) / max(c[0] - a[0], 1e-12) if a[0] < x else a[1] for a in want[g] for c in want[g] if a[0] <= x <= c[0] and (a != c or a[0] == x))
+    ends = {g: want[g][-1] for g in range(3)}
+    best = max(range(101), key=lambda k: (round(min(reach(g, k * ends[g][0] / 100) / ends[g][1] for g in range(3)) - k / 100, 9), -k))
+    fitted = H.fit_thresholds(df, "g", "y", "s", "equalized_odds").collect()
+    assert {r.rate for r in fitted} == {best / 100} and len(fitted) == 3
+    assert {r.tpr for r in fitted} == {round(min(reach(g, best * ends[g][0] / 100) / ends[g][1] for g in range(3)), 6)}
+
+
+def test_equalized_odds_levels_both_rates(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, "abc"[i % 3], float(np.clip(0.5 + (y - 0.5) * (0.2 + 0.15 * (i % 3)) + r.normal(0, 0.2) + 0.05 * (i % 3), 0, 1)), y) for i in range(9000) for y in [int(r.random() < 0.4)]]
+    df = spark.createDataFrame(rows, "id long, g string, s double, y int").cache()
+    made = H.apply_thresholds(df, H.fit_thresholds(df, "g", "y", "s", "equalized_odds"), "g", "s", "id")
+    spread = lambda d, y: np.ptp([v.p for v in d.where(f"y = {y}").groupBy("g").agg(F.avg("y_pred").alias("p")).collect()])
+    plain = df.withColumn("y_pred", (F.col("s") >= 0.5).cast("int"))
+    assert spread(plain, 1) > 0.15 and spread(made, 1) < 0.05 and spread(made, 0) < 0.05
+    one = df.where("g = 'a' OR y = 1")  # a group with one class keeps its predictions
+    fitted = H.fit_thresholds(one, "g", "y", "s", "equalized_odds")
+    assert [v.g for v in fitted.collect()] == ["a"]
+    assert H.fit_thresholds(df.limit(0), "g", "y", "s", "equalized_odds").count() == 0

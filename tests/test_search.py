@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from equilens.operators import density, harmonize, preparation, search, statistics, subgroups
+from equilens.operators import density, graph, harmonize, preparation, search, statistics, subgroups
 from equilens.operators import models as M
 from equilens.sources import files, tables
 
@@ -61,6 +61,61 @@ def test_dbscan(spark, checkpoints, eps, least):
     assert density.dbscan(df.limit(0), "id", ["x", "y"], eps, least).count() == 0
 
 
+@pytest.mark.parametrize("gap, linked", [(0.2999, True), (0.3001, False)])
+def test_dense_cells_are_linked_by_their_closest_rows(spark, checkpoints, monkeypatch, gap, linked):
+    # two dense cells whose outermost rows along each feature are far apart, and a bridge from one corner to the other
+    r = np.random.default_rng(1)
+    a = r.uniform(0, 0.05, (3000, 2))
+    b = r.uniform(0, 0.05, (3000, 2)) + [0.45, 0.0]
+    bridge = np.array([[0.06, 0.03], [0.06 + gap, 0.03]])
+    points = np.concatenate([a, b, bridge, [[0.04, 0.21], [0.36, 0.21], [0.04, -0.15], [0.36, -0.15]]])
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(points)], "id long, x double, y double")
+    monkeypatch.setattr(density, "SMALL", 50)
+    got = {r.id: r.cluster for r in density.dbscan(df, "id", ["x", "y"], 0.3, 50).collect()}
+    want = dbscan_by_brute_force(points, 0.3, 50)
+    same = {}
+    for i, c in enumerate(want):
+        assert (c == -1) == (got[i] == -1) and same.setdefault(int(c), got[i]) == got[i]
+    assert (got[0] == got[3000]) == linked and len(set(same.values())) == len(same)
+
+
+def test_large_dense_cells_finish(spark, checkpoints):
+    # 200 000 rows in two cells, nearly out of reach of each other
+    df = spark.range(200_000).select("id", ((F.col("id") % 2) * 0.26 + F.rand(3) * 0.02).alias("x"), (F.rand(4) * 0.02).alias("y")).where("(id % 2 = 0) = (x < 0.1)")
+    t = density.dbscan(df, "id", ["x", "y"], 0.25, 10).groupBy("cluster").count().collect()
+    assert sum(r["count"] for r in t) == 200_000 and len(t) == 1
+    far = density.dbscan(df.withColumn("x", F.col("x") * 1.2), "id", ["x", "y"], 0.25, 10).groupBy("cluster").count().collect()
+    assert [r["count"] for r in far] == [100_000, 100_000]
+
+
+def test_components(spark, checkpoints):
+    r = np.random.default_rng(2)
+    edges = [(i, i + 1) for i in range(0, 400)] + [(1000, 1000 + i) for i in range(1, 300)] + [tuple(map(int, r.integers(2000, 2300, 2))) for _ in range(150)]
+    nodes = spark.createDataFrame([(i,) for i in {x for e in edges for x in e} | {5000}], "id long")
+    got = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long"), nodes).collect()}
+    root = {r.id: r.id for r in nodes.collect()}
+    while True:
+        new = dict(root)
+        for a, b in edges:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == root:
+            break
+        root = new
+    assert got == root
+
+
+def test_density_grid(spark, checkpoints):
+    r = np.random.default_rng(3)
+    points = np.concatenate([r.normal((0, 0), 0.1, (150, 2)), r.normal((3, 3), 0.1, (150, 2)), r.uniform(-5, 8, (20, 2))])
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(points)], "id long, x double, y double")
+    grid, best = density.dbscan_grid(df, "id", ["x", "y"], [0.01, 0.5, 20.0], [5])
+    rows = {r.eps: r for r in grid.collect()}
+    assert rows[0.5].chosen and rows[0.5].clusters == 2 and rows[0.5].note == "noise is a cluster" and rows[0.5].silhouette > 0.9
+    assert not rows[0.01].chosen and rows[20.0].note == "fewer than two clusters"
+    assert best.where("cluster <> -1").count() >= 300
+    assert density.dbscan_grid(df, "id", ["x", "y"], [20.0], [5])[1] is None
+
+
 def test_searches(biased):
     found = search.hpo_search(biased, "id", ["x", "u"], "y", {"c": [0.0001, 1.0]}).collect()
     assert [r.place for r in found] == [1, 2] and "1.0" in found[0].setting and found[0].f1 > 0.7
