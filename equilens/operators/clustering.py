@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -9,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from equilens.operators import density
+
 MODELS = {"kmeans": KMeans, "hierarchical": BisectingKMeans, "gmm": GaussianMixture}
 
 
@@ -43,6 +51,118 @@ def diagnostics(df: DataFrame, features: list[str], kinds: tuple[str, ...] = ("k
     return df.sparkSession.createDataFrame(rows, "kind string, k int, silhouette double")  # a row per candidate
 
 
+def log_likelihood(df: DataFrame, features: list[str], weights: np.ndarray, means: np.ndarray, covariances: np.ndarray) -> float:
+    """Of all rows without a null under a mixture of normal distributions; each task sends one sum per batch."""
+    shared = df.sparkSession.sparkContext.broadcast((np.log(weights), means, [np.linalg.cholesky(c) for c in covariances]))  # k x features^2 numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log_weights, centres, roots = shared.value
+        for b in batches:
+            x = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(len(features))])
+            parts = []
+            for w, m, root in zip(log_weights, centres, roots):
+                z = np.linalg.solve(root, (x - m).T)
+                parts.append(w - (z * z).sum(0) / 2 - np.log(np.diag(root)).sum() - len(features) * math.log(2 * math.pi) / 2)
+            top = np.max(parts, axis=0)
+            total = float((top + np.log(np.exp(np.array(parts) - top).sum(0))).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.float64())], ["ll"])
+
+    return df.select(*(F.col(f).cast("double").alias(f) for f in features)).dropna().mapInArrow(run, "ll double").agg(F.coalesce(F.sum("ll"), F.lit(0.0))).first()[0]
+
+
+def free_parameters(k: int, features: int) -> int:
+    """Of a mixture with full covariances: weights but one, means, and the triangles of the covariances."""
+    return k - 1 + k * features + k * features * (features + 1) // 2
+
+
+@dataclass
+class Candidate:
+    """A clustering that can be chosen; `rows` has the given columns and `cluster`."""
+
+    method: str
+    setting: str
+    clusters: int
+    smallest: int
+    silhouette: float
+    bic: float | None
+    rows: DataFrame
+
+
+def _measured(method: str, setting: str, made: DataFrame, bic: float | None) -> Candidate:
+    sizes = [r["count"] for r in made.groupBy("cluster").count().collect()]  # a row for each cluster
+    silhouette = float(ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(made)) if len(sizes) > 1 else -1.0
+    return Candidate(method, setting, len(sizes), min(sizes, default=0), silhouette, bic, made.drop("features"))
+
+
+def gmm_candidates(df: DataFrame, features: list[str], ks: tuple[int, ...] = (3, 4, 5, 6), seed: int = 42) -> list[Candidate]:
+    """A mixture of normal distributions with full covariances for each k below the number of rows, with its BIC (less is better)."""
+    data = assembled(df, features).persist()
+    found = []
+    try:
+        n = data.count()
+        for k in (k for k in ks if k < n):
+            model = GaussianMixture(k=k, seed=seed, maxIter=100, featuresCol="features", predictionCol="cluster", probabilityCol="_p").fit(data)
+            shapes = model.gaussiansDF.collect()  # k rows
+            ll = log_likelihood(data, features, np.maximum(model.weights, 1e-300), np.array([r["mean"].toArray() for r in shapes]), np.array([r["cov"].toArray() for r in shapes]))
+            bic = free_parameters(k, len(features)) * math.log(n) - 2 * ll
+            found.append(_measured("gmm", f"k={k}", model.transform(data).drop("_p"), bic))
+    finally:
+        data.unpersist()
+    return found
+
+
+class ClusteringError(ValueError):
+    """No candidate passes the gates; `diagnostics` says why for each."""
+
+    def __init__(self, message: str, diagnostics: DataFrame):
+        super().__init__(message)
+        self.diagnostics = diagnostics
+
+
+def choose(
+    df: DataFrame, features: list[str], methods: tuple[str, ...] = ("kmeans", "hierarchical", "gmm"), ks: tuple[int, ...] = (3, 4, 5, 6), min_clusters: int = 2, min_size: int = 1, min_share: float = 0.0,
+    floor: float | None = None, key: str | None = None, eps: tuple[float, ...] = (0.3, 0.5, 0.7, 1.0), least: tuple[int, ...] = (5, 10, 15),
+) -> tuple[DataFrame, DataFrame]:
+    """(method, setting, clusters, smallest, silhouette, bic, reason, chosen) of all candidates, and `df` with `cluster` of the chosen one.
+
+    Each method sends its best: the highest silhouette, of mixtures the least BIC; dbscan (which needs `key`) has its own
+    gate for noise. One is valid with at least `min_clusters` clusters, all of at least `min_size` rows and of
+    `min_share` of all rows. The valid one with the highest silhouette is chosen, the first on ties, and refused if that
+    is below `floor`. A ClusteringError has the diagnostics. Features are given standardised; rows with a null are left out.
+    """
+    n = df.dropna(subset=features).count()
+    bound = max(min_size, math.ceil(min_share * n))
+    best: list[Candidate] = []
+    listed: list[tuple[Candidate, str]] = []
+    for method in methods:
+        if method == "dbscan":
+            grid, rows = density.dbscan_grid(df.dropna(subset=features), key, features, list(eps), list(least))
+            made = [(r, _measured(method, f"eps={r.eps},least={r.least}", assembled(rows, features), None)) if r.chosen else (r, None) for r in grid.collect()]
+            own = [c for _, c in made if c]
+            for c in own:
+                c.silhouette = next(r.silhouette for r, x in made if x is c)  # over the rows that aren't noise
+            listed += [(Candidate(method, f"eps={r.eps},least={r.least}", r.clusters, 0, r.silhouette, None, df), r.note) for r, c in made if c is None]
+        elif method == "gmm":
+            own = gmm_candidates(df, features, ks)
+        else:
+            own = [_measured(method, f"k={k}", model.transform(assembled(df, features)), None) for k, _, model in candidates(df, features, method, tuple(k for k in ks if k < n))]
+        if own:
+            winner = min(own, key=lambda c: c.bic) if method == "gmm" else max(own, key=lambda c: c.silhouette)
+            best.append(winner)
+            listed += [(c, "best of its method" if c is winner else "higher BIC" if method == "gmm" else "lower silhouette than another of its method") for c in own]
+    failed = {id(c): "too few clusters" if c.clusters < min_clusters else "a cluster is too small" for c in best if c.clusters < min_clusters or c.smallest < bound}
+    valid = [c for c in best if id(c) not in failed]
+    top = max(valid, key=lambda c: c.silhouette) if valid else None
+    if top and floor is not None and top.silhouette < floor:
+        failed[id(top)] = "silhouette below the floor"
+    chosen = top if top and id(top) not in failed else None
+    rows = [(c.method, c.setting, c.clusters, c.smallest, None if c.silhouette is None else round(c.silhouette, 6), None if c.bic is None else round(c.bic, 2), failed.get(id(c), "chosen" if c is chosen else why), c is chosen) for c, why in listed]
+    diagnostics = df.sparkSession.createDataFrame(rows, "method string, setting string, clusters long, smallest long, silhouette double, bic double, reason string, chosen boolean")  # a row for each candidate
+    if chosen is None:
+        raise ClusteringError(f"no clustering is valid: at least {min_clusters} clusters of {bound} rows, silhouette floor {floor}", diagnostics)
+    return diagnostics, chosen.rows
+
+
 def profile(clustered: DataFrame, features: list[str], target: str) -> DataFrame:
     """Mean and deviation of each feature by cluster, the overall mean, size and outcome rate."""
     t = clustered.select("cluster", F.col(target).alias("_y"), F.inline(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features))))

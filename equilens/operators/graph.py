@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is hot if it has more than one row in so many; there are fewer such keys than this.
@@ -32,13 +35,28 @@ def _hot_join(many: DataFrame, one: DataFrame, on: str, size: str, total: int, h
     return met.where("_hot").drop("_hot").unionByName(rest)
 
 
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors see.
+
+    Where the setting is missing a local session (as in tests) gets a temporary
+    folder; a cluster without the setting is an error.
+    """
+    context = spark.sparkContext
+    top, known = spark.conf.get("spark.checkpoint.dir", None), context._jsc.sc().getCheckpointDir()
+    if not top and known.isDefined():
+        top = known.get()
+    elif not top:
+        if not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="equilens-")
+    if not known.isDefined():
+        context.setCheckpointDir(top)
+    return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` in the folder that all executors share: cuts the lineage and survives lost executors."""
-    if not df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        top = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not top:
-            raise RuntimeError("set a checkpoint folder that all executors share")
-        df.sparkSession.sparkContext.setCheckpointDir(top)
+    shared_folder(df.sparkSession, "")
     return df.checkpoint()
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,7 +33,7 @@ def without_summary(model):
     of the session was observed.
     """
     if getattr(model, "hasSummary", False):
-        model._java_obj.setSummary(SparkSession.getActiveSession()._jvm.scala.Option.empty())
+        model._java_obj.setSummary(SparkContext._active_spark_context._jvm.scala.Option.empty())
     return model
 
 
@@ -155,18 +156,19 @@ def before_after(before: DataFrame, after: DataFrame, keys: list[str], values: l
     return t.withColumn("change", F.round(F.col("after") - F.col("before"), 6))
 
 
-def interpolations(df: DataFrame, key: str, features: list[str], label: str, bucket_rows: int = 10_000) -> DataFrame:
-    """(key, features, label): each row mixed with another of its class, its neighbour in the order of a hash.
+def interpolations(df: DataFrame, key: str, features: list[str], label: str, bucket_rows: int = 10_000, by: str | None = None) -> DataFrame:
+    """(key, features, label): each row mixed with another of its class (and group `by`, which stays), its neighbour in the order of a hash.
 
     Pairs are made in buckets of about `bucket_rows` rows of a class, so that no class meets in one task. A row that is
     alone in its bucket is mixed with itself. `key` becomes -key - 1, which no row has that is numbered from 0.
     """
     buckets = max(1, -(-df.count() // bucket_rows))
-    t = df.select(key, label, *(F.col(f).cast("double") for f in features)).dropna().withColumns({"_b": F.floor(share_of(key, "bucket") * buckets), "_u": share_of(key, "pair"), "_a": share_of(key, "mix")})
-    part = Window.partitionBy(label, "_b")
+    more = [by] if by else []
+    t = df.select(key, label, *more, *(F.col(f).cast("double") for f in features)).dropna().withColumns({"_b": F.floor(share_of(key, "bucket") * buckets), "_u": share_of(key, "pair"), "_a": share_of(key, "mix")})
+    part = Window.partitionBy(label, *more, "_b")
     nexts = {f"_{f}": F.coalesce(F.lead(f).over(part.orderBy("_u", key)), F.first(f).over(part.orderBy("_u", key))) for f in features}
     t = t.withColumns(nexts)
-    return t.select((-F.col(key) - 1).alias(key), *((F.col("_a") * F.col(f) + (1 - F.col("_a")) * F.col(f"_{f}")).alias(f) for f in features), label)
+    return t.select((-F.col(key) - 1).alias(key), *((F.col("_a") * F.col(f) + (1 - F.col("_a")) * F.col(f"_{f}")).alias(f) for f in features), label, *more)
 
 
 def _class_mean(df: DataFrame, label: str, value: Column) -> Column:

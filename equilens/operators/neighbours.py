@@ -11,59 +11,122 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from equilens.operators.graph import shared_folder
+
 #: Queries that are broadcast at once; a larger query set takes several passes over the rows.
 BLOCK_ROWS = 4000
 #: Rows of a batch that are compared with a block at once.
 STEP = 256
 
 
-def knn_join(queries: DataFrame, rows: DataFrame, key: str, features: list[str], k: int, label: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+class _Best:
+    """The k best rows of each query so far, and where it is asked for the best row of each label."""
+
+    def __init__(self, queries: int, k: int, per_label: bool):
+        self.queries, self.k, self.per_label = queries, k, per_label
+        none = np.empty(0, np.int64)
+        self.rows = [none, np.empty(0), none, none]  # query, distance, key, label
+        self.new: list[list[np.ndarray]] = []
+        self.pending = 0
+        self.worst = np.full(queries, np.inf)
+
+    def add(self, q: np.ndarray, d: np.ndarray, i: np.ndarray, y: np.ndarray) -> None:
+        self.new.append([q, d, i, y])
+        self.pending += len(q)
+        if self.pending > max(10_000, len(self.rows[0]) // 2):
+            self.settle()
+
+    def settle(self) -> None:
+        q, d, i, y = (np.concatenate([x, *(n[c] for n in self.new)]) for c, x in enumerate(self.rows))
+        order = np.lexsort((i, d, q))
+        q, d, i, y = q[order], d[order], i[order], y[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, np.arange(self.queries))[q]
+        kept = rank < self.k
+        self.worst[q[rank == self.k - 1]] = d[rank == self.k - 1]
+        if self.per_label:
+            own = np.lexsort((np.arange(len(q)), y, q))
+            first = np.ones(len(q), bool)
+            first[1:] = (q[own][1:] != q[own][:-1]) | (y[own][1:] != y[own][:-1])
+            kept[own[first]] = True
+        self.rows, self.new, self.pending = [q[kept], d[kept], i[kept], y[kept]], [], 0
+
+
+def knn_join(queries: DataFrame, rows: DataFrame, key: str, features: list[str], k: int, label: str, block_rows: int = BLOCK_ROWS, by: str | None = None, per_label: bool = False) -> DataFrame:
     """(key, own, rank, neighbour, other, distance): the k rows nearest to each query, itself left out.
 
     Euclidean over `features`, rounded to 9 decimals; ties go to the smaller key. `key` and `label` are whole
     numbers; `own` and `other` are the labels of query and neighbour. Rows with a null are left out. Every task
     keeps the k best of its rows for each query of the block, so k rows a query and task are shuffled.
+
+    With `by`, only rows of the query's own group are its neighbours, all groups in one job; the result has the group
+    as text. With `per_label` the nearest row of each label is there too, and `label_rank` counts within a label (of a
+    label beyond its nearest row only those among the k nearest). More blocks than one are written to the shared folder.
     """
     spark = rows.sparkSession
-    usable = [key, label, *features]
-    tidy = lambda d: d.select(F.col(key).cast("long"), F.col(label).cast("long"), *(F.col(f).cast("double") for f in features)).dropna(subset=usable)
+    usable = [key, label, *features, *([by] if by else [])]
+    group = [F.col(by).cast("string").alias("_by")] if by else [F.lit("").alias("_by")]
+    tidy = lambda d: d.dropna(subset=usable).select(F.col(key).cast("long").alias("_id"), F.col(label).cast("long").alias("_y"), *group, *(F.col(f).cast("double").alias(f"_x{n}") for n, f in enumerate(features)))
     asked, all_rows = tidy(queries), tidy(rows)
     blocks = max(1, -(-asked.count() // block_rows))
-    out = None
-    for n in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == n).collect()  # about block_rows
-        shared = spark.sparkContext.broadcast(np.array([tuple(r) for r in own], float).reshape(len(own), len(usable)))
-
-        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ask = shared.value
-            none = np.empty(0, np.int64)
-            q, d, i, y = none, np.empty(0), none, none
-            worst = np.full(len(ask), np.inf)
+    schema = "id long, own long, grp string, neighbour long, other long, distance double"
+
+    def nearest(n: int) -> DataFrame:
+        own = asked.where(F.pmod(F.xxhash64("_id"), F.lit(blocks)) == n).orderBy("_by", "_id").collect()  # about block_rows
+        groups = sorted({r._by for r in own})
+        code = {g: c for c, g in enumerate(groups)}
+        first = np.searchsorted([code[r._by] for r in own], np.arange(len(groups) + 1))
+        ids, labels = np.array([(r._id, r._y) for r in own], np.int64).reshape(-1, 2).T
+        places = np.array([tuple(r)[3:] for r in own], float).reshape(len(own), len(features))
+        shared = spark.sparkContext.broadcast((code, first, ids, labels, places))
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            code, first, asked_ids, asked_labels, ask = shared.value
+            state = _Best(len(asked_ids), k, per_label)
             for b in batches:
-                ids, labels = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-                x = np.column_stack([b.column(c + 2).to_numpy(zero_copy_only=False) for c in range(len(features))])
-                for s in range(0, len(ids), STEP):
-                    far = np.zeros((len(ask), len(ids[s : s + STEP])))
-                    for f in range(len(features)):
-                        far += (ask[:, f + 2, None] - x[None, s : s + STEP, f]) ** 2
-                    far = np.round(np.sqrt(far), 9)
-                    a, c = np.nonzero((far <= worst[:, None]) & (ask[:, 0, None] != ids[None, s : s + STEP]))
-                    q, d, i, y = (np.concatenate(p) for p in ((q, a), (d, far[a, c]), (i, ids[s + c]), (y, labels[s + c])))
-                    order = np.lexsort((i, d, q))
-                    q, d, i, y = q[order], d[order], i[order], y[order]
-                    first = np.searchsorted(q, np.arange(len(ask)))
-                    kept = np.arange(len(q)) - first[q] < k
-                    q, d, i, y = q[kept], d[kept], i[kept], y[kept]
-                    size = np.bincount(q, minlength=len(ask))
-                    ends = np.cumsum(size)
-                    full = size == k
-                    worst[full] = d[ends[full] - 1]
-            yield pa.RecordBatch.from_arrays([pa.array(ask[q, 0].astype(np.int64)), pa.array(ask[q, 1].astype(np.int64)), pa.array(i, pa.int64()), pa.array(y, pa.int64()), pa.array(d, pa.float64())], ["id", "own", "neighbour", "other", "distance"])
-
-        part = all_rows.mapInArrow(best, "id long, own long, neighbour long, other long, distance double")
-        out = part if out is None else out.union(part)
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("id").alias(key), "own", "rank", "neighbour", "other", "distance")
+                of = np.array([code.get(g, -1) for g in b.column(2).to_pylist()], np.int64)
+                order = np.argsort(of, kind="stable")
+                order = order[np.searchsorted(of[order], 0) :]  # rows of no asked group go
+                of = of[order]
+                ids, labels = (b.column(c).to_numpy(zero_copy_only=False)[order] for c in (0, 1))
+                x = np.column_stack([b.column(c + 3).to_numpy(zero_copy_only=False) for c in range(len(features))])[order]
+                for g in np.unique(of).tolist():
+                    at, end = np.searchsorted(of, (g, g + 1)).tolist()
+                    mine = slice(int(first[g]), int(first[g + 1]))
+                    for s in range(at, end, STEP):
+                        e = min(end, s + STEP)
+                        far = np.zeros((mine.stop - mine.start, e - s))
+                        for f in range(len(features)):
+                            far += (ask[mine, f, None] - x[None, s:e, f]) ** 2
+                        far = np.round(np.sqrt(far), 9)
+                        near = far <= state.worst[mine, None]
+                        if per_label:  # the nearest of each label in this step
+                            for y in np.unique(labels[s:e]).tolist():
+                                own_label = np.where(labels[s:e] == y, far, np.inf)
+                                own_label[asked_ids[mine, None] == ids[None, s:e]] = np.inf
+                                near |= (own_label == own_label.min(1, keepdims=True)) & np.isfinite(own_label)
+                        a, c = np.nonzero(near & (asked_ids[mine, None] != ids[None, s:e]))
+                        state.add(a + mine.start, far[a, c], ids[s + c], labels[s + c])
+            state.settle()
+            q, d, i, y = state.rows
+            names = pa.array([g for g, n in zip(code, np.diff(first).tolist()) for _ in range(n)], pa.string()).take(pa.array(q))
+            yield pa.RecordBatch.from_arrays([pa.array(asked_ids[q]), pa.array(asked_labels[q]), names, pa.array(i, pa.int64()), pa.array(y, pa.int64()), pa.array(d, pa.float64())], ["id", "own", "grp", "neighbour", "other", "distance"])
+
+        return all_rows.mapInArrow(best, schema)
+
+    if blocks == 1:
+        out = nearest(0)
+    else:
+        path = shared_folder(spark, "neighbours")
+        for n in range(blocks):
+            nearest(n).write.parquet(f"{path}/block={n}")
+        out = spark.read.schema(schema).parquet(*(f"{path}/block={n}" for n in range(blocks)))
+    order = ["distance", "neighbour"]
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(*order)))
+    if per_label:
+        out = out.withColumn("label_rank", F.row_number().over(Window.partitionBy("id", "other").orderBy(*order)))
+    kept = out.where((F.col("rank") <= k) | (F.col("label_rank") == 1)) if per_label else out.where(F.col("rank") <= k)
+    names = [F.col("id").alias(key), *([F.col("grp").alias(by)] if by else []), "own", "rank", "neighbour", "other", "distance", *(["label_rank"] if per_label else [])]
+    return kept.select(*names)
 
 
 def _nearest(asked: pd.DataFrame, rows: pd.DataFrame, k: int, features: int) -> pd.DataFrame:

@@ -127,8 +127,8 @@ def queries() -> dict[str, Query]:
         "cluster_assign_test": knn(lambda d: S.cluster_assign_test(*split(_clustered(d)), "cluster", FEATURES).select("row_id", "cluster")),
         "cluster_list": knn(lambda d: S.cluster_list(_clustered(d), ["f1", "f2", "f3"], "target")),
         "cluster_eps_grid": knn(lambda d: _near(d, 5).where("rank = 5").agg(F.percentile("distance", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).select(*(F.round(F.col("q")[i], 6).alias(f"eps_{n}") for i, n in enumerate((25, 50, 75))))),
-        "complexity_by_group": age(lambda d: S.complexity_f_by(d.where("sex <> 'HOUSEHOLD' OR row_id % 100 = 0"), ["sex"], "age_raw", "target")),
-        "complexity_intersection": age(lambda d: S.complexity_f_by(d.withColumn("cell", F.concat_ws("|", "sex", (F.col("row_id") % 3).cast("string"))), ["cell"], "age_raw", "target")),
+        "complexity_f_by_group": age(lambda d: S.complexity_f_by(d.withColumn("sex", F.when(F.col("age_raw") < -980, "DEBT").otherwise(F.col("sex"))), ["sex"], "age_raw", "target")),
+        "complexity_f_intersection": age(lambda d: S.complexity_f_by(d.withColumn("cell", F.concat_ws("|", "sex", (F.col("row_id") % 3).cast("string"))), ["cell"], "age_raw", "target")),
         "subgroup_generators": age(lambda d: S.with_generators(d, [lambda t: t.withColumn("third", F.col("row_id") % 3), lambda t: t.withColumn("cell", F.concat_ws("|", "sex", F.col("third").cast("string")))]).groupBy("cell").agg(F.count("*").alias("n"))),
         "rule_task_framing": _framing,
         "rule_overlap": exp(_overlap),
@@ -137,7 +137,7 @@ def queries() -> dict[str, Query]:
         "join_labels": lambda s, d: L.join_on_rows(view(s, d, "v_cases").select("case_id", "race"), view(s, d, "v_case_labels"), "case_id", ["weights"], "inner"),
         "join_cluster_labels": knn(lambda d: L.join_on_rows(d.select("row_id", "y_pred"), _clustered(d).where("row_id % 7 > 0"), "row_id", ["cluster"])),
         "join_raw_meta": knn(_raw_meta),
-        "join_cv_features": knn(lambda d: L.join_on_rows(d.where("row_id % 3 = 0").select("row_id", "target"), d, "row_id", FEATURES)),
+        "join_cv_features": knn(lambda d: L.join_on_rows(d.select("row_id", "target"), d, "row_id", FEATURES)),
         "join_patient_split": on("v_group", lambda d: L.join_patient_split(d, d.where("patient % 4 = 0"), "patient").select("row_id")),
         "cohort_build": _cohort,
         "provenance_report": clinic(lambda d: L.provenance_report(d, d.where("thal IS NOT NULL AND chol IS NOT NULL").withColumn("y", F.col("cp") % 2), "row_id", ["thal", "chol"], {"cp": (1, 4), "chol": (10, 240)}, "y")),
@@ -192,9 +192,9 @@ def _top(features: tuple[str, ...], k: int, deviation: bool) -> str:
 _MEASURES = "m AS (SELECT dataset, metric, max(value) AS value FROM (" + " UNION ALL ".join(f"SELECT dataset, '{m}' AS metric, {c} AS value FROM v_exp" for m, c in (("F2", "gap"), ("N3", "recall"), ("L1", "f1"), ("T1", "auc"))) + ") q GROUP BY ALL), w AS (SELECT metric, max(value) AS value FROM m GROUP BY 1)"
 
 
-def _complexity(cell: str, name: str, where: str = "true") -> str:
+def _complexity(cell: str, name: str) -> str:
     return f"""
-WITH a AS (SELECT *, {cell} AS c FROM v_age WHERE {where}),
+WITH a AS (SELECT *, {cell} AS c FROM v_age),
 r AS (SELECT c, min(age_raw) FILTER (WHERE target = 0) AS l0, max(age_raw) FILTER (WHERE target = 0) AS h0, min(age_raw) FILTER (WHERE target = 1) AS l1, max(age_raw) FILTER (WHERE target = 1) AS h1, count(*) AS n FROM a GROUP BY 1),
 s AS (SELECT c, count(*) FILTER (WHERE age_raw BETWEEN greatest(l0, l1) AND least(h0, h1)) / CAST(count(*) AS DOUBLE) AS s FROM a JOIN r USING (c) GROUP BY 1)
 SELECT c AS {name}, n, CASE WHEN n >= 50 THEN round(greatest(0, least(h0, h1) - greatest(l0, l1)) / (greatest(h0, h1) - least(l0, l1)), 6) END AS f2, CASE WHEN n >= 50 THEN round(s, 6) END AS f3, CASE WHEN n >= 50 THEN round(s, 6) END AS f4,
@@ -263,8 +263,8 @@ SELECT row_id, g AS cluster FROM (SELECT row_id, g, row_number() OVER (PARTITION
 WITH {_CL}, {_top(('f1', 'f2', 'f3'), 1, True)}
 SELECT cluster, n, rate, round(100 * n / CAST((SELECT count(*) FROM d) AS DOUBLE), 4) AS pct, feature AS dominant FROM (SELECT cluster, count(*) AS n, round(avg(target), 6) AS rate FROM d GROUP BY 1) s JOIN p USING (cluster)""",
         "cluster_eps_grid": f"WITH {_NEAR} SELECT " + ", ".join(f"round(quantile_cont(dist, {q / 100}), 6) AS eps_{q}" for q in (25, 50, 75)) + " FROM near WHERE k = 5",
-        "complexity_by_group": _complexity("sex", "sex", "sex <> 'HOUSEHOLD' OR row_id % 100 = 0"),
-        "complexity_intersection": _complexity("sex || '|' || CAST(row_id % 3 AS VARCHAR)", "cell"),
+        "complexity_f_by_group": _complexity("CASE WHEN age_raw < -980 THEN 'DEBT' ELSE sex END", "sex"),
+        "complexity_f_intersection": _complexity("sex || '|' || CAST(row_id % 3 AS VARCHAR)", "cell"),
         "subgroup_generators": "SELECT sex || '|' || CAST(row_id % 3 AS VARCHAR) AS cell, count(*) AS n FROM v_age GROUP BY 1",
         "rule_task_framing": """
 WITH d AS (SELECT *, quality + toxic AS class FROM v_doc WHERE quality IS NOT NULL), l AS (SELECT 'lang' AS attr, lang AS grp, class FROM d WHERE lang IS NOT NULL UNION ALL SELECT 'source', source, class FROM d WHERE source IS NOT NULL),
@@ -279,7 +279,7 @@ UNION ALL SELECT 'overlap', 'P2', 'group_differs', 'dataset=' || dataset, round(
         "join_labels": "SELECT case_id, race, weights FROM v_cases JOIN v_case_labels USING (case_id)",
         "join_cluster_labels": "SELECT row_id, y_pred, CASE WHEN row_id % 7 > 0 THEN row_id % 4 END AS cluster FROM v_knn",
         "join_raw_meta": "SELECT row_id, target, round((f2 - avg(f2) OVER ()) / stddev_pop(f2) OVER (), 4) AS f2, f2 AS f2_raw FROM v_knn",
-        "join_cv_features": "SELECT row_id, target, f1, f2 FROM v_knn WHERE row_id % 3 = 0",
+        "join_cv_features": "SELECT row_id, target, f1, f2 FROM v_knn",
         "join_patient_split": "SELECT row_id FROM v_group WHERE patient % 4 = 0",
         "cohort_build": f"""
 SELECT row_id, site, segment, chol, cp, source_site

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from equilens.operators import density, graph, harmonize, preparation, search, statistics, subgroups
+from equilens.operators import clustering, density, graph, harmonize, preparation, search, statistics, subgroups
 from equilens.operators import models as M
 from equilens.sources import files, tables
 
@@ -116,6 +116,27 @@ def test_density_grid(spark, checkpoints):
     assert density.dbscan_grid(df, "id", ["x", "y"], [20.0], [5])[1] is None
 
 
+def test_mixture_by_bic_and_gates(spark, checkpoints):
+    r = np.random.default_rng(6)
+    points = np.concatenate([r.multivariate_normal(m, c, 300) for m, c in (((0, 0), [[1, 0.8], [0.8, 1]]), ((6, 0), [[0.3, 0], [0, 2]]), ((0, 7), [[1, -0.5], [-0.5, 1]]))])
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(points)], "id long, x double, y double").cache()
+    found = {c.setting: c for c in clustering.gmm_candidates(df, ["x", "y"], (2, 3, 4))}
+    assert min(found, key=lambda k: found[k].bic) == "k=3" and abs(found["k=3"].smallest - 300) < 10
+    w, m, c = np.array([0.25, 0.75]), np.array([[0.0, 1.0], [2.0, 0.0]]), np.array([[[1, 0.3], [0.3, 2]], [[0.5, 0], [0, 0.7]]])
+    pdf = lambda p, k: np.exp(-(p - m[k]) @ np.linalg.inv(c[k]) @ (p - m[k]) / 2) / (2 * np.pi * np.sqrt(np.linalg.det(c[k])))
+    assert clustering.log_likelihood(df, ["x", "y"], w, m, c) == pytest.approx(sum(np.log(w[0] * pdf(p, 0) + w[1] * pdf(p, 1)) for p in points), rel=1e-9)
+    assert clustering.free_parameters(3, 2) == 2 + 6 + 9
+    told, rows = clustering.choose(df, ["x", "y"], ("kmeans", "gmm", "dbscan"), (2, 3), min_share=0.2, key="id", eps=(0.8,), least=(10,))
+    told = {(t.method, t.setting): t for t in told.collect()}
+    assert sum(t.chosen for t in told.values()) == 1 and told["gmm", "k=2"].reason == "higher BIC" and rows.groupBy("cluster").count().count() >= 2
+    with pytest.raises(clustering.ClusteringError, match="no clustering is valid") as e:
+        clustering.choose(df, ["x", "y"], ("kmeans",), (3,), min_size=400)
+    assert e.value.diagnostics.first().reason == "a cluster is too small"
+    with pytest.raises(clustering.ClusteringError) as e:
+        clustering.choose(df, ["x", "y"], ("kmeans",), (3,), floor=0.999)
+    assert e.value.diagnostics.first().reason == "silhouette below the floor"
+
+
 def test_searches(biased):
     found = search.hpo_search(biased, "id", ["x", "u"], "y", {"c": [0.0001, 1.0]}).collect()
     assert [r.place for r in found] == [1, 2] and "1.0" in found[0].setting and found[0].f1 > 0.7
