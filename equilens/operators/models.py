@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark import SparkContext
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -94,58 +96,157 @@ def performance(df: DataFrame, label: str, keys: list[str] = ()) -> DataFrame:
     )
 
 
-def exponentiated_gradient(df: DataFrame, features: list[str], label: str, group: str, constraint: str = "demographic_parity", eps: float = 0.05, steps: int = 50, rate: float = 2.0, fit: Fit = train_logistic) -> list:
-    """The models of a reduction to weighted classification; `predict_mixture` averages them.
+class Reduction:
+    """A fairness constraint as costs of selecting rows, and what a model's selections do to error and constraint.
 
-    A multiplier for each group (and label, for equalized_odds) and sign grows with that side's violation. In each
-    step the rows get the cost of being selected, and a model is fitted on the cheaper label weighted by the cost. Only
-    the groups' rates come to the driver. Ends early where no rate of the mixture is off by more than `eps`. The
-    multipliers sum to 1 / eps at most, and their logarithms move by `rate` x eps x violation.
+    Cells are groups, or for equalized odds groups by label; `events` are what rates are compared within: all rows, or
+    the rows of a label. Only counts by group and label come to the driver.
     """
-    bound = 1 / eps
-    df = df.persist()  # each step reads all rows twice
-    by = [group] + ([label] if constraint == "equalized_odds" else [])
-    sizes = {tuple(r[:-1]): r[-1] for r in df.where(F.col(label).isNotNull()).groupBy(*by).agg(F.count("*")).collect()}
-    n = max(sum(sizes.values()), 1)
-    within = {cell: sum(s for other, s in sizes.items() if other[1:] == cell[1:]) for cell in sizes}
-    theta = {(cell, sign): 0.0 for cell in sizes for sign in (1, -1)}
-    models, mixed = [], dict.fromkeys(sizes, 0.0)
-    for _ in range(steps):
-        total = 1 + sum(math.exp(t) for t in theta.values())
-        push = {cell: bound * (math.exp(theta[cell, 1]) - math.exp(theta[cell, -1])) / total for cell in sizes}
+
+    def __init__(self, df: DataFrame, features: list[str], label: str, group: str, constraint: str = "demographic_parity", fit: Fit = train_logistic):
+        if constraint not in ("demographic_parity", "equalized_odds"):
+            raise ValueError(f"unknown constraint: {constraint}")
+        self.rows = df.where(F.col(label).isNotNull())
+        self.features, self.label, self.group, self.fit = features, label, group, fit
+        self.by_label = constraint == "equalized_odds"
+        counts = {(r[0], int(r[1])): r[2] for r in self.rows.groupBy(group, F.col(label).cast("int")).agg(F.count("*")).collect()}
+        self.counts = counts
+        self.sizes: dict[tuple, int] = {}
+        for (g, y), n in counts.items():
+            self.sizes[self.cell(g, y)] = self.sizes.get(self.cell(g, y), 0) + n
+        self.n = max(sum(counts.values()), 1)
+        self.cells = sorted(self.sizes, key=lambda c: tuple((x is None, str(x)) for x in c))
+        self.within = {c: sum(s for o, s in self.sizes.items() if o[1:] == c[1:]) for c in self.cells}
+
+    def cell(self, g, y: int) -> tuple:
+        return (g, y) if self.by_label else (g,)
+
+    def respond(self, push: dict[tuple, float]):
+        """The model that answers signed multipliers: every row gets the cheaper label, weighted by what the other would cost more."""
         cost = F.lit(0.0)
-        for cell, size in sizes.items():
-            # selecting a row moves its group's rate by 1 / size and the overall rate by 1 / within
-            mean = sum(push[o] for o in sizes if o[1:] == cell[1:]) / within[cell]
-            same = F.lit(True)
-            for column, value in zip(by, cell):
-                same = same & F.col(column).eqNullSafe(F.lit(value))
-            cost = F.when(same, F.lit(n * (push[cell] / size - mean))).otherwise(cost)
-        gain = F.when(F.col(label) == 1, 1.0).otherwise(-1.0) - cost
-        rows = df.where(F.col(label).isNotNull()).withColumns({"_y": (gain > 0).cast("double"), "_w": F.abs(gain)})
-        model = fit(rows, features, "_y", "_w")
-        models.append(model)
-        rates = predict(model, df, features).where(F.col(label).isNotNull()).groupBy(*by).agg(F.avg("y_pred")).collect()
-        rates = {tuple(r[:-1]): r[-1] for r in rates}
-        overall = {cell[1:]: sum(rates.get(o, 0.0) * s for o, s in sizes.items() if o[1:] == cell[1:]) / within[cell] for cell in sizes}
-        off = {cell: rates.get(cell, 0.0) - overall[cell[1:]] for cell in sizes}
-        mixed = {cell: v + off[cell] for cell, v in mixed.items()}
-        if max((abs(v) for v in mixed.values()), default=0.0) <= eps * len(models):
+        for cell, size in self.sizes.items():
+            # selecting a row moves its cell's rate by 1 / size and the event's rate by 1 / within
+            mean = sum(push[o] for o in self.sizes if o[1:] == cell[1:]) / self.within[cell]
+            same = F.col(self.group).eqNullSafe(F.lit(cell[0]))
+            same = same & (F.col(self.label) == cell[1]) if self.by_label else same
+            cost = F.when(same, F.lit(self.n * (push[cell] / size - mean))).otherwise(cost)
+        gain = F.when(F.col(self.label) == 1, 1.0).otherwise(-1.0) - cost
+        return self.fit(self.rows.withColumns({"_y": (gain > 0).cast("double"), "_w": F.abs(gain)}), self.features, "_y", "_w")
+
+    def effect(self, model) -> tuple[float, dict[tuple, float]]:
+        """(error, by how much each cell's rate is above its event's)."""
+        made = predict(model, self.rows, self.features).groupBy(self.group, F.col(self.label).cast("int").alias("_l")).agg(F.sum("y_pred"))
+        picked = {(r[0], r[1]): r[2] for r in made.collect()}
+        wrong = sum(n - picked.get((g, y), 0) if y else picked.get((g, y), 0) for (g, y), n in self.counts.items())
+        rate = {c: sum(picked.get(k, 0) for k in self.counts if self.cell(*k) == c) / self.sizes[c] for c in self.cells}
+        event = {c: sum(rate[o] * self.sizes[o] for o in self.cells if o[1:] == c[1:]) / self.within[c] for c in self.cells}
+        return wrong / self.n, {c: rate[c] - event[c] for c in self.cells}
+
+
+@dataclass
+class Mixture:
+    """Models with the chances that they decide, the duality gap that was reached, and the gap of each step."""
+
+    models: list
+    weights: list[float]
+    gap: float
+    gaps: list[float]
+
+
+def equilibrium(errors: np.ndarray, off: np.ndarray, eps: float, bound: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """(weights, push, value) of the game between known models and the multipliers, by the simplex method on a small table.
+
+    The weights have the least error plus `bound` times what the largest |off| (models x cells) exceeds `eps` by; the
+    signed push of each cell and the value come from the dual.
+    """
+    m, cells = off.shape
+    sides = np.concatenate([off.T, -off.T])
+    # columns: weights, the excess, a slack for each side; rows: the sides, and that the weights sum to 1
+    t = np.zeros((2 * cells + 2, m + 1 + 2 * cells + 1))
+    t[: 2 * cells, :m], t[: 2 * cells, m], t[: 2 * cells, m + 1 : -1], t[: 2 * cells, -1] = sides, -1, np.eye(2 * cells), eps
+    t[2 * cells, :m], t[2 * cells, -1] = 1, 1
+    t[-1, :m], t[-1, m] = errors, bound
+    basis = [m + 1 + k for k in range(2 * cells)] + [0]
+
+    def pivot(row: int, column: int) -> None:
+        t[row] /= t[row, column]
+        for r in np.flatnonzero(np.abs(t[:, column]) > 0):
+            if r != row:
+                t[r] -= t[r, column] * t[row]
+        basis[row] = column
+
+    pivot(2 * cells, 0)
+    worst = int(t[: 2 * cells, -1].argmin()) if cells else 0
+    if cells and t[worst, -1] < 0:
+        pivot(worst, m)
+    for _ in range(10_000):
+        entering = np.flatnonzero(t[-1, :-1] < -1e-12)
+        if not len(entering):
             break
-        for cell, sign in theta:
-            theta[cell, sign] += rate / bound * (sign * off[cell] - eps)
-    df.unpersist()
-    return models
-
-
-def predict_mixture(models: list, df: DataFrame, features: list[str]) -> DataFrame:
-    """y_proba: the share of the models that select the row; y_pred: 1 with that chance, drawn by a hash of the features."""
+        c = int(entering[0])
+        rows = np.flatnonzero(t[:-1, c] > 1e-12)
+        ratio = t[rows, -1] / t[rows, c]
+        ties = rows[ratio <= ratio.min() + 1e-15]
+        pivot(int(min(ties, key=lambda r: basis[r])), c)  # Bland's rule
+    weights = np.zeros(m)
+    for r, c in enumerate(basis):
+        if c < m:
+            weights[c] = max(t[r, -1], 0.0)
+    price = t[-1, m + 1 : -1]
+    return weights / weights.sum(), price[:cells] - price[cells:], float(-t[-1, -1])
+
+
+def exponentiated_gradient(df: DataFrame, features: list[str], label: str, group: str, constraint: str = "demographic_parity", eps: float = 0.05, steps: int = 50, rate: float = 2.0, fit: Fit = train_logistic, tolerance: float = 0.01) -> Mixture:
+    """A reduction to weighted classification, as a game of a mixture of models against multipliers of the constraint.
+
+    A multiplier for each cell and sign grows with that side's violation; they sum to 1 / eps at most, and their
+    logarithms move by `rate` x eps x violation. In each step a model answers the multipliers. The equilibrium of the
+    models known so far gives the mixture's weights and the multipliers that hold it; what their best response, one more
+    fit, gains against these multipliers is the duality gap: so much could any mixture be better. The best mixture is
+    kept, and the steps end where its gap is at most `tolerance`. Without labelled rows there are no models.
+    """
+    df = df.persist()  # each step reads all rows some times
+    bound = 1 / eps
+    try:
+        game = Reduction(df, features, label, group, constraint, fit)
+        cells = game.cells
+        theta = {(c, sign): 0.0 for c in cells for sign in (1, -1)}
+        models, errors, off = [], [], []
+        best, gaps = Mixture([], [], math.inf, []), []
+
+        def known(push: dict[tuple, float]) -> int:
+            models.append(game.respond(push))
+            error, own = game.effect(models[-1])
+            errors.append(error), off.append([own[c] for c in cells])
+            return len(models) - 1
+
+        for _ in range(steps if cells else 0):
+            total = 1 + sum(math.exp(t) for t in theta.values())
+            now = {k: bound * math.exp(t) / total for k, t in theta.items()}
+            answer = known({c: now[c, 1] - now[c, -1] for c in cells})
+            weights, push, value = equilibrium(np.array(errors), np.array(off), eps, bound)
+            reply = known(dict(zip(cells, push.tolist())))
+            gap = max(0.0, value - (errors[reply] + float(np.array(off[reply]) @ push) - eps * float(np.abs(push).sum())))
+            if gap < best.gap:
+                kept = np.flatnonzero(weights > 1e-9)
+                best = Mixture([models[i] for i in kept], [float(weights[i]) for i in kept], gap, gaps)
+            gaps.append(best.gap)
+            if best.gap <= tolerance:
+                break
+            for (c, sign), t in theta.items():
+                theta[c, sign] = t + rate / bound * (sign * off[answer][cells.index(c)] - eps)
+    finally:
+        df.unpersist()
+    return best
+
+
+def predict_mixture(mixture: Mixture, df: DataFrame, features: list[str]) -> DataFrame:
+    """y_proba: the chance that a model which selects the row decides; y_pred: 1 with that chance, drawn by a hash of the features."""
     kept = [c for c in df.columns if c not in ("y_pred", "y_proba")]
-    out, votes = df.select(*kept), F.lit(0.0)
-    for i, m in enumerate(models):
+    out, p = df.select(*kept), F.lit(0.0)
+    for i, (m, w) in enumerate(zip(mixture.models, mixture.weights)):
         out = predict(m, out, features).withColumnRenamed("y_pred", f"_v{i}").drop("y_proba")
-        votes = votes + F.col(f"_v{i}")
-    p = votes / len(models)
+        p = p + F.lit(w) * F.col(f"_v{i}")
     return out.select(*kept, p.alias("y_proba"), (F.pmod(F.xxhash64(*features), F.lit(1_000_000)) / 1_000_000 < p).cast("int").alias("y_pred"))
 
 

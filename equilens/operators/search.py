@@ -62,28 +62,56 @@ def hpo_search(df: DataFrame, key: str, features: list[str], label: str, grid: d
     return df.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(rows, 1)], "setting string, f1 double, recall double, below_floor boolean, place int")
 
 
-def grid_search(df: DataFrame, features: list[str], label: str, group: str, points: int = 20, most: float = 2.0, fit: M.Fit = M.train_logistic) -> DataFrame:
-    """(multiplier, accuracy, recall, dp_gap, tpr_gap, fpr_gap, objective, chosen): fits in which one group's selection costs more or less.
-
-    The multipliers lie evenly from -most to most; of two groups or more the one with the highest rate of positives pays.
-    The objective is the error plus the demographic parity gap; the least one is chosen, the multiplier nearest 0 on ties.
+def lattice(dimensions: int, points: int) -> list[tuple[int, ...]]:
+    """Whole vectors by rising sum of absolute values: all of the small ones, and of the last sum as many, spread evenly, as `points` leaves."""
+
+    def shell(d: int, total: int) -> list[tuple[int, ...]]:
+        if d == 0:
+            return [()] if total == 0 else []
+        return [(x, *rest) for x in range(-total, total + 1) for rest in shell(d - 1, total - abs(x))]
+
+    found: list[tuple[int, ...]] = []
+    units = 0
+    while len(found) < points and (units == 0 or dimensions):
+        own, left = shell(dimensions, units), points - len(found)
+        found += own if len(own) <= left else [own[i * len(own) // left] for i in range(left)]
+        units += 1
+    return found
+
+
+def grid_search(df: DataFrame, features: list[str], label: str, group: str, points: int = 20, most: float = 2.0, fit: M.Fit = M.train_logistic, constraint: str = "equalized_odds", weight: float = 0.5) -> DataFrame:
+    """(point, multipliers, error, recall, gaps, violation, objective, chosen): a fit for each point of a lattice of signed multipliers.
+
+    For each event (all rows, or a label) every group but the last has a multiplier, which its selections pay and the
+    others get. The points are those of `lattice`, scaled so that the largest sum of absolute values is `most`. The
+    objective is the error and the largest distance of a cell's rate from its event's, weighted; the least one is
+    chosen, the earlier point (which pushes less) on ties.
     """
-    known = df.where(F.col(label).isNotNull())
-    payer = known.groupBy(group).agg(F.avg(label).alias("r")).orderBy(F.desc("r"), group).first()[0]  # a row for each group
-    multipliers = [round(-most + 2 * most * i / (points - 1), 6) for i in range(points)]
-
-    def one(m: float) -> tuple:
-        cost = F.when(F.col(group) == payer, m / 2).otherwise(-m / 2)
-        gain = F.when(F.col(label) == 1, 1.0).otherwise(-1.0) - cost
-        rows = known.withColumns({"_y": (gain > 0).cast("double"), "_w": F.abs(gain)})
-        r = gaps(M.predict(fit(rows, features, "_y", "_w"), known, features), label, group).first()
-        return (m, *r, round(1 - r.accuracy + r.dp_gap, 4))
+    known = df.where(F.col(label).isNotNull()).persist()
+    try:
+        game = M.Reduction(known, features, label, group, constraint, fit)
+        last = {c[1:]: c for c in game.cells}
+        free = [c for c in game.cells if last[c[1:]] != c]
+        vectors = lattice(len(free), points)
+        scale = most / max(1, max(sum(map(abs, v)) for v in vectors))
+
+        def one(job: tuple[int, tuple[int, ...]]) -> tuple:
+            at, vector = job
+            push = dict.fromkeys(game.cells, 0.0) | {c: scale * x for c, x in zip(free, vector)}
+            model = game.respond(push)
+            error, off = game.effect(model)
+            r = gaps(M.predict(model, known, features), label, group).first()
+            violation = max((abs(v) for v in off.values()), default=0.0)
+            named = ",".join(f"{'|'.join(map(str, c))}={scale * x:g}" for c, x in zip(free, vector) if x)
+            return (at, named, round(error, 6), r.recall, r.dp_gap, r.tpr_gap, r.fpr_gap, round(violation, 6), round((1 - weight) * error + weight * violation, 6))
 
-    with ThreadPoolExecutor(PARALLEL) as pool:
-        found = list(pool.map(one, multipliers))
-    best = min(found, key=lambda r: (r[-1], abs(r[0]), r[0]))[0]
-    schema = "multiplier double, accuracy double, recall double, dp_gap double, tpr_gap double, fpr_gap double, objective double, chosen boolean"
-    return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in found], schema)
+        with ThreadPoolExecutor(PARALLEL) as pool:
+            found = list(pool.map(one, enumerate(vectors)))
+    finally:
+        known.unpersist()
+    best = min(found, key=lambda r: (r[-1], r[0]))[0]
+    schema = "point int, multipliers string, error double, recall double, dp_gap double, tpr_gap double, fpr_gap double, violation double, objective double, chosen boolean"
+    return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in found], schema)  # a row for each point
 
 
 #: Techniques: their stage and what they do to the run's parts (train, fit, thresholds).
@@ -118,8 +146,8 @@ def mit_combo(train: DataFrame, test: DataFrame, key: str, features: list[str],
     for t in techniques:
         run = TECHNIQUES[t][1](run, key, label, group)
     if run["mixture"]:
-        models = M.exponentiated_gradient(run["train"], features, label, group, steps=steps)
-        scored = lambda df: M.predict_mixture(models, df, features)
+        mixture = M.exponentiated_gradient(run["train"], features, label, group, steps=steps)
+        scored = lambda df: M.predict_mixture(mixture, df, features)
     else:
         model = M.train_logistic(run["train"], features, label, run["weight"])
         scored = lambda df: M.predict(model, df, features)

@@ -115,7 +115,8 @@ def queries() -> dict[str, Query]:
 
     return {
         "hpo_search": on(lambda d: R.hpo_search(d, "row_id", FEATURES, "target", {"c": [0.01, 1.0]}, k=2)),
-        "mit_grid_search": on(lambda d: R.grid_search(_parts(d)[0], FEATURES, "target", "segment", points=6)),
+        "mit_grid_search": on(lambda d: R.grid_search(N.standardized(d.drop("y_pred"), FEATURES), FEATURES, "target", "segment")),
+        "mit_grid_search_parity": on(lambda d: R.grid_search(N.standardized(d.drop("y_pred"), FEATURES), FEATURES, "target", "segment", constraint="demographic_parity")),
         "mit_combo": on(_combo),
         "mit_matrix": on(_matrix),
         "sweep_run": on(_sweep),

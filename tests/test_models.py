@@ -33,13 +33,44 @@ def gap(df):
 def test_exponentiated_gradient_shrinks_the_gap(biased):
     f = ["x", "u"]
     plain = gap(M.predict(M.train_logistic(biased, f, "y"), biased, f))
-    models = M.exponentiated_gradient(biased.withColumn("gx", (F.col("g") == "b").cast("double")), [*f, "gx"], "y", "g")
-    assert len(models) < 50
-    fair = M.predict_mixture(models, biased.withColumn("gx", (F.col("g") == "b").cast("double")), [*f, "gx"])
+    rows = biased.withColumn("gx", (F.col("g") == "b").cast("double"))
+    mixture = M.exponentiated_gradient(rows, [*f, "gx"], "y", "g", steps=20)
+    assert len(mixture.gaps) < 20 and mixture.gap <= 0.01 and sum(mixture.weights) == pytest.approx(1)  # an equilibrium
+    assert mixture.gaps == sorted(mixture.gaps, reverse=True)
+    fair = M.predict_mixture(mixture, rows, [*f, "gx"])
     assert plain > 0.4 and gap(fair) < plain / 2
     assert fair.where((F.col("y_pred") == F.col("y"))).count() > 0.6 * 600
 
 
+def test_equilibrium_by_brute_force():
+    # each of the first models is off by 0.2; half and half is fair
+    w, push, value = M.equilibrium(np.array([0.1, 0.1, 0.4]), np.array([[0.2, -0.2], [-0.2, 0.2], [0.0, 0.0]]), 0.01, 100.0)
+    assert w[2] == pytest.approx(0) and w[0] == pytest.approx(0.5, abs=0.026) and value == pytest.approx(0.1)
+    r = np.random.default_rng(3)
+    for _ in range(20):
+        e, o = r.random(3), r.normal(0, 0.3, (3, 2))
+        w, push, value = M.equilibrium(e, o, 0.05, 20.0)
+        cost = lambda x: e @ x + 20 * max(0, np.abs(o.T @ x).max() - 0.05)  # noqa: B023, E731
+        grid = [np.array([a, b, 1 - a - b]) for a in np.linspace(0, 1, 101) for b in np.linspace(0, 1 - a, 101)]
+        assert cost(w) == pytest.approx(value) and value <= min(map(cost, grid)) + 1e-9
+        # and no mixture beats the multipliers: the value is what they guarantee
+        assert value == pytest.approx((e + o @ push).min() - 0.05 * np.abs(push).sum(), abs=1e-9)
+
+
+@pytest.mark.parametrize("constraint", ["demographic_parity", "equalized_odds"])
+def test_effects_by_brute_force(biased, constraint):
+    rows = biased.withColumn("gx", (F.col("g") == "b").cast("double"))
+    game = M.Reduction(rows, ["x", "gx"], "y", "g", constraint)
+    push = {c: 0.3 * (-1) ** i for i, c in enumerate(game.cells)}
+    model = game.respond(push)
+    error, off = game.effect(model)
+    made = M.predict(model, rows, ["x", "gx"]).toPandas()
+    assert error == pytest.approx((made.y != made.y_pred).mean())
+    for c in game.cells:
+        event = made[made.y == c[1]] if len(c) > 1 else made
+        assert off[c] == pytest.approx(event[event.g == c[0]].y_pred.mean() - event.y_pred.mean())
+
+
 def test_out_of_fold_covers_each_row_once(biased):
     out = M.cv_out_of_fold(biased.withColumn("fold", (F.col("id") % 3).cast("int")), ["x", "u"], "y", "fold", 3)
     assert out.select("id").distinct().count() == out.count() == 600

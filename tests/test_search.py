@@ -1,5 +1,6 @@
 """Density clusters, searches, chained mitigations, and files, on small tables with a known answer."""
 
+import itertools
 import json
 
 import numpy as np
@@ -141,8 +142,16 @@ def test_searches(biased):
     found = search.hpo_search(biased, "id", ["x", "u"], "y", {"c": [0.0001, 1.0]}).collect()
     assert [r.place for r in found] == [1, 2] and "1.0" in found[0].setting and found[0].f1 > 0.7
     full, features = biased.dropna().withColumn("gx", (F.col("g") == "b").cast("double")), ["x", "u", "gx"]
-    grid = search.grid_search(full, features, "y", "g", points=5).collect()
-    assert sum(r.chosen for r in grid) == 1 and min(r.dp_gap for r in grid) < grid[2].dp_gap - 0.1
+    for constraint, measure in (("demographic_parity", "dp_gap"), ("equalized_odds", "tpr_gap")):
+        grid = search.grid_search(full, features, "y", "g", points=9, constraint=constraint).collect()
+        assert len(grid) == 9 and sum(r.chosen for r in grid) == 1 and min(r[measure] for r in grid) < grid[0][measure] - 0.1
+        assert [r.point for r in grid if r.chosen] == [min(grid, key=lambda r: (r.objective, r.point)).point]
+        assert all(r.objective == pytest.approx((r.error + r.violation) / 2, abs=2e-6) for r in grid) and not grid[0].multipliers
+    for d, n in ((1, 20), (2, 20), (4, 20), (8, 20), (3, 7), (0, 5)):
+        points = search.lattice(d, n)
+        assert len(set(points)) == len(points) == (n if d else 1) and not any(points[0])
+        full_shells = [v for k in range(11) for v in itertools.product(range(-k, k + 1), repeat=d) if sum(map(abs, v)) == k] if d < 3 else []
+        assert set(points) <= set(full_shells) or not full_shells
     train, test = full.where("id % 5 > 0"), full.where("id % 5 = 0")
     made = {(r.technique, r.attr): r for r in search.mit_matrix(train, test, "id", features, "y", ["g"], [[], ["reweight"], ["oversample", "thresholds"], ["thresholds", "reweight"]]).collect()}
     assert made["thresholds+reweight", "g"].error and made["oversample+thresholds", "g"].dp_gap < made["baseline", "g"].dp_gap
