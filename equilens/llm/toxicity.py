@@ -26,7 +26,7 @@ from equilens.operators.models import without_summary
 #: Labelled documents that the chain is fitted on, at most about.
 TRAIN_DOCS = 20_000
 FOLDS = 3
-#: Features of a chain, at most: the words and word beginnings that tell most about any category.
+#: Features of a chain, at most: the words, word beginnings and marks that tell most about any category.
 FEATURES = 600
 #: Documents of a category that must have a feature before it is considered.
 SUPPORT = 5
@@ -34,9 +34,12 @@ SUPPORT = 5
 STEMS = (4, 5, 6)
 #: One labelled row in so many chooses the features and isn't fitted on.
 CHOOSING = 2
-#: Standard deviations by which a feature must be more frequent in a category.
+#: Standard deviations by which a feature's mean must be larger in a category.
 DEVIATIONS = 6.0
 _WORDS = re.compile(r"[^\W\d_]+")
+#: Repeated or lone marks; their surroundings tell a marred text from a good one.
+_MARKS = re.compile(r"([^\w\s])\1+|(?<!\S)[^\w\s](?!\S)")
+CAPITALS, REPEATED = "<capitals>", "<repeated>"
 CACHE = 500_000
 
 
@@ -48,6 +51,28 @@ def words_of(text: str | None) -> list[str]:
     return _WORDS.findall((text or "").lower())
 
 
+def surface_of(text: str | None) -> dict[str, int]:
+    """How often a text has each repeated or lone mark, words in capitals, and words that repeat the one before."""
+    text = text or ""
+    found: dict[str, int] = {}
+    for m in _MARKS.finditer(text):
+        mark = f"<{m[0][0]}>"
+        found[mark] = found.get(mark, 0) + 1
+    words = _WORDS.findall(text)
+    capitals = sum(len(w) > 1 and w.isupper() for w in words)
+    repeated = sum(map(str.__eq__, words, words[1:]))
+    return found | ({CAPITALS: capitals} if capitals else {}) | ({REPEATED: repeated} if repeated else {})
+
+
+def values_of(text: str | None) -> dict[str, float]:
+    """The features of a text: log(1 + number of its different words with the feature, or of places with a mark)."""
+    counts: dict[str, int] = surface_of(text)
+    for w in set(words_of(text)):
+        for f in features_of(w):
+            counts[f] = counts.get(f, 0) + 1
+    return {f: float(np.log1p(n)) for f, n in counts.items()}
+
+
 @dataclass
 class Chain:
     """weights[c] has a value for each feature, then for each earlier category, then the intercept."""
@@ -58,7 +83,7 @@ class Chain:
 
 
 def _vectors(rows: DataFrame, index: dict[str, int], text: str) -> DataFrame:
-    """Adds `x` (array<double>): 1 for each feature that the text has."""
+    """Adds `x` (array<double>): the value of each feature in the text."""
     shared = rows.sparkSession.sparkContext.broadcast(index)  # FEATURES entries
     kept = rows.drop("x")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != text), "x array<double>"])
@@ -68,7 +93,8 @@ def _vectors(rows: DataFrame, index: dict[str, int], text: str) -> DataFrame:
         for b in batches:
             x = np.zeros((b.num_rows, len(shared.value)))
             for i, t in enumerate(b.column(b.schema.get_field_index(text)).to_pylist()):
-                x[i, find(t)] = 1
+                at, value = find(t)
+                x[i, at] = value
             rest = b.drop_columns([text])
             yield from pa.Table.from_batches([rest]).append_column("x", pa.array(list(x), pa.list_(pa.float64()))).to_batches()
 
@@ -76,7 +102,7 @@ def _vectors(rows: DataFrame, index: dict[str, int], text: str) -> DataFrame:
 
 
 class Finder:
-    """The features that a text has, by a cache over its words."""
+    """The chosen features of a text and their values, by a cache over its words."""
 
     def __init__(self, index: dict[str, int]):
         self.index, self.known = index, {}
@@ -87,16 +113,17 @@ class Finder:
         got = self.known[word] = tuple(self.index[f] for f in features_of(word) if f in self.index)
         return got
 
-    def __call__(self, text: str | None) -> list[int]:
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         get, learn = self.known.get, self._learn
-        has: set[int] = set()
+        counts = {self.index[f]: n for f, n in surface_of(text).items() if f in self.index}
         for w in set(words_of(text)):
             got = get(w)
             if got is None:
                 got = learn(w)
-            if got:
-                has.update(got)
-        return sorted(has)
+            for f in got:
+                counts[f] = counts.get(f, 0) + 1
+        at = np.array(sorted(counts), np.int64)
+        return at, np.log1p(np.array([counts[f] for f in at.tolist()], float))
 
 
 def categories_of(toxic: Column, quality: Column) -> dict[str, Column]:
@@ -119,7 +146,8 @@ def fit(labelled: DataFrame, categories: list[str], key: str = "doc_id", text: s
 
     `labelled` has a column of 0 and 1 for each category; rows with a null in
     one of them are left out, a null text has no words, repeated rows count as
-    often as they occur. One row in CHOOSING chooses the features and the others
+    often as they occur, and of equally good features the first by name counts
+    first. One row in CHOOSING chooses the features and the others
     are fitted on, so that out-of-fold probabilities are out of fold in this as
     well. A category with one class only gets a constant model, and without
     rows the model of every category says one half.
@@ -129,31 +157,39 @@ def fit(labelled: DataFrame, categories: list[str], key: str = "doc_id", text: s
     chooses = F.pmod(F.xxhash64(F.lit("choose"), key), F.lit(CHOOSING)) == 0
     drawn = both.where(chooses)
 
+    # of each feature: rows that have it, sum of values and of their squares, and by category rows and sum of values
+    names = ["n", "s", "q", *(f"{x}_{i}" for i in range(len(categories)) for x in "ns")]
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
+
+        def rows() -> pd.DataFrame:
+            return pd.DataFrame([(f, *v) for f, v in total.items()], columns=["feature", *names])
+
         for b in batches:
-            y = np.column_stack([np.ones(len(b)), *(b[c].to_numpy(float) for c in categories)])
+            y = np.column_stack([b[c].to_numpy(float) for c in categories])
             for t, own in zip(b["text"], y):
-                for f in {f for w in set(words_of(t)) for f in features_of(w)}:
+                for f, v in values_of(t).items():
+                    parts = np.array([1.0, v, v * v, *(z for k in own for z in (k, k * v))])
                     if (at := total.get(f)) is None:
-                        total[f] = own.copy()
+                        total[f] = parts
                     else:
-                        at += own
+                        at += parts
             if len(total) > 500_000:
-                yield pd.DataFrame([(f, *v) for f, v in total.items()], columns=["feature", "n", *categories])
-                total = {}
-        yield pd.DataFrame([(f, *v) for f, v in total.items()], columns=["feature", "n", *categories])
-
-    sums = drawn.mapInPandas(count, "feature string, n double, " + ", ".join(f"`{c}` double" for c in categories)).groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("n", *categories)))
-    whole = drawn.agg(F.count("*").cast("double").alias("n"), *(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in categories)).first()
-    scores = []
-    for c in categories:
-        pos, neg = whole[c], whole["n"] - whole[c]
-        a, b = F.col(c), F.col("n") - F.col(c)
-        # how much more often a document of the category has the feature, in standard deviations
-        p = F.col("n") / max(whole["n"], 1)
-        z = (a / max(pos, 1) - b / max(neg, 1)) / F.sqrt(p * (1 - p) * (1 / max(pos, 1) + 1 / max(neg, 1)) + 1e-9)
-        scores.append(F.when(a >= SUPPORT, z).otherwise(0.0))
+                yield rows()
+                total.clear()
+        yield rows()
+
+    sums = drawn.mapInPandas(count, "feature string, " + ", ".join(f"{n} double" for n in names)).groupBy("feature").agg(*(F.sum(c).alias(c) for c in names))
+    whole = drawn.agg(F.count("*").cast("double").alias("n"), *(F.coalesce(F.sum(c), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(categories))).first()
+    n, scores = max(whole["n"], 1), []
+    spread = F.sqrt(F.greatest(F.col("q") / n - (F.col("s") / n) * (F.col("s") / n), F.lit(0.0)))
+    for i in range(len(categories)):
+        pos, neg = whole[f"c{i}"], whole["n"] - whole[f"c{i}"]
+        # how much larger the feature's mean is in the category, in standard deviations
+        apart = F.col(f"s_{i}") / max(pos, 1) - (F.col("s") - F.col(f"s_{i}")) / max(neg, 1)
+        z = apart / (spread * (1 / max(pos, 1) + 1 / max(neg, 1)) ** 0.5 + 1e-9)
+        scores.append(F.when(F.col(f"n_{i}") >= SUPPORT, z).otherwise(0.0))
     best = sums.withColumn("score", F.greatest(F.lit(0.0), *scores)).where(F.col("score") > DEVIATIONS).orderBy(F.desc("score"), "feature").limit(FEATURES)
     index = {r[0]: i for i, r in enumerate(best.select("feature").collect())}
     made = _vectors(both.where(~chooses), index, "text").withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), key), F.lit(FOLDS))).select(key, "fold", "x", *categories).persist()
@@ -217,7 +253,7 @@ def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
             found = [find(t) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
             p = np.zeros((b.num_rows, len(names)))
             for k, w in enumerate(c.weights):
-                z = np.array([w[f].sum() for f in found]) + p[:, :k] @ w[n : n + k] + w[-1]
+                z = np.array([w[at] @ value for at, value in found]) + p[:, :k] @ w[n : n + k] + w[-1]
                 p[:, k] = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
             out = pa.Table.from_batches([b.drop_columns([text])])
             for k, name in enumerate(names):
