@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from equilens.operators.graph import shared_folder
+from equilens.operators.graph import checkpointed, shared_folder
 
 #: Queries that are broadcast at once; a larger query set takes several passes over the rows.
 BLOCK_ROWS = 4000
@@ -152,34 +153,126 @@ def _nearest(asked: pd.DataFrame, rows: pd.DataFrame, k: int, features: int) ->
     return out.astype({c: "int64" for c in ("id", "own", "neighbour", "other")})
 
 
-def knn_strips(queries: DataFrame, rows: DataFrame, key: str, features: list[str], k: int, label: str, strip_rows: int = 5000) -> DataFrame:
+@dataclass
+class Splits:
+    """A k-d tree as arrays by node: children 2i + 1 and 2i + 2, `feature` -1 for a leaf; rows with a value above `cut` go right.
+
+    `low` and `high` bound the rows below a node; a node without rows has no volume (low above high).
+    """
+
+    feature: np.ndarray
+    cut: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def leaf_of(self, x: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(x), np.int64)
+        while (inner := self.feature[at] >= 0).any():
+            own = at[inner]
+            right = x[inner, self.feature[own]] > self.cut[own]
+            at[inner] = 2 * own + 1 + right
+        return at
+
+    def within(self, x: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) of all leaves whose bounds lie within each row's reach, level by level: a box and a ball meet, or the nodes below are out."""
+        row, at = np.arange(len(x)), np.zeros(len(x), np.int64)
+        rows, leaves = [], []
+        while len(row):
+            gap = np.maximum(np.maximum(self.low[at] - x[row], x[row] - self.high[at]), 0)
+            near = (self.low[at] <= self.high[at]).all(1) & (np.sqrt((gap * gap).sum(1)) <= reach[row])
+            row, at = row[near], at[near]
+            leaf = self.feature[at] < 0
+            rows.append(row[leaf]), leaves.append(at[leaf])
+            row, at = np.concatenate([row[~leaf]] * 2), np.concatenate([2 * at[~leaf] + 1, 2 * at[~leaf] + 2])
+        return np.concatenate([*rows, np.empty(0, np.int64)]), np.concatenate([*leaves, np.empty(0, np.int64)])
+
+
+def splits_of(rows: DataFrame, features: list[str], leaf_rows: int) -> Splits:
+    """Splits at approximate medians, each along the feature of largest spread, until a leaf has about `leaf_rows` rows.
+
+    A job for each level; the driver gets bounds and medians of every node of a level, so a few numbers for each leaf.
+    Where the median is the largest value the middle of the range is taken instead, and a node whose rows are all equal
+    is a leaf.
+    """
+    d = len(features)
+    feature, cut, low, high = [], [], [], []
+
+    def grow(n: int) -> None:
+        while len(feature) < n:
+            feature.append(-1), cut.append(0.0), low.append([np.inf] * d), high.append([-np.inf] * d)
+
+    grow(1)
+    while True:
+        tree = Splits(np.array(feature), np.array(cut), np.array(low, float).reshape(-1, d), np.array(high, float).reshape(-1, d))
+        named = rows.select(_leaf(tree, features).alias("_at"), *features)
+        stats = named.groupBy("_at").agg(F.count("*").alias("n"), *(f(c) for c in features for f in (F.min, F.max)), *(F.percentile_approx(c, 0.5, 1000) for c in features)).collect()
+        split = False
+        for r in stats:
+            low[r["_at"]], high[r["_at"]] = list(r[2 : 2 + 2 * d : 2]), list(r[3 : 2 + 2 * d : 2])
+        for r in stats:
+            own = [high[r["_at"]][i] - low[r["_at"]][i] for i in range(d)]
+            f = int(np.argmax(own))
+            if r.n <= leaf_rows or own[f] <= 0:
+                continue
+            middle = r[2 + 2 * d + f]
+            grow(2 * r["_at"] + 3)
+            feature[r["_at"]], cut[r["_at"]], split = f, middle if middle < high[r["_at"]][f] else low[r["_at"]][f] + own[f] / 2, True
+        if not split:
+            break
+    return Splits(np.array(feature), np.array(cut), np.array(low, float).reshape(-1, d), np.array(high, float).reshape(-1, d))
+
+
+def _leaf(tree: Splits, features: list[str]) -> Column:
+    return F.pandas_udf(lambda *v: pd.Series(tree.leaf_of(np.column_stack([c.to_numpy(float) for c in v]))), "long")(*features)
+
+
+def knn_partitions(queries: DataFrame, rows: DataFrame, key: str, features: list[str], k: int, label: str, leaf_rows: int = 5000, report: dict | None = None) -> DataFrame:
     """The same as `knn_join`, for query sets as large as the rows.
 
-    Rows are dealt to strips of about `strip_rows` along the first feature. A query takes the k best of its own strip;
-    with the k-th distance it then visits the strips within reach, all of them if its own has fewer than k rows.
+    Rows are dealt to the leaves of a k-d tree over all features. A query takes the k best of its own leaf; with the
+    k-th distance it then visits the leaves whose bounds are within reach, all of them if its own has fewer than k rows.
+    Of rows in one place only the k + 1 of smallest key can be anyone's neighbours, so that no leaf grows with repeated
+    places, and the queries of a leaf are dealt to several tasks. `report` is given the number of leaves and of visits
+    a query.
     """
-    usable, x = [key, label, *features], features[0]
+    usable = [key, label, *features]
     tidy = lambda d: d.select(F.col(key).cast("long"), F.col(label).cast("long"), *(F.col(f).cast("double") for f in features)).dropna(subset=usable)
-    asked, rows = tidy(queries), tidy(rows)
-    n = max(1, rows.count() // strip_rows)
-    cuts = np.unique(np.array(rows.agg(F.percentile_approx(x, [i / n for i in range(1, n)], 100 * n)).first()[0] or [], float)) if n > 1 else np.empty(0)  # one number a strip
-    strip = F.pandas_udf(lambda v: pd.Series(np.searchsorted(cuts, v.to_numpy(), side="right")), "int")
+    place = F.row_number().over(Window.partitionBy(*features).orderBy(key))
+    asked, rows = tidy(queries), checkpointed(tidy(rows).withColumn("_k", place).where(F.col("_k") <= k + 1).drop("_k"))
+    tree = splits_of(rows, features, leaf_rows)
     schema = "id long, own long, neighbour long, other long, distance double"
-    parts = rows.withColumn("_strip", strip(x))
+    parts, own = rows.withColumn("_leaf", _leaf(tree, features)), asked.withColumn("_leaf", _leaf(tree, features))
 
     def meet(some: DataFrame) -> DataFrame:
+        """The k best of each query's leaf; a leaf's rows are sent to each block of its queries."""
+        blocks = some.groupBy("_leaf").agg(F.ceil(F.count("*") / leaf_rows).cast("int").alias("_blocks"))
+        few = {r["_leaf"]: r["_blocks"] for r in blocks.collect()}  # a number for each leaf
+        count = F.pandas_udf(lambda leaf: leaf.map(few).fillna(0).astype("int32"), "int")
+        left = some.withColumn("_block", F.pmod(F.xxhash64(key), count("_leaf")).cast("int"))
+        right = parts.withColumn("_blocks", count("_leaf")).where("_blocks > 0").withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+
         def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
             return _nearest(q[usable], r[usable], k, len(features))
 
-        return some.groupBy("_strip").cogroup(parts.groupBy("_strip")).applyInPandas(run, schema)
+        return left.groupBy("_leaf", "_block").cogroup(right.groupBy("_leaf", "_block")).applyInPandas(run, schema)
 
-    own = asked.withColumn("_strip", strip(x))
-    first = meet(own).persist()
+    first = checkpointed(meet(own))
     reach = first.groupBy(F.col("id").alias(key)).agg(F.when(F.count("*") == k, F.max("distance") + 1e-8).alias("_r"))
-    wide = own.join(reach, key, "left")
-    low, high = (F.coalesce(strip(F.col(x) + s * F.col("_r")), F.lit(e)) for s, e in ((-1, 0), (1, len(cuts))))
-    ends = wide.withColumns({"_low": F.when(F.col("_r").isNull(), 0).otherwise(low), "_high": F.when(F.col("_r").isNull(), len(cuts)).otherwise(high)})
-    visits = ends.withColumn("_to", F.explode(F.sequence("_low", "_high"))).where("_to <> _strip").select(*usable, F.col("_to").alias("_strip"))
+    wide = own.join(reach, key, "left").withColumn("_r", F.coalesce("_r", F.lit(float("inf"))))
+
+    def leaves(*v: pd.Series) -> pd.Series:
+        x, r = np.column_stack([c.to_numpy(float) for c in v[:-2]]), v[-2].to_numpy(float)
+        row, leaf = tree.within(x, r)
+        other = leaf != v[-1].to_numpy()[row]
+        row, leaf = row[other], leaf[other]
+        order = np.argsort(row, kind="stable")
+        return pd.Series(np.split(leaf[order], np.searchsorted(row[order], np.arange(1, len(x)))))
+
+    to = F.pandas_udf(leaves, "array<long>")
+    visits = wide.withColumn("_to", to(*features, "_r", "_leaf")).select(*usable, F.explode("_to").alias("_leaf"))
+    visits = checkpointed(visits)
+    if report is not None:
+        report |= {"leaves": int((tree.feature < 0).sum() - ((tree.low > tree.high).any(1)).sum()), "visits": 1 + visits.count() / max(asked.count(), 1)}
     out = first.union(meet(visits))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("id").alias(key), "own", "rank", "neighbour", "other", "distance")

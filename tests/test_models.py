@@ -98,10 +98,19 @@ def test_every_row_of_the_smaller_class_is_a_base(spark, tmp_path, name):
     assert {r.base for r in made} <= {2 * i + 1 for i in range(0, 400, 4)}
 
 
-def test_strips_agree_with_the_join(biased):
-    for k, size in ((5, 40), (5, 3), (1, 10**6)):
-        a, b = (sorted(map(tuple, d.collect())) for d in (N.knn_strips(biased, biased, "id", ["x", "u"], k, "y", size), N.knn_join(biased, biased, "id", ["x", "u"], k, "y")))
+def test_partitions_agree_with_the_join(spark, biased):
+    for k, size in ((5, 60), (1, 10**6)):
+        a, b = (sorted(map(tuple, d.collect())) for d in (N.knn_partitions(biased, biased, "id", ["x", "u"], k, "y", size), N.knn_join(biased, biased, "id", ["x", "u"], k, "y")))
         assert a == b and len(a) == 600 * k
+    # ten features, the first of three values; one place holds a third of all rows
+    r = np.random.default_rng(9)
+    f = [f"f{i}" for i in range(10)]
+    rows = [(i, i % 2, float(i % 3), *(([0.0] * 9) if i % 3 == 0 else map(float, np.round(r.normal(0, [3, 3, 3, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1]), 2)))) for i in range(450)]
+    df = spark.createDataFrame(rows, "id long, y int, " + ", ".join(f"{c} double" for c in f))
+    report = {}
+    a, b = (sorted(map(tuple, d.collect())) for d in (N.knn_partitions(df, df, "id", f, 4, "y", 50, report), N.knn_join(df, df, "id", f, 4, "y")))
+    assert a == b and len(a) == 450 * 4 and report["leaves"] > 3 and report["visits"] < report["leaves"]
+    assert N.knn_partitions(df.limit(0), df, "id", f, 4, "y").count() == 0 and N.knn_partitions(df, df.limit(0), "id", f, 4, "y").count() == 0
 
 
 def test_results_and_pairs(spark, tmp_path):
