@@ -61,7 +61,7 @@ def indexed(vectors: DataFrame, key: str, vector: str, scale: float, offset: int
         counts = rows.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()
     first = np.cumsum([0, *(r.n for r in counts)]).tolist()
     starts = vectors.sparkSession.createDataFrame([(r.part, s) for r, s in zip(counts, first)], "part int, start long")  # a row for each partition
-    found = rows.join(F.broadcast(starts), "part")
+    found = rows.where(F.size("x") == dims).join(F.broadcast(starts), "part")
     return found.select("id", "x", (F.col("start") + F.col("place")).alias("index")), first[-1], dims
 
 

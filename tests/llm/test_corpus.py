@@ -1,6 +1,7 @@
 """The corpus operators against brute force, round trips and other libraries."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -15,7 +16,7 @@ import tiktoken
 
 from pyspark.sql import functions as F
 
-from equilens.llm import bpe, common, decontaminate, exact_dedup, langid, license_scan, lsh_forest, queries, secrets, sharding, toxicity, url_filter
+from equilens.llm import bpe, centroids, common, decontaminate, exact_dedup, langid, license_scan, lsh_forest, passages, queries, secrets, sharding, toxicity, url_filter, whitening
 from equilens.llm.shingles import Shingler
 
 DIR = "/root/testdata/sf0.001"
@@ -547,3 +548,175 @@ def test_pipeline(spark, texts):
     kept = {r.doc_id for r in corpus_pipeline.language(spark, spark.read.parquet(f"{DIR}/documents.parquet"), DIR).collect()}
     assert kept == set(known) & kept and len(known) - len(kept) <= 3
     assert set(got) == {i for i, t in docs.items() if not leaks(t)}
+
+
+def vectors_of(rnd, n, dims, values):
+    """Good vectors with ties and repeats, and bad ones: null, short, long, with a null, with no number."""
+    good = [(i, [rnd.choice(values) for _ in range(dims)]) for i in range(n)]
+    good += [(n, good[0][1]), (n + 1, good[1][1]), (3, good[2][1]), (None, good[-1][1])]
+    nan, inf = float("nan"), float("inf")
+    bad = [(1000, None), (1001, []), (1002, [0.5] * (dims - 1)), (1003, [None] + [0.5] * (dims - 1)), (1004, [nan] + [0.5] * (dims - 1)), (1005, [-inf] + [0.5] * (dims - 1))]
+    return good, bad
+
+
+VECTORS = "vec_id long, embedding array<float>, cluster int, index int, deviation string, id string"
+
+
+@pytest.mark.parametrize("values, k", [((-0.5, 0.0, 0.25), 16), ((-3.1, 7.77, 0.0), 5), ((-4e6, 1.0, 5e6), 4)])
+def test_bisectors(spark, values, k):
+    good, bad = vectors_of(random.Random(k), 60, 6, values)
+    df = spark.createDataFrame([(i, v, 1, 2, "c", "d") for i, v in good + bad], VECTORS)
+    made = centroids.fit(df, dims=6, k=k)
+    got = sorted(tuple(r) for r in centroids.assign(df, made, dims=6).collect() if r.vec_id is not None)
+    x = [(i, [math.floor(64 * float(np.float32(c))) for c in v]) for i, v in good]
+    order = sorted(x, key=lambda r: (hashlib.sha256(f"1:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[0] is not None, r[0] or 0, r[1]))
+    c = [v for _, v in order[:k]]
+    far = lambda a, b: sum((p - q) ** 2 for p, q in zip(a, b))
+    best = lambda v: min(range(len(c)), key=lambda j: (far(v, c[j]), j))
+    for _ in range(3):
+        own = [best(v) for _, v in x]
+        for j in set(own):
+            members = [v for (_, v), o in zip(x, own) if o == j]
+            c[j] = [sum(col) // len(members) for col in zip(*members)]
+    assert made.centroids == c
+    assert got == sorted((i, best(v), far(v, c[best(v)])) for i, v in x if i is not None)
+    assert made.inertia == [sum(far(v, c[j]) for _, v in x if best(v) == j) for j in range(len(c))]
+
+
+def test_bisectors_of_few_vectors(spark):
+    good, bad = vectors_of(random.Random(1), 3, 4, (0.0, 1.0))
+    df = spark.createDataFrame([(i, v, 1, 2, "c", "d") for i, v in good[:3] + bad], VECTORS)
+    made = centroids.fit(df, dims=4)
+    assert len(made.centroids) == 3 and centroids.assign(df, made, dims=4).count() == 3
+    none = centroids.fit(df.limit(0), dims=4)
+    assert none.centroids == [] and centroids.assign(df, none, dims=4).count() == 0
+    # a zero of the sign test favours the smaller number
+    near, far = centroids.Bisectors.of([[0, 0], [2, 0], [0, 0]]).nearest(np.array([[1, 5], [2, 0], [0, 0]]))
+    assert near.tolist() == [0, 1, 0] and far.tolist() == [26, 0, 0]
+
+
+def test_bisectors_on_the_embeddings(spark):
+    got = {r.vec_id: r for r in queries.op13_bisectors(spark, DIR).collect()}
+    rows = duckdb.sql(f"SELECT vec_id, embedding FROM '{DIR}/embeddings.parquet'").fetchall()
+    ids, x = [i for i, _ in rows], np.array([[math.floor(64 * float(c)) for c in v] for _, v in rows])
+    first = sorted(range(len(ids)), key=lambda j: hashlib.sha256(f"1:{ids[j]}".encode()).hexdigest())[:16]
+    c = x[first]
+    for r in range(4):
+        d = ((x[:, None] - c[None]) ** 2).sum(2)
+        own = d.argmin(1)
+        c = np.array([x[own == j].sum(0) // (own == j).sum() if (own == j).any() else c[j] for j in range(16)]) if r < 3 else c
+    for j, i in enumerate(ids):
+        want = (own[j], d[j].min(), d.min(1)[own == own[j]].sum(), d.min(1).sum(), hashlib.sha256(",".join(map(str, c[own[j]])).encode()).hexdigest())
+        assert (got[i].cluster, got[i].distance, got[i].cluster_inertia, got[i].inertia, got[i].centroid_sha256) == want
+    assert len(got) == len(ids)
+
+
+def whitened_by_numpy(x):
+    n, s = len(x), x.sum(0)
+    c = (n * x - s) / n
+    values, axes = np.linalg.eigh(c.T @ c / n)
+    return c @ axes[:, ::-1] / np.sqrt(np.maximum(values[::-1], 1e-300)), values[::-1] / values.sum(), ((n * x - s) ** 2).sum(1)
+
+
+def test_whitening_on_the_embeddings(spark, monkeypatch):
+    rows = duckdb.sql(f"SELECT vec_id, embedding FROM '{DIR}/embeddings.parquet'").fetchall()
+    x = np.array([[math.floor(64 * float(c)) + 1_000_000 for c in v] for _, v in rows])
+    want, explained, deviation = whitened_by_numpy(x)
+    monkeypatch.setattr(whitening, "BLOCK_ROWS", (64, 64))  # many blocks, and several splits of them
+    monkeypatch.setattr(whitening, "TOGETHER", 2)
+    got = queries.op12_block_whitening(spark, DIR).toPandas()
+    ids = [i for i, _ in rows]
+    table = got.pivot(index="vec_id", columns="component", values="whitened").loc[ids].to_numpy()
+    assert table.shape == (len(ids), 32) and np.allclose(np.abs(table), np.abs(want[:, :32]), atol=1e-8)
+    assert (got.groupby("vec_id").deviation.first().loc[ids].to_numpy() == deviation).all() and (got.n == len(ids)).all()
+    assert np.allclose(got.groupby("component").explained.first(), explained[:32], rtol=1e-9)
+    assert got.identity_error.nunique() == 1 and got.identity_error[0] < 1e-8
+
+
+def test_whitening_of_strange_vectors(spark):
+    good, bad = vectors_of(random.Random(2), 40, 5, (-1.5, 0.0, 0.25, 2.0))
+    good = [(i, [*v[:4], 1.0]) for i, v in good]  # a constant dimension
+    df = spark.createDataFrame([(i, v, 1, 2, "c", "d") for i, v in good + bad], VECTORS)
+    made = whitening.whiten(df)
+    got = whitening.components_of(made).toPandas()
+    x = np.array([[math.floor(64 * c) + 1_000_000 for c in v] for _, v in good])
+    want, explained, deviation = whitened_by_numpy(x)
+    assert made.n == len(good) and len(made.explained) == 4 and made.identity_error < 1e-9  # the constant one has no scale
+    assert sorted(got.whitened.abs().round(6)) == sorted(np.abs(want[:, :4]).round(6).ravel()) and len(got) == 4 * len(good)
+    assert sorted(set(got.deviation)) == sorted(set(deviation.tolist())) and np.allclose(made.explained, explained[:4])
+    assert whitening.whiten(df.limit(0)) is None and whitening.whiten(df.where("vec_id >= 1000 AND vec_id <= 1001")) is None
+    same = whitening.whiten(df.where("vec_id = 0").unionAll(df.where("vec_id = 0")))
+    assert same.n == 2 and same.explained == [] and whitening.components_of(same).count() == 0
+
+
+def test_attention_by_brute_force():
+    r = np.random.default_rng(1)
+    x, first, y = r.normal(size=(9, passages.INPUTS)), np.array([0, 1, 5]), np.array([1.0, 0.0, 1.0])
+    model = passages.Model.start()
+    loss = lambda w: -np.mean([np.log(p if t else 1 - p) for p, t in zip(passages.Model.from_flat(w).forward(x, first)["p"], y)])
+    w, g = model.flat(), model.gradient(x, first, y)
+    for i in r.choice(len(w), 60, replace=False):
+        step = np.zeros(len(w))
+        step[i] = 1e-6
+        assert g[i] == pytest.approx((loss(w + step) - loss(w - step)) / 2e-6, abs=1e-6)
+    f = model.forward(x, first)
+    for k, (s, e) in enumerate(((0, 1), (1, 5), (5, 9))):
+        h = np.tanh(x[s:e] @ model.encode + model.bias)
+        a = np.exp((np.tanh(h @ model.attend) / (1 + np.exp(-h @ model.gate))) @ model.weigh)
+        assert np.allclose(f["a"][s:e], a / a.sum()) and f["p"][k] == pytest.approx(1 / (1 + np.exp(-(a / a.sum()) @ h @ model.score - model.offset[0])))
+
+
+def test_passages_by_brute_force(monkeypatch):
+    texts = ["One, two\tTWO two 33!", None, "", " \n ", "word " * 200, "x" * 5000 + " y", "日本語 \U0001f600 ß"] + [" ".join(random.Random(i).choices(["a", "Bb", "c9", "|", "&&", "Ééa"], k=i * 9)) for i in range(20)]
+    x, first = passages.Encoder()(texts)
+    bounds = [*first.tolist(), len(x)]
+    for t, s, e in zip(texts, bounds, bounds[1:]):
+        tokens = (t or "").split()
+        parts = [tokens[k : k + passages.WORDS] for k in range(0, max(len(tokens), 1), passages.WORDS)]
+        assert e - s == len(parts)
+        for row, p in zip(x[s:e], parts):
+            n = max(len(p), 1)
+            want = np.zeros(passages.SHAPES)
+            for w in p:
+                want[zlib.crc32(passages.shape_of(w).encode()) % passages.SHAPES] += 1 / n
+            assert np.allclose(row[: passages.SHAPES], want)
+            more = [sum(sum(map(f, w)) / len(w) for w in p) / n for f in (str.isupper, str.isdigit, lambda c: not c.isalpha() and not c.isdigit())]
+            more += [sum(np.log1p(len(w)) / 4 for w in p) / n, sum(any(map(str.isalpha, w)) for w in p) / n, len(set(p)) / n, sum(a == b for a, b in zip(p, p[1:])) / n, np.log1p(len(p)) / 5]
+            assert np.allclose(row[passages.SHAPES :], more)
+    assert passages.shape_of("ABc12!!x") == "Uld!l"
+    for name, value in (("TOGETHER", 50), ("SLICE", 100), ("CACHE", 5)):  # in parts, with a small memory
+        monkeypatch.setattr(passages, name, value)
+    again, _ = passages.Encoder()(texts)
+    assert np.allclose(again, x)
+
+
+def test_passage_attention(spark, odd, empty):
+    rnd = random.Random(4)
+    clean = lambda n: " ".join(rnd.choice("alpha beta gamma delta omega the of and".split()) + rnd.choice(["", ".", ","]) for _ in range(n))
+    rows = []
+    for i in range(600):
+        parts = [clean(64) for _ in range(rnd.randint(1, 6))]
+        if i % 3 == 0:  # one marred passage somewhere
+            parts[rnd.randrange(len(parts))] = " ".join(w + "###" for w in clean(64).split())
+        rows.append((i, " ".join(parts), int(i % 3 > 0), "s", 5))
+    df = spark.createDataFrame(rows, "doc_id long, text string, good int, score string, passages int")
+    model = passages.fit(df.where("doc_id < 450"), "good")
+    got = passages.score(df.where("doc_id >= 450"), model).collect()
+    assert np.mean([(r.score >= 0.5) == bool(r.good) for r in got]) > 0.95 and all(0 <= r.score <= 1 and 1 <= r.passages <= 6 for r in got)
+    marred = [r for r in got if not r.good and r.passages > 3]
+    assert np.mean([r.attention for r in marred]) > 0.5  # the marred passage has most of the weight
+    again = passages.fit(df.where("doc_id < 450").orderBy(F.rand(1)).repartition(7), "good")
+    assert np.allclose(again.flat(), model.flat())  # whatever the order of the rows
+    found = {r.doc_id: r for r in passages.score(odd, model).collect()}
+    assert len(found) == len(ODD) and found[1].score == found[2].score == found[3].score and found[9].rule == "r"
+    assert passages.score(empty, model).count() == 0
+    one = passages.fit(df.where("good = 1"), "good")
+    assert {round(r.score, 3) for r in passages.score(odd, one).collect()} == {0.999}
+    assert {r.score for r in passages.score(odd, passages.fit(df.limit(0), "good")).collect()} == {0.5}
+
+
+def test_quality_held_out(spark):
+    labels = {r.doc_id: r.quality for r in common.table(spark, DIR.replace("0.001", "0.01"), "labels").collect()}
+    got = [r for r in queries.op11_passage_attention(spark, DIR.replace("0.001", "0.01")).collect() if r.doc_id in labels and r.held_out]
+    assert len(got) > 50 and np.mean([r.predicted == labels[r.doc_id] for r in got]) > 0.95
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
