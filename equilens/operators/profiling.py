@@ -65,6 +65,11 @@ def group_statistics(df: DataFrame, attr: str, target: str) -> DataFrame:
     return df.where(F.col(attr).isNotNull()).groupBy(F.col(attr).alias("grp")).agg(F.count("*").alias("n"), F.round(F.avg(target), 6).alias("prevalence"), F.count_if(F.col(target) == 1).alias("positives"), F.count_if(F.col(target) == 0).alias("negatives")).withColumn("share", F.round(F.col("n") / max(n, 1), 6))
 
 
+def target_rate_by_group(df: DataFrame, attr: str, target: str) -> DataFrame:
+    """(grp, n, rate): the mean target of each group; rows without a group are the null group, and a null target counts in n alone."""
+    return df.groupBy(F.col(attr).alias("grp")).agg(F.count("*").alias("n"), F.round(F.avg(target), 6).alias("rate"))
+
+
 def representation_balance(df: DataFrame, attrs: list[str]) -> DataFrame:
     t = sensitive_distribution(df, attrs).groupBy("attr").agg(F.count("*").alias("groups"), F.min("n").alias("least"), F.max("n").alias("most"), F.stddev_samp("n").alias("sd"), F.avg("n").alias("mean"))
     return t.select("attr", "groups", "least", "most", F.round(F.col("most") / F.col("least"), 6).alias("size_ratio"), F.round(F.col("sd") / F.col("mean"), 6).alias("cv"))

@@ -5,17 +5,21 @@ Each fit is a distributed job; the driver runs a bounded list of configurations
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import partial, reduce
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from equilens.operators import models as M
 from equilens.operators import preparation as P
 from equilens.operators import thresholds as H
+from equilens.operators.graph import checkpointed
 
 #: Mean recall below which a setting is reported as too low.
 RECALL_FLOOR = 0.6
@@ -176,19 +180,94 @@ def mit_matrix(train: DataFrame, test: DataFrame, key: str, features: list[str],
     return train.sparkSession.createDataFrame(rows, schema)
 
 
-def sweep_run(train: DataFrame, test: DataFrame, key: str, features: list[str], label: str, group: str, plan: DataFrame) -> DataFrame:
-    """(model, mitigation, accuracy, recall, gaps, recall_gate, fairness_gate): each configuration of `plan` (model, mitigation) is run."""
-    fits = {"logistic": M.train_logistic, "forest": partial(M.train_forest, trees=10, depth=5), "boosted": partial(M.train_boosted, rounds=5), "svm": M.train_svm}
-    configurations = [tuple(r) for r in plan.select("model", "mitigation").distinct().collect()]  # a row for each configuration
+#: Models of a sweep.
+FITS = {"logistic": M.train_logistic, "forest": partial(M.train_forest, trees=10, depth=5), "boosted": partial(M.train_boosted, rounds=5), "svm": M.train_svm}
+#: What a configuration is made of; columns that a plan lacks have these values.
+AXES = {"dataset": "all", "binning": "none", "mitigation": "baseline", "method": "holdout", "model": "logistic"}
+MEASURES = ("accuracy", "recall", "dp_gap", "tpr_gap", "fpr_gap")
+RESULT = ", ".join([*(f"{a} string" for a in AXES), *(f"{m} double" for m in MEASURES), "recall_gate string, fairness_gate string, error string"])
+
+
+def _trained(rows: DataFrame, asked: DataFrame, key: str, features: list[str], label: str, group: str, model: str, mitigation: str) -> DataFrame:
+    """`asked` with predictions of a model of `rows` under a mitigation."""
+    fit, weight = FITS[model], None
+    if mitigation == "reweight":
+        rows, weight = P.reweight(rows, label, group), "weight"
+    elif mitigation in ("oversample", "undersample"):
+        rows = {"oversample": P.oversample, "undersample": P.undersample}[mitigation](rows, key, label).drop("_copy")
+    elif mitigation not in ("baseline", "thresholds"):
+        raise ValueError(f"unknown mitigation: {mitigation}")
+    made = fit(rows, features, label, weight)
+    out = M.predict(made, asked, features)
+    if mitigation != "thresholds":
+        return out
+    fitted = H.fit_thresholds(M.predict(made, rows, features), group, label, "y_proba", H.BOTH_RATES)
+    return H.apply_thresholds(out, fitted, group, "y_proba", key)
+
+
+def _gated(measures: dict[str, float | None]) -> tuple[str, str]:
+    recall = measures["recall"] or 0.0
+    return "fail" if recall < 0.6 else "lower_tier" if recall < 0.7 else "full_pass", "fail" if (measures["dp_gap"] or 0.0) > 0.1 else "pass"
+
 
-    def one(job: tuple[str, str]) -> tuple:
-        model, mitigation = job
-        rows = {"baseline": lambda: train, "oversample": lambda: P.oversample(train, key, label).drop("_copy"), "undersample": lambda: P.undersample(train, key, label)}[mitigation]()
-        r = gaps(M.predict(fits[model](rows, features, label), test, features), label, group).first()
-        recall = r.recall or 0.0
-        return (model, mitigation, *r, "fail" if recall < 0.6 else "lower_tier" if recall < 0.7 else "full_pass", "fail" if (r.dp_gap or 0.0) > 0.1 else "pass")
+def sweep(tables: dict[tuple[str, str], tuple[DataFrame, DataFrame]], key: str, features: list[str], label: str, group: str, plan: DataFrame, folds: int = 5, folder: str | None = None) -> DataFrame:
+    """(dataset, binning, mitigation, method, model, measures, gates, error): every configuration of `plan` is run once.
+
+    `tables` has the training and test rows of each dataset and binning. With method `holdout` a model of the training
+    rows is measured on the test rows, with `cv` models of all but one fold of the training rows on that fold, and the
+    measures are means over the folds. What folds need (draw, medians, scales) is made once for a table, written to the
+    shared folder and used by all of its configurations. A configuration that fails is a row with its error; the others
+    go on. With `folder` every finished configuration is noted there at once, and a sweep over the same folder runs only
+    what is not noted; delete the notes of failures to run them again. Few rows: the driver holds the configurations.
+    """
+    spark = plan.sparkSession
+    named = plan.select(*((F.coalesce(F.col(a).cast("string"), F.lit(v)) if a in plan.columns else F.lit(v)).alias(a) for a, v in AXES.items())).distinct()
+    noted = spark.createDataFrame([], RESULT)
+    if folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            noted = spark.read.schema(RESULT).option("recursiveFileLookup", True).json(folder)
+    done = [tuple(r) for r in noted.join(named, list(AXES), "left_semi").select(*AXES, *MEASURES, "recall_gate", "fairness_gate", "error").collect()]
+    known = {r[: len(AXES)] for r in done}
+    jobs = [r for r in sorted(tuple(r) for r in named.collect()) if r not in known]  # a row for each configuration
+    folded = {}
+    for dataset, binning in sorted({(d, b) for d, b, _, method, _ in jobs if method == "cv" and (d, b) in tables}):
+        rows = P.folds_stratified(tables[dataset, binning][0].select(key, *features, label, group), key, [label], folds)
+        folded[dataset, binning] = checkpointed(P.fold_preprocess(rows, features, "fold", folds))
+
+    def measured(job: tuple[str, ...]) -> dict[str, float | None]:
+        dataset, binning, mitigation, method, model = job
+        if (dataset, binning) not in tables:
+            raise ValueError(f"no table of {dataset} and {binning}")
+        if model not in FITS or method not in ("holdout", "cv"):
+            raise ValueError(f"unknown model or method: {model}, {method}")
+        if method == "holdout":
+            train, test = tables[dataset, binning]
+            return gaps(_trained(train, test, key, features, label, group, model, mitigation), label, group).first().asDict()
+        parts = []
+        for fold in range(folds):
+            own = folded[dataset, binning].where(F.col("fold_no") == fold)
+            parts.append(gaps(_trained(own.where("side = 'train'"), own.where("side = 'test'"), key, features, label, group, model, mitigation), label, group).first())
+        mean = lambda m: [p[m] for p in parts if p[m] is not None]
+        return {m: round(sum(mean(m)) / len(mean(m)), 4) if mean(m) else None for m in MEASURES}
+
+    def one(job: tuple[str, ...]) -> tuple:
+        try:
+            found = measured(job)
+            row = (*job, *(found[m] for m in MEASURES), *_gated(found), None)
+        except (ValueError, PySparkException, Py4JError) as e:
+            row = (*job, *[None] * len(MEASURES), None, None, str(e).splitlines()[0][:300])
+        if folder:
+            own = hashlib.md5("|".join(job).encode()).hexdigest()  # a folder for each, as several are written at once
+            spark.createDataFrame([row], RESULT).coalesce(1).write.mode("overwrite").json(f"{folder}/{own}")
+        return row
 
     with ThreadPoolExecutor(PARALLEL) as pool:
-        found = list(pool.map(one, sorted(configurations)))
-    schema = "model string, mitigation string, accuracy double, recall double, dp_gap double, tpr_gap double, fpr_gap double, recall_gate string, fairness_gate string"
-    return train.sparkSession.createDataFrame(found, schema)
+        done += pool.map(one, jobs)
+    return spark.createDataFrame(done, RESULT)
+
+
+def sweep_run(train: DataFrame, test: DataFrame, key: str, features: list[str], label: str, group: str, plan: DataFrame, folds: int = 5, folder: str | None = None) -> DataFrame:
+    """`sweep` over the configurations of one dataset."""
+    pairs = [tuple(r) for r in plan.select(*((F.col(a) if a in plan.columns else F.lit(AXES[a])).cast("string").alias(a) for a in ("dataset", "binning"))).distinct().collect()]
+    return sweep(dict.fromkeys(pairs, (train, test)), key, features, label, group, plan, folds, folder)

@@ -69,6 +69,7 @@ def queries() -> dict[str, Query]:
         "duplicate_index_values": pred(lambda d: D.duplicate_index_values(d, ["row_id", "grp_a"])),
         "sensitive_distribution": doc(lambda d: D.sensitive_distribution(d, ["lang", "source", "toxic"])),
         "class_balance": doc(lambda d: D.class_balance(d, "quality")),
+        "target_rate_by_group": _on("v_doc", lambda d: D.target_rate_by_group(d.withColumn("toxicity", F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, "clean")), "toxicity", "y_pred")),
         "group_statistics": _on("v_age", lambda d: D.group_statistics(d, "sex", "target")),
         "representation_balance": doc(lambda d: D.representation_balance(d, ["lang", "source"])),
         "label_imbalance": age(lambda d: D.label_imbalance(d, ["sex"], "target")),
@@ -204,6 +205,7 @@ def oracle_sql() -> dict[str, str]:
         "duplicate_index_values": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) - count(DISTINCT {c}) AS repeated, count(DISTINCT {c}) AS \"distinct\" FROM v_pred" for c in ("row_id", "grp_a")),
         "sensitive_distribution": " UNION ALL ".join(f"SELECT '{c}' AS attr, CAST({c} AS VARCHAR) AS grp, count(*) AS n, round(count(*) / CAST((SELECT count(*) FROM v_doc) AS DOUBLE), 6) AS share FROM v_doc WHERE {c} IS NOT NULL GROUP BY {c}" for c in ("lang", "source", "toxic")),
         "class_balance": "WITH c AS (SELECT coalesce(CAST(quality AS VARCHAR), 'missing') AS class, count(*) AS n FROM v_doc GROUP BY 1), r AS (SELECT max(n) / CAST(min(n) AS DOUBLE) AS r FROM c) SELECT class, n, round(r, 6) AS ratio, CASE WHEN r < 1.5 THEN 'balanced' WHEN r < 3 THEN 'mild' ELSE 'high' END AS label FROM c, r",
+        "target_rate_by_group": "SELECT CASE WHEN toxic = 1 THEN 'toxic' WHEN toxic = 0 THEN 'clean' END AS grp, count(*) AS n, round(avg(y_pred), 6) AS rate FROM v_doc GROUP BY 1",
         "group_statistics": "SELECT sex AS grp, count(*) AS n, round(avg(target), 6) AS prevalence, count(*) FILTER (WHERE target = 1) AS positives, count(*) FILTER (WHERE target = 0) AS negatives, round(count(*) / CAST((SELECT count(*) FROM v_age) AS DOUBLE), 6) AS share FROM v_age WHERE sex IS NOT NULL GROUP BY 1",
         "label_imbalance": "SELECT 'sex' AS attr, round(max(r) - min(r), 6) AS max_difference, round(CASE WHEN min(r) > 0 THEN max(r) / min(r) END, 6) AS max_ratio FROM (SELECT sex, avg(target) AS r FROM v_age WHERE sex IS NOT NULL GROUP BY 1) q",
         "crosstab_group": "SELECT lang AS a, y_pred AS b, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY lang) AS BIGINT) AS total, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY lang) AS DOUBLE), 6) AS share FROM v_doc GROUP BY 1, 2",

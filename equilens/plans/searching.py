@@ -39,9 +39,12 @@ def _matrix(df: DataFrame) -> DataFrame:
 
 
 def _sweep(df: DataFrame) -> DataFrame:
-    train, test = _parts(df)
-    plan = df.sparkSession.createDataFrame([(m, t) for m in ("logistic", "svm") for t in ("baseline", "undersample", "oversample")], "model string, mitigation string")
-    return R.sweep_run(train, test, "row_id", FEATURES, "target", "segment", plan)
+    """Two datasets (orders of large and of other customers), two mitigations, split and folds, two models; of folds only logistic models."""
+    tables = {(name, "none"): _parts(df.where(rows)) for name, rows in (("debtors", "f2 < 0"), ("others", "f2 >= 0"))}
+    choices = {"dataset": ["debtors", "others"], "mitigation": ["baseline", "thresholds"], "method": ["holdout", "cv"], "model": ["logistic", "svm"]}
+    done = df.sparkSession.createDataFrame([], "dataset string, mitigation string, model_type string")
+    plan = G.sweep_grid(done, choices, [("method", "cv", "model", "svm"), ("model", "svm", "mitigation", "thresholds")])
+    return R.sweep(tables, "row_id", FEATURES, "target", "segment", plan, folds=2)
 
 
 def _models(df: DataFrame) -> DataFrame:

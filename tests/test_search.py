@@ -156,7 +156,30 @@ def test_searches(biased):
     made = {(r.technique, r.attr): r for r in search.mit_matrix(train, test, "id", features, "y", ["g"], [[], ["reweight"], ["oversample", "thresholds"], ["thresholds", "reweight"]]).collect()}
     assert made["thresholds+reweight", "g"].error and made["oversample+thresholds", "g"].dp_gap < made["baseline", "g"].dp_gap
     plan = full.sparkSession.createDataFrame([("logistic", "baseline"), ("svm", "undersample")], "model string, mitigation string")
-    assert {(r.model, r.mitigation) for r in search.sweep_run(train, test, "id", features, "y", "g", plan).collect()} == {("logistic", "baseline"), ("svm", "undersample")}
+    assert {(r.model, r.mitigation, r.error) for r in search.sweep_run(train, test, "id", features, "y", "g", plan).collect()} == {("logistic", "baseline", None), ("svm", "undersample", None)}
+
+
+def test_sweep_resumes(biased, checkpoints, tmp_path, monkeypatch):
+    full, features = biased.withColumn("gx", (F.col("g") == "b").cast("double")), ["x", "u", "gx"]
+    parts = full.dropna().where("id % 5 > 0"), full.dropna().where("id % 5 = 0")
+    rows = [("a", m, method, "logistic") for m in ("baseline", "thresholds", "reweight") for method in ("holdout", "cv")] + [("a", "nonsense", "cv", "logistic"), ("lost", "baseline", "cv", "logistic"), ("a", "baseline", "holdout", "none")]
+    plan = full.sparkSession.createDataFrame(rows, "dataset string, mitigation string, method string, model string")
+    made, trained = [], search._trained
+    monkeypatch.setattr(search, "_trained", lambda *a: made.append(a[-1]) or trained(*a))
+    folder = str(tmp_path / "notes")
+    some = search.sweep({("a", "none"): parts}, "id", features, "y", "g", plan.where("mitigation = 'baseline'"), 3, folder).collect()
+    assert sorted((r.dataset, r.model, bool(r.error)) for r in some) == [("a", "logistic", False), ("a", "logistic", False), ("a", "none", True), ("lost", "logistic", True)]
+    n = len(made)
+    assert n == 1 + 3
+    both = {(r.dataset, r.mitigation, r.method, r.model): r for r in search.sweep({("a", "none"): parts}, "id", features, "y", "g", plan, 3, folder).collect()}
+    assert len(both) == len(rows) and "baseline" not in made[n:]  # only what was not noted was run
+    assert both["a", "nonsense", "cv", "logistic"].error and both["a", "thresholds", "holdout", "logistic"].tpr_gap < both["a", "baseline", "holdout", "logistic"].tpr_gap
+    again = len(made)
+    assert search.sweep({("a", "none"): parts}, "id", features, "y", "g", plan, 3, folder).count() == len(rows) and len(made) == again
+    # the folds' means by hand
+    t = search.checkpointed(preparation.fold_preprocess(preparation.folds_stratified(parts[0].select("id", *features, "y", "g"), "id", ["y"], 3), features, "fold", 3))
+    accuracy = [search.gaps(trained(t.where(f"fold_no = {k} AND side = 'train'"), t.where(f"fold_no = {k} AND side = 'test'"), "id", features, "y", "g", "logistic", "baseline"), "y", "g").first().accuracy for k in range(3)]
+    assert both["a", "baseline", "cv", "logistic"].accuracy == pytest.approx(np.mean(accuracy), abs=1e-4)
 
 
 def test_ranks_and_sums_in_slices(spark):
