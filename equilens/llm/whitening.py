@@ -8,9 +8,13 @@ the whitening matrix is the projection of all rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
@@ -50,18 +54,19 @@ def indexed(vectors: DataFrame, key: str, vector: str, scale: float, offset: int
     """
     cells = F.col(vector).cast("array<double>")
     whole = vectors.where(finite(F.col(vector))).select(F.col(key).alias("id"), F.transform(cells, lambda c: F.floor(F.lit(scale) * c).cast("long") + F.lit(offset)).alias("x"))
-    rows = written(whole.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))}), "vectors")
-    lengths = rows.groupBy(F.size("x").alias("dims")).count().orderBy(F.desc("count"), F.desc("dims")).first()
+    place = {"part": F.spark_partition_id(), "place": F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)), "dims": F.size("x")}
+    rows = written(whole.withColumns(place), "vectors")
+    lengths = rows.groupBy("dims").count().orderBy(F.desc("count"), F.desc("dims")).first()
     dims = lengths.dims if lengths else 0
     if not dims:
         return rows.select("id", "x", F.col("place").alias("index")).limit(0), 0, 0
-    counts = rows.where(F.size("x") == dims).groupBy("part").agg(F.count("*").alias("n"), (F.max("place") + 1).alias("upto")).orderBy("part").collect()
+    counts = rows.where(F.col("dims") == dims).groupBy("part").agg(F.count("*").alias("n"), (F.max("place") + 1).alias("upto")).orderBy("part").collect()
     if any(r.n != r.upto for r in counts):  # vectors of another length leave gaps
-        rows = written(rows.where(F.size("x") == dims).select("id", "x", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)).alias("place")), "vectors")
+        rows = written(rows.where(F.col("dims") == dims).select("id", "x", "dims", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)).alias("place")), "vectors")
         counts = rows.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()
     first = np.cumsum([0, *(r.n for r in counts)]).tolist()
     starts = vectors.sparkSession.createDataFrame([(r.part, s) for r, s in zip(counts, first)], "part int, start long")  # a row for each partition
-    found = rows.where(F.size("x") == dims).join(F.broadcast(starts), "part")
+    found = rows.where(F.col("dims") == dims).join(F.broadcast(starts), "part")
     return found.select("id", "x", (F.col("start") + F.col("place")).alias("index")), first[-1], dims
 
 
@@ -86,16 +91,41 @@ def scatter(a: BlockMatrix) -> np.ndarray:
     return BlockMatrix(product, a.colsPerBlock, a.colsPerBlock).toLocalMatrix().toArray()
 
 
-def times(a: BlockMatrix, matrix: np.ndarray, spark: SparkSession) -> DataFrame:
-    """(index, w): the rows of `a` times a small local matrix."""
+def times(a: BlockMatrix, matrix: np.ndarray, spark: SparkSession) -> BlockMatrix:
+    """`a` times a small local matrix."""
     cells = spark.createDataFrame([(i, row) for i, row in enumerate(matrix.tolist())], "index long, w array<double>")
     vectors = MLUtils.convertVectorColumnsFromML(cells.select("index", array_to_vector("w").alias("vector")), "vector")
     right = IndexedRowMatrix(vectors, *matrix.shape).toBlockMatrix(a.colsPerBlock, min(matrix.shape[1], BLOCK_COLUMNS))
-    made = a.multiply(right).toIndexedRowMatrix()
-    rows = callMLlibFunc("getIndexedRows", made._java_matrix_wrapper._java_model)
+    return a.multiply(right)
+
+
+def rows_of(a: BlockMatrix) -> DataFrame:
+    """(index, w): the rows of `a`, without a detour over Python."""
+    rows = callMLlibFunc("getIndexedRows", a.toIndexedRowMatrix()._java_matrix_wrapper._java_model)
     return rows.select("index", vector_to_array("vector").alias("w"))
 
 
+def _sums(rows: DataFrame, dims: int) -> list[int]:
+    """Exact sums of the vectors by dimension: a row for each batch is shuffled."""
+    exact = pa.decimal128(38, 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = b.column(0).flatten().to_numpy().reshape(b.num_rows, dims)
+                wide = int(np.abs(x).max()) * b.num_rows >= 2**63
+                sums = (x.astype(object) if wide else x).sum(0)
+                yield pa.RecordBatch.from_arrays([pa.array([[Decimal(int(s)) for s in sums]], pa.list_(exact))], ["s"])
+
+    parts = rows.select("x").mapInArrow(run, "s array<decimal(38,0)>")
+    return [int(s) for s in parts.agg(*(F.sum(F.col("s")[i]) for i in range(dims))).first()]
+
+
+def _released(*matrices: BlockMatrix) -> None:
+    for m in matrices:
+        m._java_matrix_wrapper._java_model.blocks().unpersist(False)
+
+
 def _centred(cells: Column, sums: list[int], n: int) -> Column:
     return F.zip_with(cells, F.array(*map(F.lit, sums)), lambda x, s: F.lit(n) * x - s)
 
@@ -109,16 +139,16 @@ def whiten(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", c
     Without rows the result is None. Components whose eigenvalue is rounding
     (equal rows, fewer rows than dimensions, constant dimensions) have no scale
     and are left out. Exact deviations beyond a long fail under ANSI mode, the
-    default. Whitened values are centred again before their covariance.
+    default. Blocks are kept in memory or on disk while they are used, and are
+    made again where an executor is lost.
     """
     spark = vectors.sparkSession
     rows, n, dims = indexed(vectors, key, vector, scale, offset)
     if not n:
         return None
-    totals = rows.select(F.posexplode("x")).groupBy("pos").agg(F.sum(F.col("col").cast("decimal(20,0)")).alias("s")).collect()
-    sums = [int(r.s) for r in sorted(totals, key=lambda r: r.pos)]
+    sums = _sums(rows, dims)
     apart = _centred(F.col("x"), sums, n)
-    a = block_matrix(rows, F.transform(apart, lambda d: d.cast("double") / F.lit(float(n))), n, dims)
+    a = block_matrix(rows, F.transform(apart, lambda d: d.cast("double") / F.lit(float(n))), n, dims).persist(StorageLevel.MEMORY_AND_DISK)
     covariance = scatter(a) / n
     values, axes = np.linalg.eigh((covariance + covariance.T) / 2)
     values, axes = values[::-1], axes[:, ::-1]
@@ -126,11 +156,12 @@ def whiten(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", c
     scaled = int((values[:components] > NOTHING * trace).sum()) if trace > 0 else 0
     kept = rows.select(F.col("id").alias(key), "index", F.aggregate(F.transform(apart, lambda d: d * d), F.lit(0).cast("long"), lambda s, d: s + d).alias("deviation"))
     if not scaled:
+        _released(a)
         return Whitened(kept, spark.createDataFrame([], "index long, w array<double>"), n, [], 0.0)
-    projected = written(times(a, axes[:, :scaled] / np.sqrt(values[:scaled]), spark), "projected")
-    means = projected.agg(*(F.avg(F.col("w")[i]) for i in range(scaled))).first()
-    again = block_matrix(projected, F.zip_with("w", F.array(*map(F.lit, means)), lambda w, m: w - m), n, scaled)
-    error = float(np.abs(scatter(again) / n - np.eye(scaled)).max())
+    p = times(a, axes[:, :scaled] / np.sqrt(values[:scaled]), spark).persist(StorageLevel.MEMORY_AND_DISK)
+    error = float(np.abs(scatter(p) / n - np.eye(scaled)).max())  # rows of p are centred, as those of a are
+    projected = written(rows_of(p), "projected")
+    _released(a, p)
     return Whitened(kept, projected, n, [float(v) / trace for v in values[:scaled]], error)
 
 
