@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -18,6 +19,8 @@ from equilens.operators.graph import checkpointed, components
 NOISE = -1
 #: Pairs of rows that two pieces may have to be compared row by row.
 SMALL = 10_000
+#: Settings that are tried at once.
+PARALLEL = 4
 #: Share of noise above which a setting is rejected.
 MOST_NOISE = 0.3
 
@@ -133,9 +136,11 @@ def dbscan_grid(df: DataFrame, key: str, features: list[str], eps: list[float],
     The silhouette is over the rows that aren't noise. Settings with fewer than two clusters or more than `most_noise`
     are rejected; of the others the best silhouette is chosen, the first on ties. Noise is a cluster of its own (-1).
     """
-    found, made = [], {}
-    for e, m in itertools.product(eps, least):
-        own = checkpointed(dbscan(df, key, features, e, m))
+    made = {}
+
+    def measured(setting: tuple[float, int]) -> tuple:
+        e, m = setting
+        own = made[setting] = checkpointed(dbscan(df, key, features, e, m))
         t = own.agg(F.count_distinct(F.when(F.col("cluster") != NOISE, F.col("cluster"))).alias("clusters"), F.count_if(F.col("cluster") == NOISE).alias("noise"), F.count("*").alias("n")).first()
         share = t.noise / t.n if t.n else 1.0
         silhouette = None
@@ -143,8 +148,10 @@ def dbscan_grid(df: DataFrame, key: str, features: list[str], eps: list[float],
             vectors = VectorAssembler(inputCols=features, outputCol="_v", handleInvalid="skip").transform(own.where(F.col("cluster") != NOISE))
             silhouette = round(float(ClusteringEvaluator(featuresCol="_v", predictionCol="cluster").evaluate(vectors)), 6)
         note = "fewer than two clusters" if t.clusters < 2 else "too much noise" if share > most_noise else "noise is a cluster" if t.noise else "no noise"
-        made[e, m] = own
-        found.append((e, m, t.clusters, t.noise, silhouette, note))
+        return (e, m, t.clusters, t.noise, silhouette, note)
+
+    with ThreadPoolExecutor(PARALLEL) as pool:  # a setting is many small jobs
+        found = list(pool.map(measured, itertools.product(eps, least)))
     valid = [r for r in found if r[5].startswith("no")]
     best = max(valid, key=lambda r: r[4])[:2] if valid else None
     schema = "eps double, least int, clusters long, noise long, silhouette double, note string, chosen boolean"
