@@ -32,7 +32,7 @@ FEATURES = 600
 SUPPORT = 5
 #: Lengths of word beginnings, which catch one stem with many endings.
 STEMS = (4, 5, 6)
-#: One labelled row in so many chooses the features and isn't fitted on.
+#: One labelled row in so many chooses the features.
 CHOOSING = 2
 #: Standard deviations by which a feature's mean must be larger in a category.
 DEVIATIONS = 6.0
@@ -147,15 +147,14 @@ def fit(labelled: DataFrame, categories: list[str], key: str = "doc_id", text: s
     `labelled` has a column of 0 and 1 for each category; rows with a null in
     one of them are left out, a null text has no words, repeated rows count as
     often as they occur, and of equally good features the first by name counts
-    first. One row in CHOOSING chooses the features and the others
-    are fitted on, so that out-of-fold probabilities are out of fold in this as
-    well. A category with one class only gets a constant model, and without
+    first. One row in CHOOSING chooses the features, all are fitted on; the
+    probabilities that later links are fed with are those of models fitted on
+    the other folds. A category with one class only gets a constant model, and without
     rows the model of every category says one half.
     """
     rows = labelled.where(" AND ".join(f"`{c}` IS NOT NULL" for c in categories)).select(key, F.col(text).alias("text"), *categories)
     both = draw(rows, key, docs)
-    chooses = F.pmod(F.xxhash64(F.lit("choose"), key), F.lit(CHOOSING)) == 0
-    drawn = both.where(chooses)
+    drawn = both.where(F.pmod(F.xxhash64(F.lit("choose"), key), F.lit(CHOOSING)) == 0)
 
     # of each feature: rows that have it, sum of values and of their squares, and by category rows and sum of values
     names = ["n", "s", "q", *(f"{x}_{i}" for i in range(len(categories)) for x in "ns")]
@@ -192,7 +191,7 @@ def fit(labelled: DataFrame, categories: list[str], key: str = "doc_id", text: s
         scores.append(F.when(F.col(f"n_{i}") >= SUPPORT, z).otherwise(0.0))
     best = sums.withColumn("score", F.greatest(F.lit(0.0), *scores)).where(F.col("score") > DEVIATIONS).orderBy(F.desc("score"), "feature").limit(FEATURES)
     index = {r[0]: i for i, r in enumerate(best.select("feature").collect())}
-    made = _vectors(both.where(~chooses), index, "text").withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), key), F.lit(FOLDS))).select(key, "fold", "x", *categories).persist()
+    made = _vectors(both, index, "text").withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), key), F.lit(FOLDS))).select(key, "fold", "x", *categories).persist()
     made.count()
     weights, earlier = [], []
     try:
@@ -205,7 +204,7 @@ def fit(labelled: DataFrame, categories: list[str], key: str = "doc_id", text: s
                 if not size or mean is None or mean in (0.0, 1.0):
                     odds = 0.5 if mean is None else min(max(mean, 1e-3), 1 - 1e-3)
                     return None, np.concatenate([np.zeros(size), [np.log(odds / (1 - odds))]])
-                m = LogisticRegression(featuresCol="v", labelCol=c, predictionCol="_p", rawPredictionCol="_r", probabilityCol="_q", regParam=1e-3, maxIter=25, standardization=False).fit(part)
+                m = LogisticRegression(featuresCol="v", labelCol=c, predictionCol="_p", rawPredictionCol="_r", probabilityCol="_q", regParam=1e-4, maxIter=50, standardization=False).fit(part)
                 m = without_summary(m)
                 return m, np.concatenate([m.coefficients.toArray(), [m.intercept]])
 
