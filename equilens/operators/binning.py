@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,56 +44,6 @@ def identity_edges(df: DataFrame, column: str, most: int) -> list[float]:
     return [values[0] - 0.5, *((a + b) / 2 for a, b in zip(values, values[1:])), values[-1] + 0.5]
 
 
-def natural_breaks(v: np.ndarray, w: np.ndarray, n: int) -> list[float]:
-    """The least value and the largest of each of n classes of the sorted values v, with counts w, that differ least from their means.
-
-    The best last cut never moves back as values are added, so each class is found by divide and conquer, in O(m log m).
-    """
-    m, k, c = len(v), min(n, len(v)), v - np.average(v, weights=w)
-    cw, cs, cq = (np.concatenate([[0], np.cumsum(x)]) for x in (w, w * c, w * c * c))
-    best, cuts = np.full(m + 1, np.inf), []
-    best[0] = 0
-    for x in range(1, k + 1):
-        new, cut = np.full(m + 1, np.inf), np.zeros(m + 1, int)
-        todo = [(x, m, x - 1, m - 1)]
-        while todo:
-            first, last, low, high = todo.pop()
-            if first > last:
-                continue
-            j = (first + last) // 2
-            i = np.arange(low, min(high, j - 1) + 1)
-            total = best[i] + (cq[j] - cq[i]) - (cs[j] - cs[i]) ** 2 / (cw[j] - cw[i])
-            at = int(total.argmin())
-            new[j], cut[j] = total[at], i[at]
-            todo += [(first, j - 1, low, cut[j]), (j + 1, last, cut[j], high)]
-        best = new
-        cuts.append(cut)
-    edges, j = [v[-1]], m
-    for cut in reversed(cuts):
-        j = cut[j]
-        edges.append(v[j - 1] if j else v[0])
-    return [float(e) for e in reversed(edges)]
-
-
-def jenks_edges(df: DataFrame, keys: list[str], column: str, n: int) -> DataFrame:
-    """(keys, edges): natural breaks of each group over its distinct values and their counts; groups run in parallel.
-
-    The first and last edge are the group's extremes, widened by 0.001. A group of fewer than `n` distinct values has
-    as many bins as values.
-    """
-    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("value")).agg(F.count("*").alias("n"))
-
-    def breaks(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("value")
-        edges = natural_breaks(part["value"].to_numpy(), part["n"].to_numpy(float), n)
-        inner = sorted(set(edges[1:-1]) - {edges[-1]})
-        row = {x: part[x].iloc[0] for x in keys}
-        return pd.DataFrame([row | {"edges": [edges[0] - 0.001, *inner, edges[-1] + 0.001]}])
-
-    types = {f.name: f.dataType.simpleString() for f in counts.schema.fields}
-    return counts.groupBy(*keys).applyInPandas(breaks, ", ".join([*(f"`{x}` {types[x]}" for x in keys), "edges array<double>"]))
-
-
 def bin_repair(df: DataFrame, column: str, edges: list[float], least: int) -> list[float]:
     """Merges the smallest bin below `least` rows into its smaller neighbour (the right one on a tie) until none is left.
 

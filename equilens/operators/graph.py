@@ -54,6 +54,12 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def deleted(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` in the folder that all executors share: cuts the lineage and survives lost executors."""
     shared_folder(df.sparkSession, "")

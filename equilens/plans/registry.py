@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from equilens.functions import scalars
 from equilens.operators import binning as B
+from equilens.operators import breaks as K
 from equilens.operators import experiments as E
 from equilens.operators import fairness as A
 from equilens.operators import lineage as L
@@ -91,7 +92,7 @@ def queries() -> dict[str, Query]:
         "bin_ordinal": age(lambda d: B.bin_ordinal(_binned(d), "age_raw")),
         "bin_compare_strategies": age(lambda d: B.bin_compare(d, "age_raw", "target", {"fine": AGE, "coarse": COARSE})),
         "bin_quantile": age(lambda d: B.bin_stats(_binned(d, B.quantile_edges(d, "age_raw", 4)), "age_raw", "target")),
-        "bin_jenks": age(lambda d: B.jenks_edges(d, ["sex"], "age_raw", 4)),
+        "bin_jenks": age(lambda d: K.jenks_edges(d, ["sex"], "age_raw", 4)),
         "bin_repair": age(lambda d: B.bin_stats(_binned(d, B.bin_repair(d, "age_raw", AGE, max(1, d.count() // 4))), "age_raw", "target")),
         "composite_score": exp(lambda d: E.composite_score(d).select("experiment_id", "score")),
         "gate_annotate": exp(lambda d: E.gate_annotate(d).select("experiment_id", "recall_gate", "fairness_gate")),
