@@ -113,6 +113,26 @@ def test_partitions_agree_with_the_join(spark, biased):
     assert N.knn_partitions(df.limit(0), df, "id", f, 4, "y").count() == 0 and N.knn_partitions(df, df.limit(0), "id", f, 4, "y").count() == 0
 
 
+@pytest.mark.parametrize("by,per_label", [(None, False), ("g", False), (None, True), ("g", True)])
+def test_large_query_sets_are_searched_by_partitions(spark, monkeypatch, by, per_label):
+    # places are repeated, one of them 500 times; a small group, and labels that lie apart
+    r = np.random.default_rng(3)
+    x, u = np.round(r.normal(size=1500) * 4, 1), np.round(r.normal(size=1500), 1)
+    x[::3], u[::3] = 0.5, 0.5
+    rows = [(i, int(x[i] > 2), "small" if i % 100 == 1 else "ab"[i % 2], float(x[i]), float(u[i])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, y int, g string, x double, u double")
+    asked = df.where("id % 3 < 2")
+    want = N.knn_join(asked, df, "id", ["x", "u"], 7, "y", by=by, per_label=per_label)
+    report = {}
+    got = N.knn_partitions(asked, df, "id", ["x", "u"], 7, "y", 60, report, by=by, per_label=per_label)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.columns == want.columns
+    assert report["leaves"] > 8 and report["visits"] < report["leaves"] / 2
+    monkeypatch.setattr(N, "SCAN_PAIRS", 1000)
+    monkeypatch.setattr(N, "_scan", lambda *a: pytest.fail("queries times rows"))
+    again = N.knn_join(asked, df, "id", ["x", "u"], 7, "y", by=by, per_label=per_label)
+    assert again.count() == want.count()
+
+
 def test_results_and_pairs(spark, tmp_path):
     (tmp_path / "r").mkdir()
     base = {"dataset": "d", "status": "ok", "fairness_metrics": {"sex": {"dp": 0.2}}}
