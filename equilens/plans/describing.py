@@ -163,12 +163,15 @@ UNION ALL SELECT "column", 'unconfirmed_role' FROM c WHERE "column" <> 'lang'"""
 WITH {clinic}, {_SEMANTIC}
 SELECT "column", CASE "column" WHEN 'row_id' THEN 'index' WHEN 'diagnosis' THEN 'target' ELSE 'sensitive' END AS role, "column" = 'row_id' OR semantic_type <> 'text' AS accepted
 FROM t WHERE "column" IN ('row_id', 'age', 'gender', 'diagnosis')""",
-        "feature_distributions": """
-SELECT 'lang' AS "column", 'value' AS part, lang AS name, CAST(count(*) AS DOUBLE) AS value FROM v_doc WHERE lang IS NOT NULL GROUP BY 3
-UNION ALL SELECT 'quality', 'value', CAST(quality AS VARCHAR), count(*) FROM v_doc WHERE quality IS NOT NULL GROUP BY 3
-UNION ALL SELECT 'n_chars', 'quantile', name, value FROM (SELECT CAST(min(n_chars) AS DOUBLE) AS "min", round(quantile_cont(CAST(n_chars AS DOUBLE), 0.25), 4) AS q1, round(quantile_cont(CAST(n_chars AS DOUBLE), 0.5), 4) AS median,
-  round(quantile_cont(CAST(n_chars AS DOUBLE), 0.75), 4) AS q3, CAST(max(n_chars) AS DOUBLE) AS "max", round(avg(n_chars), 4) AS mean, round(stddev_pop(n_chars), 4) AS std FROM v_doc) w
-  UNPIVOT (value FOR name IN ("min", q1, median, q3, "max", mean, std))""",
+        "feature_distributions": f"""
+WITH c AS (SELECT 'lang' AS "column", 'string' AS kind, count(DISTINCT lang) AS u, count(lang) AS p FROM v_doc UNION ALL SELECT 'quality', 'integer', count(DISTINCT quality), count(quality) FROM v_doc UNION ALL SELECT 'n_chars', 'integer', count(DISTINCT n_chars), count(n_chars) FROM v_doc),
+{_SEMANTIC},
+l AS (SELECT 'lang' AS "column", lang AS name, NULL::DOUBLE AS v FROM v_doc WHERE lang IS NOT NULL UNION ALL SELECT 'quality', CAST(quality AS VARCHAR), quality FROM v_doc WHERE quality IS NOT NULL UNION ALL SELECT 'n_chars', CAST(n_chars AS VARCHAR), n_chars FROM v_doc WHERE n_chars IS NOT NULL),
+o AS (SELECT "column", name, count(*) AS n FROM l JOIN t USING ("column") WHERE semantic_type IN ('binary', 'categorical') GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY count(*) DESC, name) <= 12),
+s AS (SELECT "column", min(v) AS "min", round(quantile_cont(v, 0.25), 4) AS q1, round(quantile_cont(v, 0.5), 4) AS median, round(quantile_cont(v, 0.75), 4) AS q3, max(v) AS "max", round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS std
+  FROM l JOIN t USING ("column") WHERE semantic_type = 'continuous' GROUP BY 1)
+SELECT "column", 'value' AS part, name, CAST(n AS DOUBLE) AS value FROM o
+UNION ALL SELECT "column", 'quantile', name, value FROM s UNPIVOT (value FOR name IN ("min", q1, median, q3, "max", mean, std))""",
         "dataset_characterize": f"""
 {described}
 {sizes} UNION ALL SELECT 'class', coalesce(CAST(quality AS VARCHAR), 'missing'), count(*) FROM v_doc GROUP BY 2
