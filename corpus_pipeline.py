@@ -59,7 +59,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path(VOCABULARY))
     text = text_or_empty()
     texts = docs.select("doc_id", text.alias("text"), F.sha2(text.cast("binary"), 256).alias("sha"))
-    decoded = bpe.decode(bpe.encode(texts, ranks, public_tokenizers.PATTERN), ranks)
+    decoded = bpe.round_trip(texts, ranks, public_tokenizers.PATTERN)
     same = F.sha2("decoded", 256) == F.col("sha")
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

@@ -234,7 +234,7 @@ class Bpe:
 
 
 #: Characters of text that are encoded at once; a longer text is a step of its own.
-STEP = 1_500_000
+STEP = 750_000
 
 
 def _steps(texts: list[str]) -> Iterator[list[str]]:
@@ -249,6 +249,31 @@ def _steps(texts: list[str]) -> Iterator[list[str]]:
         yield step
 
 
+def _prepared(docs: DataFrame, text: str, ids: str) -> tuple[DataFrame, list]:
+    """`docs` with its text last, empty for null, and the fields of all other columns."""
+    kept = docs.drop(*({ids} - {text})).withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit("")))
+    rest = [f for f in kept.schema.fields if f.name != text]
+    return kept.select(*(f.name for f in rest), text), rest
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], bpe: Bpe, text: str, ids: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = 0
+        whole = pa.Table.from_batches([batch])
+        for step in _steps(batch.column(batch.schema.get_field_index(text)).to_pylist()):
+            part = whole.slice(at, len(step)).drop_columns([text])
+            flat, offsets = bpe.encode_flat(step)
+            out = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+            yield from part.append_column(ids, out).to_batches()
+            at += len(step)
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], token: list[bytes], ids: str, out: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = pa.array([b"".join(map(token.__getitem__, r)) for r in rows_of_ids(batch.column(batch.schema.get_field_index(ids)))], pa.binary())
+        yield from pa.Table.from_batches([batch]).append_column(out, made).to_batches()
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """`docs` with the column `ids` (array<int>) instead of `text`; all other columns stay.
 
@@ -257,23 +282,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     already named `ids` is replaced.
     """
     spark, shared = docs.sparkSession, docs.sparkSession.sparkContext.broadcast((ranks, pattern))  # a vocabulary file: about 1 MB
-    kept = docs.drop(*({ids} - {text})).withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit("")))
-    rest = [f for f in kept.schema.fields if f.name != text]
+    kept, rest = _prepared(docs, text, ids)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), f"`{ids}` array<int>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(*shared.value)
-        for batch in batches:
-            at = 0
-            whole = pa.Table.from_batches([batch])
-            for step in _steps(batch.column(batch.schema.get_field_index(text)).to_pylist()):
-                part = whole.slice(at, len(step)).drop_columns([text])
-                flat, offsets = bpe.encode_flat(step)
-                out = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-                yield from part.append_column(ids, out).to_batches()
-                at += len(step)
+        yield from _encoded(batches, Bpe(*shared.value), text, ids)
 
-    return kept.select(*(f.name for f in rest), text).mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema)
 
 
 def rows_of_ids(column: pa.ListArray) -> Iterator[list[int]]:
@@ -303,9 +318,18 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: s
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields), f"`{out}` binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = token_table(shared.value)
-        for batch in batches:
-            made = pa.array([b"".join(map(token.__getitem__, r)) for r in rows_of_ids(batch.column(batch.schema.get_field_index(ids)))], pa.binary())
-            yield from pa.Table.from_batches([batch]).append_column(out, made).to_batches()
+        yield from _decoded(batches, token_table(shared.value), ids, out)
 
     return rest.mapInArrow(run, schema)
+
+
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """The same as `decode` of `encode`, in one worker for each task: rows are decoded as they are encoded, a step of texts at a time."""
+    shared, (kept, rest) = docs.sparkSession.sparkContext.broadcast((ranks, pattern)), _prepared(docs.drop(*({out} - {text})), text, ids)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), f"`{ids}` array<int>", f"`{out}` binary"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = Bpe(*shared.value)
+        yield from _decoded(_encoded(batches, bpe, text, ids), bpe.token, ids, out)
+
+    return kept.mapInArrow(run, schema)

@@ -721,3 +721,13 @@ def test_quality_held_out(spark):
     got = [r for r in queries.op11_passage_attention(spark, DIR.replace("0.001", "0.01")).collect() if r.doc_id in labels and r.held_out]
     assert len(got) > 50 and np.mean([r.predicted == labels[r.doc_id] for r in got]) > 0.95
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+
+
+def test_round_trip_takes_one_worker_a_task(spark):
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    df = spark.createDataFrame([(1, "one two  three\n", "a"), (2, None, "b"), (3, "", "c"), (4, "ünïcode " * 50, "d")], "doc_id long, text string, decoded string")
+    got = bpe.round_trip(df, ranks, public_tokenizers.PATTERN)
+    want = bpe.decode(bpe.encode(df.drop("decoded"), ranks, public_tokenizers.PATTERN), ranks)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert [r.decoded.decode() for r in got.orderBy("doc_id").collect()] == ["one two  three\n", "", "", "ünïcode " * 50]
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
