@@ -9,13 +9,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from equilens.operators import density
+from equilens.operators.places import ROWS, places, silhouette
 
 MODELS = {"kmeans": KMeans, "hierarchical": BisectingKMeans, "gmm": GaussianMixture}
 
@@ -26,18 +26,7 @@ def assembled(df: DataFrame, features: list[str]) -> DataFrame:
 
 def candidates(df: DataFrame, features: list[str], kind: str, ks: tuple[int, ...] = (3, 4, 5, 6), seed: int = 42) -> list[tuple[int, float, object]]:
     """(k, silhouette, model) for each k; features are given standardised. -1 where only one cluster came out."""
-    data = assembled(df, features).persist()
-    judge = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
-    found = []
-    try:
-        for k in ks:
-            model = MODELS[kind](k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(data)
-            made = model.transform(data)
-            several = made.agg(F.countDistinct("cluster")).first()[0] > 1
-            found.append((k, float(judge.evaluate(made)) if several else -1.0, model))
-    finally:
-        data.unpersist()
-    return found
+    return [(k, c.silhouette, model) for k, c, model in _fitted(df, features, kind, ks, seed)]
 
 
 def select(df: DataFrame, features: list[str], kind: str, ks: tuple[int, ...] = (3, 4, 5, 6)) -> DataFrame:
@@ -51,8 +40,8 @@ def diagnostics(df: DataFrame, features: list[str], kinds: tuple[str, ...] = ("k
     return df.sparkSession.createDataFrame(rows, "kind string, k int, silhouette double")  # a row per candidate
 
 
-def log_likelihood(df: DataFrame, features: list[str], weights: np.ndarray, means: np.ndarray, covariances: np.ndarray) -> float:
-    """Of all rows without a null under a mixture of normal distributions; each task sends one sum per batch."""
+def log_likelihood(df: DataFrame, features: list[str], weights: np.ndarray, means: np.ndarray, covariances: np.ndarray, rows: str | None = None) -> float:
+    """Of all rows without a null under a mixture of normal distributions; each task sends one sum per batch. `rows` is how often a row counts."""
     shared = df.sparkSession.sparkContext.broadcast((np.log(weights), means, [np.linalg.cholesky(c) for c in covariances]))  # k x features^2 numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,10 +53,10 @@ def log_likelihood(df: DataFrame, features: list[str], weights: np.ndarray, mean
                 z = np.linalg.solve(root, (x - m).T)
                 parts.append(w - (z * z).sum(0) / 2 - np.log(np.diag(root)).sum() - len(features) * math.log(2 * math.pi) / 2)
             top = np.max(parts, axis=0)
-            total = float((top + np.log(np.exp(np.array(parts) - top).sum(0))).sum())
+            total = float((top + np.log(np.exp(np.array(parts) - top).sum(0))) @ b.column(len(features)).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([pa.array([total], pa.float64())], ["ll"])
 
-    return df.select(*(F.col(f).cast("double").alias(f) for f in features)).dropna().mapInArrow(run, "ll double").agg(F.coalesce(F.sum("ll"), F.lit(0.0))).first()[0]
+    return df.select(*(F.col(f).cast("double").alias(f) for f in features), (F.col(rows) if rows else F.lit(1)).cast("double").alias("_rows")).dropna().mapInArrow(run, "ll double").agg(F.coalesce(F.sum("ll"), F.lit(0.0))).first()[0]
 
 
 def free_parameters(k: int, features: int) -> int:
@@ -88,24 +77,37 @@ class Candidate:
     rows: DataFrame
 
 
-def _measured(method: str, setting: str, made: DataFrame, bic: float | None) -> Candidate:
-    sizes = [r["count"] for r in made.groupBy("cluster").count().collect()]  # a row for each cluster
-    silhouette = float(ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(made)) if len(sizes) > 1 else -1.0
-    return Candidate(method, setting, len(sizes), min(sizes, default=0), silhouette, bic, made.drop("features"))
+def _measured(method: str, setting: str, made: DataFrame, features: list[str], rows: DataFrame, bic: float | None = None) -> Candidate:
+    """A candidate by `made`, the clusters of all places."""
+    sizes = [int(r[1]) for r in made.groupBy("cluster").agg(F.sum(ROWS)).collect()]  # a row for each cluster
+    return Candidate(method, setting, len(sizes), min(sizes, default=0), silhouette(made, features, "cluster"), bic, rows)
+
+
+def _fitted(df: DataFrame, features: list[str], kind: str, ks: tuple[int, ...], seed: int = 42) -> list[tuple[int, Candidate, object]]:
+    """(k, candidate, model) for each k. Equal rows are one with their number."""
+    data = assembled(places(df, features), features).persist()
+    found = []
+    try:
+        for k in ks:
+            model = MODELS[kind](k=k, seed=seed, featuresCol="features", predictionCol="cluster", weightCol=ROWS).fit(data)
+            found.append((k, _measured(kind, f"k={k}", model.transform(data), features, model.transform(assembled(df, features)).drop("features")), model))
+    finally:
+        data.unpersist()
+    return found
 
 
 def gmm_candidates(df: DataFrame, features: list[str], ks: tuple[int, ...] = (3, 4, 5, 6), seed: int = 42) -> list[Candidate]:
-    """A mixture of normal distributions with full covariances for each k below the number of rows, with its BIC (less is better)."""
-    data = assembled(df, features).persist()
+    """A mixture of normal distributions with full covariances for each k below the number of rows, with its BIC (less is better). Equal rows are one with their number."""
+    data = assembled(places(df, features), features).persist()
     found = []
     try:
-        n = data.count()
+        n = int(data.agg(F.sum(ROWS)).first()[0] or 0)
         for k in (k for k in ks if k < n):
-            model = GaussianMixture(k=k, seed=seed, maxIter=100, featuresCol="features", predictionCol="cluster", probabilityCol="_p").fit(data)
+            model = GaussianMixture(k=k, seed=seed, maxIter=100, featuresCol="features", predictionCol="cluster", probabilityCol="_p", weightCol=ROWS).fit(data)
             shapes = model.gaussiansDF.collect()  # k rows
-            ll = log_likelihood(data, features, np.maximum(model.weights, 1e-300), np.array([r["mean"].toArray() for r in shapes]), np.array([r["cov"].toArray() for r in shapes]))
+            ll = log_likelihood(data, features, np.maximum(model.weights, 1e-300), np.array([r["mean"].toArray() for r in shapes]), np.array([r["cov"].toArray() for r in shapes]), ROWS)
             bic = free_parameters(k, len(features)) * math.log(n) - 2 * ll
-            found.append(_measured("gmm", f"k={k}", model.transform(data).drop("_p"), bic))
+            found.append(_measured("gmm", f"k={k}", model.transform(data), features, model.transform(assembled(df, features)).drop("_p", "features"), bic))
     finally:
         data.unpersist()
     return found
@@ -137,7 +139,7 @@ def choose(
     for method in methods:
         if method == "dbscan":
             grid, rows = density.dbscan_grid(df.dropna(subset=features), key, features, list(eps), list(least))
-            made = [(r, _measured(method, f"eps={r.eps},least={r.least}", assembled(rows, features), None)) if r.chosen else (r, None) for r in grid.collect()]
+            made = [(r, _measured(method, f"eps={r.eps},least={r.least}", rows.groupBy(*features, "cluster").agg(F.count("*").cast("double").alias(ROWS)), features, rows)) if r.chosen else (r, None) for r in grid.collect()]
             own = [c for _, c in made if c]
             for c in own:
                 c.silhouette = next(r.silhouette for r, x in made if x is c)  # over the rows that aren't noise
@@ -145,7 +147,7 @@ def choose(
         elif method == "gmm":
             own = gmm_candidates(df, features, ks)
         else:
-            own = [_measured(method, f"k={k}", model.transform(assembled(df, features)), None) for k, _, model in candidates(df, features, method, tuple(k for k in ks if k < n))]
+            own = [c for _, c, _ in _fitted(df, features, method, tuple(k for k in ks if k < n))]
         if own:
             winner = min(own, key=lambda c: c.bic) if method == "gmm" else max(own, key=lambda c: c.silhouette)
             best.append(winner)
