@@ -7,13 +7,12 @@ import math
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from equilens.operators.graph import checkpointed, components
+from equilens.operators.graph import checkpointed, components, hot_join
+from equilens.operators.places import ROWS, silhouette
 
 #: The cluster of rows that are near no dense place.
 NOISE = -1
@@ -90,24 +89,50 @@ def links(cores: DataFrame, features: list[str], eps: float, side: float, offset
     return found
 
 
+def _at(features: list[str]) -> Column:
+    """The place of a row, null where a feature is."""
+    x = [F.col(f).cast("double") for f in features]
+    return F.when(reduce(lambda a, b: a & b, (c.isNotNull() for c in x)), F.array(*x))
+
+
+def _places(df: DataFrame, key: str, features: list[str]) -> DataFrame:
+    """(id, features, _rows): every place once, with its least key and its number of rows."""
+    own = df.dropna(subset=features).select(F.col(key).alias("id"), *(F.col(f).cast("double").alias(f) for f in features))
+    return checkpointed(own.groupBy(*features).agg(F.min("id").alias("id"), F.count("*").alias(ROWS)).select("id", *features, ROWS))
+
+
+def _spread(df: DataFrame, label: DataFrame, features: list[str]) -> DataFrame:
+    """`df` with the `cluster` of each row's place; a place of many rows meets them by broadcast."""
+    one = label.select(_at(features).alias("_at"), "cluster", F.col(ROWS).alias("_n"))
+    total = label.agg(F.sum(ROWS)).first()[0] or 0
+    joined = hot_join(df.withColumn("_at", _at(features)), one, "_at", "_n", total, "left")
+    return joined.select(*df.columns, F.coalesce("cluster", F.lit(NOISE)).cast(T.LongType()).alias("cluster"))
+
+
 def dbscan(df: DataFrame, key: str, features: list[str], eps: float, least: int) -> DataFrame:
     """`df` with `cluster`: rows with at least `least` rows within `eps` (themselves included) and what they reach; -1 is noise.
 
+    Equal rows are one place with their number: they have the same neighbours, so the work is over places. `key` is a
+    whole number, and rows with a null are noise.
+    """
+    return _spread(df, _clustered(_places(df, key, features), features, eps, least), features)
+
+
+def _clustered(rows: DataFrame, features: list[str], eps: float, least: int) -> DataFrame:
+    """(id, features, _rows, cluster) of all places.
+
     Space is cut into cells whose diagonal is `eps`: rows of a cell are all within reach of each other, so a cell with
-    `least` rows or more is dense as a whole and no pair of it is compared. Only the rows of other cells are compared
+    `least` rows or more is dense as a whole and no pair of it is compared. Only the places of other cells are compared
     with those of the cells around. Clusters are components of cells; a cluster is numbered by its least core key. A row
-    near several clusters goes to the one of its nearest core row. Rows with a null are noise. `key` is a whole number.
-    Whether two neighbouring cells are linked is decided by `links`, without comparing all of their rows. A row of a cell
-    with fewer than `least` rows is compared with the rows of the cells around, so a row meets at most `least` times as
-    many such rows as there are cells around.
+    near several clusters goes to the one of its nearest core row. Whether two neighbouring cells are linked is decided
+    by `links`, without comparing all of their rows. A place of a cell with fewer than `least` rows is compared with
+    those of the cells around, so a place meets at most `least` times as many such places as there are cells around.
     """
     side = eps / math.sqrt(len(features))
-    usable = df.dropna(subset=features)
-    rows = usable.select(F.col(key).alias("id"), *(F.col(f).cast("double").alias(f) for f in features)).withColumn("cell", _cells(features, side))
-    rows = checkpointed(rows)
+    own, rows = rows, rows.withColumn("cell", _cells(features, side))
     reach = math.ceil(math.sqrt(len(features)))
     offsets = F.array(*(F.array(*(F.lit(o).cast("long") for o in offset)) for offset in itertools.product(range(-reach, reach + 1), repeat=len(features))))
-    sizes = rows.groupBy("cell").agg(F.count("*").alias("n"))
+    sizes = rows.groupBy("cell").agg(F.sum(ROWS).alias("n"))
     far = lambda p, q: F.sqrt(reduce(lambda a, b: a + b, ((F.col(f"{p}.{f}") - F.col(f"{q}.{f}")) * (F.col(f"{p}.{f}") - F.col(f"{q}.{f}")) for f in features)))
 
     def around(some: DataFrame, others: DataFrame) -> DataFrame:
@@ -116,7 +141,7 @@ def dbscan(df: DataFrame, key: str, features: list[str], eps: float, least: int)
         return visit.join(others.select(F.struct(*others.columns).alias("q"), "cell"), "cell").withColumn("d", F.round(far("p", "q"), 9)).where(F.col("d") <= eps)
 
     sparse = rows.join(sizes.where(F.col("n") < least), "cell")
-    counts = around(sparse.drop("n"), rows).groupBy(F.col("p.id").alias("id")).agg(F.count("*").alias("m"))
+    counts = around(sparse.drop("n"), rows).groupBy(F.col("p.id").alias("id")).agg(F.sum(f"q.{ROWS}").alias("m"))
     dense = rows.join(sizes.where(F.col("n") >= least).select("cell"), "cell", "left_semi")
     cores = checkpointed(dense.unionByName(rows.join(counts.where(F.col("m") >= least).select("id"), "id", "left_semi")))
     # one core row stands for its cell; cells are linked by any pair of their core rows
@@ -126,8 +151,8 @@ def dbscan(df: DataFrame, key: str, features: list[str], eps: float, least: int)
     clustered = headed.join(found.withColumnRenamed("id", "head"), "head").select("id", *features, "cell", "component")
     rest = rows.join(cores.select("id"), "id", "left_anti")
     near = around(rest, clustered).groupBy(F.col("p.id").alias("id")).agg(F.min_by(F.col("q.component"), F.struct("d", F.col("q.id"))).alias("component"))
-    label = clustered.select("id", "component").unionByName(near).withColumnRenamed("id", key)
-    return df.join(label, key, "left").withColumn("cluster", F.coalesce("component", F.lit(NOISE)).cast(T.LongType())).drop("component")
+    label = clustered.select("id", "component").unionByName(near)
+    return own.join(label, "id", "left").withColumn("cluster", F.coalesce("component", F.lit(NOISE)).cast(T.LongType())).drop("component")
 
 
 def dbscan_grid(df: DataFrame, key: str, features: list[str], eps: list[float], least: list[int], most_noise: float = MOST_NOISE) -> tuple[DataFrame, DataFrame | None]:
@@ -136,23 +161,24 @@ def dbscan_grid(df: DataFrame, key: str, features: list[str], eps: list[float],
     The silhouette is over the rows that aren't noise. Settings with fewer than two clusters or more than `most_noise`
     are rejected; of the others the best silhouette is chosen, the first on ties. Noise is a cluster of its own (-1).
     """
+    rows = _places(df, key, features)
+    whole = df.count()
+    lost = whole - (rows.agg(F.sum(ROWS)).first()[0] or 0)  # rows with a null are noise
     made = {}
 
     def measured(setting: tuple[float, int]) -> tuple:
         e, m = setting
-        own = made[setting] = checkpointed(dbscan(df, key, features, e, m))
-        t = own.agg(F.count_distinct(F.when(F.col("cluster") != NOISE, F.col("cluster"))).alias("clusters"), F.count_if(F.col("cluster") == NOISE).alias("noise"), F.count("*").alias("n")).first()
-        share = t.noise / t.n if t.n else 1.0
-        silhouette = None
-        if t.clusters > 1:
-            vectors = VectorAssembler(inputCols=features, outputCol="_v", handleInvalid="skip").transform(own.where(F.col("cluster") != NOISE))
-            silhouette = round(float(ClusteringEvaluator(featuresCol="_v", predictionCol="cluster").evaluate(vectors)), 6)
-        note = "fewer than two clusters" if t.clusters < 2 else "too much noise" if share > most_noise else "noise is a cluster" if t.noise else "no noise"
-        return (e, m, t.clusters, t.noise, silhouette, note)
+        own = made[setting] = checkpointed(_clustered(rows, features, e, m))
+        t = own.agg(F.count_distinct(F.when(F.col("cluster") != NOISE, F.col("cluster"))).alias("clusters"), F.coalesce(F.sum(F.when(F.col("cluster") == NOISE, F.col(ROWS))), F.lit(0)).alias("noise")).first()
+        noise = t.noise + lost
+        share = noise / whole if whole else 1.0
+        found = round(silhouette(own.where(F.col("cluster") != NOISE), features, "cluster"), 6) if t.clusters > 1 else None
+        note = "fewer than two clusters" if t.clusters < 2 else "too much noise" if share > most_noise else "noise is a cluster" if noise else "no noise"
+        return (e, m, t.clusters, noise, found, note)
 
     with ThreadPoolExecutor(PARALLEL) as pool:  # a setting is many small jobs
         found = list(pool.map(measured, itertools.product(eps, least)))
     valid = [r for r in found if r[5].startswith("no")]
     best = max(valid, key=lambda r: r[4])[:2] if valid else None
     schema = "eps double, least int, clusters long, noise long, silhouette double, note string, chosen boolean"
-    return df.sparkSession.createDataFrame([(*r, r[:2] == best) for r in found], schema), made.get(best)  # a row for each setting
+    return df.sparkSession.createDataFrame([(*r, r[:2] == best) for r in found], schema), _spread(df, made[best], features) if best else None  # a row for each setting
