@@ -98,6 +98,29 @@ def test_every_row_of_the_smaller_class_is_a_base(spark, tmp_path, name):
     assert {r.base for r in made} <= {2 * i + 1 for i in range(0, 400, 4)}
 
 
+def test_adasyn_searches_once_for_each_step(spark, biased, monkeypatch):
+    runs, asked, search = [], [], Y.knn_partitions
+
+    def counted(queries, *args):
+        n = spark.sparkContext.accumulator(0)
+
+        def run(batches):
+            for b in batches:
+                n.add(b.num_rows)
+                yield b
+
+        found = search(queries, *args)
+        runs.append(n), asked.append(queries.count())
+        return found.mapInArrow(run, found.schema)
+
+    monkeypatch.setattr(Y, "knn_partitions", counted)
+    few = biased.where((F.col("y") == 0) | (F.col("id") % 3 > 0))
+    made = Y.adasyn(few, few, "id", ["x", "u"], "y").collect()
+    bases = {r.base for r in made}
+    assert [n.value for n in runs] == [5 * n for n in asked]  # each search ran once
+    assert asked == [few.where("y = 1").count(), len(bases)] and asked[1] < asked[0]  # the second only for bases with a copy
+
+
 def test_partitions_agree_with_the_join(spark, biased):
     for k, size in ((5, 60), (1, 10**6)):
         a, b = (sorted(map(tuple, d.collect())) for d in (N.knn_partitions(biased, biased, "id", ["x", "u"], k, "y", size), N.knn_join(biased, biased, "id", ["x", "u"], k, "y")))
