@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from equilens.operators import complexity as X
 from equilens.operators import models as M
 from equilens.operators import neighbours as N
 from equilens.operators import synthesis as Y
@@ -121,6 +122,28 @@ def test_adasyn_searches_once_for_each_step(spark, biased, monkeypatch):
     assert asked == [few.where("y = 1").count(), len(bases)] and asked[1] < asked[0]  # the second only for bases with a copy
 
 
+@pytest.mark.parametrize("scan", [True, False])
+def test_interpolations_are_made_once(spark, biased, monkeypatch, scan):
+    n, make = spark.sparkContext.accumulator(0), M.interpolations
+
+    def run(batches):
+        for b in batches:
+            n.add(b.num_rows)
+            yield b
+
+    def counted(*args, **more):
+        made = make(*args, **more)
+        return made.mapInArrow(run, made.schema)
+
+    for module in (M, Y):
+        monkeypatch.setattr(module, "interpolations", counted)
+    if not scan:
+        monkeypatch.setattr(N, "SCAN_QUERIES", 0)
+    assert Y.n4(biased, "id", ["x", "u"], "y", 2).collect()[0].n4 is not None and n.value == 600
+    X.neighbourhood(biased, "id", "g", ["x", "u"], "y", F.col("id") % 2 == 0).collect()
+    assert n.value == 2 * 600
+
+
 def test_partitions_agree_with_the_join(spark, biased):
     for k, size in ((5, 60), (1, 10**6)):
         a, b = (sorted(map(tuple, d.collect())) for d in (N.knn_partitions(biased, biased, "id", ["x", "u"], k, "y", size), N.knn_join(biased, biased, "id", ["x", "u"], k, "y")))
