@@ -179,6 +179,25 @@ def test_large_query_sets_are_searched_by_partitions(spark, monkeypatch, by, per
     assert again.count() == want.count()
 
 
+def test_leaves_meet_in_few_calls_and_other_leaves_at_their_edges(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    rows = [(i, i % 2, *map(float, r.uniform(size=2))) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "id long, y int, x double, u double")
+    asked = df.where("id % 50 = 0")
+    want = sorted(map(tuple, N.knn_join(asked, df, "id", ["x", "u"], 3, "y").collect()))
+    calls, edge, run = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), N._found
+
+    def counted(q, r, *more):
+        calls.add(1)
+        edge.add(len(r) if "_r" in q.column_names else 0)
+        return run(q, r, *more)
+
+    monkeypatch.setattr(N, "_found", counted)
+    report = {}
+    assert sorted(map(tuple, N.knn_partitions(asked, df, "id", ["x", "u"], 3, "y", 400, report).collect())) == want
+    assert report["leaves"] >= 50 and 0 < calls.value < report["leaves"] and 0 < edge.value < 20_000 / 2
+
+
 def test_results_and_pairs(spark, tmp_path):
     (tmp_path / "r").mkdir()
     base = {"dataset": "d", "status": "ok", "fairness_metrics": {"sex": {"dp": 0.2}}}
