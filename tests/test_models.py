@@ -11,7 +11,7 @@ from equilens.operators import models as M
 from equilens.operators import neighbours as N
 from equilens.operators import synthesis as Y
 from equilens.operators import thresholds as H
-from equilens.plans import modelling
+from equilens.plans import discovery, modelling
 from equilens.sources import results as R
 
 
@@ -198,6 +198,11 @@ def test_leaves_meet_in_few_calls_and_other_leaves_at_their_edges(spark, monkeyp
     assert report["leaves"] >= 50 and 0 < calls.value < report["leaves"] and 0 < edge.value < 20_000 / 2
 
 
+def test_segments_are_joined_for_the_queries_only(spark):
+    t = discovery.queries()["knn_consistency_by_group"](spark, "/root/testdata/sf0.001")
+    assert "% 50" in t._jdf.queryExecution().optimizedPlan().toString() and t.count() == 5
+
+
 def test_results_and_pairs(spark, tmp_path):
     (tmp_path / "r").mkdir()
     base = {"dataset": "d", "status": "ok", "fairness_metrics": {"sex": {"dp": 0.2}}}
