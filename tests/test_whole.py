@@ -62,3 +62,10 @@ def test_lists_of_all_rows_by_partitions(spark, monkeypatch, labels):
             other = near[near.y != p.y[i]]
             assert got[i].within == near[near.y == p.y[i]].d.iloc[0]
             assert (got[i].across, got[i].across_key) == ((other.d.iloc[0], other.id.iloc[0]) if len(other) else (None, None))
+
+
+def test_n3_of_all_rows(spark, far):
+    t, _, order = far
+    y = t["target"].to_numpy()
+    assert _run(spark, "cx_n3").iloc[0, 0] == pytest.approx(_over_classes(y[order[:, 0]] != y, y), abs=1e-6)
+    assert "% 50" not in registry.oracle_sql()["cx_n3"]
