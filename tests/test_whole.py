@@ -69,3 +69,13 @@ def test_n3_of_all_rows(spark, far):
     y = t["target"].to_numpy()
     assert _run(spark, "cx_n3").iloc[0, 0] == pytest.approx(_over_classes(y[order[:, 0]] != y, y), abs=1e-6)
     assert "% 50" not in registry.oracle_sql()["cx_n3"]
+
+
+def test_raug_of_all_rows(spark, far):
+    t, _, order = far
+    y = t["target"].to_numpy()
+    hit, n = (y[order[:, :5]] != y[:, None]).sum(1) > 2, [(y == c).sum() for c in (0, 1)]
+    got = _run(spark, "cx_raug").iloc[0]
+    assert (got["majority"], got["minority"]) == pytest.approx(tuple(hit[y == c].mean() for c in (0, 1)), abs=1e-6)
+    assert got["weighted"] == pytest.approx((hit[y == 0].sum() + n[0] / n[1] * hit[y == 1].sum()) / (n[0] / n[1] + 1), abs=1e-5)
+    assert "% 50" not in registry.oracle_sql()["cx_raug"]
