@@ -79,3 +79,12 @@ def test_raug_of_all_rows(spark, far):
     assert (got["majority"], got["minority"]) == pytest.approx(tuple(hit[y == c].mean() for c in (0, 1)), abs=1e-6)
     assert got["weighted"] == pytest.approx((hit[y == 0].sum() + n[0] / n[1] * hit[y == 1].sum()) / (n[0] / n[1] + 1), abs=1e-5)
     assert "% 50" not in registry.oracle_sql()["cx_raug"]
+
+
+def test_n2_of_all_rows(spark, far):
+    t, d, _ = far
+    y = t["target"].to_numpy()
+    near = [np.where(y == c, d, np.inf).min(1) for c in (0, 1)]
+    r = [near[c][y == c].sum() / (near[1 - c][y == c].sum() + 1e-12) for c in (0, 1)]
+    assert _run(spark, "cx_n2").iloc[0, 0] == pytest.approx(np.mean([v / (1 + v) for v in r]), abs=1e-6)
+    assert "% 50" not in registry.oracle_sql()["cx_n2"]
