@@ -3,7 +3,6 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from equilens.operators import neighbours as N
 from equilens.plans import registry
@@ -88,3 +87,10 @@ def test_n2_of_all_rows(spark, far):
     r = [near[c][y == c].sum() / (near[1 - c][y == c].sum() + 1e-12) for c in (0, 1)]
     assert _run(spark, "cx_n2").iloc[0, 0] == pytest.approx(np.mean([v / (1 + v) for v in r]), abs=1e-6)
     assert "% 50" not in registry.oracle_sql()["cx_n2"]
+
+
+def test_eps_grid_of_all_rows(spark, far):
+    _, d, order = far
+    fifth = np.take_along_axis(d, order[:, 4:5], 1)[:, 0]
+    assert list(_run(spark, "cluster_eps_grid").iloc[0]) == pytest.approx(np.quantile(fifth, (0.25, 0.5, 0.75)).tolist(), abs=1e-6)
+    assert "% 50" not in registry.oracle_sql()["cluster_eps_grid"]
