@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from equilens.operators import complexity as X
 from equilens.operators import neighbours as N
 from equilens.plans import registry
 from equilens.sources.tables import view
@@ -94,3 +95,54 @@ def test_eps_grid_of_all_rows(spark, far):
     fifth = np.take_along_axis(d, order[:, 4:5], 1)[:, 0]
     assert list(_run(spark, "cluster_eps_grid").iloc[0]) == pytest.approx(np.quantile(fifth, (0.25, 0.5, 0.75)).tolist(), abs=1e-6)
     assert "% 50" not in registry.oracle_sql()["cluster_eps_grid"]
+
+
+GROUPS = {"complexity_by_group": ("grp", lambda v: v["segment"].where(v["f2"] >= -980, "DEBT"))}
+
+
+@pytest.mark.parametrize("name", sorted(GROUPS))
+def test_complexity_by_group_of_all_rows(spark, far, name):
+    t, d, _ = far
+    by, group = GROUPS[name]
+    of = group(view(spark, DATA, "v_knn").toPandas().sort_values("row_id").reset_index(drop=True))
+    got = _run(spark, name)
+    got = got[got["metric"] == "N3"].set_index(by)["value"]
+    assert set(got.index) == set(of.value_counts()[lambda n: n >= 50].index)
+    for g, value in got.items():
+        own = np.flatnonzero(of == g)
+        y = t["target"].to_numpy()[own]
+        assert value == pytest.approx(_over_classes(y[d[np.ix_(own, own)].argmin(1)] != y, y), abs=1e-6)
+    assert "% 50" not in registry.oracle_sql()[name]
+
+
+def _bayes(x, y, key):
+    """Mean gap over all rows of class 1, by all pairs."""
+    gaps, ratio, depth = [], (y == 0).sum() / (y == 1).sum(), min(100, len(y) - 1)
+    for i in np.flatnonzero(y == 1):
+        d = np.round(np.sqrt(((x - x[i]) ** 2).sum(1)), 9)
+        near = y[[j for j in np.lexsort((key, d)) if j != i][: depth - 1]]
+        m, size = int((near[:5] == 1).sum()), 5
+        if m == 5:
+            m = int(np.argmax(near == 0)) - 1 if (near == 0).any() else depth
+            size = m + 1
+        own, other = m / size, (size - m) / size
+        gaps.append(ratio * other / (ratio * other + own + 1e-12) - other / (other + own + 1e-12))
+    return np.mean(gaps)
+
+
+@pytest.mark.parametrize("scan", [True, False])
+def test_bayes_imbalance_of_repeated_places(spark, monkeypatch, scan):
+    # a place has rows of both classes, in any order of their keys; class 1 of one group lies apart
+    r = np.random.default_rng(5)
+    x = np.round(np.column_stack([r.normal(size=600) * 2, r.normal(size=600)]), 0)
+    y = (r.random(600) < 0.85).astype(int)
+    g = np.arange(600) % 2
+    y[g == 1] = x[g == 1, 0] > 0
+    df = spark.createDataFrame([(i, int(y[i]), "ab"[g[i]], *map(float, x[i])) for i in range(600)], "id long, y int, g string, x double, u double")
+    if not scan:
+        monkeypatch.setattr(N, "SCAN_QUERIES", 0)
+        monkeypatch.setattr(N, "LEAF_ROWS", 60)
+    got = {q.g: q.value for q in X.neighbourhood(df, "id", "g", ["x", "u"], "y").where("metric = 'BayesImbalance'").collect()}
+    for c in (0, 1):
+        own = np.flatnonzero(g == c)
+        assert got["ab"[c]] == pytest.approx(_bayes(x[own], y[own], own), abs=1e-6)
