@@ -97,7 +97,7 @@ def test_eps_grid_of_all_rows(spark, far):
     assert "% 50" not in registry.oracle_sql()["cluster_eps_grid"]
 
 
-GROUPS = {"complexity_by_group": ("grp", lambda v: v["segment"].where(v["f2"] >= -980, "DEBT"))}
+GROUPS = {"complexity_by_group": ("grp", lambda v: v["segment"].where(v["f2"] >= -980, "DEBT")), "complexity_intersection": ("cell", lambda v: "segment=" + v["segment"] + "|debtor=" + (v["f2"] < 0).map({True: "yes", False: "no"}))}
 
 
 @pytest.mark.parametrize("name", sorted(GROUPS))
