@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from equilens.operators import density
+from equilens.operators.graph import checkpointed
 from equilens.operators.places import ROWS, places, silhouette
 
+#: Places of a partition where centres are fitted to many: a task of fewer takes longer to start than to run.
+FIT_PLACES = 100_000
 MODELS = {"kmeans": KMeans, "hierarchical": BisectingKMeans, "gmm": GaussianMixture}
 
 
@@ -84,15 +87,16 @@ def _measured(method: str, setting: str, made: DataFrame, features: list[str], r
 
 
 def _fitted(df: DataFrame, features: list[str], kind: str, ks: tuple[int, ...], seed: int = 42) -> list[tuple[int, Candidate, object]]:
-    """(k, candidate, model) for each k. Equal rows are one with their number."""
-    data = assembled(places(df, features), features).persist()
+    """(k, candidate, model) for each k. Equal rows are one with their number.
+
+    The places aren't persisted: a fit then persists its own vectors, which it passes over as they are; of a persisted
+    table it would make them again in every pass.
+    """
+    data = assembled(checkpointed(places(df, features, FIT_PLACES)), features)
     found = []
-    try:
-        for k in ks:
-            model = MODELS[kind](k=k, seed=seed, featuresCol="features", predictionCol="cluster", weightCol=ROWS).fit(data)
-            found.append((k, _measured(kind, f"k={k}", model.transform(data), features, model.transform(assembled(df, features)).drop("features")), model))
-    finally:
-        data.unpersist()
+    for k in ks:
+        model = MODELS[kind](k=k, seed=seed, featuresCol="features", predictionCol="cluster", weightCol=ROWS).fit(data)
+        found.append((k, _measured(kind, f"k={k}", model.transform(data), features, model.transform(assembled(df, features)).drop("features")), model))
     return found
 
 

@@ -4,8 +4,10 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from equilens.operators import clustering
 from equilens.operators import complexity as X
 from equilens.operators import neighbours as N
+from equilens.operators.places import parts_of
 from equilens.plans import registry
 from equilens.sources.tables import view
 
@@ -146,3 +148,13 @@ def test_bayes_imbalance_of_repeated_places(spark, monkeypatch, scan):
     for c in (0, 1):
         own = np.flatnonzero(g == c)
         assert got["ab"[c]] == pytest.approx(_bayes(x[own], y[own], own), abs=1e-6)
+
+
+def test_fits_of_clusters_take_few_tasks_over_places_as_they_are(spark, monkeypatch):
+    # a persisted table would be turned into vectors again in every pass
+    levels, fit = [], clustering.KMeans.fit
+    monkeypatch.setattr(clustering.KMeans, "fit", lambda self, data: levels.append(data.storageLevel) or fit(self, data))
+    monkeypatch.setitem(clustering.MODELS, "kmeans", clustering.KMeans)
+    clustering.candidates(N.standardized(view(spark, DATA, "v_knn"), ["f1", "f2"]), ["f1", "f2"], "kmeans", (2, 3))
+    assert len(levels) == 2 and not any(level.useMemory for level in levels)
+    assert [parts_of(n, 100_000) for n in (0, 15_000, 150_000, 1_500_000, 9_000_000, 54_000_000)] == [1, 2, 15, 16, 90, 200]
