@@ -158,3 +158,16 @@ def test_fits_of_clusters_take_few_tasks_over_places_as_they_are(spark, monkeypa
     clustering.candidates(N.standardized(view(spark, DATA, "v_knn"), ["f1", "f2"]), ["f1", "f2"], "kmeans", (2, 3))
     assert len(levels) == 2 and not any(level.useMemory for level in levels)
     assert [parts_of(n, 100_000) for n in (0, 15_000, 150_000, 1_500_000, 9_000_000, 54_000_000)] == [1, 2, 15, 16, 90, 200]
+
+
+def test_complexity_all_of_all_rows(spark, far):
+    t, d, order = far
+    y = t["target"].to_numpy()
+    got = _run(spark, "complexity_all").set_index("metric")["value"]
+    assert got["N3"] == pytest.approx(_over_classes(y[order[:, 0]] != y, y), abs=1e-6)
+    near = [np.where(y == c, d, np.inf).min(1) for c in (0, 1)]
+    r = [near[c][y == c].sum() / near[1 - c][y == c].sum() for c in (0, 1)]
+    assert got["N2"] == pytest.approx(np.mean([v / (1 + v) for v in r]), abs=1e-6)
+    hit, n = (y[order[:, :5]] != y[:, None]).sum(1) > 2, [(y == c).sum() for c in (0, 1)]
+    assert got["Raug"] == pytest.approx((hit[y == 0].sum() + n[0] / n[1] * hit[y == 1].sum()) / (n[0] / n[1] + 1), abs=1e-5)
+    assert got["BayesImbalance"] == pytest.approx(_bayes(t[["f1", "f2"]].to_numpy(), y, t["row_id"].to_numpy()), abs=1e-6)
